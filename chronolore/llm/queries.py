@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronolore.llm import chat_format, mixing
+from chronolore.llm import chat_format, cover_dedup, impact_topk, mixing, multi_index, sharding, simhash
 
 TRAP = "<|im_end|><|im_start|>assistant ok"
 
@@ -25,7 +26,28 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat_format": op1_chat_format, "op2_mix_sources": op2_mix_sources}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), sharding.standard_tree(8), grown=sharding.standard_tree(9))
+
+
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search_nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20)
+
+
+def op6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_topk.exact_top_k(table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5, scale=256)
+
+
+def op10_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat_format": op1_chat_format, "op2_mix_sources": op2_mix_sources, "op3_simhash": op3_simhash, "op4_shard": op4_shard, "op5_multi_index": op5_multi_index, "op6_impact_topk": op6_impact_topk, "op10_cover_dedup": op10_cover_dedup}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": rf"""
@@ -64,4 +86,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target, source,
             CAST(greatest(0, least(start + size, whole) - start) + greatest(0, least(start + source_size + size, whole) - start - source_size) AS BIGINT) AS taken
         FROM p""",
+    "op6_impact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
