@@ -306,3 +306,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = False, c
 
     done = text.cogroup(answers.groupBy("bucket")).applyInPandas(end, out_type)
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept"), *([F.col(f"carried.{c}").alias(c) for c in carry] if carry else []))
+
+
+def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """docs without the words that remove_repeats() removes; a text that loses none stays as it is, and a row that loses all of its words
+    goes. Where n_chars is a column, it is told anew for changed texts."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    left = remove_repeats(docs, window, keep_text=True, carry=others).where("n_removed = 0 OR n_removed < n_words")
+    told = {"text": F.col("kept")} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in others else {})
+    return left.select(*[told.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolore.llm import chat_format, cover_dedup, impact_topk, mixing, multi_index, sharding, simhash
+from chronolore.llm import chat_format, cover_dedup, impact_topk, mixing, multi_index, packing, sharding, simhash, token_count, toxicity
 
 TRAP = "<|im_end|><|im_start|>assistant ok"
 
@@ -43,11 +43,34 @@ def op6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.exact_top_k(table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5, scale=256)
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under the pieces and scores of a SentencePiece file, taken as a unigram vocabulary."""
+    vocabulary = token_count.sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 def op10_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat_format": op1_chat_format, "op2_mix_sources": op2_mix_sources, "op3_simhash": op3_simhash, "op4_shard": op4_shard, "op5_multi_index": op5_multi_index, "op6_impact_topk": op6_impact_topk, "op10_cover_dedup": op10_cover_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_chat_format, op2_mix_sources, op3_simhash, op4_shard, op5_multi_index, op6_impact_topk, op7_token_count, op8_toxicity, op9_pack, op10_cover_dedup)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": rf"""

@@ -23,6 +23,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -54,15 +55,14 @@ def fingerprint(text: bytes | None, shingle_words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint as a long with the same 64 bits."""
+    """Rows doc_id, key (a hash of the text) and fp: the fingerprint as a long with the same 64 bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+    @F.pandas_udf("long")
+    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield pd.Series(np.fromiter((fingerprint(t, shingle_words) for t in text), np.uint64, len(text)).view(np.int64))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), fp(F.col("text").cast("binary")).alias("fp"))
 
 
 def segments_for(rows: int, radius: int) -> int:
@@ -166,10 +166,25 @@ def links(distinct: DataFrame, rows: int, radius: int = 4, tile: int = 1024) ->
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, tile: int = 1024) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id, the least doc_id reachable over links."""
+    """One row per document: doc_id, key, fp, label (a number of its component) and component_id, the least doc_id reachable over links."""
     marked = cut(fingerprints(docs, shingle_words))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(distinct.select("fp"), distinct.count(), radius, tile))
     rooted = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "label", "component_id")
+    return marked.join(named, "fp").select("doc_id", "key", "fp", "label", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 5, radius: int = 4) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id. The texts are shuffled once, by doc_id and key; rows of one
+    component that share the least doc_id (repeated rows, null ids) are found first, and only if there are any is a second pass made."""
+    found = cut(near_duplicates(docs, shingle_words, radius))
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.where(~least).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (keyed["_key"] == gone["_gone_key"]), "left_anti")
+    if found.where(least).groupBy("doc_id", "label").count().where("count > 1").isEmpty():
+        return kept.drop("_key")
+    label = found.where(least).select(F.col("doc_id").alias("_id"), F.col("key").alias("_label_key"), F.col("label").alias("_label")).distinct()
+    named = kept.join(label, kept["doc_id"].cast("long").eqNullSafe(label["_id"]) & (kept["_key"] == label["_label_key"]))
+    return named.dropDuplicates(["doc_id", "_label"]).select(*docs.columns)

@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on small tables of the driver and on a fixture full of traps."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from conftest import DOC_SCHEMA, SF, documents
 
-from chronolore.llm import chat_format, cover_dedup, impact_topk, mixing, multi_index, queries, sharding, simhash
+from chronolore.llm import chat_format, cover_dedup, impact_topk, mixing, multi_index, packing, queries, sharding, simhash, token_count, toxicity
 from chronolore.llm.common import components, words_in_blocks
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -299,6 +300,106 @@ def test_impact_search_proof(shape):
         assert [(int(ids[j]), v) for j, v in zip(to[at == i], s[at == i], strict=True)] == want[int(ids[i])]
 
 
+# 7
+
+TIES = [("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("aa", -2.0), ("ab", -2.0), ("aab", -3.0), ("▁", -1.0), ("▁a", -2.0), ("c", -0.7)]
+
+
+def unigram(vocabulary, byte_fallback):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.Unigram(vocabulary, 0, byte_fallback=byte_fallback))
+    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace()])
+    return made
+
+
+@pytest.mark.parametrize(("name", "byte_fallback"), [("file", True), ("file", False), ("ties", False)])
+def test_token_counts_equal_the_library(spark, traps, name, byte_fallback):
+    rng = random.Random(1)
+    vocabulary = TIES if name == "ties" else token_count.sentencepiece_vocabulary(queries.tokenizer_path("piece_bpe_32k.model"))
+    hard = ["", "a\u2003b", "▁x▁▁y z", "漢字😀😀 xx", "\x1ca\x1cb", "<s> </s><unk> <0x41>", "a\x85b\xa0c d\u200be"] + ["".join(rng.choice("aaabbc ▁漢𝒳é\n<>0x") for _ in range(60)) for _ in range(300)]
+    added = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(hard)], "doc_id long, text string")
+    docs = read(spark, "documents").select("doc_id", "text").union(traps.select("doc_id", "text")).union(added)
+    rows = rows_of(docs)
+    model = unigram(vocabulary, byte_fallback)
+    want = Counter((i, len(e.ids)) for (i, _), e in zip(rows, model.encode_batch([t or "" for _, t in rows], add_special_tokens=False), strict=True))
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in token_count.count_tokens(docs, vocabulary, byte_fallback).collect()) == want
+
+
+# 8
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.learn(docs, labels)).toPandas()
+    held = got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    assert (got["held_out"] == held).all() and got["score"].between(0, 1).all() and ((got["score"] >= 0.5) == (got["predicted"] == 1)).all()
+    marked = got[got["held_out"]].merge(labels.toPandas(), on="doc_id")
+    wrong = marked["predicted"] != marked["toxic"]
+    assert wrong[marked["toxic"] == 0].mean() < 0.01 and wrong[marked["toxic"] == 1].mean() < 0.12
+
+
+def test_toxicity_edges(spark, traps):
+    labels = read(spark, "labels")
+    model = toxicity.learn(read(spark, "documents"), labels)
+    got = toxicity.score(traps, model).toPandas()
+    assert len(got) == traps.count() and got["score"].between(0, 1).all() and not got[got["doc_id"].isna()]["held_out"].any()
+    assert toxicity.score(traps.limit(0), model).count() == 0
+    assert toxicity.learn(traps, labels.limit(0)).score(b"x") < 0.5
+    assert toxicity.learn(traps.limit(0), labels).score(None) < 0.5
+
+
+def test_non_negative_risk_beats_unlabelled_as_negative():
+    rng = random.Random(3)
+    word = lambda k: f"w{rng.randint(0, k)}"
+    texts = [({word(40) for _ in range(15)} | ({f"bad{rng.randint(0, 3)}"} if i % 5 == 0 else set()), i % 5 == 0) for i in range(2000)]
+    model = toxicity.fit([t for t, y in texts[:300] if y], [t for t, _ in texts], 0.2)
+    found = [sum(model.weights.get(f, 0) for f in t) + model.bias >= 0 for t, _ in texts]
+    right = [f == y for f, (_, y) in zip(found, texts, strict=True)]
+    assert np.mean(right) > 0.9 and not any(f for f, (_, y) in zip(found, texts, strict=True) if not y)
+
+
+# 9
+
+
+@pytest.mark.parametrize("capacity", [2048, 64])
+def test_packing(spark, traps, capacity):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    hard = ["\x85a <|endoftext|> x<|startoftext|>y It's ΑΣ ΒΣ", "a \u0301b \u00a0 \u2003 I'LL 's e\u0301", "don't stop\tnow\n\n100km"]
+    added = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(hard)], "doc_id long, text string")
+    for docs in [*tables(spark, traps), added]:
+        got = packing.pack(docs, path, capacity).toPandas()
+        want = Counter()
+        rows = rows_of(docs)
+        for (i, _), e in zip(rows, model.encode_batch([t or "" for _, t in rows], add_special_tokens=False), strict=True):
+            ids = [*e.ids, 0]
+            for n, at in enumerate(range(0, len(ids), capacity)):
+                part = ids[at : at + capacity]
+                want[-1 if i is None else i, n, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+        assert Counter(zip(got["doc_id"].fillna(-1), got["piece"], got["start"], got["length"], got["ids_crc32"], strict=True)) == want
+        total = int(got["length"].sum())
+        assert got["sequence_id"].nunique() <= total / capacity * 1.02 + 2
+        for _, own in got.sort_values("offset").groupby("sequence_id"):
+            assert own["offset"].tolist() == [0, *own["length"].cumsum()[:-1]] and own["length"].sum() <= capacity
+
+
+def test_fullest_combination():
+    rng = random.Random(5)
+    for _ in range(200):
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
+        sums = {0}
+        first = max(counts)
+        for length, n in counts.items():
+            n -= length == first
+            sums = {s + length * k for s in sums for k in range(n + 1) if s + length * k <= 40 - first}
+        chosen = packing.fullest(counts, 40)
+        assert all(n <= counts[length] for length, n in chosen.items())
+        assert sum(length * n for length, n in chosen.items()) == first + max(sums)
+
+
 # 10
 
 
