@@ -6,7 +6,7 @@ is one shingle; no word gives fingerprint 0). Bit b is 1 if set in over half of
 Links: two fingerprints link if they differ in at most radius bits. Equal fingerprints are joined first, so only different ones are
 compared. The 64 bits are cut into segments; fingerprints within the radius agree in at least segments - radius of them, so each
 fingerprint is dealt to one block per choice of that many segments and every link lies in some block. The number of segments grows
-with the table (5 give 13-bit keys, 8 give 32-bit keys), which keeps blocks small without losing a link at any size.
+with the table (5 give 13-bit keys, 8 give 32-bit keys), which keeps blocks within a few tiles without losing a link at any size.
 
 Tiles: a block over tile rows is cut into tiles by population count (and by a hash within one count); two tiles are compared only if
 their population counts differ by no more than the radius, as that difference is a lower bound of the distance. A pair of tiles is one
@@ -66,9 +66,10 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
 
 
 def segments_for(rows: int, radius: int) -> int:
-    """As many segments as make keys of about log2(rows) - 5 bits or more, so blocks hold a few dozen unrelated rows."""
+    """As many segments as make keys of about log2(rows) - 12 bits or more: blocks hold up to a tile of unrelated rows, as comparing them
+    costs less than dealing each row to the blocks of more choices."""
     s = radius + 1
-    while (s - radius) * (64 // s) < max(rows, 2).bit_length() - 5 and s < 2 * radius:
+    while (s - radius) * (64 // s) < max(rows, 2).bit_length() - 12 and s < 2 * radius:
         s += 1
     return s
 
@@ -143,7 +144,7 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int, tile: int) -> Iterat
     yield made()
 
 
-def links(distinct: DataFrame, rows: int, radius: int = 4, tile: int = 1024) -> DataFrame:
+def links(distinct: DataFrame, rows: int, radius: int = 4, tile: int = 4096) -> DataFrame:
     """Edges (u, v) that join the different fingerprints fp within the radius; rows is their number."""
     masks = segment_masks(segments_for(rows, radius), radius)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)])
@@ -165,7 +166,7 @@ def links(distinct: DataFrame, rows: int, radius: int = 4, tile: int = 1024) ->
     return laid.mapInArrow(lambda batches: compare(batches, radius, tile), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, tile: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, tile: int = 4096) -> DataFrame:
     """One row per document: doc_id, key, fp, label (a number of its component) and component_id, the least doc_id reachable over links."""
     marked = cut(fingerprints(docs, shingle_words))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
