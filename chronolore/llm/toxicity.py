@@ -26,10 +26,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolore.llm.common import words_in_blocks
+from chronolore.llm.common import cut, words_in_blocks
 
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 4000, 12_000, 8192
 FOLDS = 5
@@ -92,25 +93,55 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def select(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
-    """Features in LEAST_POSITIVE positives or more whose share there is SIGMAS standard errors above that in the unlabelled sample or
-    more; if they are over MOST_FEATURES, those furthest above."""
-    p, u = Counter(f for t in positive for f in t), Counter(f for t in unlabelled for f in t)
-    names = sorted(f for f in p if p[f] >= LEAST_POSITIVE)
-    n, a, b = len(positive), np.array([p[f] for f in names], float), np.array([u[f] for f in names], float)
-    rate = (b + 0.5) / (len(unlabelled) + 1)
-    above = (a - n * rate) / np.sqrt(n * rate * (1 - rate))
-    return [names[i] for i in np.argsort(-above, kind="stable")[:MOST_FEATURES] if above[i] >= SIGMAS]
+def sample(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows positive, text: at most MOST_POSITIVE documents that marks (doc_id, toxic) calls toxic and MOST_UNLABELLED of any kind. Ids are
+    picked first; texts are then found by a join with those few."""
+    least = [F.xxhash64("doc_id"), F.col("doc_id")]
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
+    there = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).distinct()
+    toxic = marks.where("toxic = 1").select("doc_id").join(there, "doc_id", "left_semi").orderBy(*least).limit(MOST_POSITIVE)
+    any_kind = there.orderBy(*least).limit(MOST_UNLABELLED)
+    picked = F.broadcast(toxic.withColumn("positive", F.lit(True)).unionByName(any_kind.withColumn("positive", F.lit(False))))
+    return rows.join(picked, "doc_id").groupBy("positive", "doc_id").agg(F.min("text").alias("text")).select("positive", "text")
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 3e-5) -> Model:
-    if not positive or not unlabelled:
-        return Model({}, -1e6)
-    names = select(positive, unlabelled)
-    if not names:
+def select(rows: DataFrame, positives: int, unlabelled: int) -> list[str]:
+    """Features of rows (positive, text) in LEAST_POSITIVE positives or more whose share there is SIGMAS standard errors above that in the
+    unlabelled sample or more; if they are over MOST_FEATURES, those furthest above. Counted on the executors."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, u = Counter(), Counter()
+            for positive, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                (p if positive else u).update(present(text.as_py()))
+            names = list(p.keys() | u.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([p[f] for f in names], pa.int64()), pa.array([u[f] for f in names], pa.int64())], names=["feature", "p", "u"])
+
+    totals = rows.mapInArrow(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    rate = (F.col("u") + 0.5) / (unlabelled + 1)
+    above = (F.col("p") - positives * rate) / F.sqrt(positives * rate * (1 - rate))
+    best = totals.where(F.col("p") >= LEAST_POSITIVE).withColumn("above", above).where(F.col("above") >= SIGMAS)
+    return [r["feature"] for r in best.orderBy(F.desc("above"), "feature").limit(MOST_FEATURES).collect()]
+
+
+def numbered(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows positive, features (numbers of those of names that the text has, in order)."""
+    number = rows.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = number.value
+        for batch in batches:
+            found = [sorted(known[f] for f in present(t.as_py()) if f in known) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["positive", "features"])
+
+    return rows.mapInArrow(find, "positive boolean, features array<int>")
+
+
+def fit(names: list[str], positive: list[list[int]], unlabelled: list[list[int]], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 3e-5) -> Model:
+    """The model from samples of texts, each as numbers of names."""
+    if not names or not positive or not unlabelled:
         return Model({}, -1e6)
-    number = {f: i for i, f in enumerate(names)}
-    rows = [np.array(sorted(number[f] for f in t if f in number), np.int64) for t in [*positive, *unlabelled]]
+    rows = [np.asarray(t, np.int64) for t in [*positive, *unlabelled]]
     counts = np.array([len(r) for r in rows])
     columns, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), counts)
     n, size = len(positive), len(names)
@@ -145,17 +176,15 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, roun
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labels' toxic column for docs, from the folds that are learned from."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(fold(F.col("doc_id")) != 0)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     n, toxic = marks.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
-    least = [F.xxhash64("doc_id"), F.col("doc_id")]
-    wanted = marks.where("toxic = 1").select("doc_id").orderBy(*least).limit(MOST_POSITIVE)
-
-    def texts(df: DataFrame) -> list[set[str]]:
-        return [present(r["text"]) for r in df.select("text").toLocalIterator()]
-
-    positive = texts(rows.join(F.broadcast(wanted), "doc_id", "left_semi"))[:MOST_POSITIVE]
-    unlabelled = texts(rows.orderBy(*least).limit(MOST_UNLABELLED))
-    return fit(positive, unlabelled, min(max(toxic / max(n, 1), 0.001), 0.9))
+    rows = cut(sample(docs, marks))
+    positives, unlabelled = rows.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    if not positives or not unlabelled:
+        return Model({}, -1e6)
+    names = select(rows, positives, unlabelled)
+    found = numbered(rows, names).collect()
+    prior = min(max(toxic / max(n, 1), 0.001), 0.9)
+    return fit(names, [r["features"] for r in found if r["positive"]], [r["features"] for r in found if not r["positive"]], prior)
 
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:

@@ -353,7 +353,9 @@ def test_non_negative_risk_beats_unlabelled_as_negative():
     rng = random.Random(3)
     word = lambda k: f"w{rng.randint(0, k)}"
     texts = [({word(40) for _ in range(15)} | ({f"bad{rng.randint(0, 3)}"} if i % 5 == 0 else set()), i % 5 == 0) for i in range(2000)]
-    model = toxicity.fit([t for t, y in texts[:300] if y], [t for t, _ in texts], 0.2)
+    names = sorted({f for t, _ in texts for f in t})
+    rows = [[names.index(f) for f in t] for t, _ in texts]
+    model = toxicity.fit(names, [r for r, (_, y) in zip(rows[:300], texts, strict=False) if y], rows, 0.2)
     found = [sum(model.weights.get(f, 0) for f in t) + model.bias >= 0 for t, _ in texts]
     right = [f == y for f, (_, y) in zip(found, texts, strict=True)]
     assert np.mean(right) > 0.9 and not any(f for f, (_, y) in zip(found, texts, strict=True) if not y)
