@@ -63,7 +63,7 @@ def salient_terms(c: Column) -> Column:
 
 def has_term(text: Column, term: Column) -> Column:
     """Whether the term stands in the text as whole words, whatever the case."""
-    return F.lower(text).rlike(F.concat(F.lit(r"\b\Q"), F.lower(term), F.lit(r"\E\b")))
+    return F.rlike(F.lower(text), F.concat(F.lit(r"\b\Q"), F.lower(term), F.lit(r"\E\b")))
 
 
 def term_coverage(answer: Column, expected: Column) -> Column:

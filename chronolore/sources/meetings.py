@@ -42,7 +42,7 @@ def cues(transcripts: DataFrame, text: str = "value") -> DataFrame:
 def read(spark: SparkSession, root: str) -> Episodes:
     if not exists(spark, f"{root}/zoom/*.vtt"):
         return none(spark)
-    files = spark.read.option("wholetext", True).text(f"{root}/zoom/*.vtt").select(F.regexp_replace("_metadata.file_name", r"\.vtt$", "").alias("stem"), "value")
+    files = spark.read.text(f"{root}/zoom/*.vtt", wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.vtt$", "").alias("stem"), "value")
     heads = files.select("stem").join(metadata(spark, root), "stem", "left").select(
         "stem",
         F.lit("ZOOM").alias("system"),

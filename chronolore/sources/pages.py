@@ -61,7 +61,7 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     pattern = f"{root}/notion/*.md"
     if not exists(spark, pattern):
         return spark.createDataFrame([], "file string, value string")
-    return spark.read.option("wholetext", True).text(pattern).select(F.col("_metadata.file_name").alias("file"), "value")
+    return spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
 
 
 def read(spark: SparkSession, root: str) -> Episodes:
