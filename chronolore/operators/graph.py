@@ -137,7 +137,7 @@ def owners(facts: DataFrame, owned: DataFrame, people: DataFrame, ranked: DataFr
     """Owners of ranked facts (fact_id, rank): person_id, name, best_rank, n_facts, methods, facts (newest first), in order of best rank,
     number of facts and name. owned: fact_id, person_id, method."""
     seen = facts.where(readable(F.col("acl_grants"), grants)).join(ranked, "fact_id").join(owned, "fact_id")
-    own = F.array_sort(F.collect_list(F.struct((-F.unix_micros("occurred_at")).alias("k"), "fact_id", "statement", "occurred_at", F.col("valid_to").isNull().alias("current"))))
+    own = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("occurred_at").cast("timestamp"))).alias("k"), "fact_id", "statement", "occurred_at", F.col("valid_to").isNull().alias("current"))))
     found = seen.groupBy("person_id").agg(F.min("rank").alias("best_rank"), F.count_distinct("fact_id").cast("int").alias("n_facts"), F.array_sort(F.collect_set("method")).alias("methods"), F.transform(own, lambda f: f.dropFields("k")).alias("facts"))
     return found.join(people.select("person_id", "name", "title", "email"), "person_id").orderBy("best_rank", F.desc("n_facts"), "name")
 
@@ -163,7 +163,7 @@ def hydrate(facts: DataFrame, episodes: DataFrame, people: DataFrame, owned: Dat
     allowed = None if compat else shown.select(F.col("fact_id").alias("node"))
     brief = shown.select("fact_id", "statement", "occurred_at", "status")
     back = walk(supersedes, ids.select(F.col("fact_id").alias("seed"), F.col("fact_id").alias("node")), CURRENCY_HOPS, allowed).where("depth > 0")
-    refs = F.transform(F.array_sort(F.collect_set(F.struct((-F.unix_micros("occurred_at")).alias("k"), "ref_id", "statement", "occurred_at", "status"))), lambda x: x.dropFields("k"))
+    refs = F.transform(F.array_sort(F.collect_set(F.struct((-F.unix_micros(F.col("occurred_at").cast("timestamp"))).alias("k"), "ref_id", "statement", "occurred_at", "status"))), lambda x: x.dropFields("k"))
     history = back.join(brief, back["node"] == brief["fact_id"]).select("seed", F.col("node").alias("ref_id"), "statement", "occurred_at", "status").groupBy(F.col("seed").alias("fact_id")).agg(refs.alias("history"))
     next_one = supersedes.join(ids, supersedes["dst"] == ids["fact_id"], "left_semi").join(brief, F.col("src") == brief["fact_id"])
     newer = next_one.select(F.col("dst").alias("id"), F.col("src").alias("ref_id"), "statement", "occurred_at", "status").groupBy(F.col("id").alias("fact_id")).agg(refs.alias("newer"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronolore.functions.text import keywords
 from chronolore.functions.vectors import dot, unit
+from chronolore.lineage import cut
 
 # Fixed values.
 RRF_K, SEEDS, FINAL, PER_EPISODE, HISTORY_DEPTH = 60, 40, 8, 3, 5
@@ -42,6 +43,16 @@ def vector_top_many(rows: DataFrame, queries: dict[int, list[float]], k: int, id
     return top(scored.select("a.query_id", id_col, F.round(dot(F.col("v"), F.col("a.q")), 6).alias("score")), ["query_id"], [F.desc("score"), F.col(id_col)], k)
 
 
+def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with rank (from 1) over all of them: dealt by ranges of the order, counted, and numbered within each range, so that no task
+    holds all rows. One shuffle, kept in the checkpoint folder."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    numbered = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return numbered.join(base.select("_part", "_base"), "_part").withColumn("rank", (F.col("_base") + F.col("_local")).cast("int")).drop("_part", "_base", "_local")
+
+
 def tokens(c: Column) -> Column:
     """All words of a text, lower case, repeats included."""
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")

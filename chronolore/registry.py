@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from chronolore.catalog import Query, asks, facts, ingest
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = ingest.query.queries | facts.query.queries | asks.query.queries
+ORACLE_SQL: dict[str, str] = ingest.query.oracles | facts.query.oracles | asks.query.oracles
