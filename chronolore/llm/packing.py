@@ -12,7 +12,7 @@ Place: pieces get ranks within their length, by buckets, so a length that a thir
 then finds its sequence and offset in the plan by binary search.
 
 Tokens of a text are those of its white-space separated words one by one (the tokenizer drops white space and never joins over
-it), remembered per task up to REMEMBERED words.
+it); a batch's different words are tokenized once.
 
 Nulls and edges: a null text is empty, its one piece is end_id. Repeated rows are packed as rows of their own; a null id stays. Other
 columns are ignored. An empty table gives no rows.
@@ -20,6 +20,7 @@ columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,62 +28,86 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolore.llm.common import balanced_buckets, cut, ranked, words_in_blocks
+from chronolore.llm.common import balanced_buckets, cut, ranked
 
-REMEMBERED = 300_000
+#: Words that are tokenized as one text, and what stands between them.
+TOGETHER, MARK = 512, "\x01"
 #: Ranks below 2^RANK_BITS and lengths share a 64-bit key.
 RANK_BITS = 44
 
 
 class WordTokens:
-    """ids of texts as little-endian unsigned 32-bit numbers."""
+    """ids of texts, by their words. The words of a batch are made a dictionary by Arrow, each different word is tokenized once, and the
+    texts' ids are gathered by number."""
 
     def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer), {}
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        for i in range(0, len(new), 4096):
-            for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new[i : i + 4096]], add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        parts = []
-        for words in words_in_blocks(text):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            try:
-                parts.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                self.learn(words)
-                parts.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(parts)
+        self.tokenizer = Tokenizer.from_str(tokenizer)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the words, and where those of each word start and how many they are. Many words make one text for the tokenizer, with a
+        control character between them, which is one id and no part of any word's ids."""
+        lengths = np.zeros(len(words), np.int64)
+        alone = pc.or_(pc.match_substring(words, MARK), pc.equal(words, "")).to_numpy(zero_copy_only=False)
+        plain, ids = np.flatnonzero(~alone), []
+        for i in range(0, len(plain), TOGETHER * 64):
+            at = plain[i : i + TOGETHER * 64]
+            own = words.take(pa.array(at)).to_pylist()
+            for n, found in enumerate(self.encode([f" {MARK} ".join(own[j : j + TOGETHER]) for j in range(0, len(own), TOGETHER)])):
+                cuts = np.flatnonzero(found == self.mark)
+                lengths[at[n * TOGETHER : (n + 1) * TOGETHER]] = np.diff(np.r_[-1, cuts, len(found)]) - 1
+                ids.append(np.delete(found, cuts))
+        marked = np.flatnonzero(alone)
+        for n, found in zip(marked, self.encode(words.take(pa.array(marked)).to_pylist()), strict=True):
+            lengths[n] = len(found)
+            ids.append(found)
+        order = np.r_[plain, marked]
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate(ids) if ids else np.zeros(0, "<u4"), starts, lengths
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """ids of each text (strings without null)."""
+        # The tokenizer takes no account of case, but for special tokens, which are spelt with "<|".
+        folded = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(folded)
+        words = split.flatten().dictionary_encode()
+        ids, starts, lengths = self.look_up(words.dictionary)
+        number, ends = words.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        for a, b in itertools.pairwise(ends):
+            own = number[a:b]
+            n = lengths[own]
+            stops = np.cumsum(n)
+            yield ids[np.repeat(starts[own] - stops + n, n) + np.arange(stops[-1] if len(stops) else 0)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary)."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(shared.value)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.ids(text.as_py() or b"") + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1)), strict=True):
+                ids = np.append(found, np.asarray(end_id, "<u4")).tobytes()
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
