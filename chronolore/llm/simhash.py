@@ -1,12 +1,18 @@
 """SimHash near-duplicates by tiled exact comparison (operator 3).
 
 Fingerprints: A-Z lower-cased, words cut at white space, shingles of shingle_words words joined by one space (repeats count; a shorter text
-is one shingle; no word gives fingerprint 0). Bit b is 1 if set in over half of the shingles' XXH64 values, seed 42.
+is one shingle; no word gives fingerprint 0). Bit b is 1 if set in over half of the shingles' XXH64 values, seed 42. A wide fingerprint
+has further 64-bit parts, made in the same way of the hash values mixed once more for each part.
 
 Links: two fingerprints link if they differ in at most radius bits. Equal fingerprints are joined first, so only different ones are
-compared. The 64 bits are cut into segments; fingerprints within the radius agree in at least segments - radius of them, so each
-fingerprint is dealt to one block per choice of that many segments and every link lies in some block. The number of segments grows
-with the table (5 give 13-bit keys, 8 give 32-bit keys), which keeps blocks within a few tiles without losing a link at any size.
+compared.
+
+Blocks of 64-bit fingerprints lose no link: the bits are cut into segments, fingerprints within the radius agree in at least
+segments - radius of them, so each fingerprint is dealt to one block per choice of that many segments and every link lies in some block.
+The number of segments grows with the table (5 give 13-bit keys, 8 give 32-bit keys), which keeps blocks within a few tiles at any size.
+Wide fingerprints, for similarities far below 1, are dealt by the values of BAND-bit bands drawn over all bits, as many as give a pair at the
+radius a chance of MISSED or less to share none; longer and more bands as the table grows. A pair that shares no block may still
+be joined through others.
 
 Tiles: a block over tile rows is cut into tiles by population count (and by a hash within one count); two tiles are compared only if
 their population counts differ by no more than the radius, as that difference is a lower bound of the distance. A pair of tiles is one
@@ -20,49 +26,66 @@ Repeated rows stay rows. Other columns are ignored. An empty table gives no rows
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolore.llm.common import components, cut, words_in_blocks
 
-SEED = 42
+SEED, BAND, MISSED = 42, 12, 0.05
+#: A different part of a wide fingerprint for each.
+PARTS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def mixed(h: np.ndarray, part: int) -> np.ndarray:
+    """The hash values of one part; those of part 0 are the hashes themselves."""
+    if not part:
+        return h
+    h = (h ^ np.uint64(PARTS[part])) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
 
 
-def fingerprint(text: bytes | None, shingle_words: int) -> int:
-    """The 64-bit fingerprint of one text."""
-    ones, n, digest = np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest
+def fingerprint(text: bytes | None, shingle_words: int, parts: int = 1) -> np.ndarray:
+    """The fingerprint of one text, 64 bits per part."""
+    ones, n, digest = np.zeros((parts, 64), np.int64), 0, xxhash.xxh64_intdigest
     kept: list[bytes] = []
+
+    def add(hashes: np.ndarray) -> None:
+        for part in range(parts):
+            ones[part] += np.unpackbits(mixed(hashes, part).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
     for words in words_in_blocks((text or b"").lower()):
         words = kept + words
         m = len(words) - shingle_words + 1
         if m > 0:
-            hashes = np.fromiter((digest(b" ".join(words[i : i + shingle_words]), SEED) for i in range(m)), np.uint64, m)
-            ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            add(np.fromiter((digest(b" ".join(words[i : i + shingle_words]), SEED) for i in range(m)), np.uint64, m))
             n += m
             words = words[m:]
         kept = words
-    if not n:
-        if not kept:
-            return 0
-        return digest(b" ".join(kept), SEED)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    if not n and kept:
+        add(np.array([digest(b" ".join(kept), SEED)], np.uint64))
+        n = 1
+    return np.packbits(2 * ones > n, axis=1).view(">u8")[:, 0].astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
-    """Rows doc_id, key (a hash of the text) and fp: the fingerprint as a long with the same 64 bits."""
+def fingerprints(docs: DataFrame, shingle_words: int = 4, parts: int = 1) -> DataFrame:
+    """Rows doc_id, key (a hash of the text), bits (array of longs, a part each) and fp: a long that stands for the fingerprint, of one part
+    the 64 bits themselves."""
 
-    @F.pandas_udf("long")
-    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<long>")
+    def bits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in texts:
-            yield pd.Series(np.fromiter((fingerprint(t, shingle_words) for t in text), np.uint64, len(text)).view(np.int64))
+            yield pd.Series([fingerprint(t, shingle_words, parts).view(np.int64) for t in text])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), fp(F.col("text").cast("binary")).alias("fp"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), bits(F.col("text").cast("binary")).alias("bits"))
+    return rows.withColumn("fp", F.col("bits")[0] if parts == 1 else F.xxhash64("bits"))
 
 
 def segments_for(rows: int, radius: int) -> int:
@@ -81,6 +104,26 @@ def segment_masks(segments: int, radius: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(parts, segments - radius)]
 
 
+def band_masks(parts: int, radius: int, rows: int) -> list[list[int]]:
+    """A mask per part for each band. Bands are drawn without repeating a bit as long as there are bits left."""
+    width = 64 * parts
+    length = max(BAND, max(rows, 2).bit_length() - 8)
+    number = math.ceil(math.log(MISSED) / math.log1p(-((1 - radius / width) ** length)))
+    rng = np.random.default_rng(SEED)
+    drawn = np.concatenate([rng.permutation(width) for _ in range(math.ceil(number * length / width) + 1)])
+    out = []
+    for i in range(number):
+        mask = [0] * parts
+        for bit in drawn[i * length : (i + 1) * length].tolist():
+            mask[bit // 64] |= 1 << (bit % 64)
+        out.append(mask)
+    return out
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
     """Edges that join what near (left x right, true for a link) joins. Breadth first over whole rows and columns of the matrix."""
     rows, cols = near.any(axis=1), near.any(axis=0)
@@ -99,59 +142,68 @@ def forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tu
 
 
 def compare(batches: Iterator[pa.RecordBatch], radius: int, tile: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, side, fp) sorted by block: edges (u, v) of each block's pair of tiles. side 0 and 1 are the tiles, alone within itself."""
-
-    def linked(side: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, int]]:
-        a, b = fp[side == 0], fp[side == 1]
-        alone = not len(b)
-        b = a if alone else b
-        pa_, pb = np.bitwise_count(a), np.bitwise_count(b)
-        a, b = a[np.argsort(pa_, kind="stable")], b[np.argsort(pb, kind="stable")]
-        pa_, pb = np.sort(pa_).astype(np.int64), np.sort(pb).astype(np.int64)
+    """Rows (block, side, fp, bits 0, bits 1, ...) sorted by block: edges (u, v) of fp of each block's pair of tiles. side 0 and 1 are the
+    tiles; a block of side 0 alone is compared within itself."""
+
+    def linked(side: np.ndarray, fp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int]]:
+        def tile_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ones = np.bitwise_count(bits[rows]).sum(axis=1, dtype=np.int64)
+            order = np.argsort(ones, kind="stable")
+            return ones[order], fp[rows][order], bits[rows][order]
+
+        alone = not (side == 1).any()
+        ones_a, a, x = tile_of(side == 0)
+        ones_b, b, y = (ones_a, a, x) if alone else tile_of(side == 1)
         # Again in strips: rows of one strip meet only the columns whose population count is near enough.
         near = np.zeros((len(a), len(b)), bool)
         for i in range(0, len(a), 64):
-            lo, hi = np.searchsorted(pb, [pa_[i] - radius, pa_[min(i + 64, len(a)) - 1] + radius + 1])
-            near[i : i + 64, lo:hi] = np.bitwise_count(a[i : i + 64, None] ^ b[None, lo:hi]) <= radius
+            lo, hi = np.searchsorted(ones_b, [ones_a[i] - radius, ones_a[min(i + 64, len(a)) - 1] + radius + 1])
+            far = np.zeros((len(a[i : i + 64]), hi - lo), np.uint16)
+            for part in range(bits.shape[1]):
+                far += np.bitwise_count(x[i : i + 64, part, None] ^ y[None, lo:hi, part])
+            near[i : i + 64, lo:hi] = far <= radius
         if alone:
             np.fill_diagonal(near, False)
         if near.any():
-            yield from forest(near, a.view(np.int64), b.view(np.int64))
+            yield from forest(near, a, b)
 
-    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held: list[tuple[np.ndarray, ...]] = []
+    def blocks() -> Iterator[list[np.ndarray]]:
+        """All columns but the first of each block; a block may go on in the next batch."""
+        held: list[list[np.ndarray]] = []
+        last = None
         for batch in batches:
-            block, side, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            block, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             starts = np.flatnonzero(np.diff(block)) + 1
-            for x in zip(np.split(block, starts), np.split(side, starts), np.split(fp, starts), strict=True):
-                if not len(x[0]):
-                    continue
-                if held and held[0][0][0] != x[0][0]:
-                    yield np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            for first, *parts in zip(np.r_[0, starts] if len(block) else [], *(np.split(c, starts) for c in columns), strict=False):
+                if held and block[first] != last:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
                     held = []
-                held.append(x)
+                last = block[first]
+                held.append(parts)
         if held:
-            yield np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     found: list[tuple[int, int]] = []
     made = lambda: pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
-    for side, fp in blocks():
+    for side, fp, *bits in blocks():
         if len(fp) > 1:
-            found += linked(side, fp.view(np.uint64))
+            found += linked(side, fp, np.stack(bits, axis=1).view(np.uint64))
         if len(found) > 50_000:
             yield made()
             found = []
     yield made()
 
 
-def links(distinct: DataFrame, rows: int, radius: int = 4, tile: int = 4096) -> DataFrame:
-    """Edges (u, v) that join the different fingerprints fp within the radius; rows is their number."""
-    masks = segment_masks(segments_for(rows, radius), radius)
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)])
-    dealt = distinct.select("fp", F.bit_count("fp").alias("ones"), F.explode(keys).alias("key"))
+def links(distinct: DataFrame, rows: int, radius: int = 4, tile: int = 4096, parts: int = 1) -> DataFrame:
+    """Edges (u, v) that join the different fingerprints (fp, bits) within the radius; rows is their number."""
+    masks = [[m] for m in segment_masks(segments_for(rows, radius), radius)] if parts == 1 else band_masks(parts, radius, rows)
+    masked: list[list[Column]] = [[F.col("bits")[part].bitwiseAND(F.lit(signed(m))) for part, m in enumerate(mask) if m] for mask in masks]
+    keys = F.array(*[F.xxhash64(F.lit(i), *columns) for i, columns in enumerate(masked)])
+    ones = sum((F.bit_count(F.col("bits")[part]) for part in range(parts)), F.lit(0))
+    dealt = distinct.select("fp", "bits", ones.cast("int").alias("ones"), F.explode(keys).alias("key"))
     counts = dealt.groupBy("key", "ones").agg(F.count(F.lit(1)).alias("n"))
     cells = F.array_sort(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))))
-    # Blocks over a tile, with their at most 65 population counts and the tiles of each.
+    # Blocks over a tile, with their population counts (at most one more than there are bits) and the tiles of each.
     large = counts.groupBy("key").agg(F.sum("n").alias("n"), cells.alias("cells")).where(F.col("n") > tile).select("key", "cells")
     met = dealt.join(large, "key", "left")
     own = F.filter("cells", lambda c: c["ones"] == F.col("ones"))[0]["tiles"]
@@ -160,26 +212,35 @@ def links(distinct: DataFrame, rows: int, radius: int = 4, tile: int = 4096) ->
     here = F.struct(F.col("ones").alias("ones"), F.col("no").alias("no"))
     tiled = met.where("cells IS NOT NULL").withColumn("no", tile_no).withColumn("other", F.explode(others))
     pair = F.xxhash64("key", F.least(here, F.col("other"))["ones"], F.least(here, F.col("other"))["no"], F.greatest(here, F.col("other"))["ones"], F.greatest(here, F.col("other"))["no"])
-    tiled = tiled.select(pair.alias("block"), F.when(F.col("other") < here, 1).otherwise(0).alias("side"), "fp")
-    plain = met.where("cells IS NULL").select(F.col("key").alias("block"), F.lit(0).alias("side"), "fp")
-    laid = plain.unionByName(tiled).repartition("block").sortWithinPartitions("block")
+    tiled = tiled.select(pair.alias("block"), F.when(F.col("other") < here, 1).otherwise(0).alias("side"), "fp", "bits")
+    plain = met.where("cells IS NULL").select(F.col("key").alias("block"), F.lit(0).alias("side"), "fp", "bits")
+    flat = plain.unionByName(tiled).select("block", "side", "fp", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)])
+    laid = flat.repartition("block").sortWithinPartitions("block")
     return laid.mapInArrow(lambda batches: compare(batches, radius, tile), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, tile: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, tile: int = 4096, parts: int = 1) -> DataFrame:
     """One row per document: doc_id, key, fp, label (a number of its component) and component_id, the least doc_id reachable over links."""
-    marked = cut(fingerprints(docs, shingle_words))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = components(links(distinct.select("fp"), distinct.count(), radius, tile))
+    marked = cut(fingerprints(docs, shingle_words, parts))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")))
+    label = components(links(distinct.select("fp", "bits"), distinct.count(), radius, tile, parts))
     rooted = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "label", "component_id")
-    return marked.join(named, "fp").select("doc_id", "key", "fp", "label", "component_id")
+    return marked.drop("bits").join(named, "fp").select("doc_id", "key", "fp", "label", "component_id")
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """The distance at which two sets of this Jaccard similarity lie on average, and one standard deviation more."""
+    common = 2 * similarity / (1 + similarity)
+    share = math.acos(common) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
-def one_of_each(docs: DataFrame, shingle_words: int = 5, radius: int = 4) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id. The texts are shuffled once, by doc_id and key; rows of one
-    component that share the least doc_id (repeated rows, null ids) are found first, and only if there are any is a second pass made."""
-    found = cut(near_duplicates(docs, shingle_words, radius))
+def one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
+    """docs with one row of each component of texts whose shingles are alike (similarity, as far as wide fingerprints tell): that of the
+    least doc_id. The texts are shuffled once, by doc_id and key; rows of one component that share the least doc_id (repeated rows, null
+    ids) are found first, and only if there are any is a second pass made."""
+    found = cut(near_duplicates(docs, shingle_words, radius_of(similarity, 64 * parts), parts=parts))
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = found.where(~least).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
     keyed = docs.withColumn("_key", F.xxhash64("text"))

@@ -175,7 +175,7 @@ def test_simhash(spark, traps, tile):
 
 def test_simhash_of_a_long_text_in_blocks():
     text = next(t for _, t, *_ in documents() if t and len(t) > 50_000) * 10
-    assert simhash.fingerprint(text.encode(), 4) == plain_fingerprint(text, 4)
+    assert int(simhash.fingerprint(text.encode(), 4)[0]) == plain_fingerprint(text, 4)
 
 
 @pytest.mark.parametrize(("segments", "radius", "tile"), [(5, 4, 7), (6, 4, 50), (8, 4, 1000), (7, 6, 16)])
@@ -185,7 +185,7 @@ def test_links_lose_none(spark, monkeypatch, segments, radius, tile):
     flips = np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 9), replace=False)) for _ in range(400)], dtype=np.int64)
     fps = np.unique(base[rng.integers(0, 40, 400)] ^ flips)
     monkeypatch.setattr(simhash, "segments_for", lambda *_: segments)
-    df = spark.createDataFrame(pd.DataFrame({"fp": fps}))
+    df = spark.createDataFrame(pd.DataFrame({"fp": fps})).selectExpr("fp", "array(fp) AS bits")
     edges = [tuple(e) for e in simhash.links(df, len(fps), radius, tile).collect()]
     label = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     roots = plain_components([int(f) for f in fps], radius)
@@ -193,6 +193,46 @@ def test_links_lose_none(spark, monkeypatch, segments, radius, tile):
     assert len(set(zip(got, roots, strict=True))) == len(set(got)) == len(set(roots))
 
 
+def test_wide_links(spark):
+    """Pairs at the radius are found but for MISSED of them; nothing beyond it is linked."""
+    rng = np.random.default_rng(9)
+    radius = simhash.radius_of(0.8, 256)
+    bits = rng.integers(0, 256, (600, 32), dtype=np.uint8)
+    for i in range(0, 600, 2):
+        mask = np.zeros(256, np.uint8)
+        mask[rng.choice(256, radius + (i % 4 > 0) * 15, replace=False)] = 1
+        bits[i + 1] = bits[i] ^ np.packbits(mask)
+    rows = [(i, [int(x) for x in b.view(np.int64)]) for i, b in enumerate(bits)]
+    edges = [tuple(e) for e in simhash.links(spark.createDataFrame(rows, "fp long, bits array<long>"), 600, radius, 50, 4).collect()]
+    found = {(min(e), max(e)) for e in edges}
+    assert found <= {(i, i + 1) for i in range(0, 600, 4)} and len(found) >= 0.9 * 150
+
+
+def plain_similarity(a, b):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_one_of_each(spark):
+    """Copies with few words changed go; what shares a third of its words stays."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts, near = [], set()
+    for i in range(60):
+        base = [word() for _ in range(240)]
+        copy = [word() if rng.random() < 1 / 80 else w for w in base]
+        texts += [base, copy, base[:80] + [word() for _ in range(160)]]
+        if plain_similarity(" ".join(base), " ".join(copy)) >= 0.85:
+            near.add(3 * i + 1)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(df).collect()}
+    assert {i for i in range(180) if i % 3 != 1} <= kept and not near & kept and len(near) > 30
+
+
 # 4
 
 

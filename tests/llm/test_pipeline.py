@@ -5,9 +5,9 @@ from collections import Counter
 
 import corpus_pipeline
 from conftest import SF
-from test_operators import plain_components, plain_fingerprint, plain_repeats
+from test_operators import plain_components, plain_repeats
 
-from chronolore.llm import toxicity
+from chronolore.llm import simhash, toxicity
 
 
 def stages(spark, docs):
@@ -29,7 +29,8 @@ def test_stages(spark, traps):
         assert Counter(texts(clean)) == Counter(x for x in texts(raw) if model.score((x[1] or "").encode()) < 0.5)
 
         rows = texts(clean)
-        roots = plain_components([plain_fingerprint(t, 5) for _, t in rows], 4)
+        wide = [int.from_bytes(simhash.fingerprint((t or "").encode(), 5, 4).tobytes()) for _, t in rows]
+        roots = plain_components(wide, simhash.radius_of(0.8, 256))
         groups = {}
         for row, root in zip(rows, roots, strict=True):
             groups.setdefault(root, []).append(row)
