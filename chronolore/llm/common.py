@@ -1,32 +1,22 @@
-"""What several operators share: words, ranks without a hot task, connected components, lineage cuts."""
+"""What several operators share: words, ranks without a hot task, and the lineage cuts and components of the engine."""
 
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolore.lineage import components, cut, ensure_checkpoint_dir
+
+__all__ = ["BLANKS", "WORD", "balanced_buckets", "components", "cut", "ensure_checkpoint_dir", "ranked", "words_in_blocks"]
+
 #: A word is a longest run of characters other than space and the controls 9 to 13; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir is used; only where it is unset (tests, a laptop) a temporary folder is made."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronolore-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder: later reads survive the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words_in_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a text in order, as lists that cover about size bytes each, so a huge text never becomes one huge list."""
     if len(text) <= size:
@@ -57,24 +47,3 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], spread: list[Co
     base = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     return tagged.withColumn("_local", local).join(base, keys).withColumn(name, (F.col("_base") + F.col("_local")).cast("long")).drop("_bucket", "_local", "_base")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges (u, v: long): rows (node, label), label the component's least node.
-
-    Alternates two star contractions until the edges stop changing; each round is a few shuffles of the edges alone, ends in a
-    checkpoint, and the number of rounds grows with the logarithm of the longest path. Loops and repeated edges do no harm.
-    """
-    now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct())
-    seen = None
-    while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
-            return now.select(F.col("x").alias("node"), F.col("y").alias("label")).union(now.select("y", "y")).distinct()
-        seen = mark
-        both = now.union(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        root = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(root, "x").where("y != m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        now = cut(small.union(root.select("x", "m")).distinct())
