@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolore.catalog import EVENT_FACTS_SQL, HELD, VERSIONS_SQL, Catalog, event_facts, table
 from chronolore.functions.dates import as_of
+from chronolore.lineage import ensure_checkpoint_dir
 from chronolore.operators import acl, stats, supersede, temporal, validate
 from chronolore.sources.episodes import render
+from chronolore.streaming import versions as stream_versions
 
 query = Catalog()
 
@@ -228,3 +232,26 @@ def rendered_episodes(spark: SparkSession, d: str) -> DataFrame:
     said = turns.select(F.col("conv_id").alias("episode_id"), F.col("turn").cast("int").alias("ordinal"), F.col("role").alias("speaker"), F.timestamp_seconds(F.unix_seconds(start) + F.col("turn") * 60).alias("at"), "text")
     heads = turns.select(F.col("conv_id").alias("episode_id")).distinct().select("episode_id", F.concat(F.lit("conversation "), F.col("episode_id").cast("string")).alias("title"), F.lit("X").alias("kind"), start.alias("occurred_at"))
     return render(heads, said).select("episode_id", F.md5("rendered").alias("rendered_md5"))
+
+
+@query(f"""WITH {VERSIONS_SQL} SELECT user_id || '/' || type AS key, CAST(fact_id AS VARCHAR) AS fact_id, valid_from, valid_to, CAST(next_id AS VARCHAR) AS superseded_by, false AS late FROM v WHERE valid_to IS NOT NULL""")
+def stream_closures(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream: each fact closes the one before it of its user and type. What the stream tells is written to the checkpoint
+    folder and read back when the input is used up."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream takes one file only so
+    facts = event_facts(source).select(F.concat_ws("/", "user_id", "type").alias("key"), F.col("fact_id").cast("string").alias("fact_id"), F.col("occurred_at").cast("timestamp").alias("at"))
+    told = stream_versions.closures(facts).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    told.awaitTermination()
+    return spark.read.schema(stream_versions.CLOSURES).parquet(f"{folder}/out")
+
+
+@query(f"""WITH {VERSIONS_SQL}, s AS (SELECT type, valid_to IS NULL AS current, value FROM v)
+    SELECT coalesce(type, 'all') AS type, CASE WHEN grouping(current) = 1 THEN 'all' WHEN current THEN 'current' ELSE 'closed' END AS state, count(*) AS n, round(sum(value), 2) AS value FROM s GROUP BY CUBE (type, current)""")
+def fact_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and values by type and state, with all their totals."""
+    rows = versions(spark, d).select("type", temporal.current().alias("current"), "value")
+    state = F.when(F.grouping("current") == 1, "all").when(F.col("current"), "current").otherwise("closed")
+    cubed = rows.cube("type", "current").agg(state.alias("state"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    return cubed.select(F.coalesce("type", F.lit("all")).alias("type"), "state", "n", "value")
