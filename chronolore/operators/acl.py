@@ -35,7 +35,7 @@ def inherit(sources: DataFrame, key: list[str], acl: str = "acl_grants", visibil
     """
     rank = F.max(visibility_rank(F.col(visibility)))
     stop = F.raise_error(F.lit("nothing derives from no source")).cast("int")
-    grants = F.array_sort(F.array_distinct(F.flatten(F.collect_list(acl))))
+    grants = F.array_sort(F.array_distinct(F.flatten(F.collect_set(acl))))  # of different containers, not of all sources
     merged = sources.groupBy(*key).agg(grants.alias("acl_grants"), rank.alias("_rank"), F.count(visibility).cast("int").alias("n_sources"))
     named = F.element_at(F.array(*[F.lit(v) for v in VISIBILITIES]), F.when(F.col("n_sources") > 0, F.col("_rank")).otherwise(stop))
     return merged.select(*key, "acl_grants", named.alias("visibility"), "n_sources")

@@ -46,9 +46,16 @@ def _speaker(rows: DataFrame, method: Column, rationale: Column) -> DataFrame:
     return rows.select("episode_id", "system", "raw_id", "label", "person_id", method.alias("method"), rationale.alias("rationale"))
 
 
-def prefixes(names: DataFrame) -> DataFrame:
-    """person_id, prefix: all beginnings of all names, so that a prefix is found by equality."""
-    return names.select("person_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("prefix")).distinct()
+def beginnings(names: DataFrame, key: list[str]) -> DataFrame:
+    """Per key and beginning of a name: n_exact and exact (how many people have exactly that name, and the least of them), n_start and start
+    (how many have a name that begins so). Names are short, so all their beginnings are made rows and a prefix is found by equality;
+    people are only counted, never gathered."""
+    whole = F.length("name")
+    parts = names.select(*key, "person_id", "name", F.explode(F.sequence(F.lit(1), whole)).alias("_n"))
+    marked = parts.groupBy(*key, F.expr("substring(name, 1, _n)").alias("_norm"), "person_id").agg(F.max(F.col("_n") == whole).alias("_whole"))
+    return marked.groupBy(*key, "_norm").agg(
+        F.count_if("_whole").alias("n_exact"), F.min(F.when(F.col("_whole"), F.col("person_id"))).alias("exact"), F.count(F.lit(1)).alias("n_start"), F.min("person_id").alias("start")
+    )
 
 
 def mentions(rows: DataFrame, directory: Directory, speaker_rows: DataFrame) -> DataFrame:
@@ -61,30 +68,27 @@ def mentions(rows: DataFrame, directory: Directory, speaker_rows: DataFrame) ->
     cleaned = strip(F.col("mention"))
     asked = rows.withColumn("cleaned", cleaned).withColumn("_norm", normalise_name(cleaned)).withColumn("_lower", F.lower(cleaned))
     resolved = speaker_rows.where("person_id IS NOT NULL")
-    present = resolved.groupBy("episode_id").agg(F.collect_set("person_id").alias("_present"))
     emails = people.where(~is_blank(F.col("email"))).groupBy(F.lower("email").alias("_lower")).agg(F.min("person_id").alias("_email"))
     labels = resolved.groupBy("episode_id", F.lower("label").alias("_lower")).agg(F.min(F.struct("person_id", "method", "rationale")).alias("_label"))
-    exact = names.groupBy(F.col("name").alias("_norm")).agg(F.collect_set("person_id").alias("_exact"))
-    wanted = asked.select("_norm").where("_norm <> ''").distinct()
-    start = prefixes(names).withColumnRenamed("prefix", "_norm").join(wanted, "_norm", "left_semi").groupBy("_norm").agg(F.collect_set("person_id").alias("_starts"))
-    none = F.array().cast("array<string>")
-    found = asked.join(emails, "_lower", "left").join(labels, ["episode_id", "_lower"], "left").join(exact, "_norm", "left").join(start, "_norm", "left").join(present, "episode_id", "left")
-    found = found.withColumns({c: F.coalesce(c, none) for c in ("_exact", "_starts", "_present")})
-    here, starts_here = F.array_intersect("_exact", "_present"), F.array_intersect("_starts", "_present")
-    one = lambda who, method, why: F.struct(who.alias("person_id"), F.lit(method).alias("method"), why.alias("rationale"))
-    nobody = lambda why: one(F.lit(None).cast("string"), "UNRESOLVED", why)
-    n_exact, n_start = F.size("_exact"), F.size("_starts")
+    known = beginnings(names, [])
+    present = beginnings(resolved.select("episode_id", "person_id").distinct().join(names, "person_id"), ["episode_id"])
+    here = present.select("episode_id", "_norm", F.col("n_exact").alias("n_exact_here"), F.col("exact").alias("exact_here"), F.col("n_start").alias("n_start_here"), F.col("start").alias("start_here"))
+    found = asked.join(emails, "_lower", "left").join(labels, ["episode_id", "_lower"], "left").join(known, "_norm", "left").join(here, ["episode_id", "_norm"], "left")
+    found = found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_exact", "n_start", "n_exact_here", "n_start_here")})
+    one = lambda who, method, why: F.struct(F.col(who).alias("person_id"), F.lit(method).alias("method"), why.alias("rationale"))
+    nobody = lambda why: F.struct(F.lit(None).cast("string").alias("person_id"), F.lit("UNRESOLVED").alias("method"), why.alias("rationale"))
+    c = F.col
     outcome = (
-        F.when(is_blank(F.col("mention")), nobody(F.lit("empty mention")))
-        .when(F.contains("cleaned", F.lit("@")) & F.contains("cleaned", F.lit(".")) & F.col("_email").isNotNull(), one(F.col("_email"), "EMAIL", F.lit("same e-mail")))
-        .when(F.col("_label").isNotNull(), F.struct("_label.person_id", "_label.method", "_label.rationale"))
-        .when(n_exact == 1, one(F.col("_exact")[0], "EXACT_NAME", F.lit("the only one of this name")))
-        .when((n_exact > 1) & (F.size(here) == 1), one(F.get(here, F.lit(0)), "UNIQUE_IN_EPISODE", F.format_string("%d people have this name; one of them is present", n_exact)))
-        .when(n_exact > 1, nobody(F.format_string("%d people have this name and the episode does not tell which", n_exact)))
-        .when(F.size(starts_here) == 1, one(F.get(starts_here, F.lit(0)), "UNIQUE_IN_EPISODE", F.format_string("%d people match; one of them is present", n_start)))
-        .when(n_start == 1, one(F.get("_starts", F.lit(0)), "EXACT_NAME", F.lit("the only name that starts so")))
-        .when(n_start == 0, nobody(F.lit("nobody in the directory has this name")))
-        .otherwise(nobody(F.format_string("%d people match and none is the only one present", n_start)))
+        F.when(is_blank(c("mention")), nobody(F.lit("empty mention")))
+        .when(F.contains("cleaned", F.lit("@")) & F.contains("cleaned", F.lit(".")) & c("_email").isNotNull(), one("_email", "EMAIL", F.lit("same e-mail")))
+        .when(c("_label").isNotNull(), F.struct("_label.person_id", "_label.method", "_label.rationale"))
+        .when(c("n_exact") == 1, one("exact", "EXACT_NAME", F.lit("the only one of this name")))
+        .when((c("n_exact") > 1) & (c("n_exact_here") == 1), one("exact_here", "UNIQUE_IN_EPISODE", F.format_string("%d people have this name; one of them is present", "n_exact")))
+        .when(c("n_exact") > 1, nobody(F.format_string("%d people have this name and the episode does not tell which", "n_exact")))
+        .when(c("n_start_here") == 1, one("start_here", "UNIQUE_IN_EPISODE", F.format_string("%d people match; one of them is present", "n_start")))
+        .when(c("n_start") == 1, one("start", "EXACT_NAME", F.lit("the only name that starts so")))
+        .when(c("n_start") == 0, nobody(F.lit("nobody in the directory has this name")))
+        .otherwise(nobody(F.format_string("%d people match and none is the only one present", "n_start")))
     )
     out = found.withColumn("_o", outcome).select(*rows.columns, "cleaned", "_o.*")
     return out.withColumn("confidence", confidence(F.col("method")))

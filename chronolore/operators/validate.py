@@ -59,9 +59,9 @@ def locate(quotes: DataFrame, utterances: DataFrame) -> DataFrame:
     null). One equality join by episode; containment is tested inside it. A quote under SHORTEST_QUOTE characters is nowhere."""
     said = utterances.select("episode_id", F.col("ordinal").alias("_said"), normalise(F.col("text")).alias("_text"))
     wanted = quotes.withColumn("_span", normalise(F.col("span")))
-    hits = wanted.select("quote_id", "episode_id", "_span").join(said, "episode_id").where((F.length("_span") >= SHORTEST_QUOTE) & F.contains(F.col("_text"), F.col("_span")))
-    places = hits.groupBy("quote_id").agg(F.min("_said").alias("found"), F.collect_set("_said").alias("_all"))
-    return wanted.join(places, "quote_id", "left").withColumn("at_cited", F.coalesce(F.array_contains("_all", F.col("ordinal")), F.lit(False))).drop("_span", "_all")
+    hits = wanted.select("quote_id", "episode_id", "ordinal", "_span").join(said, "episode_id").where((F.length("_span") >= SHORTEST_QUOTE) & F.contains(F.col("_text"), F.col("_span")))
+    places = hits.groupBy("quote_id").agg(F.min("_said").alias("found"), F.max(F.col("_said") == F.col("ordinal")).alias("at_cited"))
+    return wanted.join(places, "quote_id", "left").withColumn("at_cited", F.coalesce("at_cited", F.lit(False))).drop("_span")
 
 
 def quotes_of(facts: DataFrame) -> DataFrame:
