@@ -305,3 +305,9 @@ def topic_notes(spark: SparkSession, d: str) -> DataFrame:
     marked = F.count_if(F.col("toxic") == 1)
     out = rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("lang").alias("languages"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("names"), marked.alias("marked"))
     return out.withColumn("share", ratio(F.col("marked"), F.col("documents"), 0.0))
+
+
+@query("""SELECT count(*) AS n, count(DISTINCT props) AS different, (count(*) - count(DISTINCT props)) / count(*)::DOUBLE AS hit_rate FROM events""")
+def embedding_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts need no vector of their own."""
+    return stats.reuse(table(spark, d, "events"), "props")

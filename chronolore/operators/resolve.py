@@ -16,6 +16,11 @@ from chronolore.sources.directory import Directory
 Adjudicator = Callable[[DataFrame], DataFrame]
 
 
+def self_identifying(system: Column) -> Column:
+    """Whether a source names its speakers by handles of its own."""
+    return system.isin("SLACK", "NOTION")
+
+
 def confidence(method: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in schemas.METHOD_CONFIDENCE.items() for x in pair])[method]
 

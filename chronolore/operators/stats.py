@@ -55,3 +55,9 @@ def load_report(frames: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         one = one.join(p.withColumn("_k", F.lit(1)), "_k")
     return one.drop("_k")
+
+
+def reuse(rows: DataFrame, text: str) -> DataFrame:
+    """One row: n, different, hit_rate: the share of texts that a cache of all different ones answers (0 of nothing)."""
+    total = rows.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(text).alias("different"))
+    return total.withColumn("hit_rate", ratio(F.col("n") - F.col("different"), F.col("n"), 0.0))

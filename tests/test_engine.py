@@ -9,7 +9,8 @@ from chronolore import schemas
 from chronolore.functions.dates import as_of
 from chronolore.operators import export, graph, models, render, scoring, search, stats, supersede, temporal, validate
 from chronolore.operators.acl import readable
-from chronolore.plans import ask, load
+from chronolore.__main__ import main
+from chronolore.plans import ask, evaluate, load
 from chronolore.streaming import versions
 
 
@@ -329,6 +330,25 @@ def test_notes(spark, tables, tmp_path):
     assert "revised 2 time(s)" in export.index_note("All", {"Facts": 5}, [("c", ["b", "a"])])
 
 
+def test_evaluation_and_command_line(spark, tables, tmp_path, capsys):
+    questions = spark.createDataFrame(
+        [("Q1", "When does the podcast launch?", ["slack:C2"], "the podcast launches on June 1.", ["F1"], [], [], ""), ("Q2", "podcast launch", [], "x", [], [], [], "")],
+        "id string, question string, principal array<string>, expected string, expected_facts array<string>, must_not_say array<string>, must_not_lead_with array<string>, trap string",
+    )
+    graded = evaluate.grade_questions(tables, questions)
+    assert {r["id"]: r["verdict"] for r in graded.collect()}["Q2"] == "FORBIDDEN" and evaluate.exit_code(graded) == 1
+    run_fact = ("DECISION", "the podcast launches on May 4.", None, [], "2026-02-11", None, "AGREED", [], [("e", 0, "q")], 0.9)
+    run = spark.createDataFrame([("e", [run_fact], [(run_fact, [("REJECT", "evidence.verbatimSpan", "ungrounded")])], [], "p", "PT1S", 1, 1)], schemas.RUN)
+    gold = spark.createDataFrame([("F1", "DECISION", "the podcast launches on May 4", ["e"]), ("F2", "RISK", "nothing like it", ["e"])], "id string, type string, statement string, sources array<string>")
+    total = evaluate.score_run(run, gold)["total"].first()
+    assert (total["gold"], total["strict_recall"], total["grounding_reject_rate"]) == (2, 0.5, 0.5)
+    root = write_corpus(tmp_path / "corpus")
+    assert main(["load", "--graph", f"{tmp_path}/graph", "--corpus", root]) == 0
+    assert main(["ask", "--graph", f"{tmp_path}/graph", "When", "does", "the", "podcast", "launch?"]) == 0
+    assert main(["doctor", "--graph", f"{tmp_path}/graph"]) == 0
+    assert "[1]" in capsys.readouterr().out
+
+
 def test_stream(spark, tmp_path):
     rows = [("k", "a", day("2026-01-01")), ("k", "b", day("2026-02-01")), ("q", "c", day("2026-01-01"))]
     late = [("k", "d", day("2026-01-15")), ("k", "e", day("2026-03-01"))]
