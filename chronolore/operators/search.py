@@ -5,18 +5,21 @@ Access and as-of are filters before any ranking, so a limit never runs short for
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolore.functions.text import keywords
-from chronolore.functions.vectors import dot, unit
 from chronolore.lineage import cut
 
 # Fixed values.
 RRF_K, SEEDS, FINAL, PER_EPISODE, HISTORY_DEPTH = 60, 40, 8, 3, 5
 K1, B = 1.2, 0.75
+#: Query vectors that one pass carries along.
+MOST_QUERIES = 1024
 
 
 def top(rows: DataFrame, query: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -24,23 +27,44 @@ def top(rows: DataFrame, query: list[str], order: list[Column], k: int, rank: st
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*query).orderBy(*order)).cast("int")).where(F.col(rank) <= k)
 
 
+def nearest(rows: DataFrame, queries: dict[int, list[float]], k: int, id_col: str, own: bool) -> DataFrame:
+    """query_id, id, score: for each Arrow batch of rows the k greatest cosines (rounded to six places) for each query, ties by id; without own, a
+    row is no answer to the query of its own id. The queries are a stated set, sent along; scores are one matrix product per batch, and
+    only k rows per batch and query leave it."""
+    if len(queries) > MOST_QUERIES:
+        raise ValueError(f"at most {MOST_QUERIES} query vectors; call again for others")
+    numbers = np.array(list(queries), np.int64)
+    asked = np.array([list(map(float, v)) for v in queries.values()], np.float64).reshape(len(queries), -1)
+    asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array(batch.column(0).to_pylist())
+            vectors = [np.asarray(v, np.float64)[: asked.shape[1]] for v in batch.column(1).to_pylist()]
+            x = np.stack([np.pad(v, (0, asked.shape[1] - len(v))) for v in vectors]) if vectors else np.zeros((0, asked.shape[1]))
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            scores, best = np.round(x @ asked.T, 6) + 0.0, []
+            for j, number in enumerate(numbers):
+                at = np.arange(len(ids)) if own else np.flatnonzero(ids != number)
+                if len(at) > k:
+                    at = at[scores[at, j] >= np.partition(scores[at, j], len(at) - k)[len(at) - k]]
+                at = at[np.lexsort((ids[at], -scores[at, j]))[:k]]
+                best.append((np.full(len(at), number), at, scores[at, j]))
+            number, at, score = (np.concatenate(b) for b in zip(*best, strict=True)) if best else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(score, pa.float64())], names=["query_id", id_col, "score"])
+
+    vectors = rows.where(F.col("embedding").isNotNull()).select(id_col, "embedding")
+    return vectors.mapInArrow(run, f"query_id long, {id_col} {rows.schema[id_col].dataType.simpleString()}, score double")
+
+
 def vector_top(facts: DataFrame, vector: list[float], k: int = SEEDS, id_col: str = "fact_id") -> DataFrame:
-    """id, score, rank: the k facts of greatest cosine; ties by id. One pass and one top-k."""
-    size = math.sqrt(sum(float(x) ** 2 for x in vector)) or 1.0
-    question = F.array(*[F.lit(float(x) / size) for x in vector])
-    scored = facts.where(F.col("embedding").isNotNull()).select(id_col, F.round(dot(unit(F.col("embedding")), question), 6).alias("score"))
-    best = scored.orderBy(F.desc("score"), id_col).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)).cast("int"))
+    """id, score, rank: the k facts of greatest cosine; ties by id."""
+    return top(nearest(facts, {0: vector}, k, id_col, True), ["query_id"], [F.desc("score"), F.col(id_col)], k).drop("query_id")
 
 
 def vector_top_many(rows: DataFrame, queries: dict[int, list[float]], k: int, id_col: str) -> DataFrame:
-    """query_id, id, score, rank for a stated set of query vectors, at most 1024, carried along as a literal: one pass for all of them."""
-    if len(queries) > 1024:
-        raise ValueError("at most 1024 query vectors; call again for others")
-    sizes = {q: math.sqrt(sum(float(x) ** 2 for x in v)) or 1.0 for q, v in queries.items()}
-    asked = F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), F.array(*[F.lit(float(x) / sizes[q]) for x in v]).alias("q")) for q, v in queries.items()])
-    scored = rows.select(id_col, unit(F.col("embedding")).alias("v"), F.explode(asked).alias("a")).where(F.col("a.query_id") != F.col(id_col))
-    return top(scored.select("a.query_id", id_col, F.round(dot(F.col("v"), F.col("a.q")), 6).alias("score")), ["query_id"], [F.desc("score"), F.col(id_col)], k)
+    """query_id, id, score, rank for a stated set of query vectors (their ids are of the kind of id_col)."""
+    return top(nearest(rows, queries, k, id_col, False), ["query_id"], [F.desc("score"), F.col(id_col)], k)
 
 
 def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
