@@ -79,7 +79,7 @@ def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
 
 def tokens(c: Column) -> Column:
     """All words of a text, lower case, repeats included."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def term_frequencies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
