@@ -69,8 +69,7 @@ FUSED_SQL = f"""{BM25_SQL}, {VECTOR_SEED_SQL},
 def fused(spark: SparkSession, d: str) -> DataFrame:
     rows, words = table(spark, d, "embeddings"), search.bm25_top(table(spark, d, "documents").select("doc_id", "text"), asked(spark, d), search.SEEDS, "doc_id", "text")
     items = rows.join(asked(spark, d).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
-    picked = {r["vec_id"]: list(r["embedding"]) for r in items.orderBy("vec_id").limit(1024).collect()}
-    near = search.vector_top_many(rows, picked, search.SEEDS, "vec_id").withColumnRenamed("vec_id", "doc_id")
+    near = search.vector_top_all(rows, items, search.SEEDS, "vec_id").withColumnRenamed("vec_id", "doc_id")
     return search.fuse(words.select("query_id", "doc_id", "rank").unionByName(near.select("query_id", "doc_id", "rank")), ["query_id"], "doc_id")
 
 
