@@ -54,8 +54,18 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest vectors of a stated set of queries, every 25th vector."""
     rows = table(spark, d, "embeddings")
-    picked = {r["vec_id"]: list(r["embedding"]) for r in rows.where("vec_id % 25 = 0").orderBy("vec_id").limit(1024).collect()}
-    return search.vector_top_many(rows, picked, 10, "vec_id").select("query_id", "vec_id", "score", "rank")
+    return search.vector_top_all(rows, rows.where("vec_id % 25 = 0"), 10, "vec_id").select("query_id", "vec_id", "score", "rank")
+
+
+@query("""
+    WITH s AS (
+        SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id
+    ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+    SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
+def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """Ten nearest vectors of every vector."""
+    rows = table(spark, d, "embeddings")
+    return search.vector_top_all(rows, rows, 10, "vec_id").select("query_id", "vec_id", "score", "rank")
 
 
 VECTOR_SEED_SQL = """

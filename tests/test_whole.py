@@ -41,3 +41,8 @@ def many(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["rrf_fuse", "hybrid_search"])
 def test_every_question_has_neighbours(spark, many, name):
     assert len({r["query_id"] for r in same_as_sql(spark, many, name)}) == 1100
+
+
+@pytest.mark.parametrize("name", ["vector_topk", "vector_topk_all"])
+def test_every_vector_is_asked(spark, many, name):
+    assert len({r["query_id"] for r in same_as_sql(spark, many, name)}) == 1100
