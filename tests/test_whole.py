@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -43,6 +44,15 @@ def test_every_question_has_neighbours(spark, many, name):
     assert len({r["query_id"] for r in same_as_sql(spark, many, name)}) == 1100
 
 
+SF = Path("/root/testdata/sf0.001")
+
+
+def test_every_readable_event_has_a_chain(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    seeds = {r["seed"] for r in registry.QUERIES["chain_trace_all"](spark, str(SF)).select("seed").distinct().collect()}
+    assert seeds == {r["event_id"] for r in events.where("event_id % 5 > 0").collect()}
+
+
 @pytest.mark.parametrize("name", ["vector_topk", "vector_topk_all"])
 def test_every_vector_is_asked(spark, many, name):
     assert len({r["query_id"] for r in same_as_sql(spark, many, name)}) == 1100
