@@ -161,6 +161,17 @@ def currency_resolution(spark: SparkSession, d: str) -> DataFrame:
     return graph.currency(supersedes(spark, d), facts.where("fact_id % 20 = 1").select(F.col("fact_id").alias("seed")), facts, [])
 
 
+@query(f"""WITH {RUNS_SQL}
+    SELECT fact_id AS seed, fact_id FROM g UNION
+    SELECT a.fact_id, b.fact_id FROM g a JOIN g b ON a.user_id = b.user_id AND a.type = b.type AND a.run = b.run AND NOT a.hidden AND NOT b.hidden AND b.valid_to IS NULL AND b.place - a.place BETWEEN 1 AND 5""")
+def currency_resolution_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every fact with the current facts it leads to, itself among them."""
+    from chronolore.catalog.facts import versions
+
+    facts = versions(spark, d)
+    return graph.currency_by_seed(supersedes(spark, d), facts.select(F.col("fact_id").alias("seed")), facts, [])
+
+
 @query(f"""WITH {VERSIONS_SQL}, t AS (SELECT user_id, type, least(count(*) - 1, 10) AS length, max_by(fact_id, place) AS head FROM v GROUP BY ALL HAVING count(*) > 1)
     SELECT head, CAST(length AS INT) AS length FROM t ORDER BY length DESC, head LIMIT 5""")
 def longest_chains(spark: SparkSession, d: str) -> DataFrame:

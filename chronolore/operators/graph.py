@@ -49,15 +49,20 @@ def chains(supersedes: DataFrame, seeds: DataFrame, allowed: DataFrame, hops: in
     return older.unionByName(newer).distinct()
 
 
-def currency(supersedes: DataFrame, seeds: DataFrame, facts: DataFrame, grants: list[str], compat: bool = False) -> DataFrame:
-    """seeds (seed) and the current readable facts that replaced the stale ones within five steps: rows fact_id, distinct. compat walks
-    through unreadable facts and tests only where the walk ends, as the engine this follows did."""
+def currency_by_seed(supersedes: DataFrame, seeds: DataFrame, facts: DataFrame, grants: list[str], compat: bool = False) -> DataFrame:
+    """Each seed (seed) itself and, of a stale one, the current readable facts that replaced it within five steps: rows seed, fact_id, distinct.
+    compat walks through unreadable facts and tests only where the walk ends, as the engine this follows did."""
     open_facts = facts.where(readable(F.col("acl_grants"), grants))
     allowed = (facts if compat else open_facts).select(F.col("fact_id").alias("node"))
     stale = seeds.join(facts.where("valid_to IS NOT NULL").select(F.col("fact_id").alias("seed")), "seed", "left_semi")
     reached = walk(reversed_edges(supersedes), stale.select("seed", F.col("seed").alias("node")), CURRENCY_HOPS, allowed).where("depth > 0")
-    now = open_facts.where("valid_to IS NULL").select("fact_id").join(reached.select(F.col("node").alias("fact_id")), "fact_id", "left_semi")
-    return seeds.select(F.col("seed").alias("fact_id")).unionByName(now).distinct()
+    now = reached.select("seed", F.col("node").alias("fact_id")).join(open_facts.where("valid_to IS NULL").select("fact_id"), "fact_id", "left_semi")
+    return seeds.select("seed", F.col("seed").alias("fact_id")).unionByName(now).distinct()
+
+
+def currency(supersedes: DataFrame, seeds: DataFrame, facts: DataFrame, grants: list[str], compat: bool = False) -> DataFrame:
+    """seeds (seed) and what currency_by_seed finds for them: rows fact_id, distinct."""
+    return currency_by_seed(supersedes, seeds, facts, grants, compat).select("fact_id").distinct()
 
 
 def longest_chains(supersedes: DataFrame, hops: int = CHAIN_HOPS, k: int = 5) -> DataFrame:

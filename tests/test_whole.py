@@ -53,6 +53,12 @@ def test_every_readable_event_has_a_chain(spark):
     assert seeds == {r["event_id"] for r in events.where("event_id % 5 > 0").collect()}
 
 
+def test_currency_of_every_fact(spark):
+    rows = registry.QUERIES["currency_resolution_all"](spark, str(SF)).collect()
+    assert {r["seed"] for r in rows} == {r["event_id"] for r in spark.read.parquet(f"{SF}/events.parquet").collect()}
+    assert any(r["seed"] % 20 != 1 and r["seed"] != r["fact_id"] for r in rows)
+
+
 @pytest.mark.parametrize("name", ["vector_topk", "vector_topk_all"])
 def test_every_vector_is_asked(spark, many, name):
     assert len({r["query_id"] for r in same_as_sql(spark, many, name)}) == 1100
