@@ -12,7 +12,7 @@ segments - radius of them, so each fingerprint is dealt to one block per choice
 The number of segments grows with the table (5 give 13-bit keys, 8 give 32-bit keys), which keeps blocks within a few tiles at any size.
 Wide fingerprints, for similarities far below 1, are dealt by the values of BAND-bit bands drawn over all bits, as many as give a pair at the
 radius a chance of MISSED or less to share none; longer and more bands as the table grows. A pair that shares no block may still
-be joined through others.
+be joined through others. one_of_each() does not use these: near_copies() finds and counts its pairs by their shingles.
 
 Tiles: a block over tile rows is cut into tiles by population count (and by a hash within one count); two tiles are compared only if
 their population counts differ by no more than the radius, as that difference is a lower bound of the distance. A pair of tiles is one
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from chronolore.llm.common import components, cut, words_in_blocks
 
 SEED, BAND, MISSED = 42, 12, 0.05
+#: Bits of 256 that fingerprints of sets alike by 0.8 differ in at most.
+FAR = 96
 #: A different part of a wide fingerprint for each.
 PARTS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -52,29 +54,42 @@ def mixed(h: np.ndarray, part: int) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def fingerprint(text: bytes | None, shingle_words: int, parts: int = 1) -> np.ndarray:
-    """The fingerprint of one text, 64 bits per part."""
-    ones, n, digest = np.zeros((parts, 64), np.int64), 0, xxhash.xxh64_intdigest
+def shingle_hashes(text: bytes | None, shingle_words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of one text in order, repeats included, in arrays."""
+    n, digest = 0, xxhash.xxh64_intdigest
     kept: list[bytes] = []
-
-    def add(hashes: np.ndarray) -> None:
-        for part in range(parts):
-            ones[part] += np.unpackbits(mixed(hashes, part).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-
     for words in words_in_blocks((text or b"").lower()):
         words = kept + words
         m = len(words) - shingle_words + 1
         if m > 0:
-            add(np.fromiter((digest(b" ".join(words[i : i + shingle_words]), SEED) for i in range(m)), np.uint64, m))
+            yield np.fromiter((digest(b" ".join(words[i : i + shingle_words]), SEED) for i in range(m)), np.uint64, m)
             n += m
             words = words[m:]
         kept = words
     if not n and kept:
-        add(np.array([digest(b" ".join(kept), SEED)], np.uint64))
-        n = 1
+        yield np.array([digest(b" ".join(kept), SEED)], np.uint64)
+
+
+def majority(arrays: Iterable[np.ndarray], parts: int) -> np.ndarray:
+    """The fingerprint of hash values, 64 bits per part."""
+    ones, n = np.zeros((parts, 64), np.int64), 0
+    for hashes in arrays:
+        n += len(hashes)
+        for part in range(parts):
+            ones[part] += np.unpackbits(mixed(hashes, part).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > n, axis=1).view(">u8")[:, 0].astype(np.uint64)
 
 
+def fingerprint(text: bytes | None, shingle_words: int, parts: int = 1) -> np.ndarray:
+    """The fingerprint of one text, 64 bits per part."""
+    return majority(shingle_hashes(text, shingle_words), parts)
+
+
+def shingle_set(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """The different shingle hashes of one text, in rising order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle_words)]))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 4, parts: int = 1) -> DataFrame:
     """Rows doc_id, key (a hash of the text), bits (array of longs, a part each) and fp: a long that stands for the fingerprint, of one part
     the 64 bits themselves."""
@@ -141,6 +156,23 @@ def forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tu
             fresh = np.flatnonzero(back)
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """All columns but the first of each block; a block may go on in the next batch."""
+    held: list[list[np.ndarray]] = []
+    last = None
+    for batch in batches:
+        block, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        starts = np.flatnonzero(np.diff(block)) + 1
+        for first, *parts in zip(np.r_[0, starts] if len(block) else [], *(np.split(c, starts) for c in columns), strict=False):
+            if held and block[first] != last:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            last = block[first]
+            held.append(parts)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def compare(batches: Iterator[pa.RecordBatch], radius: int, tile: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, side, fp, bits 0, bits 1, ...) sorted by block: edges (u, v) of fp of each block's pair of tiles. side 0 and 1 are the
     tiles; a block of side 0 alone is compared within itself."""
@@ -167,25 +199,9 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int, tile: int) -> Iterat
         if near.any():
             yield from forest(near, a, b)
 
-    def blocks() -> Iterator[list[np.ndarray]]:
-        """All columns but the first of each block; a block may go on in the next batch."""
-        held: list[list[np.ndarray]] = []
-        last = None
-        for batch in batches:
-            block, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            starts = np.flatnonzero(np.diff(block)) + 1
-            for first, *parts in zip(np.r_[0, starts] if len(block) else [], *(np.split(c, starts) for c in columns), strict=False):
-                if held and block[first] != last:
-                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
-                    held = []
-                last = block[first]
-                held.append(parts)
-        if held:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
     found: list[tuple[int, int]] = []
     made = lambda: pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
-    for side, fp, *bits in blocks():
+    for side, fp, *bits in blocks(batches):
         if len(fp) > 1:
             found += linked(side, fp, np.stack(bits, axis=1).view(np.uint64))
         if len(found) > 50_000:
@@ -201,6 +217,14 @@ def links(distinct: DataFrame, rows: int, radius: int = 4, tile: int = 4096, par
     keys = F.array(*[F.xxhash64(F.lit(i), *columns) for i, columns in enumerate(masked)])
     ones = sum((F.bit_count(F.col("bits")[part]) for part in range(parts)), F.lit(0))
     dealt = distinct.select("fp", "bits", ones.cast("int").alias("ones"), F.explode(keys).alias("key"))
+    flat = tiles(dealt, radius, tile).select("block", "side", "fp", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)])
+    laid = flat.repartition("block").sortWithinPartitions("block")
+    return laid.mapInArrow(lambda batches: compare(batches, radius, tile), "u long, v long")
+
+
+def tiles(dealt: DataFrame, radius: int, tile: int) -> DataFrame:
+    """dealt: key, fp, ones and others. Rows block, side and all but key and ones: blocks over a tile are cut into pairs of tiles."""
+    rest = [c for c in dealt.columns if c not in ("key", "ones")]
     counts = dealt.groupBy("key", "ones").agg(F.count(F.lit(1)).alias("n"))
     cells = F.array_sort(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))))
     # Blocks over a tile, with their population counts (at most one more than there are bits) and the tiles of each.
@@ -212,11 +236,9 @@ def links(distinct: DataFrame, rows: int, radius: int = 4, tile: int = 4096, par
     here = F.struct(F.col("ones").alias("ones"), F.col("no").alias("no"))
     tiled = met.where("cells IS NOT NULL").withColumn("no", tile_no).withColumn("other", F.explode(others))
     pair = F.xxhash64("key", F.least(here, F.col("other"))["ones"], F.least(here, F.col("other"))["no"], F.greatest(here, F.col("other"))["ones"], F.greatest(here, F.col("other"))["no"])
-    tiled = tiled.select(pair.alias("block"), F.when(F.col("other") < here, 1).otherwise(0).alias("side"), "fp", "bits")
-    plain = met.where("cells IS NULL").select(F.col("key").alias("block"), F.lit(0).alias("side"), "fp", "bits")
-    flat = plain.unionByName(tiled).select("block", "side", "fp", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)])
-    laid = flat.repartition("block").sortWithinPartitions("block")
-    return laid.mapInArrow(lambda batches: compare(batches, radius, tile), "u long, v long")
+    tiled = tiled.select(pair.alias("block"), F.when(F.col("other") < here, 1).otherwise(0).alias("side"), *rest)
+    plain = met.where("cells IS NULL").select(F.col("key").alias("block"), F.lit(0).alias("side"), *rest)
+    return plain.unionByName(tiled)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, tile: int = 4096, parts: int = 1) -> DataFrame:
@@ -236,11 +258,102 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
+def candidates(batches: Iterator[pa.RecordBatch], similarity: float, every: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (block, side, fp, n, label, bits 0, ...) sorted by block: pairs (u, v) of fp that may be alike by their set sizes n and their
+    bits. Without every a spanning forest of them, with it all that differ in label."""
+    for side, fp, n, label, *bits in blocks(batches):
+        if len(fp) < 2:
+            continue
+        parts = np.stack(bits, axis=1).view(np.uint64)
+        a = np.flatnonzero(side == 0)
+        alone = len(a) == len(fp)
+        b = a if alone else np.flatnonzero(side == 1)
+        near = np.zeros((len(a), len(b)), bool)
+        for i in range(0, len(a), 64):
+            x = a[i : i + 64]
+            far = np.zeros((len(x), len(b)), np.uint16)
+            for part in range(parts.shape[1]):
+                far += np.bitwise_count(parts[x, part, None] ^ parts[None, b, part])
+            small, large = np.minimum(n[x, None], n[None, b]), np.maximum(n[x, None], n[None, b])
+            near[i : i + 64] = (far <= FAR) & (small >= similarity * large - 1e-9)
+            if every:
+                near[i : i + 64] &= label[x, None] != label[None, b]
+        if alone:
+            near = np.triu(near, 1) if every else near & ~np.eye(len(a), dtype=bool)
+        if every:
+            for i in range(0, len(a), 64):
+                u, v = np.nonzero(near[i : i + 64])
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[a[i + u]], pa.int64()), pa.array(fp[b[v]], pa.int64())], names=["u", "v"])
+        elif near.any():
+            found = list(forest(near, fp[a], fp[b]))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def near_copies(docs: DataFrame, shingle_words: int, similarity: float, parts: int = 4, tile: int = 4096) -> DataFrame:
+    """One row per document: doc_id, key, label, component_id, as near_duplicates, of links between texts whose sets of shingles have a
+    Jaccard similarity of at least similarity, counted exactly. Texts of one set are one class (fp). Two sets so alike share one of
+    the first n - ceil(similarity * n) + 1 of their n hashes, so classes meet by these; of groups of the same classes one stays. Bits
+    made of the different shingles leave out, within a group, what is FAR apart, which at 0.8 is ten standard deviations off. Links of a
+    spanning forest of each group are counted first, then all pairs that these leave in different components."""
+
+    @F.pandas_udf("struct<fp: binary, n: int, bits: array<long>, first: array<long>>")
+    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in texts:
+            rows = []
+            for t in text:
+                found = shingle_set(t, shingle_words)
+                n = len(found)
+                first = found[: n - math.ceil(similarity * n - 1e-9) + 1] if n else found
+                rows.append((xxhash.xxh64_digest(found.tobytes(), SEED), n, majority([found], parts).view(np.int64), first.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["fp", "n", "bits", "first"])
+
+    @F.pandas_udf("array<long>")
+    def whole(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield pd.Series([shingle_set(t, shingle_words).view(np.int64) for t in text])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    made = keyed.select("doc_id", "key", sketch("text").alias("s")).select("doc_id", "key", F.xxhash64("s.fp").alias("fp"), "s.n", "s.bits", "s.first")
+    marked = cut(made)
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("text_key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first"))
+    groups = classes.select("fp", F.explode("first").alias("h")).groupBy("h").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1).select(F.xxhash64("fps").alias("key"), "fps").dropDuplicates(["key"])
+    ones = sum((F.bit_count(F.col("bits")[part]) for part in range(parts)), F.lit(0)).cast("int").alias("ones")
+    members = cut(groups.select("key", F.explode("fps").alias("fp")))
+    met = classes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "text_key", "n", "bits", ones)
+    met = cut(met)
+
+    def pairs(label: DataFrame | None) -> DataFrame:
+        every = label is not None
+        of = met.join(label, met["fp"] == label["node"], "left").select("fp", "n", "bits", "ones", F.coalesce("label", "fp").alias("label")) if every else met.select("fp", "n", "bits", "ones", F.col("fp").alias("label"))
+        flat = tiles(members.join(of, "fp"), FAR, tile).select("block", "side", "fp", "n", "label", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)])
+        laid = flat.repartition("block").sortWithinPartitions("block")
+        found = laid.mapInArrow(lambda batches: candidates(batches, similarity, every), "u long, v long")
+        return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    def alike(edges: DataFrame) -> DataFrame:
+        """Those of the edges whose sets are alike."""
+        needed = met.join(edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "text_key")
+        texts = keyed.join(needed, F.col("key") == F.col("text_key")).groupBy("fp").agg(F.first("text").alias("text"))
+        sets = cut(texts.select("fp", whole("text").alias("set")))
+        two = edges.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("fp").alias("v"), F.col("set").alias("sv")), "v")
+        both = F.size(F.array_intersect("su", "sv"))
+        return two.where(both / (F.size("su") + F.size("sv") - both) >= similarity).select("u", "v")
+
+    forests = cut(pairs(None))
+    sure = cut(alike(forests))
+    rest = cut(pairs(components(sure)).join(forests, ["u", "v"], "left_anti"))
+    label = components(sure.unionByName(alike(rest)))
+    small = classes.select("fp", "least")
+    rooted = small.join(label, small["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    named = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "label", "component_id")
+    return marked.select("doc_id", "key", "fp").join(named, "fp").select("doc_id", "key", "label", "component_id")
+
+
 def one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
-    """docs with one row of each component of texts whose shingles are alike (similarity, as far as wide fingerprints tell): that of the
-    least doc_id. The texts are shuffled once, by doc_id and key; rows of one component that share the least doc_id (repeated rows, null
+    """docs with one row of each component of texts whose sets of shingles have at least this Jaccard similarity: that of the least doc_id. The texts are shuffled once, by doc_id and key; rows of one component that share the least doc_id (repeated rows, null
     ids) are found first, and only if there are any is a second pass made."""
-    found = cut(near_duplicates(docs, shingle_words, radius_of(similarity, 64 * parts), parts=parts))
+    found = cut(near_copies(docs, shingle_words, similarity, parts))
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = found.where(~least).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
     keyed = docs.withColumn("_key", F.xxhash64("text"))
