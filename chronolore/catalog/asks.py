@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chronolore.catalog import VERSIONS_SQL, Catalog, event_facts, table
 from chronolore.functions.text import citations, salient_terms, term_coverage
-from chronolore.functions.vectors import ratio
 from chronolore.operators import graph, scoring, search, stats
 from chronolore.operators.acl import readable
 
@@ -46,23 +45,12 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25_top(table(spark, d, "documents").select("doc_id", "text"), asked(spark, d), 10, "doc_id", "text").select("query_id", "doc_id", "score", "rank")
 
 
-@query("""
-    WITH s AS (
-        SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 25 = 0 AND q.vec_id <> v.vec_id
-    ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
-    SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
-def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Ten nearest vectors of a stated set of queries, every 25th vector."""
-    rows = table(spark, d, "embeddings")
-    return search.vector_top_all(rows, rows.where("vec_id % 25 = 0"), 10, "vec_id").select("query_id", "vec_id", "score", "rank")
-
-
 @query("""
     WITH s AS (
         SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id
     ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
     SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
-def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest vectors of every vector."""
     rows = table(spark, d, "embeddings")
     return search.vector_top_all(rows, rows, 10, "vec_id").select("query_id", "vec_id", "score", "rank")
@@ -126,18 +114,9 @@ def allowed(spark: SparkSession, d: str) -> DataFrame:
 RUNS_SQL = f"""{VERSIONS_SQL}, g AS (SELECT *, sum(CASE WHEN hidden THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, type ORDER BY place) AS run FROM v)"""
 
 
-@query(f"""WITH {RUNS_SQL}
-    SELECT a.fact_id AS seed, b.fact_id AS node, CAST(b.place - a.place AS INT) AS depth FROM g a JOIN g b ON a.user_id = b.user_id AND a.type = b.type AND a.run = b.run AND NOT a.hidden AND NOT b.hidden AND abs(a.place - b.place) <= 10
-    WHERE a.fact_id % 20 = 1""")
-def chain_trace(spark: SparkSession, d: str) -> DataFrame:
-    """All readable versions of the decisions of a stated set of seeds, every twentieth event; negative depth is older."""
-    seeds = table(spark, d, "events").where("event_id % 20 = 1").select(F.col("event_id").alias("seed"))
-    return graph.chains(supersedes(spark, d), seeds, allowed(spark, d))
-
-
 @query(f"""WITH {RUNS_SQL}
     SELECT a.fact_id AS seed, b.fact_id AS node, CAST(b.place - a.place AS INT) AS depth FROM g a JOIN g b ON a.user_id = b.user_id AND a.type = b.type AND a.run = b.run AND NOT a.hidden AND NOT b.hidden AND abs(a.place - b.place) <= 10""")
-def chain_trace_all(spark: SparkSession, d: str) -> DataFrame:
+def chain_trace(spark: SparkSession, d: str) -> DataFrame:
     """All readable versions of the decision of every event; negative depth is older."""
     return graph.chains(supersedes(spark, d), table(spark, d, "events").select(F.col("event_id").alias("seed")), allowed(spark, d))
 
@@ -151,20 +130,10 @@ def history_depth(spark: SparkSession, d: str) -> DataFrame:
     return found.where("depth > 0")
 
 
-@query(f"""WITH {RUNS_SQL}
-    SELECT fact_id FROM g WHERE fact_id % 20 = 1 UNION
-    SELECT b.fact_id FROM g a JOIN g b ON a.user_id = b.user_id AND a.type = b.type AND a.run = b.run AND NOT a.hidden AND NOT b.hidden AND b.valid_to IS NULL AND b.place - a.place BETWEEN 1 AND 5 WHERE a.fact_id % 20 = 1""")
-def currency_resolution(spark: SparkSession, d: str) -> DataFrame:
-    from chronolore.catalog.facts import versions
-
-    facts = versions(spark, d)
-    return graph.currency(supersedes(spark, d), facts.where("fact_id % 20 = 1").select(F.col("fact_id").alias("seed")), facts, [])
-
-
 @query(f"""WITH {RUNS_SQL}
     SELECT fact_id AS seed, fact_id FROM g UNION
     SELECT a.fact_id, b.fact_id FROM g a JOIN g b ON a.user_id = b.user_id AND a.type = b.type AND a.run = b.run AND NOT a.hidden AND NOT b.hidden AND b.valid_to IS NULL AND b.place - a.place BETWEEN 1 AND 5""")
-def currency_resolution_all(spark: SparkSession, d: str) -> DataFrame:
+def currency_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Every fact with the current facts it leads to, itself among them."""
     from chronolore.catalog.facts import versions
 
@@ -246,17 +215,17 @@ def entity_resolve_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH m AS (
-        SELECT g.vec_id AS gold_id, g.label AS gold_type, f.vec_id AS found, f.label + (f.vec_id % 2) AS type, round(list_cosine_similarity(g.embedding::DOUBLE[], f.embedding::DOUBLE[]), 9) AS similarity
-        FROM embeddings g JOIN embeddings f ON g.vec_id % 10 = 0 AND f.vec_id % 10 > 0 AND f.label IN (g.label, (g.label + 1) % 10)
+        SELECT g.vec_id AS gold_id, g.label AS gold_type, f.vec_id AS found, f.label + (f.vec_id % 2) AS type, round(list_cosine_similarity(g.embedding::DOUBLE[], list_reverse(f.embedding)::DOUBLE[]), 9) AS similarity
+        FROM embeddings g JOIN embeddings f ON f.label IN (g.label, (g.label + 1) % 10)
     ), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gold_id ORDER BY similarity DESC, (SELECT 0), found) AS k FROM m WHERE similarity >= 0.3) WHERE k = 1)
     SELECT CAST(g.label AS VARCHAR) AS type, count(*) AS gold, count(*) FILTER (WHERE b.type = g.label) AS matched, count(*) FILTER (WHERE b.type <> g.label) AS mistyped, count(*) FILTER (WHERE b.type = g.label) / count(*)::DOUBLE AS recall
-    FROM embeddings g LEFT JOIN b ON b.gold_id = g.vec_id WHERE g.vec_id % 10 = 0 GROUP BY g.label""")
+    FROM embeddings g LEFT JOIN b ON b.gold_id = g.vec_id GROUP BY g.label""")
 def extraction_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth vector as a gold fact, to be found in the episodes of its label and the next."""
+    """Every vector as a gold fact, to be found among the vectors, read backwards, in the episodes of its label and the next."""
     rows = table(spark, d, "embeddings")
     text = lambda c: c.cast("string")
-    gold = rows.where("vec_id % 10 = 0").select(text(F.col("vec_id")).alias("id"), text(F.col("label")).alias("type"), F.array(text(F.col("label")), text((F.col("label") + 1) % 10)).alias("sources"), "embedding")
-    found = rows.where("vec_id % 10 > 0").select(text(F.col("label")).alias("episode_id"), text(F.col("label") + F.col("vec_id") % 2).alias("type"), F.col("vec_id").alias("seq"), "embedding", text(F.col("vec_id")).alias("statement"))
+    gold = rows.select(text(F.col("vec_id")).alias("id"), text(F.col("label")).alias("type"), F.array(text(F.col("label")), text((F.col("label") + 1) % 10)).alias("sources"), "embedding")
+    found = rows.select(text(F.col("label")).alias("episode_id"), text(F.col("label") + F.col("vec_id") % 2).alias("type"), F.col("vec_id").alias("seq"), F.reverse("embedding").alias("embedding"), text(F.col("vec_id")).alias("statement"))
     return scoring.recall_by_type(gold, scoring.best_matches(gold, found, 0.3))
 
 
@@ -324,16 +293,6 @@ def request_throughput(spark: SparkSession, d: str) -> DataFrame:
     return stats.throughput(events, ["user_id"], "ok", "value")
 
 
-@query("""SELECT source, count(*) AS documents, count(DISTINCT lang) AS languages, string_agg(DISTINCT lang, ',' ORDER BY lang) AS names, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS marked, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) / count(*)::DOUBLE AS share
-    FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
-def topic_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Sources as topics, with what their notes list."""
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    marked = F.count_if(F.col("toxic") == 1)
-    out = rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("lang").alias("languages"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("names"), marked.alias("marked"))
-    return out.withColumn("share", ratio(F.col("marked"), F.col("documents"), 0.0))
-
-
 @query("""SELECT count(*) AS n, count(DISTINCT props) AS different, (count(*) - count(DISTINCT props)) / count(*)::DOUBLE AS hit_rate FROM events""")
 def embedding_reuse(spark: SparkSession, d: str) -> DataFrame:
     """How many texts need no vector of their own."""

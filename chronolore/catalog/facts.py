@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolore.catalog import EVENT_FACTS_SQL, HELD, VERSIONS_SQL, Catalog, event_facts, table
 from chronolore.functions.dates import as_of
-from chronolore.lineage import ensure_checkpoint_dir
+from chronolore.lineage import shared_folder
 from chronolore.operators import acl, stats, supersede, temporal, validate
 from chronolore.sources.episodes import render
 from chronolore.streaming import versions as stream_versions
@@ -49,12 +47,17 @@ def validate_fact_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {EVENT_FACTS_SQL}, c AS (SELECT CASE WHEN round(value / 100, 4) > 1 THEN 'outside [0,1]' END AS a, CASE WHEN fact_id % 7 = 0 THEN 'missing required field' END AS b FROM f), x AS (SELECT unnest([a, b]) AS cause FROM c)
+    WITH {EVENT_FACTS_SQL}, c AS (
+        SELECT type, CASE WHEN fact_id % 11 = 0 THEN ' ' WHEN fact_id % 13 = 0 THEN 'short' WHEN fact_id % 17 = 0 THEN repeat(statement, 40) ELSE statement END AS s, fact_id % 3 > 0 AS owned, fact_id % 7 > 0 AS quoted,
+            fact_id % 5 + 1 = 3 AS superseded, round(value / 100, 4) AS confidence FROM f
+    ), x AS (
+        SELECT unnest([CASE WHEN trim(s) = '' THEN 'missing required field' WHEN length(s) < 10 THEN 'statement too short' END, CASE WHEN type IN ('ACTION_ITEM', 'COMMITMENT') AND NOT owned THEN 'missing required field' END,
+            CASE WHEN NOT quoted THEN 'missing required field' END, CASE WHEN confidence < 0 OR confidence > 1 THEN left('outside [0,1]: ' || confidence, 40) END, CASE WHEN superseded THEN 'illegal status' END]) AS cause FROM c)
     SELECT cause, count(*) AS n FROM x WHERE cause IS NOT NULL GROUP BY cause""")
 def rejection_causes(spark: SparkSession, d: str) -> DataFrame:
-    """Rejections for confidence and for missing evidence, by cause."""
-    rejected = checked_facts(spark, d).withColumn("i", F.explode(F.filter(validate.field_issues(), lambda i: (i["severity"] == "REJECT") & i["field"].isin("confidence", "evidence"))))
-    run = rejected.select(F.array(F.struct(F.array(F.struct("i.severity", "i.field", F.when(F.col("i.field") == "confidence", F.lit("outside [0,1]")).otherwise(F.col("i.message")).alias("message"))).alias("issues"))).alias("rejected"))
+    """All rejections by cause."""
+    rejected = checked_facts(spark, d).withColumn("i", F.explode(F.filter(validate.field_issues(), lambda i: i["severity"] == "REJECT")))
+    run = rejected.select(F.array(F.struct(F.array(F.struct("i.severity", "i.field", "i.message")).alias("issues"))).alias("rejected"))
     return stats.rejections(run)
 
 
@@ -96,17 +99,11 @@ def grounding_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-    WITH w AS (SELECT item_id, text, string_split(text, ' ') AS ws FROM benchmark)
-    SELECT w.item_id, d.doc_id FROM w JOIN documents d ON contains(d.text, w.text)""")
+    SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def passages_in_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Which benchmark passages stand in which documents. A document that has a passage has its second to fifth word in a row, so these
-    are joined by equality first, and only what matches is searched."""
-    four = lambda ws, i: F.concat_ws(" ", ws[i], ws[i + 1], ws[i + 2], ws[i + 3])
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("w")).select("item_id", "passage", F.xxhash64(four(F.col("w"), 1)).alias("k"))
-    words = table(spark, d, "documents").select("doc_id", F.split("text", r"\s+").alias("w"))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.xxhash64(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3)))))
-    near = words.select("doc_id", F.explode(runs).alias("k")).join(items, "k").select("doc_id", "item_id", "passage").distinct()
-    return near.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    """Which benchmark passages stand in which documents."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return validate.passages(table(spark, d, "documents").select("doc_id", "text"), items).select("item_id", "doc_id")
 
 
 @query("""
@@ -238,8 +235,7 @@ def rendered_episodes(spark: SparkSession, d: str) -> DataFrame:
 def stream_closures(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream: each fact closes the one before it of its user and type. What the stream tells is written to the checkpoint
     folder and read back when the input is used up."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream takes one file only so
     facts = event_facts(source).select(F.concat_ws("/", "user_id", "type").alias("key"), F.col("fact_id").cast("string").alias("fact_id"), F.col("occurred_at").cast("timestamp").alias("at"))
     told = stream_versions.closures(facts).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()

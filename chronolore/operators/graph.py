@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolore.functions.text import keywords
@@ -93,7 +93,7 @@ def shortest_paths(graph: Graph, start: str, end: str, grants: list[str], hops:
     their ids and types.
 
     Breadth first, a join per hop; a node is visited once, at its least distance, with all edges that reach it there. What is kept per hop
-    goes to the checkpoint folder. The paths are then put together backwards, over nodes of shortest paths only.
+    goes to the checkpoint folder. The paths are then put together backwards, over nodes of shortest paths only, the first few of each node.
     """
     hops = clamp(hops, 1, PATH_HOPS)
     spark = graph.nodes.sparkSession
@@ -101,27 +101,29 @@ def shortest_paths(graph: Graph, start: str, end: str, grants: list[str], hops:
     kept = graph.edges.where(F.col("type").isin(PATH_EDGES))
     both = kept.select("src", "dst", "type", F.lit(True).alias("forward")).unionByName(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", F.lit(False).alias("forward")))
     none = spark.createDataFrame([], "path_no int, hops int, nodes array<string>, steps array<struct<type: string, forward: boolean>>")
-    if nodes.where(F.col("node").isin(start, end)).select("node").distinct().count() < (1 if start == end else 2) or start == end:
+    if start == end or nodes.where(F.col("node").isin(start, end)).select("node").distinct().count() < 2:
         return none
-    frontier = visited = cut(spark.createDataFrame([(start,)], "node string"))
+    frontier = visited = spark.createDataFrame([(start,)], "node string")
     levels: list[DataFrame] = []
     for _ in range(hops):
         step = both.join(frontier.select(F.col("node").alias("src")), "src").join(visited.select(F.col("node").alias("dst")), "dst", "left_anti").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
         levels.append(cut(step.select("src", "dst", "type", "forward").distinct()))
-        frontier = levels[-1].select(F.col("dst").alias("node")).distinct()
-        if frontier.isEmpty():
+        n, there = levels[-1].agg(F.count(F.lit(1)), F.max(F.col("dst") == end)).first()
+        if not n:
             return none
-        if not frontier.where(F.col("node") == end).isEmpty():
+        if there:
             break
+        frontier = levels[-1].select(F.col("dst").alias("node")).distinct()
         visited = visited.unionByName(frontier)
     else:
         return none
     back = spark.createDataFrame([(end, [end], [])], "at string, nodes array<string>, steps array<struct<type: string, forward: boolean>>")
+    name = F.concat_ws("|", F.col("nodes"), F.transform("steps", lambda s: F.concat(s["type"], s["forward"].cast("string"))))
     for level in reversed(levels):
         back = level.join(back, level["dst"] == back["at"]).select(F.col("src").alias("at"), F.concat(F.array("src"), "nodes").alias("nodes"), F.concat(F.array(F.struct("type", "forward")), "steps").alias("steps"))
-    named = F.concat_ws("|", F.col("nodes"), F.transform("steps", lambda s: F.concat(s["type"], s["forward"].cast("string"))))
-    best = back.withColumn("_name", named).orderBy("_name").limit(limit)
-    numbered = best.agg(F.array_sort(F.collect_list(F.struct("_name", "nodes", "steps"))).alias("p")).select(F.posexplode("p").alias("i", "p"))
+        # What comes before a node is the same for all ways on from it, so its first ways on are all that can be among the first paths.
+        back = back.withColumn("_n", F.row_number().over(Window.partitionBy("at").orderBy(name))).where(F.col("_n") <= limit).drop("_n")
+    numbered = back.agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), "nodes", "steps"))).alias("p")).select(F.posexplode("p").alias("i", "p"))
     return numbered.select((F.col("i") + 1).alias("path_no"), F.size("p.steps").alias("hops"), "p.nodes", "p.steps")
 
 

@@ -10,17 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolore.functions.vectors import dot, unit
+from chronolore.functions.vectors import unit
 from chronolore.lineage import components
 
 #: (older statement, newer statement, similarity) -> (verdict, what changed).
 Judge = Callable[[str, str, float], tuple[str, str]]
 
 LEAST = 0.80
+#: Facts of a tile, about.
+TILE = 4096
 JUDGEMENTS = "newer string, older string, newer_at timestamp, older_at timestamp, similarity double, verdict string, rationale string"
 
 
@@ -44,13 +48,38 @@ def verdict_of(judge: Judge, older: str, newer: str, similarity: float) -> tuple
 
 
 def like_pairs(facts: DataFrame, least: float = LEAST, block: list[str] | None = None) -> DataFrame:
-    """newer, older, similarity and both times: pairs of one type (and equal in the columns of block, for tables too large for all pairs of
-    a type), the older strictly earlier, both with vectors."""
-    keys = ["type", *(block or [])]
-    rows = facts.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(*keys, "fact_id", "occurred_at", "seq", unit(F.col("embedding")).alias("v"))
-    old = rows.select(*keys, F.col("fact_id").alias("older"), F.col("occurred_at").alias("older_at"), F.col("seq").alias("older_seq"), F.col("v").alias("w"))
-    pairs = rows.join(old, keys).where(F.col("older_at") < F.col("occurred_at")).withColumn("similarity", dot(F.col("v"), F.col("w")))
-    return pairs.where(F.round("similarity", 9) >= least).select(F.col("fact_id").alias("newer"), "older", F.col("occurred_at").alias("newer_at"), "older_at", F.col("seq").alias("newer_seq"), "older_seq", "similarity")
+    """newer, older, similarity, both times and both seq: pairs of one type (and equal in the columns of block), the older strictly
+    earlier, both with vectors of one length.
+
+    Exact: facts of a type are dealt into tiles of about TILE, each pair of tiles is one task's matrix product, and only like pairs leave it.
+    The work is still that of all pairs of a type; block columns (a topic, a container) that like facts share bound it."""
+    keys = ["type", *(block or []), "width"]
+    rows = facts.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("occurred_at").isNotNull()).withColumn("width", F.size("embedding")).select(*keys, "fact_id", "occurred_at", "seq", unit(F.col("embedding")).alias("v"))
+    tiles = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_tiles"))
+    dealt = rows.join(tiles, keys).withColumn("_own", F.pmod(F.xxhash64("fact_id"), F.col("_tiles")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    dealt = dealt.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other"))
+    kind = {c: facts.schema[c].dataType.simpleString() for c in ("fact_id", "occurred_at", "seq")}
+
+    def run(part: pa.Table) -> pa.Table:
+        x = pa.concat_arrays([c.flatten() for c in part.column("v").chunks]).to_numpy().reshape(len(part), -1)
+        at = part.column("occurred_at").cast(pa.int64()).to_numpy()
+        own, a, b = (part.column(c).to_numpy() for c in ("_own", "_a", "_b"))
+        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+        found = []
+        for i in range(0, len(left), 512):
+            u, v = np.nonzero(np.round(x[left[i : i + 512]] @ x[right].T, 8) >= least - 1e-8)
+            found.append(np.column_stack([left[i + u], right[v]]))
+        p = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        p = p[at[p[:, 0]] != at[p[:, 1]]] if a[0] != b[0] else p[at[p[:, 0]] > at[p[:, 1]]]
+        newer, older = np.where(at[p[:, 0]] > at[p[:, 1]], p.T, p.T[::-1])
+        similarity = (x[newer] * x[older]).sum(axis=1)
+        like = np.round(similarity, 9) >= least
+        newer, older, similarity = pa.array(newer[like]), pa.array(older[like]), similarity[like]
+        columns = [part.column(c).take(n) for c in ("fact_id", "occurred_at", "seq") for n in (newer, older)]
+        return pa.table([*columns, pa.array(similarity)], names=["newer", "older", "newer_at", "older_at", "newer_seq", "older_seq", "similarity"])
+
+    told = f"newer {kind['fact_id']}, older {kind['fact_id']}, newer_at {kind['occurred_at']}, older_at {kind['occurred_at']}, newer_seq {kind['seq']}, older_seq {kind['seq']}, similarity double"
+    return dealt.groupBy(*keys, "_a", "_b").applyInArrow(run, told)
 
 
 def proposals(pairs: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from chronolore.functions.text import ellipsis, is_blank, normalise
 
 # Fixed values.
 SHORTEST, LONGEST, LOW_CONFIDENCE, SHORTEST_QUOTE, QUOTE_SHOWN = 10, 500, 0.55, 12, 80
+#: Words of a passage that are joined by equality, and passages too short for it that one pass carries along.
+RUN, MOST_SHORT = 4, 256
 
 
 def issue(severity: str, field: str | Column, message: Column) -> Column:
@@ -64,6 +66,33 @@ def locate(quotes: DataFrame, utterances: DataFrame) -> DataFrame:
     return wanted.join(places, "quote_id", "left").withColumn("at_cited", F.coalesce("at_cited", F.lit(False))).drop("_span")
 
 
+def passages(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """item_id, doc_id: which passages (item_id, passage) stand, letter by letter, in which texts (doc_id, text).
+
+    The first and the last word of a passage may be parts of longer words of the text; those between them are whole words there. Up to
+    RUN of these are joined by equality of their hash, and only what matches is searched. Passages of one or two words have none: they are
+    a stated set, sent along to one pass over the texts, MOST_SHORT at a time."""
+    split = items.where(F.col("passage").isNotNull()).select("item_id", "passage", F.split("passage", r"\s+").alias("w"))
+    runs = split.withColumn("n", F.least(F.size("w") - 2, F.lit(RUN)))
+    keyed = runs.where("n > 0").select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("k"), "n")
+    words = texts.where(F.col("text").isNotNull()).select("doc_id", F.split("text", r"\s+").alias("w"))
+    run_of = lambda n: lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " "))
+    found = [texts.sparkSession.createDataFrame([], f"item_id {items.schema['item_id'].dataType.simpleString()}, doc_id {texts.schema['doc_id'].dataType.simpleString()}")]
+    for n in sorted(r["n"] for r in keyed.select("n").distinct().collect()):
+        have = words.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), run_of(n)))).alias("k"))
+        near = have.join(keyed.where(F.col("n") == n), "k").select("doc_id", "item_id", "passage").distinct()
+        found.append(near.join(texts, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct())
+    short = runs.where("n <= 0").select("item_id", "passage")
+    rows = short.count()
+    parts = -(-rows // MOST_SHORT)
+    for part in range(parts):
+        asked = short.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
+        given = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["passage"]).alias("passage")) for r in asked])
+        if asked:
+            found.append(texts.select("doc_id", F.explode(F.filter(given, lambda p: F.contains(F.col("text"), p["passage"]))).alias("p")).select("p.item_id", "doc_id").distinct())
+    return reduce(DataFrame.unionByName, found)
+
+
 def quotes_of(facts: DataFrame) -> DataFrame:
     """fact_no, place, quote_id and the evidence of each fact."""
     rows = facts.select("fact_no", F.col("episode_id").alias("own_episode"), F.posexplode("evidence").alias("place", "e"))

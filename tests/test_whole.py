@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from chronolore import registry
+from chronolore.operators import search, validate
 
 
 def plain(v):
@@ -49,16 +50,30 @@ SF = Path("/root/testdata/sf0.001")
 
 def test_every_readable_event_has_a_chain(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
-    seeds = {r["seed"] for r in registry.QUERIES["chain_trace_all"](spark, str(SF)).select("seed").distinct().collect()}
+    seeds = {r["seed"] for r in registry.QUERIES["chain_trace"](spark, str(SF)).select("seed").distinct().collect()}
     assert seeds == {r["event_id"] for r in events.where("event_id % 5 > 0").collect()}
 
 
 def test_currency_of_every_fact(spark):
-    rows = registry.QUERIES["currency_resolution_all"](spark, str(SF)).collect()
+    rows = registry.QUERIES["currency_resolution"](spark, str(SF)).collect()
     assert {r["seed"] for r in rows} == {r["event_id"] for r in spark.read.parquet(f"{SF}/events.parquet").collect()}
     assert any(r["seed"] % 20 != 1 and r["seed"] != r["fact_id"] for r in rows)
 
 
-@pytest.mark.parametrize("name", ["vector_topk", "vector_topk_all"])
-def test_every_vector_is_asked(spark, many, name):
-    assert len({r["query_id"] for r in same_as_sql(spark, many, name)}) == 1100
+def test_every_vector_is_asked(spark, many):
+    assert len({r["query_id"] for r in same_as_sql(spark, many, "vector_topk")}) == 1100
+
+
+def test_questions_in_parts(spark, many, monkeypatch):
+    """Questions that go to the documents in several parts, few scores at a time, get what they get at once."""
+    monkeypatch.setattr(search, "MOST_PAIRS", 300)
+    monkeypatch.setattr(search, "SCORES", 5000)
+    same_as_sql(spark, many, "bm25_topk")
+
+
+def test_passages_of_any_length(spark):
+    texts = [(0, "a bcd ef gh ij klm n"), (1, "xxa bcd ef gh ij klmzz"), (2, "bcd  ef"), (3, None), (4, "cd e"), (5, "a bcd ef gh ij kl"), (6, "")]
+    items = [(0, "a bcd ef gh ij klm"), (1, "d ef g"), (2, "cd e"), (3, "b"), (4, "cd  e"), (5, "ef gh ij k"), (6, None), (7, "bcd ef gh ij")]
+    got = validate.passages(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"))
+    assert {tuple(r) for r in got.collect()} == {(i, d) for i, p in items for d, t in texts if p is not None and t is not None and p in t}
+    assert got.count() == got.distinct().count()
