@@ -74,7 +74,8 @@ def main(argv: list[str] | None = None) -> int:
         scored["total"].show()
         return 0
     if args["command"] == "export":
-        export.write_notes(export.notes(t), args["to"])
+        notes = export.notes(t)
+        export.write_notes(notes.unionByName(export.index(t, notes, "Index")), args["to"])
         return 0
     report = load.doctor(t)
     report.show(truncate=False)
