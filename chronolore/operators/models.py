@@ -35,6 +35,11 @@ def hashing_embedder(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarr
     return out / np.where(lengths > 0, lengths, 1)
 
 
+def refusing_chat(prompts: list[str]) -> list[str]:
+    """The model that knows nothing."""
+    return [NOT_FOUND for _ in prompts]
+
+
 def embed(rows: DataFrame, text: str, embedder: Embedder = hashing_embedder, column: str = "embedding") -> DataFrame:
     """rows with a vector for each text; a text that occurs often is embedded once. Null for null."""
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolore import schemas
@@ -14,7 +15,7 @@ from chronolore.lineage import cut
 from chronolore.operators import models, resolve, supersede, temporal, validate
 from chronolore.operators.graph import Graph
 from chronolore.sources import chat, directory, meetings, pages
-from chronolore.sources.episodes import Episodes, read_all
+from chronolore.sources.episodes import Episodes, changed, read_all
 
 KEYS = {"people": ["person_id"], "episodes": ["episode_id"], "utterances": ["episode_id", "ordinal"], "facts": ["fact_id"]}
 
@@ -49,8 +50,8 @@ def build(found: Episodes, people: directory.Directory, extracted: DataFrame, sl
     rows = extracted.join(found.episodes.select("episode_id", "acl_grants", "visibility"), "episode_id").withColumn("fact_id", fact_id(F.col("episode_id"), F.col("type"), F.col("statement")))
     rows = cut(rows.dropDuplicates(["fact_id"]))
     timed = models.embed(rows, "statement", slots.embedder).withColumn("valid_from", F.col("occurred_at")).withColumn("valid_to", F.lit(None).cast("timestamp")).withColumn("superseded_by", F.lit(None).cast("string"))
-    # Order within a type only: all that the fold compares.
-    facts = cut(timed.withColumn("seq", F.row_number().over(Window.partitionBy("type").orderBy("occurred_at", "fact_id"))))
+    # Facts of one moment are told apart by their ids.
+    facts = cut(timed.withColumn("seq", F.col("fact_id")))
     judged = cut(supersede.fold(facts, supersede.like_pairs(facts, slots.least_similarity, slots.block), slots.judge))
     passed = cut(supersede.propagate(judged.where("verdict = 'DUPLICATE'").select(F.col("newer").alias("u"), F.col("older").alias("v")), supersede.closures(judged)))
     closed = temporal.close(facts, passed).withColumn("ontology_version", F.lit(schemas.ONTOLOGY_VERSION)).withColumn("prompt_version", F.lit(schemas.PROMPT_SIGNATURE)).drop("seq")
@@ -82,6 +83,18 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return stored.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
+def refresh(spark: SparkSession, path: str, found: Episodes, people: directory.Directory, extracted: DataFrame, slots: Slots | None = None) -> dict[str, DataFrame]:
+    """The stored tables with only what is new or changed loaded: episodes of unknown content and their facts take the place of the stored ones
+    of the same episodes, all else stays. What replaces what is judged anew over all facts, as a fact of any episode may replace another."""
+    stored = read(spark, path)
+    fresh = cut(changed(found.episodes, stored["episodes"]).select("episode_id"))
+    own = lambda df: df.join(fresh, "episode_id", "left_semi")
+    both = Episodes(upsert(stored["episodes"], own(found.episodes), ["episode_id"]), stored["utterances"].join(fresh, "episode_id", "left_anti").unionByName(own(found.utterances)))
+    kept = stored["facts"].join(fresh, "episode_id", "left_anti")
+    again = kept.withColumn("status", F.when(F.col("status") == "SUPERSEDED", "AGREED").otherwise(F.col("status"))).select(*extracted.columns)
+    return build(both, people, again.unionByName(own(extracted)), slots)
+
+
 def graph(t: dict[str, DataFrame]) -> Graph:
     """One table of nodes and one of edges, for walks over all kinds. Of a path's people only the resolved ones are there."""
     node = lambda df, id_col, kind, label, acl: df.select(F.col(id_col).alias("node"), F.lit(kind).alias("kind"), F.col(label).alias("label"), acl.alias("acl_grants"))
@@ -100,8 +113,24 @@ def graph(t: dict[str, DataFrame]) -> Graph:
     return Graph(nodes, edges)
 
 
-def doctor(t: dict[str, DataFrame]) -> DataFrame:
-    """Rows (component, healthy, detail): each table is there and its keys are unique."""
-    faults = {r["table_name"]: r["n"] for r in validate.schema_faults({k: t[k] for k in KEYS if k in t}, {k: v for k, v in KEYS.items() if k in t}).groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+def probe(name: str, ask) -> tuple[str, bool, str]:
+    """Whether a model answers, and what it says if it fails."""
+    try:
+        return (name, True, str(ask()))
+    except Exception as e:  # noqa: BLE001  a model may fail in any way, and that is what is asked
+        return (name, False, f"{type(e).__name__}: {e}")
+
+
+def doctor(t: dict[str, DataFrame], embedder: models.Embedder = models.hashing_embedder, chat: models.Chat = models.refusing_chat) -> DataFrame:
+    """Rows (component, healthy, detail): each table is there and its keys are unique, and the models answer. All are asked at once."""
+    there = {k: v for k, v in KEYS.items() if k in t}
+    asked = {
+        "tables": lambda: validate.schema_faults({k: t[k] for k in there}, there).groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).collect(),
+        "embedder": lambda: probe("embedder", lambda: f"{len(embedder(['one text'])[0])} dimensions"),
+        "chat": lambda: probe("chat", lambda: f"{len(chat(['Answer with a word.'])[0])} characters"),
+    }
+    with ThreadPoolExecutor() as pool:
+        told = {k: f.result() for k, f in {k: pool.submit(f) for k, f in asked.items()}.items()}
+    faults = {r["table_name"]: r["n"] for r in told["tables"]}
     rows = [(name, name in t and name not in faults, "missing" if name not in t else f"{faults[name]} keys occur more than once" if name in faults else "ok") for name in KEYS]
-    return next(iter(t.values())).sparkSession.createDataFrame(rows, "component string, healthy boolean, detail string")
+    return next(iter(t.values())).sparkSession.createDataFrame([*rows, told["embedder"], told["chat"]], "component string, healthy boolean, detail string")

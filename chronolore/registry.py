@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from chronolore.catalog import Query, asks, facts, ingest
+from chronolore.catalog import Query, asks, facts, ingest, linked, wire
 
-QUERIES: dict[str, Query] = ingest.query.queries | facts.query.queries | asks.query.queries
-ORACLE_SQL: dict[str, str] = ingest.query.oracles | facts.query.oracles | asks.query.oracles
+CATALOGS = [m.query for m in (ingest, wire, facts, asks, linked)]
+QUERIES: dict[str, Query] = {name: q for c in CATALOGS for name, q in c.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for c in CATALOGS for name, sql in c.oracles.items()}

@@ -34,8 +34,10 @@ def accepted(run: DataFrame) -> DataFrame:
 
 
 def write_run(results: DataFrame, folder: str, now: datetime | None = None) -> str:
+    """Writes a run, an array of results per file, as read_run() reads it."""
     path = f"{folder}/{(now or datetime.now(UTC)):%Y%m%d-%H%M%S}/extraction.json"
-    results.write.mode("overwrite").json(path)
+    rows = results.select(F.struct(*results.columns).alias("r"), F.spark_partition_id().alias("part"))
+    rows.groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value")).select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
     return path
 
 

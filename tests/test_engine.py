@@ -1,5 +1,7 @@
 import datetime as dt
+import json
 import random
+from pathlib import Path
 
 import pytest
 from fixtures import write_corpus
@@ -10,7 +12,8 @@ from chronolore.functions.dates import as_of
 from chronolore.operators import export, graph, models, render, scoring, search, stats, supersede, temporal, validate
 from chronolore.operators.acl import readable
 from chronolore.__main__ import main
-from chronolore.plans import ask, evaluate, load
+from chronolore.plans import ask, evaluate, extract, load
+from chronolore.sources import runs
 from chronolore.streaming import versions
 
 
@@ -275,7 +278,47 @@ def test_load(spark, tables):
     first, second, third = (got[f"the podcast launches on {d}."] for d in ("May 4", "May 18", "June 1"))
     assert first[1] == second[0] and second[1] == third[0] and third[1] is None and first[2] == second[2] == "SUPERSEDED"
     assert load.doctor(tables).where("NOT healthy").count() == 0
-    assert {r["component"]: r["healthy"] for r in load.doctor({"people": tables["people"].union(tables["people"])}).collect()} == {"people": False, "episodes": False, "utterances": False, "facts": False}
+    assert {r["component"]: r["healthy"] for r in load.doctor({"people": tables["people"].union(tables["people"])}).collect()} == {"people": False, "episodes": False, "utterances": False, "facts": False, "embedder": True, "chat": True}
+
+    def broken(texts):
+        raise OSError("out of reach")
+
+    told = {r["component"]: (r["healthy"], r["detail"]) for r in load.doctor(tables, broken).collect()}
+    assert told["embedder"] == (False, "OSError: out of reach") and told["chat"][0] and told["facts"][0]
+
+
+def test_refresh(spark, tables, tmp_path):
+    """What did not change stays, a changed episode takes the place of the stored one, and replacements are judged over both."""
+    load.write(tables, f"{tmp_path}/graph")
+    root = Path(write_corpus(tmp_path / "corpus"))
+    slots = load.Slots(least_similarity=0.6)
+
+    def again():
+        found, people = load.read_corpus(spark, str(root))
+        return load.refresh(spark, f"{tmp_path}/graph", found, people, load.accept(models.marker_extractor(found.utterances), found.utterances)[0], slots)
+
+    facts = lambda t: sorted((r["fact_id"], str(r["valid_to"])) for r in t["facts"].collect())
+    assert facts(again()) == facts(tables)
+    thread = root / "slack/threads/again.json"
+    thread.write_text(thread.read_text().replace("June 1", "July 9"))
+    changed = again()
+    said = {r["statement"]: r["valid_to"] for r in changed["facts"].collect() if r["statement"].startswith("the podcast")}
+    assert set(said) == {f"the podcast launches on {d}." for d in ("May 4", "May 18", "July 9")} and [s for s, end in said.items() if end is None] == ["the podcast launches on July 9."]
+    assert changed["utterances"].count() == tables["utterances"].count() and changed["episodes"].count() == tables["episodes"].count()
+
+
+def test_extraction_plan(spark, tmp_path):
+    """A model's answers become a stored run: repaired, checked, with what failed and why."""
+    found, _ = load.read_corpus(spark, write_corpus(tmp_path / "corpus"))
+    own = found.episodes.where("kind = 'MEETING_TRANSCRIPT' AND title = 'Budget sync'")
+    fact = {"type": "decision", "statement": "the budget stays at forty thousand", "status": "agreed", "confidence": 0.9}
+    answer = json.dumps({"facts": [fact | {"evidence": [{"utterance": 5, "quote": "Decision: the budget stays at forty thousand."}]}, fact | {"evidence": [{"utterance": 0, "quote": "nobody said this at all"}]}, fact | {"type": "RISK", "statement": "no"}]})
+    results = extract.stored(extract.run(own, found.utterances, lambda prompts: [answer for p in prompts if "Budget sync" in p and '"DECISION"' in p]), f"{tmp_path}/runs")
+    row = results.first()
+    assert [(f["statement"], f["evidence"][0]["utteranceOrdinal"]) for f in row["accepted"]] == [("the budget stays at forty thousand", 0)]
+    assert sorted(len(r["issues"]) for r in row["rejected"]) == [1, 2] and row["inputTokens"] > row["outputTokens"] > 0
+    assert runs.newest_run(spark, f"{tmp_path}/runs").endswith("extraction.json")
+    assert stats.run_totals(results).first()["acceptance_rate"] == pytest.approx(1 / 3)
 
 
 def test_the_same_question_differs_by_reader_and_time(tables):
@@ -304,17 +347,17 @@ def test_answers(tables):
 def test_tools(tables):
     nobody, insider = ask.Reader(), ask.Reader("insider", ["slack:C2", "zoom:ops"])
     out = ask.search_knowledge(tables, nobody, {"query": "podcast launches", "limit": 99})
-    assert "read as anonymous" in out and "At least 1 further fact matches this question and is outside" in out and "June 1" not in out
-    assert "further" not in ask.search_knowledge(tables, insider, {"query": "podcast launches"})
+    assert "for anonymous" in out and "1 more matching fact is hidden from this reader" in out and "June 1" not in out
+    assert "hidden" not in ask.search_knowledge(tables, insider, {"query": "podcast launches"})
     trace = ask.trace_decision(tables, insider, {"query": "podcast launches"})
-    assert trace.startswith("3 versions of this decision, oldest first.") and trace.index("May 4") < trace.index("May 18") < trace.index("June 1") and "CURRENT" in trace
-    assert ask.trace_decision(tables, nobody, {"fact_id": "fact:none"}).startswith("Nothing readable")
+    assert trace.startswith("3 versions from first to last") and trace.index("May 4") < trace.index("May 18") < trace.index("June 1") and "CURRENT" in trace
+    assert ask.trace_decision(tables, nobody, {"fact_id": "fact:none"}).startswith("No fact that you may read")
     owners = ask.find_owner(tables, insider, {"query": "podcast launches"})
-    assert "Mira Solano" in owners and "identity resolved by" in owners
+    assert "Mira Solano" in owners and "known by" in owners
     path = ask.path_between(tables, insider, {"from": "Mira Solano", "to": "#c1 — Decision: the podcast launches on May 18."})
     assert path.startswith("1 path between Mira Solano (Person) and #c1") and "2 hops." in path and "<-OWNED_BY-" in path and "-DERIVED_FROM->" in path
-    assert "matches nothing readable" in ask.path_between(tables, nobody, {"from": "Mira Solano", "to": "Budget sync"})
-    assert "Call again with one of these exactly" in ask.path_between(tables, nobody, {"from": "Alex", "to": "Mira Solano"})
+    assert "No readable node" in ask.path_between(tables, nobody, {"from": "Mira Solano", "to": "Budget sync"})
+    assert "Give one of them in full" in ask.path_between(tables, nobody, {"from": "Alex", "to": "Mira Solano"})
     with pytest.raises(ask.ToolError):
         ask.search_knowledge(tables, nobody, {"query": " "})
 
@@ -325,9 +368,13 @@ def test_notes(spark, tables, tmp_path):
     kinds = {f: len(list((tmp_path / f).iterdir())) for f in export.FOLDERS}
     assert kinds["Facts"] == 4 and kinds["People"] >= 5 and kinds["Episodes"] == 8
     note = (tmp_path / "Facts/the podcast launches on May 4.md").read_text()
-    assert "current: false" in note and "> Superseded on 2026-03-31" in note and "## Replaced by\n\n- [[the podcast launches on May 18]]" in note
-    assert "## Owns" in (tmp_path / "People/Mira Solano.md").read_text()
-    assert "revised 2 time(s)" in export.index_note("All", {"Facts": 5}, [("c", ["b", "a"])])
+    assert "current: false" in note and "> [!note] Replaced on 2026-03-31" in note and "## Replaced by\n\n- [[the podcast launches on May 18]]" in note
+    assert "## Facts owned" in (tmp_path / "People/Mira Solano.md").read_text()
+    assert "- [[c]], 2 before it\n  - [[b]]\n  - [[a]]\n" in export.index_note("All", {"Facts": 5}, [("c", ["b", "a"])])
+    index = export.index(tables, rows, "Index").first()["note"]
+    assert "- Facts: 4\n" in index and "- [[the podcast launches on June 1]], 2 before it\n  - [[the podcast launches on May 18]]\n" in index
+    export.write_notes(export.index(tables, rows, "Index"), f"file://{tmp_path}")
+    assert (tmp_path / "Index.md").read_text() == index
 
 
 def test_evaluation_and_command_line(spark, tables, tmp_path, capsys):
