@@ -9,17 +9,24 @@ a lower bound of its score, and that sum plus what the next segments of all comp
 only on that proof: rows whose upper bound is below the k-th lower bound can't be among the best. The possible members left
 are scored again exactly, in 64-bit integers, which the final order is taken from. If the proof never comes, all segments are read.
 
-Nulls and edges: see vector_blocks.usable(); zero vectors take part. Rows with the query's own id are not its candidates; a repeated id is
-one query. An empty table gives no rows.
+Numbers: sums of products are whole. Where the greatest sum that a block's numbers allow is below 2^53, impacts are summed as doubles, which is
+exact; else all rows are possible members and are scored in 64-bit integers. A table in which a score could pass 2^63 stops the
+query with an error (a score is a long).
+
+Nulls and edges: see vector_blocks.usable(); zero vectors take part; vectors of different lengths are different tables. Rows with the
+query's own id are not its candidates; a repeated id is one query, its rows are rows. Other columns are ignored, whatever their names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolore.llm.vector_blocks import first_k, search, usable
+from chronolore.llm.vector_blocks import by_length, first_k, queries_of, search, usable
 
 LEVELS, ROUNDS = 32, 12
 #: A round of rescoring costs as much as reading this share of the postings.
@@ -76,11 +83,19 @@ class Index:
         return candidates
 
 
+def whole_number(x: Column) -> Column:
+    """floor(x) as double; doubles from 2^53 on are whole already, and floor() as a long would clip them."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+
+
 def best(k: int, ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, queries = rows.astype(np.int64), queries.astype(np.int64)
+    # An impact is a difference of two products, so its sums are within twice those of products.
+    small = 2.0 * rows.shape[1] * float(np.abs(rows).max()) * float(np.abs(queries).max()) < 2.0**53
     index, out = Index(rows), []
     for i, query in enumerate(queries):
-        found = index.possible(query, ids == query_ids[i], k)
+        own = ids == query_ids[i]
+        found = index.possible(query, own, k) if small else np.flatnonzero(~own)
         scores = rows[found] @ query
         top = first_k(scores, ids[found], k)
         out.append((np.full(len(top), i), found[top], scores[top]))
@@ -89,6 +104,11 @@ def best(k: int, ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
 
 def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Rows query_id, rank, vec_id, score (long): the k greatest inner products for each row for which is_query (of id) holds."""
-    rows = usable(vectors, id_col, vec_col, allow_zero=True)
-    whole = rows.select("id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
-    return search(whole, is_query, lambda *a: best(k, *a), k, "long")
+    parts = []
+    for rows in by_length(usable(vectors, id_col, vec_col, allow_zero=True)):
+        whole = rows.select("id", F.transform("vec", lambda x: whole_number(x * scale)).alias("vec"))
+        greatest, n = whole.agg(F.max(F.array_max(F.transform("vec", F.abs))), F.max(F.size("vec"))).first()
+        if greatest is not None and n * greatest * greatest >= 2.0**63:
+            raise ValueError(f"components up to {greatest:g} over {scale} in {n} dimensions: a score could pass 64 bits")
+        parts.append(search(whole, queries_of(whole, is_query), lambda *a: best(k, *a), k, "long"))
+    return reduce(DataFrame.unionByName, parts)
