@@ -11,15 +11,15 @@ the windows around shared anchors alone.
 Steps, all in one plan (the exchange of the texts is made once and read three times):
 
  1. texts are dealt into buckets by doc_id; each bucket sends its anchors' hashes, each once, with a mark if several of its own documents
-    hold it, to the hash's partition;
- 2. a hash that several documents hold is sent back to the buckets that hold it;
+    hold it;
+ 2. a window over each hash finds those that several documents hold, and sends them back to the buckets that hold them;
  3. each bucket extends: for all windows that contain a shared anchor it sends the window's 128-bit hash with the least doc_id it has for it;
- 4. the least doc_id over all buckets goes back to buckets that hold a greater one;
+ 4. the least doc_id over all buckets, a window again, goes back to buckets that hold a greater one;
  5. each bucket removes the words that such windows cover.
 
 A passage that a third of all documents share costs one row per bucket and hash, not one per document, and pairs of documents are never
-made. Hashes travel packed in binary rows. Memory is bounded by a bucket of documents and by a part of the hashes, whose numbers grow with
-the table.
+made. Hashes are rows of (hash, bucket), sorted and spilled by Spark, as many as there are anchors (one for some 25 bytes of text) at any size
+of the table. Python holds one bucket of documents, whose size does not grow.
 
 Nulls and edges: null text has no words. Rows with null doc_id count as greater than all others and don't remove words of each other; rows
 that share a doc_id don't either. A text of fewer than 50 words keeps all. Other columns are ignored. An empty table gives no rows.
@@ -34,20 +34,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolore.llm.common import words_in_blocks
 
 #: A perfect difference set modulo 21: every difference occurs.
 PERIOD, COVER = 21, (0, 1, 6, 8, 18)
-#: A bucket's rows and bytes of text, about, and the partitions that buckets are dealt over at most.
-BUCKET_ROWS, BUCKET_BYTES, PARTITIONS = 8192, 8 << 20, 20_000
-#: Hashes of one part in steps 2 and 4, about.
-HASHES = 1 << 20
+#: A bucket's rows and bytes of text, about, the buckets for each core at least, and the partitions that buckets are dealt over at most.
+BUCKET_ROWS, BUCKET_BYTES, BUCKETS_A_CORE, PARTITIONS = 8192, 8 << 20, 4, 20_000
 NO_ID = np.iinfo(np.int64).max
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-FLAG = np.uint64(1)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -102,37 +99,16 @@ def anchor_places(n: int, length: int) -> np.ndarray:
     return at[np.isin(at % PERIOD, COVER)]
 
 
-def packed(bucket: int, columns: list[np.ndarray], parts: int) -> Iterator[dict]:
-    """The rows of columns (uint64, the first one decides the part) as one dict per part: part, bucket and the bytes of all columns."""
-    part = (columns[0] >> np.uint64(33)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        own = order[cuts[p] : cuts[p + 1]]
-        if len(own):
-            yield {"part": p, "bucket": bucket, "data": b"".join(c[own].tobytes() for c in columns)}
-
-
-def unpacked(data: bytes, columns: int) -> list[np.ndarray]:
-    return np.split(np.frombuffer(data, np.uint64), columns)
-
-
-PACKED = "part int, bucket int, data binary"
-
-
-def frame(rows: Iterator[dict]) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=["part", "bucket", "data"]).astype({"part": "int32", "bucket": "int32"})
-
-
 def ids_of(docs: pd.DataFrame) -> np.ndarray:
     return docs["doc_id"].astype("Int64").fillna(NO_ID).to_numpy(np.int64)
 
 
-def send_anchors(docs: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
+def send_anchors(docs: pd.DataFrame, length: int) -> pd.DataFrame:
+    """bucket, h, several: each anchor hash of the bucket once; several tells whether several of its documents hold it."""
     hasher, hashes, owners = Hasher(), [], []
     for doc_id, text in zip(ids_of(docs), docs["text"], strict=True):
         words = hasher.of(text)
-        found = np.unique(hasher.runs(words, length, B1)[anchor_places(len(words), length)] | FLAG)
+        found = np.unique(hasher.runs(words, length, B1)[anchor_places(len(words), length)])
         hashes.append(found)
         owners.append(np.full(len(found), doc_id))
     h, owner = np.concatenate(hashes), np.concatenate(owners)
@@ -140,35 +116,7 @@ def send_anchors(docs: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
     h, owner = h[order], owner[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     last = np.r_[first[1:], len(h)] - 1 if len(h) else first
-    # The lowest bit tells whether several documents of the bucket hold the hash.
-    several = owner[first] != owner[last]
-    return frame(packed(int(docs["bucket"].iloc[0]), [np.where(several, h[first], h[first] ^ FLAG)], parts))
-
-
-def shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: the hashes that several documents hold, sent back to the buckets that hold them. A hash comes once from a bucket."""
-    bucket = np.repeat(rows["bucket"].to_numpy(), [len(d) // 8 for d in rows["data"]])
-    h = gathered(rows, 1)[0]
-    several, h = (h & FLAG).astype(bool), h | FLAG
-    order = np.argsort(h, kind="stable")
-    h, bucket, several = h[order], bucket[order], several[order]
-    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    counts = np.diff(np.r_[starts, len(h)])
-    keep = np.repeat(np.logical_or.reduceat(several, starts) | (counts > 1), counts)
-    return by_bucket(int(rows["part"].iloc[0]), bucket[keep], [h[keep]])
-
-
-def by_bucket(part: int, bucket: np.ndarray, columns: list[np.ndarray]) -> pd.DataFrame:
-    order = np.argsort(bucket, kind="stable")
-    names, cuts = np.unique(bucket[order], return_index=True)
-    cuts = np.r_[cuts, len(order)]
-    return frame({"part": part, "bucket": int(b), "data": b"".join(c[order[cuts[i] : cuts[i + 1]]].tobytes() for c in columns)} for i, b in enumerate(names))
-
-
-def gathered(rows: pd.DataFrame, columns: int) -> list[np.ndarray]:
-    if not len(rows):
-        return [np.zeros(0, np.uint64)] * columns
-    return [np.concatenate(x) for x in zip(*(unpacked(d, columns) for d in rows["data"]), strict=True)]
+    return pd.DataFrame({"bucket": np.full(len(first), docs["bucket"].iloc[0], np.int32), "h": h[first].view(np.int64), "several": owner[first] != owner[last]})
 
 
 def near_anchor(hasher: Hasher, words: np.ndarray, shared: np.ndarray, window: int, length: int) -> np.ndarray:
@@ -176,7 +124,7 @@ def near_anchor(hasher: Hasher, words: np.ndarray, shared: np.ndarray, window: i
     n, at = len(words), anchor_places(len(words), length)
     if n < window or not len(shared):
         return np.zeros(0, np.int64)
-    h = hasher.runs(words, length, B1)[at] | FLAG
+    h = hasher.runs(words, length, B1)[at]
     place = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
     at = at[shared[place] == h]
     edges = np.zeros(n + 1, np.int64)
@@ -186,9 +134,9 @@ def near_anchor(hasher: Hasher, words: np.ndarray, shared: np.ndarray, window: i
     return starts[starts <= n - window]
 
 
-def windows(docs: pd.DataFrame, answers: pd.DataFrame, window: int, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row number, doc_id, starts and two hashes of the windows of each document that has such."""
-    hasher, shared = Hasher(), np.sort(gathered(answers, 1)[0])
+def windows(docs: pd.DataFrame, shared: np.ndarray, window: int, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row number, doc_id, starts and two hashes of the windows of each document that contain one of the shared anchors (sorted)."""
+    hasher = Hasher()
     for row, (doc_id, text) in enumerate(zip(ids_of(docs), docs["text"], strict=True)):
         words = hasher.of(text)
         starts = near_anchor(hasher, words, shared, window, length)
@@ -204,39 +152,38 @@ def least(h1: np.ndarray, h2: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray
     return h1[first], h2[first], owner[first]
 
 
-def send_windows(docs: pd.DataFrame, answers: pd.DataFrame, window: int, length: int, parts: int) -> pd.DataFrame:
-    if not len(docs):
-        return frame(iter(()))
-    found = list(windows(docs, answers, window, length))
-    if not found:
-        return frame(iter(()))
-    owner = np.concatenate([np.full(len(s), doc_id) for _, doc_id, s, _, _ in found])
-    h1, h2, owner = least(np.concatenate([f[3] for f in found]), np.concatenate([f[4] for f in found]), owner)
-    return frame(packed(int(docs["bucket"].iloc[0]), [h1, h2, owner.view(np.uint64)], parts))
+def hashes_of(column: pd.Series) -> np.ndarray:
+    return column.to_numpy(np.int64).view(np.uint64)
+
 
+ANCHOR, WINDOW = 0, 1
+SENT = "bucket int, kind int, h1 long, h2 long, owner long"
 
-def least_owners(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: to each bucket, the windows of which another bucket holds a smaller doc_id, with the smallest."""
-    bucket = np.repeat(rows["bucket"].to_numpy(), [len(d) // 24 for d in rows["data"]])
-    h1, h2, owner = gathered(rows, 3)
-    owner = owner.view(np.int64)
-    order = np.lexsort((h2, h1))
-    h1, h2, owner, bucket = h1[order], h2[order], owner[order], bucket[order]
-    starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-    smallest = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.r_[starts, len(h1)]))
-    keep = smallest < owner
-    return by_bucket(int(rows["part"].iloc[0]), bucket[keep], [h1[keep], h2[keep], smallest[keep].view(np.uint64)])
+
+def send_windows(docs: pd.DataFrame, anchors: pd.DataFrame, window: int, length: int) -> pd.DataFrame:
+    """SENT: each window of the bucket with a shared anchor once, with the least doc_id that has it (h1 and h2: its hash), and the shared
+    anchors themselves (h1), for the last step."""
+    shared = np.sort(hashes_of(anchors["h"]))
+    found = list(windows(docs, shared, window, length)) if len(docs) else []
+    none, bucket = np.zeros(0, np.uint64), docs["bucket"].iloc[0] if len(docs) else 0
+    owner = np.concatenate([np.zeros(0, np.int64), *[np.full(len(s), doc_id) for _, doc_id, s, _, _ in found]])
+    h1, h2, owner = least(np.concatenate([none, *[f[3] for f in found]]), np.concatenate([none, *[f[4] for f in found]]), owner)
+    if not found:
+        shared = none
+    # An anchor's second number only keeps the rows of many buckets apart.
+    kind = np.r_[np.full(len(h1), WINDOW, np.int32), np.full(len(shared), ANCHOR, np.int32)]
+    h2 = np.r_[h2.view(np.int64), np.full(len(shared), bucket, np.int64)]
+    return pd.DataFrame({"bucket": np.full(len(kind), bucket, np.int32), "kind": kind, "h1": np.r_[h1, shared].view(np.int64), "h2": h2, "owner": np.r_[owner, np.zeros(len(shared), np.int64)]})
 
 
 def removed_words(docs: pd.DataFrame, anchors: pd.DataFrame, owners: pd.DataFrame, window: int, length: int) -> dict[int, np.ndarray]:
     """For each row of the bucket that loses words: a mark for each word, true if it goes."""
-    found = list(windows(docs, anchors, window, length))
+    found = list(windows(docs, np.sort(hashes_of(anchors["h1"])), window, length))
     if not found:
         return {}
     own = np.concatenate([np.full(len(s), doc_id) for _, doc_id, s, _, _ in found])
     w1, w2 = np.concatenate([f[3] for f in found]), np.concatenate([f[4] for f in found])
-    o1, o2, o = gathered(owners, 3)
-    k1, k2, k = least(np.r_[w1, o1], np.r_[w2, o2], np.r_[own, o.view(np.int64)])
+    k1, k2, k = least(np.r_[w1, hashes_of(owners["h1"])], np.r_[w2, hashes_of(owners["h2"])], np.r_[own, owners["owner"].to_numpy(np.int64)])
     keys = np.empty(len(k1), [("a", "u8"), ("b", "u8")])
     keys["a"], keys["b"] = k1, k2
     asked = np.empty(len(w1), keys.dtype)
@@ -283,17 +230,18 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = False, c
     if length < 1:
         raise ValueError(f"a window has at least {PERIOD} words")
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets = max(1, math.ceil(max(rows / BUCKET_ROWS, size / BUCKET_BYTES)))
-    parts = max(1, math.ceil(size / 6 * len(COVER) / PERIOD / HASHES))
-    carried = F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(None).cast("int").alias("carried")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, math.ceil(rows / BUCKET_ROWS), math.ceil(size / BUCKET_BYTES), min(BUCKETS_A_CORE * cores, rows))
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried") if carry else F.lit(None).cast("int").alias("carried")
     bucket = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)).cast("int")
     dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), carried).repartition(min(buckets, PARTITIONS), "bucket")
     text = dealt.groupBy("bucket")
-    sent = text.applyInPandas(lambda d: send_anchors(d, length, parts), PACKED)
-    shared = sent.groupBy("part").applyInPandas(shared_anchors, PACKED)
-    asked = text.cogroup(shared.groupBy("bucket")).applyInPandas(lambda d, a: send_windows(d, a, window, length, parts), PACKED)
-    owners = asked.groupBy("part").applyInPandas(least_owners, PACKED)
-    answers = shared.select("bucket", "data", F.lit(1).alias("kind")).unionByName(owners.select("bucket", "data", F.lit(2).alias("kind")))
+    sent = text.applyInPandas(lambda d: send_anchors(d, length), "bucket int, h long, several boolean")
+    same = Window.partitionBy("h")
+    shared = sent.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("any", F.max("several").over(same)).where("n > 1 OR any").select("bucket", "h")
+    asked = text.cogroup(shared.groupBy("bucket")).applyInPandas(lambda d, a: send_windows(d, a, window, length), SENT)
+    smallest = F.min("owner").over(Window.partitionBy("kind", "h1", "h2"))
+    answers = asked.withColumn("least", smallest).where(f"kind = {ANCHOR} OR least < owner").select("bucket", "kind", "h1", "h2", F.col("least").alias("owner"))
     out_type = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
     if carry:
         out_type += f", carried {dealt.schema['carried'].dataType.simpleString()}"
@@ -301,11 +249,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = False, c
     def end(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(d):
             return finish(d, {}, keep_text)
-        out = finish(d, removed_words(d, a[a["kind"] == 1], a[a["kind"] == 2], window, length), keep_text)
+        anchor = a["kind"] == ANCHOR
+        out = finish(d, removed_words(d, a[anchor], a[~anchor], window, length), keep_text)
         return out.assign(carried=d["carried"].to_numpy()) if carry else out
 
     done = text.cogroup(answers.groupBy("bucket")).applyInPandas(end, out_type)
-    return done.select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept"), *([F.col(f"carried.{c}").alias(c) for c in carry] if carry else []))
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept"), *([F.col("carried")[c].alias(c) for c in carry] if carry else []))
 
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
