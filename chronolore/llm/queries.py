@@ -23,7 +23,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +101,29 @@ ORACLE_SQL: dict[str, str] = {
             FROM w WINDOW u AS (ORDER BY most / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         ), t AS (
             SELECT *, least(most, weight * (SELECT level FROM l WHERE ratio >= level ORDER BY ratio, no LIMIT 1)) AS target FROM l
+        ), b AS (
+            SELECT block, CAST(greatest(1, ceil(1.5::DOUBLE * words / block)) AS BIGINT) AS slots
+            FROM (SELECT words, least(2048, greatest(1, CAST(floor(1.5::DOUBLE * words) AS BIGINT) >> 20)) AS block FROM (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS words FROM d))
+        ), stretch AS (
+            SELECT no, source_size, low, coalesce(lead(low) OVER (ORDER BY no), 2.0::DOUBLE) AS until
+            FROM (SELECT no, source_size, target, coalesce(sum(target) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) / (SELECT sum(target) FROM t) AS low FROM t) WHERE target > 0
+        ), i AS (
+            SELECT unnest(range((SELECT slots FROM b))) AS slot
+        ), z AS (
+            SELECT slot, (slot >> 20)::DOUBLE * '{GOLDEN_STEP}'::DOUBLE + ((slot % 1048576)::DOUBLE + 0.5::DOUBLE) * '{GOLDEN}'::DOUBLE AS x FROM i
+        ), drawn AS (
+            SELECT no, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS block_no FROM z JOIN stretch ON x - floor(x) >= low AND x - floor(x) < until
+        ), asked AS (
+            SELECT no, least(count(*) * any_value(block), any_value(source_size) * 2) AS words FROM drawn JOIN stretch USING (no), b GROUP BY no
         ), p AS (
-            SELECT d.doc_id, d.size, d.source, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS whole,
+            SELECT d.doc_id, d.size, d.source, t.no, t.source_size, t.target, coalesce(asked.words, 0) AS words,
                 coalesce(sum(d.size) OVER (PARTITION BY t.no ORDER BY d.place, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN asked USING (no)
         )
         SELECT doc_id, size, source_size, target, source,
-            CAST(greatest(0, least(start + size, whole) - start) + greatest(0, least(start + source_size + size, whole) - start - source_size) AS BIGINT) AS taken
-        FROM p""",
+            CAST(greatest(0, least(start + size, words) - start) + greatest(0, least(start + source_size + size, words) - start - source_size) AS BIGINT) AS taken,
+            CASE WHEN size > 0 AND start < words THEN drawn.slot END AS first_slot
+        FROM p LEFT JOIN b ON true LEFT JOIN drawn ON drawn.no = p.no AND drawn.block_no = start // block""".replace("{GOLDEN_STEP}", repr(mixing.GOLDEN_STEP)).replace("{GOLDEN}", repr(mixing.GOLDEN)),
     "op6_impact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
