@@ -11,8 +11,9 @@ The combination is taken out as often as its lengths last, so a table of any siz
 Place: pieces get ranks within their length, by buckets, so a length that a third of all pieces have is no single task; a rank
 then finds its sequence and offset in the plan by binary search.
 
-Tokens of a text are those of its white-space separated words one by one (the tokenizer drops white space and never joins over
-it); a batch's different words are tokenized once.
+Tokens of a text are those of its white-space separated words one by one where the tokenizer's own settings say that it takes no account of
+white space and of case and never joins over white space (wordwise()); a batch's different words are then tokenized once. Any other tokenizer
+gets whole texts.
 
 Nulls and edges: a null text is empty, its one piece is end_id. Repeated rows are packed as rows of their own; a null id stays. Other
 columns are ignored. An empty table gives no rows.
@@ -21,6 +22,7 @@ columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -36,12 +38,25 @@ from chronolore.llm.common import balanced_buckets, cut, ranked
 
 #: Words that are tokenized as one text, and what stands between them.
 TOGETHER, MARK = 512, "\x01"
+#: Fixed value: expressions whose matches, the only text that is kept, hold no white space; each word's matches are found without its neighbours.
+SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 #: Ranks below 2^RANK_BITS and lengths share a 64-bit key.
 RANK_BITS = 44
 
 
+def wordwise(config: dict, mark_ids: list[int]) -> bool:
+    """Whether a text's ids are those of its words one by one, whatever the white space between them and the case of ASCII letters: text is
+    lower-cased, cut at white space by the pre-tokenizer's expression, no special token is written without "<|", and MARK is one id."""
+    normalizers = (config.get("normalizer") or {}).get("normalizers", [])
+    first = next(iter((config.get("pre_tokenizer") or {}).get("pretokenizers", [])), {})
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and str(first.get("pattern", {}).get("Regex", "")) in SPLITS
+    special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in config.get("added_tokens", []))
+    lower = any(n["type"] == "Lowercase" for n in normalizers) and all(n["type"] in ("NFC", "Lowercase") or n.get("pattern") == {"Regex": "\\s+"} and n["content"] == " " for n in normalizers)
+    return bool(lower and split and special and config.get("post_processor") is None and len(mark_ids) == 1)
+
+
 class WordTokens:
-    """ids of texts, by their words. The words of a batch are made a dictionary by Arrow, each different word is tokenized once, and the
+    """ids of texts, by their words if the tokenizer is wordwise(), else of whole texts. The words of a batch are made a dictionary by Arrow, each different word is tokenized once, and the
     texts' ids are gathered by number."""
 
     def __init__(self, tokenizer: str) -> None:
@@ -49,7 +64,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark, self.wordwise = mark[0] if mark else None, wordwise(json.loads(tokenizer), mark)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,6 +94,10 @@ class WordTokens:
 
     def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """ids of each text (strings without null)."""
+        if not self.wordwise:
+            for at in range(0, len(texts), TOGETHER):
+                yield from self.encode(texts.slice(at, TOGETHER).to_pylist())
+            return
         # The tokenizer takes no account of case, but for special tokens, which are spelt with "<|".
         folded = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(folded)
