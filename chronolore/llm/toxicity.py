@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,36 +138,39 @@ def numbered(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.mapInArrow(find, "positive boolean, features array<int>")
 
 
-def fit(names: list[str], positive: list[list[int]], unlabelled: list[list[int]], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 3e-5) -> Model:
+def fit(names: list[str], positive: list[list[int]], unlabelled: list[list[int]], prior: float, **settings) -> Model:
     """The model from samples of texts, each as numbers of names."""
-    if not names or not positive or not unlabelled:
-        return Model({}, -1e6)
     rows = [np.asarray(t, np.int64) for t in [*positive, *unlabelled]]
-    counts = np.array([len(r) for r in rows])
-    columns, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), counts)
-    n, size = len(positive), len(names)
+    return fitted(names, np.concatenate([np.zeros(0, np.int64), *rows]), np.array([len(r) for r in rows], np.int64), len(positive), prior, **settings)
+
+
+def fitted(names: list[str], columns: np.ndarray, counts: np.ndarray, n: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 3e-5, gap: tuple[float, float] = (-2.0, 1.0)) -> Model:
+    """The model from samples of texts: the numbers of names of one after another, how many each has, the n positives first."""
+    if not names or not n or n == len(counts):
+        return Model({}, -1e6)
+    row, size = np.repeat(np.arange(len(counts)), counts), len(names)
     w = np.full(size + 1, 0.25)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        z = np.bincount(row, w[columns], len(rows)) + w[-1]
+        z = np.bincount(row, w[columns], len(counts)) + w[-1]
         s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         slope = s * (1 - s)
         negative = s[n:].mean() - prior * s[:n].mean()
-        g = np.zeros(len(rows))
+        g = np.zeros(len(counts))
         if negative >= 0:
             g[:n] = -2 * prior * slope[:n] / n
-            g[n:] = slope[n:] / (len(rows) - n)
+            g[n:] = slope[n:] / (len(counts) - n)
         else:
             g[:n] = prior * slope[:n] / n
-            g[n:] = -slope[n:] / (len(rows) - n)
+            g[n:] = -slope[n:] / (len(counts) - n)
         grad = np.append(np.bincount(columns, g[row], size) + decay * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w[:-1] = np.maximum(w[:-1], 0)  # the features are those that speak for a positive
-    # The sigmoid loss leaves some sample positives just below the threshold: it moves into the widest gap of the sample's scores there.
-    z = np.sort(np.bincount(row, w[columns], len(rows)) + w[-1])
-    low, high = np.searchsorted(z, [-1.0, 0.5])
+    # The sigmoid loss leaves some sample positives just below the threshold: it moves into the widest gap of the sample's scores near it.
+    z = np.sort(np.bincount(row, w[columns], len(counts)) + w[-1])
+    low, high = np.searchsorted(z, gap)
     if high - low > 1:
         at = low + int(np.argmax(np.diff(z[low:high])))
         w[-1] -= (z[at] + z[at + 1]) / 2
@@ -182,9 +186,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     if not positives or not unlabelled:
         return Model({}, -1e6)
     names = select(rows, positives, unlabelled)
-    found = numbered(rows, names).collect()
+    found = numbered(rows, names).toArrow().sort_by([("positive", "descending")])
     prior = min(max(toxic / max(n, 1), 0.001), 0.9)
-    return fit(names, [r["features"] for r in found if r["positive"]], [r["features"] for r in found if not r["positive"]], prior)
+    features = found.column("features").combine_chunks()
+    return fitted(names, features.flatten().to_numpy(), np.diff(features.offsets.to_numpy()), int(pc.sum(found.column("positive")).as_py() or 0), prior)
 
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
@@ -209,4 +214,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that score 0.5 or more."""
-    return docs.withColumn("_score", scorer(docs.sparkSession, model)(F.col("text"))).where("_score < 0.5").drop("_score")
+    # Whole rows travel as a struct, so no column of docs meets the score's name.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scorer(docs.sparkSession, model)(F.col("text")).alias("score"))
+    return rows.where("score < 0.5").select(*[F.col("row")[c].alias(c) for c in docs.columns])
