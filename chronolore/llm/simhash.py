@@ -10,7 +10,7 @@ compared.
 Blocks of 64-bit fingerprints lose no link: the bits are cut into segments, fingerprints within the radius agree in at least
 segments - radius of them, so each fingerprint is dealt to one block per choice of that many segments and every link lies in some block.
 The number of segments grows with the table (5 give 13-bit keys, 8 give 32-bit keys), which keeps blocks within a few tiles at any size.
-Wide fingerprints, for similarities far below 1, are dealt by the values of BAND-bit bands drawn over all bits, as many as give a pair at the
+Wide fingerprints of links(), for similarities far below 1, are dealt by the values of BAND-bit bands drawn over all bits, as many as give a pair at the
 radius a chance of MISSED or less to share none; longer and more bands as the table grows. A pair that shares no block may still
 be joined through others. one_of_each() does not use these: near_copies() finds and counts its pairs by their shingles.
 
@@ -39,6 +39,11 @@ from pyspark.sql import functions as F
 from chronolore.llm.common import components, cut, words_in_blocks
 
 SEED, BAND, MISSED = 42, 12, 0.05
+#: Rows of a few numbers that may be sent to every executor: some tens of MB.
+BROADCAST = 500_000
+#: near_copies(): hashes of a class that it meets others by at first; documents sampled for shingles that are frequent, the documents among
+#: them that such a shingle is in, and how many shingles are taken at most; sets that a task remembers.
+FEW, SAMPLED, COMMON, MOST_FREQUENT, REMEMBERED = 3, 8000, 4, 100_000, 2000
 #: Bits of 256 that fingerprints of sets alike by 0.8 differ in at most.
 FAR = 96
 #: A different part of a wide fingerprint for each.
@@ -247,8 +252,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, ti
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")))
     label = components(links(distinct.select("fp", "bits"), distinct.count(), radius, tile, parts))
     rooted = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "label", "component_id")
-    return marked.drop("bits").join(named, "fp").select("doc_id", "key", "fp", "label", "component_id")
+    return marked.drop("bits").join(named(rooted), "fp").select("doc_id", "key", "fp", "label", "component_id")
+
+
+def named(rooted: DataFrame) -> DataFrame:
+    """fp, label, component_id of rows fp, least, label: the least of each label. Least values are merged before their shuffle and kept, so
+    the join with a label of very many rows reads two plain exchanges, and adaptive execution splits the uneven one."""
+    least = cut(rooted.groupBy("label").agg(F.min("least").alias("component_id")))
+    return rooted.join(least, "label").select("fp", "label", "component_id")
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -290,12 +301,73 @@ def candidates(batches: Iterator[pa.RecordBatch], similarity: float, every: bool
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
+def if_small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are at most BROADCAST (rows of one or two longs; counted here)."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
+def frequent_shingles(docs: DataFrame, shingle_words: int) -> np.ndarray:
+    """Hashes of shingles that are in COMMON or more of a sample of about SAMPLED documents (those of certain hashes of doc_id), in rising
+    order; if they are over MOST_FREQUENT, the most frequent ones. They change the work of near_copies(), not what it finds."""
+    rows = docs.count()
+    share = min(1.0, SAMPLED / max(rows, 1))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle_words) for t in batch.column(0)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("text").cast("binary").alias("text"))
+    counts = picked.mapInArrow(shingles, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").collect()], np.int64).view(np.uint64))
+
+
+def prefix(found: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n hashes in one order for all sets: those that aren't frequent, then the others, by value."""
+    n = len(found)
+    if len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
+        found = np.concatenate([found[~often], found[often]])
+    return found[: n - math.ceil(similarity * n - 1e-9) + 1] if n else found
+
+
+def alike(edges: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Those of the edges (u, v) whose texts (fp, text) have sets of shingles of this similarity, counted."""
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+
+        def of(fp: int, text: pa.Scalar) -> np.ndarray:
+            if fp not in sets:
+                if len(sets) >= REMEMBERED:
+                    sets.clear()
+                sets[fp] = shingle_set(text.as_py(), shingle_words)
+            return sets[fp]
+
+        for batch in batches:
+            keep = []
+            for u, v, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                x, y = of(u, a), of(v, b)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+
+    rows = edges.join(texts.select(F.col("fp").alias("v"), F.col("text").alias("tv")), "v").join(texts.select(F.col("fp").alias("u"), F.col("text").alias("tu")), "u")
+    return rows.select("u", "v", "tu", "tv").mapInArrow(similar, "u long, v long")
+
+
 def near_copies(docs: DataFrame, shingle_words: int, similarity: float, parts: int = 4, tile: int = 4096) -> DataFrame:
     """One row per document: doc_id, key, label, component_id, as near_duplicates, of links between texts whose sets of shingles have a
-    Jaccard similarity of at least similarity, counted exactly. Texts of one set are one class (fp). Two sets so alike share one of
-    the first n - ceil(similarity * n) + 1 of their n hashes, so classes meet by these; of groups of the same classes one stays. Bits
-    made of the different shingles leave out, within a group, what is FAR apart, which at 0.8 is ten standard deviations off. Links of a
-    spanning forest of each group are counted first, then all pairs that these leave in different components."""
+    Jaccard similarity of at least similarity, counted exactly. Texts of one set are one class (fp).
+
+    Two sets so alike share one of their prefix() hashes, so classes meet by these. First they meet by FEW hashes of each, links of a
+    spanning forest of each group are counted, and their components found. Then they meet by all hashes, but groups whose
+    classes are of one component by now are left out, and of groups of the same classes, told by their number and 128 bits of their hashes,
+    one stays; pairs of different components are counted. No group is ever gathered in a row or a task. Bits made of the different shingles
+    leave out, within a group, what is FAR apart, which at 0.8 is ten standard deviations off."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle_words))
 
     @F.pandas_udf("struct<fp: binary, n: int, bits: array<long>, first: array<long>>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -303,51 +375,42 @@ def near_copies(docs: DataFrame, shingle_words: int, similarity: float, parts: i
             rows = []
             for t in text:
                 found = shingle_set(t, shingle_words)
-                n = len(found)
-                first = found[: n - math.ceil(similarity * n - 1e-9) + 1] if n else found
-                rows.append((xxhash.xxh64_digest(found.tobytes(), SEED), n, majority([found], parts).view(np.int64), first.view(np.int64)))
+                rows.append((xxhash.xxh64_digest(found.tobytes(), SEED), len(found), majority([found], parts).view(np.int64), prefix(found, frequent.value, similarity).view(np.int64)))
             yield pd.DataFrame(rows, columns=["fp", "n", "bits", "first"])
 
-    @F.pandas_udf("array<long>")
-    def whole(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for text in texts:
-            yield pd.Series([shingle_set(t, shingle_words).view(np.int64) for t in text])
-
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
     made = keyed.select("doc_id", "key", sketch("text").alias("s")).select("doc_id", "key", F.xxhash64("s.fp").alias("fp"), "s.n", "s.bits", "s.first")
     marked = cut(made)
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("text_key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first"))
-    groups = classes.select("fp", F.explode("first").alias("h")).groupBy("h").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1).select(F.xxhash64("fps").alias("key"), "fps").dropDuplicates(["key"])
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("text_key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first")))
     ones = sum((F.bit_count(F.col("bits")[part]) for part in range(parts)), F.lit(0)).cast("int").alias("ones")
-    members = cut(groups.select("key", F.explode("fps").alias("fp")))
-    met = classes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "text_key", "n", "bits", ones)
-    met = cut(met)
-
-    def pairs(label: DataFrame | None) -> DataFrame:
-        every = label is not None
-        of = met.join(label, met["fp"] == label["node"], "left").select("fp", "n", "bits", "ones", F.coalesce("label", "fp").alias("label")) if every else met.select("fp", "n", "bits", "ones", F.col("fp").alias("label"))
-        flat = tiles(members.join(of, "fp"), FAR, tile).select("block", "side", "fp", "n", "label", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)])
+
+    def groups(first: Column, label: DataFrame | None) -> DataFrame:
+        """Rows key, fp, label of the groups by the hashes first that have classes of several labels, each set of classes once."""
+        named_by = lambda df: df.withColumn("label", F.col("fp")) if label is None else df.join(label, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp")).drop("node")
+        found = named_by(classes.select("fp", first.alias("first"))).select("label", F.explode("first").alias("h")).groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+        mixed_labels = cut(found.where("a < b").select("h"))
+        shared = cut(classes.select("fp", F.explode(first).alias("h")).join(if_small(mixed_labels), "h").select("h", "fp"))
+        xor = lambda seed: F.bit_xor(F.xxhash64("fp", F.lit(seed)))
+        signed_groups = shared.groupBy("h").agg(F.count(F.lit(1)).alias("size"), xor(1).alias("s1"), xor(2).alias("s2"))
+        one = cut(signed_groups.groupBy("size", "s1", "s2").agg(F.min("h").alias("h")).select("h"))
+        return named_by(shared.join(if_small(one), "h").select(F.col("h").alias("key"), "fp")).select("key", "fp", "label")
+
+    def pairs(members: DataFrame, every: bool) -> DataFrame:
+        met = members.join(classes.select("fp", "n", "bits", ones), "fp")
+        flat = tiles(met, FAR, tile).select("block", "side", "fp", "n", "label", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)])
         laid = flat.repartition("block").sortWithinPartitions("block")
         found = laid.mapInArrow(lambda batches: candidates(batches, similarity, every), "u long, v long")
-        return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-    def alike(edges: DataFrame) -> DataFrame:
-        """Those of the edges whose sets are alike."""
-        needed = met.join(edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "text_key")
-        texts = keyed.join(needed, F.col("key") == F.col("text_key")).groupBy("fp").agg(F.first("text").alias("text"))
-        sets = cut(texts.select("fp", whole("text").alias("set")))
-        two = edges.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("fp").alias("v"), F.col("set").alias("sv")), "v")
-        both = F.size(F.array_intersect("su", "sv"))
-        return two.where(both / (F.size("su") + F.size("sv") - both) >= similarity).select("u", "v")
-
-    forests = cut(pairs(None))
-    sure = cut(alike(forests))
-    rest = cut(pairs(components(sure)).join(forests, ["u", "v"], "left_anti"))
-    label = components(sure.unionByName(alike(rest)))
+        edges = cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        needed = cut(edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(classes.select("fp", "text_key"), "fp"))
+        texts = cut(keyed.join(if_small(needed), F.col("key") == F.col("text_key")).groupBy("fp").agg(F.first("text").alias("text")))
+        return cut(alike(edges, texts, shingle_words, similarity))
+
+    sure = pairs(groups(F.slice("first", 1, FEW), None), False)
+    label = cut(components(sure))
+    label = components(sure.unionByName(pairs(groups(F.col("first"), if_small(label)), True)))
     small = classes.select("fp", "least")
     rooted = small.join(label, small["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "label", "component_id")
-    return marked.select("doc_id", "key", "fp").join(named, "fp").select("doc_id", "key", "label", "component_id")
+    return marked.select("doc_id", "key", "fp").join(named(rooted), "fp").select("doc_id", "key", "label", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
@@ -355,11 +418,12 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     ids) are found first, and only if there are any is a second pass made."""
     found = cut(near_copies(docs, shingle_words, similarity, parts))
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.where(~least).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (keyed["_key"] == gone["_gone_key"]), "left_anti")
-    if found.where(least).groupBy("doc_id", "label").count().where("count > 1").isEmpty():
-        return kept.drop("_key")
-    label = found.where(least).select(F.col("doc_id").alias("_id"), F.col("key").alias("_label_key"), F.col("label").alias("_label")).distinct()
-    named = kept.join(label, kept["doc_id"].cast("long").eqNullSafe(label["_id"]) & (kept["_key"] == label["_label_key"]))
-    return named.dropDuplicates(["doc_id", "_label"]).select(*docs.columns)
+    gone = found.where(~least).select(F.struct("doc_id").alias("id"), "key").distinct()
+    # Whole rows travel as a struct, so no column of docs meets a name used here; a struct of an id equals another with the same null.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = rows.select("row", F.struct(F.col("row.doc_id").cast("long").alias("doc_id")).alias("id"), F.xxhash64("row.text").alias("key"))
+    kept = keyed.join(gone, ["id", "key"], "left_anti")
+    if not found.where(least).groupBy("doc_id", "label").count().where("count > 1").isEmpty():
+        label = found.where(least).select(F.struct("doc_id").alias("id"), "key", "label").distinct()
+        kept = kept.join(label, ["id", "key"]).dropDuplicates(["id", "label"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
