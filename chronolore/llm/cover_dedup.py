@@ -14,8 +14,8 @@ Steps, all in one plan (the exchange of the texts is made once and read three ti
     hold it;
  2. a window over each hash finds those that several documents hold, and sends them back to the buckets that hold them;
  3. each bucket extends: for all windows that contain a shared anchor it sends the window's 128-bit hash with the least doc_id it has for it;
- 4. the least doc_id over all buckets, a window again, goes back to buckets that hold a greater one;
- 5. each bucket removes the words that such windows cover.
+ 4. the least doc_id over all buckets is found, a window again, and a bucket is told the numbers of its windows that a smaller doc_id has;
+ 5. each bucket removes the words that such windows cover, and those that a smaller doc_id of its own has.
 
 A passage that a third of all documents share costs one row per bucket and hash, not one per document, and pairs of documents are never
 made. Hashes are rows of (hash, bucket), sorted and spilled by Spark, as many as there are anchors (one for some 25 bytes of text) at any size
@@ -144,51 +144,56 @@ def windows(docs: pd.DataFrame, shared: np.ndarray, window: int, length: int) ->
             yield row, doc_id, starts, hasher.runs(words, window, B1)[starts], hasher.runs(words, window, B2)[starts]
 
 
-def least(h1: np.ndarray, h2: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The least owner of each pair of hashes."""
-    order = np.lexsort((owner, h2, h1))
-    h1, h2, owner = h1[order], h2[order], owner[order]
-    first = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])] if len(h1) else np.zeros(0, bool)
-    return h1[first], h2[first], owner[first]
-
-
-def hashes_of(column: pd.Series) -> np.ndarray:
-    return column.to_numpy(np.int64).view(np.uint64)
+ANCHOR, WINDOW = 0, 1
+SENT = "bucket int, kind int, h1 long, h2 long, owner long, number int"
 
 
-ANCHOR, WINDOW = 0, 1
-SENT = "bucket int, kind int, h1 long, h2 long, owner long"
+def different(found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different windows of windows(), in the order of their hashes: both hashes and the least doc_id that has it; and for each window
+    found its doc_id and its number among the different ones."""
+    none = np.zeros(0, np.uint64)
+    own = np.concatenate([np.zeros(0, np.int64), *[np.full(len(s), doc_id) for _, doc_id, s, _, _ in found]])
+    h1, h2 = (np.concatenate([none, *[f[i] for f in found]]) for i in (3, 4))
+    order = np.lexsort((own, h2, h1))
+    a, b = h1[order], h2[order]
+    first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return a[first], b[first], own[order][first], own, number
 
 
 def send_windows(docs: pd.DataFrame, anchors: pd.DataFrame, window: int, length: int) -> pd.DataFrame:
-    """SENT: each window of the bucket with a shared anchor once, with the least doc_id that has it (h1 and h2: its hash), and the shared
-    anchors themselves (h1), for the last step."""
-    shared = np.sort(hashes_of(anchors["h"]))
+    """SENT: each window of the bucket with a shared anchor once (h1 and h2: its hash) with the least doc_id that has it and its number,
+    and the shared anchors themselves (h1), for the last step."""
+    shared = np.sort(anchors["h"].to_numpy(np.int64).view(np.uint64))
     found = list(windows(docs, shared, window, length)) if len(docs) else []
-    none, bucket = np.zeros(0, np.uint64), docs["bucket"].iloc[0] if len(docs) else 0
-    owner = np.concatenate([np.zeros(0, np.int64), *[np.full(len(s), doc_id) for _, doc_id, s, _, _ in found]])
-    h1, h2, owner = least(np.concatenate([none, *[f[3] for f in found]]), np.concatenate([none, *[f[4] for f in found]]), owner)
+    h1, h2, owner, _, _ = different(found)
     if not found:
-        shared = none
-    # An anchor's second number only keeps the rows of many buckets apart.
-    kind = np.r_[np.full(len(h1), WINDOW, np.int32), np.full(len(shared), ANCHOR, np.int32)]
-    h2 = np.r_[h2.view(np.int64), np.full(len(shared), bucket, np.int64)]
-    return pd.DataFrame({"bucket": np.full(len(kind), bucket, np.int32), "kind": kind, "h1": np.r_[h1, shared].view(np.int64), "h2": h2, "owner": np.r_[owner, np.zeros(len(shared), np.int64)]})
-
-
-def removed_words(docs: pd.DataFrame, anchors: pd.DataFrame, owners: pd.DataFrame, window: int, length: int) -> dict[int, np.ndarray]:
-    """For each row of the bucket that loses words: a mark for each word, true if it goes."""
-    found = list(windows(docs, np.sort(hashes_of(anchors["h1"])), window, length))
+        shared = shared[:0]
+    n, more = len(h1), len(shared)
+    bucket = docs["bucket"].iloc[0] if len(docs) else 0
+    columns = {
+        "bucket": np.full(n + more, bucket, np.int32),
+        "kind": np.repeat(np.array([WINDOW, ANCHOR], np.int32), [n, more]),
+        "h1": np.r_[h1, shared].view(np.int64),
+        # An anchor's second number only keeps the rows of many buckets apart.
+        "h2": np.r_[h2.view(np.int64), np.full(more, bucket, np.int64)],
+        "owner": np.r_[owner, np.zeros(more, np.int64)],
+        "number": np.r_[np.arange(n, dtype=np.int32), np.zeros(more, np.int32)],
+    }
+    return pd.DataFrame(columns)
+
+
+def removed_words(docs: pd.DataFrame, anchors: np.ndarray, told: np.ndarray, window: int, length: int) -> dict[int, np.ndarray]:
+    """For each row of the bucket that loses words: a mark for each word, true if it goes. told: numbers of windows that another bucket has
+    with a smaller doc_id than any here."""
+    found = list(windows(docs, np.sort(anchors.view(np.uint64)), window, length))
     if not found:
         return {}
-    own = np.concatenate([np.full(len(s), doc_id) for _, doc_id, s, _, _ in found])
-    w1, w2 = np.concatenate([f[3] for f in found]), np.concatenate([f[4] for f in found])
-    k1, k2, k = least(np.r_[w1, hashes_of(owners["h1"])], np.r_[w2, hashes_of(owners["h2"])], np.r_[own, owners["owner"].to_numpy(np.int64)])
-    keys = np.empty(len(k1), [("a", "u8"), ("b", "u8")])
-    keys["a"], keys["b"] = k1, k2
-    asked = np.empty(len(w1), keys.dtype)
-    asked["a"], asked["b"] = w1, w2
-    gone = k[np.searchsorted(keys, asked)] < own
+    _, _, owner, own, number = different(found)
+    elsewhere = np.zeros(len(owner), bool)
+    elsewhere[told] = True
+    gone = elsewhere[number] | (own > owner[number])
     out, at = {}, 0
     for row, _, starts, _, _ in found:
         lost = starts[gone[at : at + len(starts)]]
@@ -241,7 +246,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = False, c
     shared = sent.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("any", F.max("several").over(same)).where("n > 1 OR any").select("bucket", "h")
     asked = text.cogroup(shared.groupBy("bucket")).applyInPandas(lambda d, a: send_windows(d, a, window, length), SENT)
     smallest = F.min("owner").over(Window.partitionBy("kind", "h1", "h2"))
-    answers = asked.withColumn("least", smallest).where(f"kind = {ANCHOR} OR least < owner").select("bucket", "kind", "h1", "h2", F.col("least").alias("owner"))
+    answers = asked.withColumn("least", smallest).where(f"kind = {ANCHOR} OR least < owner")
+    answers = answers.select("bucket", "kind", F.when(F.col("kind") == ANCHOR, F.col("h1")).otherwise(F.col("number")).alias("h"))
     out_type = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
     if carry:
         out_type += f", carried {dealt.schema['carried'].dataType.simpleString()}"
@@ -249,8 +255,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = False, c
     def end(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(d):
             return finish(d, {}, keep_text)
-        anchor = a["kind"] == ANCHOR
-        out = finish(d, removed_words(d, a[anchor], a[~anchor], window, length), keep_text)
+        kind, h = a["kind"].to_numpy(), a["h"].to_numpy(np.int64)
+        out = finish(d, removed_words(d, h[kind == ANCHOR], h[kind == WINDOW], window, length), keep_text)
         return out.assign(carried=d["carried"].to_numpy()) if carry else out
 
     done = text.cogroup(answers.groupBy("bucket")).applyInPandas(end, out_type)
