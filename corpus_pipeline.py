@@ -22,7 +22,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays."""
+    """Of each group of near copies, linked at a five-word similarity of 0.8 or more, the document with the least doc_id stays."""
     return simhash.one_of_each(docs, shingle_words=5)
 
 
@@ -32,7 +32,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, repeated and cut as the sources' targets tell."""
+    """The documents of the mix, repeated and cut as the schedule tells, each file in its order."""
     return mixing.mixed_documents(docs)
 
 
@@ -51,11 +51,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared checkpoint folder and read again by the next."""
+    """All stages over documents; what a stage returns is written to the shared checkpoint folder and read again by the next. When it is
+    written, what the stage before it wrote is deleted: the last stage's input stays, as its result is read from it later."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     docs = queries.table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n - 1}"), True)
     return STAGES[-1][1](spark, docs, sf_dir)
