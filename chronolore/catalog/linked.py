@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolore.catalog import EVENT_FACTS_SQL, FACT_TYPES, HELD, VERSIONS_SQL, Catalog, event_facts, table
-from chronolore.catalog.asks import RUNS_SQL, supersedes
+from chronolore.catalog.asks import BM25_SQL, RUNS_SQL, supersedes
 from chronolore.catalog.facts import versions
 from chronolore.functions import dates, ids, text
 from chronolore.functions.dates import as_of
@@ -139,6 +139,52 @@ def stored_edges(spark: SparkSession, d: str) -> DataFrame:
     return supersede.edges(neighbour_judgements(spark, d), none).select("newer", "older", "type", "via_duplicate")
 
 
+def document_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Tables of a load made of documents: a document is a fact, every fourth in a row is the last version of those before it, those of fives are
+    hidden; its source is its episode."""
+    c, none = F.col, F.lit(None).cast("string")
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    nxt = docs.select((c("doc_id") - 1).alias("doc_id"), c("doc_id").alias("next_id")).where("doc_id % 4 < 3")
+    rows = docs.join(nxt, "doc_id", "left").join(table(spark, d, "embeddings").select(c("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    at = lambda x: F.timestamp_seconds(x * 60)
+    facts = rows.select(
+        c("doc_id").cast("string").alias("fact_id"), c("source").alias("episode_id"), F.lit("DECISION").alias("type"), c("text").alias("statement"), F.lit("AGREED").alias("status"), at(c("doc_id")).alias("occurred_at"), at(c("doc_id")).alias("valid_from"), at(c("next_id")).alias("valid_to"),
+        F.when(c("doc_id") % 5 == 0, F.array(F.lit("team:x"))).otherwise(F.array().cast("array<string>")).alias("acl_grants"), "embedding", c("next_id"),
+    )
+    events = tables(spark, d)
+    return {
+        "facts": facts.drop("next_id"), "edges": facts.where("next_id IS NOT NULL").select(c("next_id").cast("string").alias("newer"), c("fact_id").alias("older"), F.lit("SUPERSEDES").alias("type")),
+        "episodes": docs.select(c("source").alias("episode_id")).distinct().select("episode_id", F.lit("NOTION").alias("system"), c("episode_id").alias("title"), none.alias("permalink")),
+        **{n: events[n].limit(0) for n in ("people", "ownership", "evidence", "utterances")},
+    }
+
+
+RETRIEVAL_SQL = BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id % 5 > 0)").replace("(SELECT count(*) FROM documents)", "(SELECT count(*) FROM documents WHERE doc_id % 5 > 0)")
+
+
+@query(f"""
+    WITH {RETRIEVAL_SQL},
+    vs AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN benchmark ON q.vec_id = item_id JOIN embeddings v ON v.vec_id % 5 > 0 JOIN documents ON doc_id = v.vec_id),
+    vectors AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS INT) AS rank FROM vs),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS k FROM bm),
+    pair AS (SELECT query_id, doc_id, k AS rank FROM ranked WHERE k <= 40 UNION ALL SELECT query_id, doc_id, rank FROM vectors WHERE rank <= 40),
+    fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM pair GROUP BY ALL),
+    v AS (SELECT doc_id, source, doc_id % 4 < 3 AND doc_id + 1 IN (SELECT doc_id FROM documents) AS closed FROM documents),
+    step AS (SELECT a.doc_id AS a, b.doc_id AS b FROM v a JOIN v b ON a.doc_id // 4 = b.doc_id // 4 AND a.doc_id < b.doc_id WHERE NOT EXISTS (SELECT 1 FROM v x WHERE x.doc_id BETWEEN a.doc_id AND b.doc_id AND x.doc_id % 5 = 0)),
+    ids AS (SELECT query_id, doc_id FROM fused UNION SELECT query_id, b FROM fused JOIN step ON doc_id = a JOIN v ON v.doc_id = b WHERE NOT v.closed),
+    near AS (SELECT i.query_id, i.doc_id, max(f.score) AS near FROM ids i JOIN step ON step.b = i.doc_id JOIN fused f ON f.query_id = i.query_id AND f.doc_id = step.a GROUP BY ALL),
+    c AS (SELECT i.query_id, i.doc_id, v.source AS title, v.closed, coalesce(f.score, n.near, 0.0) AS score FROM ids i JOIN v USING (doc_id) LEFT JOIN fused f USING (query_id, doc_id) LEFT JOIN near n USING (query_id, doc_id)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY score DESC, closed, doc_id DESC) AS k FROM c)
+    SELECT query_id, CAST(doc_id AS VARCHAR) AS fact_id, title, score, closed, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, closed, doc_id DESC) AS INT) AS rank FROM k WHERE k <= 3 QUALIFY rank <= 8""")
+def retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of retrieval for every benchmark text as a question: both searches over what is readable, fused, led on to what is current,
+    hydrated, ranked and kept diverse."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    asked = asked.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    found = ask.retrieve_many(document_tables(spark, d), asked)
+    return found.select("query_id", "fact_id", "title", "score", F.col("valid_to").isNotNull().alias("closed"), "rank")
+
+
 @query("""
     SELECT event_id, CASE event_type WHEN 'purchase' THEN 'DECISION' WHEN 'click' THEN 'ACTION_ITEM' WHEN 'signup' THEN 'COMMITMENT' WHEN 'error' THEN 'RISK' ELSE 'OPEN_QUESTION' END AS type, CASE WHEN event_id % 11 > 0 THEN 'made of ' || event_id END AS statement, 'Owner ' || user_id AS owner,
         CASE event_id % 3 WHEN 0 THEN 'AGREED' WHEN 1 THEN 'PROPOSED' ELSE 'DONE' END AS status, CASE WHEN event_id % 2 = 0 THEN '2024-03-01' ELSE strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_id % 5 = 0 THEN DATE '2024-04-05' END AS due, CAST(1 AS INT) AS n_quotes

@@ -74,17 +74,18 @@ def vector_top_many(rows: DataFrame, queries: dict[int, list[float]], k: int, id
     return top(nearest(rows, queries, k, id_col, False), ["query_id"], [F.desc("score"), F.col(id_col)], k)
 
 
-def vector_top_all(rows: DataFrame, queries: DataFrame, k: int, id_col: str) -> DataFrame:
-    """query_id, id, score, rank as vector_top_many gives them, for any number of queries (rows of the columns of rows, also their ids):
-    rows and queries are dealt to blocks, each pair of blocks is one group and returns its own best k per query."""
+def vector_top_all(rows: DataFrame, queries: DataFrame, k: int, id_col: str, own: bool = False) -> DataFrame:
+    """query_id, id, score, rank for any number of queries (rows of id_col and embedding; a repeated id is one query): rows and queries are
+    dealt to blocks, each pair of blocks is one group and returns its own best k per query. Without own, a row is no answer to the query
+    of its own id."""
     vectors, asked = (df.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), F.col("embedding").alias("vector")) for df in (rows, queries))
-    asked = asked.dropDuplicates(["id"])
+    asked = asked.groupBy("id").agg(F.min("vector").alias("vector"))
     row_blocks, query_blocks = (max(1, math.ceil(df.count() / BLOCK)) for df in (vectors, asked))
     deal = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = vectors.select(deal(row_blocks).alias("r"), each(query_blocks).alias("q"), "id", "vector")
     right = asked.select(each(row_blocks).alias("r"), deal(query_blocks).alias("q"), "id", "vector")
-    kind = rows.schema[id_col].dataType.simpleString()
+    kind, query_kind = rows.schema[id_col].dataType.simpleString(), queries.schema[id_col].dataType.simpleString()
 
     def unit(column: pa.ChunkedArray, width: int) -> np.ndarray:
         given = [np.asarray(v, np.float64)[:width] for v in column.to_pylist()]
@@ -94,22 +95,22 @@ def vector_top_all(rows: DataFrame, queries: DataFrame, k: int, id_col: str) ->
     def run(there: pa.Table, wanted: pa.Table) -> pa.Table:
         best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(there) and len(wanted):
-            ids, numbers = there.column("id").to_numpy(), wanted.column("id").to_numpy()
+            ids, numbers = np.array(there.column("id").to_pylist()), wanted.column("id").to_pylist()
             width = max(len(v) for v in wanted.column("vector").to_pylist())
             x, y = unit(there.column("vector"), width), unit(wanted.column("vector"), width)
             for first in range(0, len(numbers), AT_ONCE):
                 scores = np.round(y[first : first + AT_ONCE] @ x.T, 6) + 0.0
                 for j, number in enumerate(numbers[first : first + AT_ONCE]):
-                    at = np.flatnonzero(ids != number)
+                    at = np.arange(len(ids)) if own else np.flatnonzero(ids != number)
                     if len(at) > k:
                         at = at[scores[j, at] >= np.partition(scores[j, at], len(at) - k)[len(at) - k]]
                     at = at[np.lexsort((ids[at], -scores[j, at]))[:k]]
-                    best.append((np.full(len(at), number), at, scores[j, at]))
-        number, at, score = (np.concatenate(b) for b in zip(*best, strict=True))
-        found = there.column("id").take(pa.array(at, pa.int64()))
-        return pa.table({"query_id": pa.array(number, pa.int64()), id_col: found, "score": pa.array(score, pa.float64())})
+                    best.append((np.full(len(at), first + j), at, scores[j, at]))
+        query, at, score = (np.concatenate(b) for b in zip(*best, strict=True))
+        take = lambda table, n: table.column("id").take(pa.array(n, pa.int64()))
+        return pa.table({"query_id": take(wanted, query), id_col: take(there, at), "score": pa.array(score, pa.float64())})
 
-    pairs = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(run, f"query_id long, {id_col} {kind}, score double")
+    pairs = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(run, f"query_id {query_kind}, {id_col} {kind}, score double")
     return top(pairs, ["query_id"], [F.desc("score"), F.col(id_col)], k)
 
 

@@ -68,11 +68,48 @@ def ask(t: dict[str, DataFrame], question: str, reader: Reader | None = None, as
     cards = retrieve(t, question, reader, as_of, limit, embedder=embedder).withColumn("card", render.card()).withColumn("query_id", F.lit(0))
     packed = render.pack(cards, ["query_id"])
     one = t["facts"].sparkSession.createDataFrame([(0,)], "query_id int").join(packed, "query_id", "left")
-    one = one.withColumn("n_cards", F.coalesce("n_cards", F.lit(0))).withColumn("pack", F.coalesce("pack", F.lit(render.NOTHING)))
-    answered = models.ask(one, "pack", chat)
+    return answered(one, chat).select("answer", "refused", "citations", "n_cards", "grounded", "pack")
+
+
+def retrieve_many(t: dict[str, DataFrame], questions: DataFrame, reader: Reader | None = None, as_of: str | None = None, limit: int = search.FINAL, seed_limit: int = search.SEEDS, embedder: models.Embedder = models.hashing_embedder) -> DataFrame:
+    """retrieve() for any number of one reader's questions (query_id, question and, if they have them, embedding) in one plan: query_id and the
+    columns of a hydrated fact. A fact is hydrated once, however many questions find it."""
+    reader = reader or Reader()
+    facts = readable_facts(t, reader, as_of)
+    asked = questions if "embedding" in questions.columns else models.embed(questions, "question", embedder)
+    by_vector = search.vector_top_all(facts, asked.select(F.col("query_id").alias("fact_id"), "embedding"), seed_limit, "fact_id", own=True)
+    by_words = search.bm25_top(facts, questions, seed_limit)
+    found = cut(search.fuse(by_vector.select("query_id", "fact_id", "rank").unionByName(by_words.select("query_id", "fact_id", "rank")), ["query_id"], "fact_id"))
+    ids = found
+    if as_of is None:
+        now = graph.currency_by_seed(supersedes(t), found.select(F.col("fact_id").alias("seed")).distinct(), t["facts"], reader.grants)
+        both = found.select("query_id", F.col("fact_id").alias("seed")).join(now, "seed").select("query_id", "fact_id").distinct()
+        ids = cut(both.join(found, ["query_id", "fact_id"], "left"))
+    wanted = ids.select("fact_id").distinct().withColumn("score", F.lit(None).cast("double"))
+    full = graph.hydrate(t["facts"].drop("score"), t["episodes"], t["people"], t["ownership"].where("person_id IS NOT NULL"), t["evidence"], t["utterances"], supersedes(t), wanted, reader.grants).drop("score")
+    cards = ids.join(full, "fact_id")
+    # A fact that no ranking found has the best score of its neighbours.
+    next_to = cards.where("score IS NULL").select("query_id", "fact_id", F.explode(F.concat(F.col("history.ref_id"), F.col("newer.ref_id"))).alias("ref_id"))
+    near = next_to.join(found.select("query_id", F.col("fact_id").alias("ref_id"), F.col("score").alias("near")), ["query_id", "ref_id"]).groupBy("query_id", "fact_id").agg(F.max("near").alias("near"))
+    scored = cards.join(near, ["query_id", "fact_id"], "left").withColumn("score", F.coalesce("score", "near", F.lit(0.0))).drop("near")
+    return search.rerank(scored, ["query_id"], limit).withColumn("held_at_as_of", held_at(moment_of(as_of)))
+
+
+def answered(packs: DataFrame, chat: models.Chat) -> DataFrame:
+    """packs (n_cards and pack, null where no card was found) with answer, refused, citations (card numbers that were given) and grounded. No
+    cards: a refusal, unasked."""
+    packs = packs.withColumn("n_cards", F.coalesce("n_cards", F.lit(0))).withColumn("pack", F.coalesce("pack", F.lit(render.NOTHING)))
+    said = models.ask(packs.where("n_cards > 0"), "pack", chat).unionByName(packs.where("n_cards = 0").withColumn("answer", F.lit(models.NOT_FOUND)))
     refused = (F.col("n_cards") == 0) | F.contains("answer", F.lit(models.NOT_FOUND))
     cited = F.when(refused, F.array().cast("array<int>")).otherwise(F.filter(citations(F.col("answer")), lambda n: (n >= 1) & (n <= F.col("n_cards"))))
-    return answered.select("answer", refused.alias("refused"), cited.alias("citations"), "n_cards", (~refused & (F.size(cited) > 0)).alias("grounded"), "pack")
+    return said.withColumn("refused", refused).withColumn("citations", cited).withColumn("grounded", ~F.col("refused") & (F.size("citations") > 0))
+
+
+def ask_many(t: dict[str, DataFrame], questions: DataFrame, reader: Reader | None = None, as_of: str | None = None, chat: models.Chat = extractive_chat, limit: int = search.FINAL, embedder: models.Embedder = models.hashing_embedder) -> DataFrame:
+    """ask() for any number of one reader's questions (query_id, question): a row for each."""
+    cards = retrieve_many(t, questions, reader, as_of, limit, embedder=embedder).withColumn("card", render.card())
+    packs = questions.select("query_id").distinct().join(render.pack(cards, ["query_id"]), "query_id", "left")
+    return answered(packs, chat).select("query_id", "answer", "refused", "citations", "n_cards", "grounded", "pack")
 
 
 class ToolError(ValueError):

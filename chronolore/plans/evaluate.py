@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolore.functions.vectors import cosine
+from chronolore.lineage import cut
 from chronolore.operators import models, scoring
+from chronolore.operators.acl import literal_grants
 from chronolore.plans import ask
 from chronolore.sources import runs
 
@@ -24,14 +28,15 @@ def score_run(run: DataFrame, gold: DataFrame, embedder: models.Embedder = model
 
 
 def grade_questions(t: dict[str, DataFrame], questions: DataFrame, embedder: models.Embedder = models.hashing_embedder, chat: models.Chat = ask.extractive_chat, as_of: str | None = None) -> DataFrame:
-    """Every gold question asked as its own reader, and graded. The key is a few dozen rows, so it is walked on the driver; each question
-    is a query over the whole graph."""
-    spark, rows = questions.sparkSession, []
-    for q in questions.select("id", "question", "principal").collect():
-        got = ask.ask(t, q["question"], ask.Reader(q["id"], list(q["principal"])), as_of, chat, embedder=embedder).first()
-        rows.append((q["id"], got["answer"], got["refused"], got["n_cards"]))
-    answers = spark.createDataFrame(rows, "id string, answer string, refused boolean, n_cards int")
-    both = models.embed(models.embed(answers, "answer", embedder, "_a").join(questions.select("id", "expected"), "id"), "expected", embedder, "_e")
+    """Every gold question asked by a reader of its own grants, and graded: a plan for each set of grants, all its questions in it."""
+    spark, answers = questions.sparkSession, []
+    asked = questions.select(F.col("id").alias("query_id"), "question", F.array_sort(F.array_distinct("principal")).alias("grants"))
+    for r in asked.select("grants").distinct().collect():
+        grants = list(r["grants"])
+        own = asked.where(F.col("grants") == literal_grants(grants)).select("query_id", "question")
+        answers.append(ask.ask_many(t, own, ask.Reader("evaluation", grants), as_of, chat, embedder=embedder).select(F.col("query_id").alias("id"), "answer", "refused", "n_cards"))
+    none = spark.createDataFrame([], f"id {questions.schema['id'].dataType.simpleString()}, answer string, refused boolean, n_cards int")
+    both = models.embed(models.embed(cut(reduce(DataFrame.unionByName, answers, none)), "answer", embedder, "_a").join(questions.select("id", "expected"), "id"), "expected", embedder, "_e")
     return scoring.grade(questions, both.select("id", "answer", "refused", "n_cards", F.coalesce(cosine(F.col("_a"), F.col("_e")), F.lit(0.0)).alias("similarity")))
 
 

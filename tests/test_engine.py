@@ -1,13 +1,16 @@
 import datetime as dt
 import json
 import random
+import threading
+import urllib.error
+import urllib.request
 from pathlib import Path
 
 import pytest
 from fixtures import write_corpus
 from pyspark.sql import functions as F
 
-from chronolore import schemas
+from chronolore import schemas, serve
 from chronolore.functions.dates import as_of
 from chronolore.operators import export, graph, models, render, scoring, search, stats, supersede, temporal, validate
 from chronolore.operators.acl import readable
@@ -362,6 +365,27 @@ def test_tools(tables):
         ask.search_knowledge(tables, nobody, {"query": " "})
 
 
+def test_http(tables):
+    running = serve.server(tables, port=0)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+
+    def call(path, body=None, **headers):
+        request = urllib.request.Request(f"http://127.0.0.1:{running.server_port}{path}", None if body is None else json.dumps(body).encode(), {k.replace("_", "-"): v for k, v in headers.items()})
+        try:
+            with urllib.request.urlopen(request) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    status, got = call("/api/ask", {"question": "When does the podcast launch?"}, X_Grants="slack:C2")
+    assert status == 200 and got["grounded"] and got["citations"] == [1]
+    status, got = call("/api/retrieve", {"question": "podcast launches", "limit": 2, "grants": ["slack:C2"]})
+    assert status == 200 and len(got["facts"]) == 2 and not any("June 1" in f["statement"] for f in got["facts"])
+    assert call("/api/retrieve", {"question": " "})[0] == 400 and call("/api/none", {})[0] == 404
+    assert call("/api/health") == (200, {"healthy": True, "components": [r.asDict() for r in load.doctor(tables).collect()]})
+    running.shutdown()
+
+
 def test_notes(spark, tables, tmp_path):
     rows = export.notes(tables)
     export.write_notes(rows, str(tmp_path))
