@@ -118,16 +118,14 @@ RUNS_SQL = f"""{VERSIONS_SQL}, g AS (SELECT *, sum(CASE WHEN hidden THEN 1 ELSE
     SELECT a.fact_id AS seed, b.fact_id AS node, CAST(b.place - a.place AS INT) AS depth FROM g a JOIN g b ON a.user_id = b.user_id AND a.type = b.type AND a.run = b.run AND NOT a.hidden AND NOT b.hidden AND abs(a.place - b.place) <= 10""")
 def chain_trace(spark: SparkSession, d: str) -> DataFrame:
     """All readable versions of the decision of every event; negative depth is older."""
-    return graph.chains(supersedes(spark, d), table(spark, d, "events").select(F.col("event_id").alias("seed")), allowed(spark, d))
+    return graph.all_chains(supersedes(spark, d), allowed(spark, d))
 
 
 @query(f"""WITH {RUNS_SQL}
     SELECT a.fact_id AS seed, b.fact_id AS node, CAST(a.place - b.place AS INT) AS depth FROM g a JOIN g b ON a.user_id = b.user_id AND a.type = b.type AND a.run = b.run AND NOT a.hidden AND NOT b.hidden AND a.place - b.place BETWEEN 1 AND 5""")
 def history_depth(spark: SparkSession, d: str) -> DataFrame:
     """What each readable fact replaced, up to five steps back."""
-    nodes = allowed(spark, d)
-    found = graph.walk(supersedes(spark, d), nodes.select(F.col("node").alias("seed"), "node"), graph.CURRENCY_HOPS, nodes)
-    return found.where("depth > 0")
+    return graph.closure(supersedes(spark, d), graph.CURRENCY_HOPS, allowed(spark, d)).select(F.col("src").alias("seed"), F.col("dst").alias("node"), "depth")
 
 
 @query(f"""WITH {RUNS_SQL}

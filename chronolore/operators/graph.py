@@ -26,12 +26,15 @@ CHAIN_HOPS, CURRENCY_HOPS, PATH_HOPS, PATHS, ENTITIES = 10, 5, 6, 3, 10
 def walk(edges: DataFrame, seeds: DataFrame, hops: int, allowed: DataFrame | None = None) -> DataFrame:
     """edges: src, dst. seeds: seed, node. Rows seed, node, depth (the least, from 0) of what is reached within so many hops, over allowed
     nodes (node) only if given; the seeds themselves are tested too."""
-    ok = (lambda df: df.join(allowed.select("node"), "node", "left_semi")) if allowed is not None else (lambda df: df)
-    level = ok(seeds.select("seed", "node").distinct()).withColumn("depth", F.lit(0))
+    level = seeds.select("seed", "node").distinct()
     steps = edges.select(F.col("src").alias("node"), "dst").distinct()
-    found = [level]
+    if allowed is not None:  # tested once for each seed and each edge, not at every hop
+        level = level.join(allowed.select("node"), "node", "left_semi")
+        steps = steps.join(allowed.select(F.col("node").alias("dst")), "dst", "left_semi")
+    level, found = level.select("seed", "node").withColumn("depth", F.lit(0)), []
+    found.append(level)
     for depth in range(1, hops + 1):
-        level = ok(level.join(steps, "node").select("seed", F.col("dst").alias("node")).distinct()).withColumn("depth", F.lit(depth))
+        level = level.join(steps, "node").select("seed", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth))
         found.append(level)
     return reduce(DataFrame.unionByName, found).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
@@ -49,6 +52,38 @@ def chains(supersedes: DataFrame, seeds: DataFrame, allowed: DataFrame, hops: in
     return older.unionByName(newer).distinct()
 
 
+def closure(edges: DataFrame, hops: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Rows src, dst, depth (the least) of all that reach each other within so many hops, over allowed nodes (node) only if given: what walk()
+    finds for every node as a seed, by doubling. Ways of up to 2n hops are two ways of up to n, so there are as many joins as the bound has
+    binary digits, each kept in the checkpoint folder."""
+    steps = edges.select("src", "dst").distinct()
+    if allowed is not None:
+        for end in ("src", "dst"):
+            steps = steps.join(allowed.select(F.col("node").alias(end)), end, "left_semi")
+    least = lambda df: cut(df.groupBy("src", "dst").agg(F.min("depth").alias("depth")))
+
+    def longer(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.select("src", F.col("dst").alias("mid"), F.col("depth").alias("d")).join(b.select(F.col("src").alias("mid"), "dst", "depth"), "mid")
+        return least(a.unionByName(b).unionByName(both.select("src", "dst", (F.col("d") + F.col("depth")).alias("depth"))))
+
+    power, out = least(steps.select("src", "dst", F.lit(1).alias("depth"))), None
+    while hops:
+        if hops & 1:
+            out = power if out is None else longer(out, power)
+        hops >>= 1
+        if hops:
+            power = longer(power, power)
+    return out
+
+
+def all_chains(supersedes: DataFrame, allowed: DataFrame, hops: int = CHAIN_HOPS) -> DataFrame:
+    """chains() of every allowed node: seed, node, depth."""
+    older = closure(supersedes, hops, allowed)
+    own = allowed.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0))
+    back = older.select(F.col("src").alias("seed"), F.col("dst").alias("node"), -F.col("depth"))
+    return own.union(back).union(older.select("dst", "src", "depth"))
+
+
 def currency_by_seed(supersedes: DataFrame, seeds: DataFrame, facts: DataFrame, grants: list[str], compat: bool = False) -> DataFrame:
     """Each seed (seed) itself and, of a stale one, the current readable facts that replaced it within five steps: rows seed, fact_id, distinct.
     compat walks through unreadable facts and tests only where the walk ends, as the engine this follows did."""

@@ -206,6 +206,8 @@ def bm25_top(docs: DataFrame, questions: DataFrame, k: int = SEEDS, id_col: str
     found = []
     for part in range(parts):
         own = pairs.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
+        if not len(own):
+            continue
         question, term = own.column("query_id").combine_chunks().dictionary_encode(), own.column("term").combine_chunks().dictionary_encode()
         order = np.argsort(term.indices.to_numpy(), kind="stable")
         asked = question.indices.to_numpy()[order].astype(np.int64)
