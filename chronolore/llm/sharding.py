@@ -17,6 +17,7 @@ slots of their own. Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -84,6 +85,13 @@ def shard(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
     return ranked(kept, ["shard"], order, spread, balanced_buckets(kept.count()), "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def write_shards(docs: DataFrame, tree: Tree, path: str) -> None:
-    """The documents themselves as Parquet, a folder for each shard."""
-    docs.withColumn("shard", descend(F.col("doc_id"), tree).cast("int")).repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(docs: DataFrame, tree: Tree, path: str, file_bytes: int = 256 << 20) -> None:
+    """The documents themselves as Parquet, a folder for each shard (shard=N; a column of docs of this name puts underscores before it), in files
+    of about so many bytes of text."""
+    name = "shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, math.ceil(size / file_bytes / len(tree)))
+    dealt = docs.withColumn(name, descend(F.col("doc_id"), tree).cast("int")).repartition(len(tree) * files, name, F.pmod(F.xxhash64("doc_id", "text"), F.lit(files)))
+    dealt.write.partitionBy(name).mode("overwrite").parquet(path)

@@ -279,6 +279,16 @@ def test_weighted_tree_moves_only_where_weights_change(spark):
     assert {tree[s][:2] for s in moved.loc[moved["shard"].isin([4, 5, 6, 7]), "grown_shard"]} == {(1, 0)}
 
 
+def test_written_shards(spark, traps, tmp_path):
+    """Folders hold the rows of their shards, all columns as they were, one called shard too."""
+    docs, tree = traps.withColumn("shard", F.lit("own")), sharding.standard_tree(8)
+    sharding.write_shards(docs, tree, str(tmp_path / "s"), file_bytes=1000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter(tuple(r)[: len(docs.columns)] for r in back.select(*docs.columns, "_shard").collect()) == Counter(map(tuple, docs.collect()))
+    want = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, tree).collect()}
+    assert all(want[r["doc_id"]] == r["_shard"] for r in back.collect())
+
+
 # 5 and 6
 
 ODD = [(1000, None, 0), (1001, [], 0), (1002, [float("nan")] * 64, 0), (1003, [float("inf")] + [0.0] * 63, 0), (1004, [None] + [1.0] * 63, 0), (1020, [0.0] * 64, 0), (1040, [1.0, 2.0], 0), (None, [1.0] * 64, 0)]
@@ -567,3 +577,4 @@ def test_queries_run(spark):
 def test_empty_documents(spark):
     empty = spark.createDataFrame([], DOC_SCHEMA)
     assert mixing.mix(empty).count() == simhash.near_duplicates(empty).count() == 0
+    assert token_count.count_tokens(empty, TIES, False).count() == packing.pack(empty, queries.tokenizer_path("word_bpe_49k.json")).count() == 0
