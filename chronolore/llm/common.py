@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolore.lineage import components, cut, ensure_checkpoint_dir
 
-__all__ = ["BLANKS", "WORD", "balanced_buckets", "components", "cut", "ensure_checkpoint_dir", "ranked", "words_in_blocks"]
+__all__ = ["BLANKS", "WORD", "balanced_buckets", "components", "cut", "ensure_checkpoint_dir", "ranked", "small_batches", "words_in_blocks"]
 
 #: A word is a longest run of characters other than space and the controls 9 to 13; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +32,18 @@ def words_in_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         start = end
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is computed inside, where rows carry several texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def balanced_buckets(rows: int, per_bucket: int = 2048) -> int:
     """Buckets for ranked(): about the square root of the rows, none much over per_bucket while tables are small."""
     return max(1, math.ceil(rows / max(per_bucket, math.isqrt(rows))))

@@ -43,6 +43,8 @@ from chronolore.llm.common import words_in_blocks
 PERIOD, COVER = 21, (0, 1, 6, 8, 18)
 #: A bucket's rows and bytes of text, about, the buckets for each core at least, and the partitions that buckets are dealt over at most.
 BUCKET_ROWS, BUCKET_BYTES, BUCKETS_A_CORE, PARTITIONS = 8192, 8 << 20, 4, 20_000
+#: Words whose hashes a task remembers.
+REMEMBERED = 100_000
 NO_ID = np.iinfo(np.int64).max
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -69,7 +71,7 @@ class Hasher:
     def of(self, text: bytes | None) -> np.ndarray:
         parts, known, digest = [], self.words, xxhash.xxh64_intdigest
         for words in words_in_blocks(text or b""):
-            if len(known) > 300_000:
+            if len(known) > REMEMBERED:
                 known.clear()
             try:
                 parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))

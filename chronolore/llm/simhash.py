@@ -36,14 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolore.llm.common import components, cut, words_in_blocks
+from chronolore.llm.common import components, cut, small_batches, words_in_blocks
 
 SEED, BAND, MISSED = 42, 12, 0.05
 #: Rows of a few numbers that may be sent to every executor: some tens of MB.
 BROADCAST = 500_000
 #: near_copies(): hashes of a class that it meets others by at first; documents sampled for shingles that are frequent, the documents among
-#: them that such a shingle is in, and how many shingles are taken at most; sets that a task remembers.
-FEW, SAMPLED, COMMON, MOST_FREQUENT, REMEMBERED = 3, 8000, 4, 100_000, 2000
+#: them that such a shingle is in, and how many shingles are taken at most; sets that a task remembers, and pairs of texts of a batch.
+FEW, SAMPLED, COMMON, MOST_FREQUENT, REMEMBERED, TEXTS_AT_ONCE = 3, 8000, 4, 100_000, 500, 500
 #: Bits of 256 that fingerprints of sets alike by 0.8 differ in at most.
 FAR = 96
 #: A different part of a wide fingerprint for each.
@@ -403,7 +403,8 @@ def near_copies(docs: DataFrame, shingle_words: int, similarity: float, parts: i
         edges = cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         needed = cut(edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(classes.select("fp", "text_key"), "fp"))
         texts = cut(keyed.join(if_small(needed), F.col("key") == F.col("text_key")).groupBy("fp").agg(F.first("text").alias("text")))
-        return cut(alike(edges, texts, shingle_words, similarity))
+        with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+            return cut(alike(edges, texts, shingle_words, similarity))
 
     sure = pairs(groups(F.slice("first", 1, FEW), None), False)
     label = cut(components(sure))

@@ -38,7 +38,7 @@ FOLDS = 5
 LEAST_POSITIVE, SIGMAS = 3, 4
 #: A stem's numbers of words, and its shares of a text, from which on there is another feature.
 COUNTS, RATES = (2, 3, 5), (200, 60)
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Bytes below 128 that are no letter become blanks; A-Z small.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
