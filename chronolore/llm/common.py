@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolore.lineage import components, cut, ensure_checkpoint_dir
 
-__all__ = ["BLANKS", "WORD", "balanced_buckets", "components", "cut", "ensure_checkpoint_dir", "ranked", "small_batches", "words_in_blocks"]
+__all__ = ["BLANKS", "WORD", "balanced_buckets", "components", "cut", "ensure_checkpoint_dir", "give_back", "given_back", "ranked", "small_batches", "words_in_blocks"]
 
 #: A word is a longest run of characters other than space and the controls 9 to 13; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +35,28 @@ def words_in_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         start = end
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library hold free goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def given_back(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """kernel, with what it has freed given back when its batches end: an idle worker keeps its free memory otherwise, beside the tasks of the
+    stages that follow."""
+
+    @functools.wraps(kernel)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows for what is computed inside, where rows carry several texts."""

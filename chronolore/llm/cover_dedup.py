@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolore.llm.common import words_in_blocks
+from chronolore.llm.common import give_back, words_in_blocks
 
 #: A perfect difference set modulo 21: every difference occurs.
 PERIOD, COVER = 21, (0, 1, 6, 8, 18)
@@ -230,6 +230,12 @@ def finish(docs: pd.DataFrame, lost: dict[int, np.ndarray], keep_text: bool) ->
     return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]).astype({"doc_id": "Int64", "n_words": "int64", "n_removed": "int64"})
 
 
+def and_give_back(out: pd.DataFrame) -> pd.DataFrame:
+    """out, once what else a bucket held is given back."""
+    give_back()
+    return out
+
+
 def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the text as it was, or what is left of it, joined by spaces; null
     unless keep_text), and the columns carry."""
@@ -243,10 +249,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = False, c
     bucket = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)).cast("int")
     dealt = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), carried).repartition(min(buckets, PARTITIONS), "bucket")
     text = dealt.groupBy("bucket")
-    sent = text.applyInPandas(lambda d: send_anchors(d, length), "bucket int, h long, several boolean")
+    sent = text.applyInPandas(lambda d: and_give_back(send_anchors(d, length)), "bucket int, h long, several boolean")
     same = Window.partitionBy("h")
     shared = sent.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("any", F.max("several").over(same)).where("n > 1 OR any").select("bucket", "h")
-    asked = text.cogroup(shared.groupBy("bucket")).applyInPandas(lambda d, a: send_windows(d, a, window, length), SENT)
+    asked = text.cogroup(shared.groupBy("bucket")).applyInPandas(lambda d, a: and_give_back(send_windows(d, a, window, length)), SENT)
     smallest = F.min("owner").over(Window.partitionBy("kind", "h1", "h2"))
     answers = asked.withColumn("least", smallest).where(f"kind = {ANCHOR} OR least < owner")
     answers = answers.select("bucket", "kind", F.when(F.col("kind") == ANCHOR, F.col("h1")).otherwise(F.col("number")).alias("h"))
@@ -259,7 +265,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = False, c
             return finish(d, {}, keep_text)
         kind, h = a["kind"].to_numpy(), a["h"].to_numpy(np.int64)
         out = finish(d, removed_words(d, h[kind == ANCHOR], h[kind == WINDOW], window, length), keep_text)
-        return out.assign(carried=d["carried"].to_numpy()) if carry else out
+        return and_give_back(out.assign(carried=d["carried"].to_numpy()) if carry else out)
 
     done = text.cogroup(answers.groupBy("bucket")).applyInPandas(end, out_type)
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept"), *([F.col("carried")[c].alias(c) for c in carry] if carry else []))

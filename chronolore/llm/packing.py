@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolore.llm.common import balanced_buckets, cut, ranked
+from chronolore.llm.common import balanced_buckets, cut, given_back, ranked
 
 #: Words that are tokenized as one text, and what stands between them.
 TOGETHER, MARK = 512, "\x01"
@@ -115,6 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
     """Rows doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary)."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(shared.value)
         for batch in batches:
@@ -194,6 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     counts = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(table_of(plan(counts, capacity)))
 
+    @given_back
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, sequence, number, offset = shared.value.T
         for batch in batches:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolore.llm.common import components, cut, small_batches, words_in_blocks
+from chronolore.llm.common import components, cut, given_back, small_batches, words_in_blocks
 
 SEED, BAND, MISSED = 42, 12, 0.05
 #: Rows of a few numbers that may be sent to every executor: some tens of MB.
@@ -100,6 +100,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, parts: int = 1) -> Dat
     the 64 bits themselves."""
 
     @F.pandas_udf("array<long>")
+    @given_back
     def bits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in texts:
             yield pd.Series([fingerprint(t, shingle_words, parts).view(np.int64) for t in text])
@@ -224,7 +225,7 @@ def links(distinct: DataFrame, rows: int, radius: int = 4, tile: int = 4096, par
     dealt = distinct.select("fp", "bits", ones.cast("int").alias("ones"), F.explode(keys).alias("key"))
     flat = tiles(dealt, radius, tile).select("block", "side", "fp", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)])
     laid = flat.repartition("block").sortWithinPartitions("block")
-    return laid.mapInArrow(lambda batches: compare(batches, radius, tile), "u long, v long")
+    return laid.mapInArrow(given_back(lambda batches: compare(batches, radius, tile)), "u long, v long")
 
 
 def tiles(dealt: DataFrame, radius: int, tile: int) -> DataFrame:
@@ -289,8 +290,10 @@ def candidates(batches: Iterator[pa.RecordBatch], similarity: float, every: bool
             near[i : i + 64] = (far <= FAR) & (small >= similarity * large - 1e-9)
             if every:
                 near[i : i + 64] &= label[x, None] != label[None, b]
+            if every and alone:  # each pair once
+                near[i : i + 64] &= np.arange(len(b)) > np.arange(i, i + len(x))[:, None]
         if alone:
-            near = np.triu(near, 1) if every else near & ~np.eye(len(a), dtype=bool)
+            np.fill_diagonal(near, False)
         if every:
             for i in range(0, len(a), 64):
                 u, v = np.nonzero(near[i : i + 64])
@@ -312,6 +315,7 @@ def frequent_shingles(docs: DataFrame, shingle_words: int) -> np.ndarray:
     rows = docs.count()
     share = min(1.0, SAMPLED / max(rows, 1))
 
+    @given_back
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), shingle_words) for t in batch.column(0)]
@@ -335,6 +339,7 @@ def prefix(found: np.ndarray, frequent: np.ndarray, similarity: float) -> np.nda
 def alike(edges: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """Those of the edges (u, v) whose texts (fp, text) have sets of shingles of this similarity, counted."""
 
+    @given_back
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
 
@@ -370,6 +375,7 @@ def near_copies(docs: DataFrame, shingle_words: int, similarity: float, parts: i
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle_words))
 
     @F.pandas_udf("struct<fp: binary, n: int, bits: array<long>, first: array<long>>")
+    @given_back
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in texts:
             rows = []
@@ -399,7 +405,7 @@ def near_copies(docs: DataFrame, shingle_words: int, similarity: float, parts: i
         met = members.join(classes.select("fp", "n", "bits", ones), "fp")
         flat = tiles(met, FAR, tile).select("block", "side", "fp", "n", "label", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)])
         laid = flat.repartition("block").sortWithinPartitions("block")
-        found = laid.mapInArrow(lambda batches: candidates(batches, similarity, every), "u long, v long")
+        found = laid.mapInArrow(given_back(lambda batches: candidates(batches, similarity, every)), "u long, v long")
         edges = cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         needed = cut(edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(classes.select("fp", "text_key"), "fp"))
         texts = cut(keyed.join(if_small(needed), F.col("key") == F.col("text_key")).groupBy("fp").agg(F.first("text").alias("text")))

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolore.llm.common import cut, words_in_blocks
+from chronolore.llm.common import cut, given_back, words_in_blocks
 
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 4000, 12_000, 8192
 FOLDS = 5
@@ -110,6 +110,7 @@ def select(rows: DataFrame, positives: int, unlabelled: int) -> list[str]:
     """Features of rows (positive, text) in LEAST_POSITIVE positives or more whose share there is SIGMAS standard errors above that in the
     unlabelled sample or more; if they are over MOST_FEATURES, those furthest above. Counted on the executors."""
 
+    @given_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, u = Counter(), Counter()
@@ -129,6 +130,7 @@ def numbered(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows positive, features (numbers of those of names that the text has, in order)."""
     number = rows.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
+    @given_back
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = number.value
         for batch in batches:
@@ -197,6 +199,7 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
     @F.pandas_udf("double")
+    @given_back
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Model(*shared.value)
         for text in texts:

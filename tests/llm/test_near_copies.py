@@ -1,11 +1,15 @@
 """Near copies by exact Jaccard similarity: pairs just below 0.8 stay, pairs at it or above go."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from conftest import SF
 from test_operators import plain_similarity
 
 from chronolore.llm import simhash
+from chronolore.llm.common import given_back
 
 
 def test_pairs_at_the_edge(spark):
@@ -44,3 +48,35 @@ def test_documents_against_all_pairs(spark):
                 old, new = sorted((root[i], root[j]), reverse=True)
                 root = {x: new if r == old else r for x, r in root.items()}
     assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == set(root.values())
+
+
+def test_candidates_hold_one_matrix():
+    """A tile within itself takes one mark a pair, and one more for a forest, whichever way its pairs are told."""
+    n = 6000
+    fixed = {"block": np.zeros(n), "side": np.zeros(n), "fp": np.arange(n), "n": np.full(n, 100), "label": np.arange(n), "bits0": np.zeros(n)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v.astype(np.int64)) for k, v in fixed.items()})
+    for every, matrices in ((False, 2.2), (True, 1.2)):
+        few = [p for b in simhash.candidates(iter([batch.slice(0, 70)]), 0.8, every) for p in zip(*b.to_pydict().values(), strict=True)]
+        assert {x for p in few for x in p} == set(range(70)) and (not every or sorted(few) == [(i, j) for i in range(70) for j in range(i + 1, 70)])
+        tracemalloc.start()
+        next(simhash.candidates(iter([batch]), 0.8, every))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < matrices * n * n + 30_000_000
+
+
+def test_kernels_give_memory_back():
+    """What a kernel has freed is not kept by the worker when its batches end."""
+
+    def anonymous():
+        return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon"))
+
+    def kernel(batches):
+        for batch in batches:
+            many = [np.ones(12_500) for _ in range(2000)]  # 200 MB
+            pins.append(np.ones(12_500))  # keeps the C library from trimming what lies below
+            yield len(many)
+
+    pins, before = [], anonymous()
+    assert list(given_back(kernel)(iter([1]))) == [2000]
+    assert anonymous() - before < 50_000
