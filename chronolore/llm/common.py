@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolore.lineage import components, cut, ensure_checkpoint_dir
+from chronolore.lineage import components, cut, ensure_checkpoint_dir, shared_folder
 
-__all__ = ["BLANKS", "WORD", "balanced_buckets", "components", "cut", "ensure_checkpoint_dir", "give_back", "given_back", "ranked", "small_batches", "words_in_blocks"]
+__all__ = ["BLANKS", "WORD", "balanced_buckets", "components", "cut", "delete", "ensure_checkpoint_dir", "free_shuffles", "give_back", "given_back", "ranked", "shared_folder", "small_batches", "words_in_blocks"]
 
 #: A word is a longest run of characters other than space and the controls 9 to 13; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +58,19 @@ def given_back(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], I
     return run
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of shuffles when the driver's collector finds that no plan has them any more; a driver with memory left
+    collects seldom, and disks fill meanwhile."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the store that it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows for what is computed inside, where rows carry several texts."""

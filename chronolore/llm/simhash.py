@@ -36,16 +36,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolore.llm.common import components, cut, given_back, small_batches, words_in_blocks
+from chronolore.llm.common import components, cut, delete, free_shuffles, given_back, shared_folder, small_batches, words_in_blocks
 
 SEED, BAND, MISSED = 42, 12, 0.05
 #: Rows of a few numbers that may be sent to every executor: some tens of MB.
 BROADCAST = 500_000
-#: near_copies(): hashes of a class that it meets others by at first; documents sampled for shingles that are frequent, the documents among
-#: them that such a shingle is in, and how many shingles are taken at most; sets that a task remembers, and pairs of texts of a batch.
-FEW, SAMPLED, COMMON, MOST_FREQUENT, REMEMBERED, TEXTS_AT_ONCE = 3, 8000, 4, 100_000, 500, 500
+#: near_copies(): documents sampled for shingles that are frequent, the documents among them that such a shingle is in, and how many
+#: shingles are taken at most; sets that a task remembers; pairs of texts, and parity maps, of a batch.
+SAMPLED, COMMON, MOST_FREQUENT, REMEMBERED, TEXTS_AT_ONCE, MAPS_AT_ONCE = 8000, 4, 100_000, 500, 500, 2000
 #: Bits of 256 that fingerprints of sets alike by 0.8 differ in at most.
 FAR = 96
+#: parity(): bits for each hash of a set at least, and bits at most.
+SPREAD, MOST_BITS = 4, 1 << 13
 #: A different part of a wide fingerprint for each.
 PARTS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -270,38 +272,94 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
+def parity(found: np.ndarray) -> bytes:
+    """For each of a power of two of bits whether an odd number of a set's hashes end in its number. Two sets differ in as many hashes as
+    their bits differ in, or in more. A half laid over the other (exclusive-or) is the map of half as many bits."""
+    size = max(64, min(MOST_BITS, 1 << (SPREAD * len(found) - 1).bit_length()))
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class ParityMaps:
+    """The parity() of several sets; two maps are compared at the smaller one's size."""
+
+    def __init__(self, maps: np.ndarray):
+        self.size = np.array([len(m) for m in maps])
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.unique(self.size).tolist()
+        for i, size in enumerate(sizes):
+            groups = [np.flatnonzero(self.size == x) for x in sizes[i:]]
+            place = np.full(len(maps), -1)
+            place[np.concatenate(groups)] = np.arange(sum(map(len, groups)))
+            self.at[size] = place, np.concatenate([np.bitwise_xor.reduce(np.frombuffer(b"".join(maps[g]), np.uint64).reshape(len(g), -1, size // 8), axis=1) for g in groups])
+
+    def differ(self, one: int, others: np.ndarray) -> np.ndarray:
+        """In how many bits the map of one differs from those of others."""
+        out, shared = np.zeros(len(others), np.int64), np.minimum(self.size[others], self.size[one])
+        for size in np.unique(shared).tolist():
+            at, (place, words) = shared == size, self.at[size]
+            out[at] = np.bitwise_count(words[place[one]] ^ words[place[others[at]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def candidates(batches: Iterator[pa.RecordBatch], similarity: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (block, side, fp, n, label, bits 0, ...) sorted by block: pairs (u, v) of fp that may be alike by their set sizes n and their
-    bits. Without every a spanning forest of them, with it all that differ in label."""
+    """Rows (block, side, fp, n, label, bits 0, ..., and, if it is there, parity) sorted by block: pairs (u, v) of fp of different labels
+    that may be alike by their set sizes n, their bits and their parity maps, which leave out no pair that is alike. With every all of them,
+    without it a forest that joins what they join, of the pairs that differ least. What is held grows with the rows of a block only."""
+    found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    made = lambda: pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), names=["u", "v"])
+    pairs = 0
     for side, fp, n, label, *bits in blocks(batches):
-        if len(fp) < 2:
+        if len(fp) < 2 or (label == label[0]).all():
             continue
+        maps = ParityMaps(bits.pop()) if bits[-1].dtype == object else None
         parts = np.stack(bits, axis=1).view(np.uint64)
-        a = np.flatnonzero(side == 0)
-        alone = len(a) == len(fp)
-        b = a if alone else np.flatnonzero(side == 1)
-        near = np.zeros((len(a), len(b)), bool)
-        for i in range(0, len(a), 64):
-            x = a[i : i + 64]
-            far = np.zeros((len(x), len(b)), np.uint16)
-            for part in range(parts.shape[1]):
-                far += np.bitwise_count(parts[x, part, None] ^ parts[None, b, part])
-            small, large = np.minimum(n[x, None], n[None, b]), np.maximum(n[x, None], n[None, b])
-            near[i : i + 64] = (far <= FAR) & (small >= similarity * large - 1e-9)
-            if every:
-                near[i : i + 64] &= label[x, None] != label[None, b]
-            if every and alone:  # each pair once
-                near[i : i + 64] &= np.arange(len(b)) > np.arange(i, i + len(x))[:, None]
-        if alone:
-            np.fill_diagonal(near, False)
+        alone = not (side == 1).any()
+
+        def near(one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Those of the others that may be alike, and the share of hashes that they seem to differ in."""
+            small, large = np.minimum(n[others], n[one]), np.maximum(n[others], n[one])  # noqa: B023
+            others = others[(label[others] != label[one]) & (small >= similarity * large - 1e-9)]  # noqa: B023
+            far = np.bitwise_count(parts[others] ^ parts[one]).sum(axis=1, dtype=np.int64)  # noqa: B023
+            others, far = others[far <= FAR], far[far <= FAR]
+            both = n[others] + n[one]  # noqa: B023
+            if maps is not None:  # noqa: B023
+                far = maps.differ(one, others)  # noqa: B023
+                at = far <= both * (1 - similarity) / (1 + similarity) + 1e-9
+                others, far, both = others[at], far[at], both[at]
+            return others, far / np.maximum(both, 1)
+
         if every:
-            for i in range(0, len(a), 64):
-                u, v = np.nonzero(near[i : i + 64])
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[a[i + u]], pa.int64()), pa.array(fp[b[v]], pa.int64())], names=["u", "v"])
-        elif near.any():
-            found = list(forest(near, fp[a], fp[b]))
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            for one in np.flatnonzero(side == 0):
+                others, _ = near(one, np.arange(one + 1, len(fp)) if alone else np.flatnonzero(side == 1))
+                if len(others):
+                    found.append(np.stack([np.full(len(others), fp[one]), fp[others]]))
+                    pairs += len(others)
+                if pairs > 50_000:
+                    yield made()
+                    found, pairs = found[:1], 0
+        else:
+            # Prim's way: what is least from all that is joined comes next; rows of one label are joined from the start.
+            left, least, via, u, v = np.ones(len(fp), bool), np.full(len(fp), np.inf), np.full(len(fp), -1), [], []
+            for _ in range(len(fp)):
+                one = int(np.argmin(least))
+                if np.isinf(least[one]):
+                    one = int(np.argmax(left))
+                elif via[one] >= 0:
+                    u.append(fp[via[one]])
+                    v.append(fp[one])
+                left[one], least[one] = False, np.inf
+                same = left & (label == label[one])
+                least[same], via[same] = -1, -1
+                others, share = near(one, np.flatnonzero(left if alone else left & (side != side[one])))
+                at = share < least[others]
+                least[others[at]], via[others[at]] = share[at], one
+            found.append(np.array([u, v], np.int64))
+            pairs += len(u)
+            if pairs > 50_000:
+                yield made()
+                found, pairs = found[:1], 0
+    yield made()
 
 
 def if_small(rows: DataFrame) -> DataFrame:
@@ -337,7 +395,7 @@ def prefix(found: np.ndarray, frequent: np.ndarray, similarity: float) -> np.nda
 
 
 def alike(edges: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Those of the edges (u, v) whose texts (fp, text) have sets of shingles of this similarity, counted."""
+    """The edges (u, v) and alike: whether their texts (fp, text) have sets of shingles of this similarity, counted."""
 
     @given_back
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,65 +414,89 @@ def alike(edges: DataFrame, texts: DataFrame, shingle_words: int, similarity: fl
                 x, y = of(u, a), of(v, b)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["u", "v", "alike"])
 
     rows = edges.join(texts.select(F.col("fp").alias("v"), F.col("text").alias("tv")), "v").join(texts.select(F.col("fp").alias("u"), F.col("text").alias("tu")), "u")
-    return rows.select("u", "v", "tu", "tv").mapInArrow(similar, "u long, v long")
+    return rows.select("u", "v", "tu", "tv").mapInArrow(similar, "u long, v long, alike boolean")
 
 
 def near_copies(docs: DataFrame, shingle_words: int, similarity: float, parts: int = 4, tile: int = 4096) -> DataFrame:
     """One row per document: doc_id, key, label, component_id, as near_duplicates, of links between texts whose sets of shingles have a
     Jaccard similarity of at least similarity, counted exactly. Texts of one set are one class (fp).
 
-    Two sets so alike share one of their prefix() hashes, so classes meet by these. First they meet by FEW hashes of each, links of a
-    spanning forest of each group are counted, and their components found. Then they meet by all hashes, but groups whose
-    classes are of one component by now are left out, and of groups of the same classes, told by their number and 128 bits of their hashes,
-    one stays; pairs of different components are counted. No group is ever gathered in a row or a task. Bits made of the different shingles
-    leave out, within a group, what is FAR apart, which at 0.8 is ten standard deviations off."""
+    Two sets so alike share one of their prefix() hashes, so classes meet by these: of groups
+    of the same classes, told by their number and 128 bits of their hashes, one stays. First a forest of the pairs of each group that seem
+    most alike is counted, and components are found. Last, every pair of
+    these groups that is still of different components and was not counted is, unless it can't be alike: bits made of the different shingles
+    are more than FAR apart, which at 0.8 is ten standard deviations off, or parity() proves that the sets differ in too many hashes. So a
+    large group of copies gives about a pair for each class, and texts like each other, but less than similarity, few. Groups over
+    tile are cut into pairs of tiles; only these meet in a task."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle_words))
 
-    @F.pandas_udf("struct<fp: binary, n: int, bits: array<long>, first: array<long>>")
+    @F.pandas_udf("struct<fp: binary, n: int, bits: array<long>, parity: binary, first: array<long>>")
     @given_back
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in texts:
             rows = []
             for t in text:
                 found = shingle_set(t, shingle_words)
-                rows.append((xxhash.xxh64_digest(found.tobytes(), SEED), len(found), majority([found], parts).view(np.int64), prefix(found, frequent.value, similarity).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["fp", "n", "bits", "first"])
+                rows.append((xxhash.xxh64_digest(found.tobytes(), SEED), len(found), majority([found], parts).view(np.int64), parity(found), prefix(found, frequent.value, similarity).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["fp", "n", "bits", "parity", "first"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
-    made = keyed.select("doc_id", "key", sketch("text").alias("s")).select("doc_id", "key", F.xxhash64("s.fp").alias("fp"), "s.n", "s.bits", "s.first")
-    marked = cut(made)
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("text_key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first")))
+    made = keyed.select("doc_id", "key", sketch("text").alias("s")).select("doc_id", "key", F.xxhash64("s.fp").alias("fp"), "s.n", "s.bits", "s.parity", "s.first")
+    # What is long is kept for each class only: the rows as read go when classes and the short columns are written.
+    folder = shared_folder(docs.sparkSession, "sketches")
+    made.write.parquet(folder)
+    sketches = docs.sparkSession.read.parquet(folder)
+    marked = cut(sketches.select("doc_id", "key", "fp"))
+    classes = cut(sketches.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("text_key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("parity").alias("parity"), F.first("first").alias("first")))
     ones = sum((F.bit_count(F.col("bits")[part]) for part in range(parts)), F.lit(0)).cast("int").alias("ones")
 
-    def groups(first: Column, label: DataFrame | None) -> DataFrame:
-        """Rows key, fp, label of the groups by the hashes first that have classes of several labels, each set of classes once."""
-        named_by = lambda df: df.withColumn("label", F.col("fp")) if label is None else df.join(label, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp")).drop("node")
-        found = named_by(classes.select("fp", first.alias("first"))).select("label", F.explode("first").alias("h")).groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        mixed_labels = cut(found.where("a < b").select("h"))
-        shared = cut(classes.select("fp", F.explode(first).alias("h")).join(if_small(mixed_labels), "h").select("h", "fp"))
-        xor = lambda seed: F.bit_xor(F.xxhash64("fp", F.lit(seed)))
-        signed_groups = shared.groupBy("h").agg(F.count(F.lit(1)).alias("size"), xor(1).alias("s1"), xor(2).alias("s2"))
-        one = cut(signed_groups.groupBy("size", "s1", "s2").agg(F.min("h").alias("h")).select("h"))
-        return named_by(shared.join(if_small(one), "h").select(F.col("h").alias("key"), "fp")).select("key", "fp", "label")
+    delete(docs.sparkSession, folder)
+    free_shuffles(docs.sparkSession)
 
-    def pairs(members: DataFrame, every: bool) -> DataFrame:
-        met = members.join(classes.select("fp", "n", "bits", ones), "fp")
-        flat = tiles(met, FAR, tile).select("block", "side", "fp", "n", "label", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)])
+    def groups() -> DataFrame:
+        """Rows key, fp of the groups by hashes that have several classes, each set of classes once. Most have two: the least and the
+        greatest, so that only the others are looked up again."""
+        dealt = classes.select("fp", F.explode("first").alias("key"))
+        found = cut(dealt.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+        two = found.where("size = 2").groupBy("a", "b").agg(F.min("key").alias("key")).select("key", F.explode(F.array("a", "b")).alias("fp"))
+        shared = cut(dealt.join(if_small(found.where("size > 2").select("key")), "key").select("key", "fp"))
+        xor = lambda seed: F.bit_xor(F.xxhash64("fp", F.lit(seed)))
+        signed_groups = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), xor(1).alias("s1"), xor(2).alias("s2"))
+        one = cut(signed_groups.groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key"))
+        return cut(shared.join(if_small(one), "key").select("key", "fp").unionByName(two))
+
+    def mixed_groups(members: DataFrame, label: DataFrame) -> DataFrame:
+        """Rows key, fp, label of the groups that have classes of several labels."""
+        relabelled = cut(members.join(if_small(label), F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("label", "fp").alias("label")))
+        keys = cut(relabelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key"))
+        return relabelled.join(if_small(keys), "key")
+
+    def pairs(members: DataFrame, every: bool, counted: DataFrame | None = None) -> DataFrame:
+        """Rows u, v, alike of pairs that members may be alike by, but those counted before."""
+        present = cut(classes.join(if_small(members.select("fp").distinct()), "fp", "left_semi").select("fp", "n", "bits", "parity", ones))
+        flat = tiles(members.join(present.select("fp", "ones"), "fp"), FAR, tile).join(present.select("fp", "n", "bits", "parity"), "fp")
+        flat = flat.select("block", "side", "fp", "n", "label", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)], "parity")
         laid = flat.repartition("block").sortWithinPartitions("block")
         found = laid.mapInArrow(given_back(lambda batches: candidates(batches, similarity, every)), "u long, v long")
-        edges = cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        edges = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        with small_batches(docs.sparkSession, MAPS_AT_ONCE):
+            edges = cut(edges if counted is None else edges.join(counted, ["u", "v"], "left_anti"))
         needed = cut(edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(classes.select("fp", "text_key"), "fp"))
         texts = cut(keyed.join(if_small(needed), F.col("key") == F.col("text_key")).groupBy("fp").agg(F.first("text").alias("text")))
         with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
             return cut(alike(edges, texts, shingle_words, similarity))
 
-    sure = pairs(groups(F.slice("first", 1, FEW), None), False)
-    label = cut(components(sure))
-    label = components(sure.unionByName(pairs(groups(F.col("first"), if_small(label)), True)))
+    members = groups()
+    free_shuffles(docs.sparkSession)
+    counted = pairs(members.withColumn("label", F.col("fp")), False)
+    free_shuffles(docs.sparkSession)
+    label = cut(components(counted.where("alike").select("u", "v")))
+    counted = counted.unionByName(pairs(mixed_groups(members, label), True, counted.select("u", "v")))
+    free_shuffles(docs.sparkSession)
+    label = components(counted.where("alike").select("u", "v"))
     small = classes.select("fp", "least")
     rooted = small.join(label, small["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     return marked.select("doc_id", "key", "fp").join(named(rooted), "fp").select("doc_id", "key", "label", "component_id")

@@ -50,6 +50,50 @@ def test_documents_against_all_pairs(spark):
     assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == set(root.values())
 
 
+def test_large_groups_give_few_pairs(spark, monkeypatch):
+    """Many texts alike by some 0.6 and many by 0.7 to 0.9, all of one passage: not each of their pairs is counted, and none is lost."""
+    rng, seen = random.Random(8), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for own in (35, 9):
+        base = [word() for _ in range(150)]
+        texts += [" ".join(base[: 150 - own] + [word() for _ in range(max(1, own + rng.randint(-4, 4)))]) for _ in range(130)]
+    count = simhash.alike
+
+    def counted(edges, *more):
+        seen.append(edges.count())
+        return count(edges, *more)
+
+    monkeypatch.setattr(simhash, "alike", counted)
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and plain_similarity(texts[i], texts[j]) >= 0.8:
+                new, old = sorted((root[i], root[j]))
+                root = [new if r == old else r for r in root]
+    assert kept == set(root) and sum(seen) < 3 * len(texts)
+
+
+def test_parity_is_a_lower_bound():
+    """Maps differ in no more bits than their sets in hashes, whatever sizes meet, and tell unlike sets apart."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 15, 17, 100, 500, 520, 30_000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, 1 + len(s) // 9).astype(np.uint64)])) for s in sets]
+    maps = simhash.ParityMaps(np.array([simhash.parity(s) for s in sets], object))
+    everyone = np.arange(len(sets))
+    for i in range(len(sets)):
+        told, true = maps.differ(i, everyone), np.array([len(np.setxor1d(sets[i], s)) for s in sets])
+        assert (told <= true).all() and (told == maps.differ(i, everyone[::-1])[::-1]).all()
+        copy = (i + 8) % 16  # of nine tenths: at SPREAD bits a hash little is hidden
+        assert told[copy] >= 0.8 * true[copy] - 2 or len(sets[i]) * simhash.SPREAD > simhash.MOST_BITS
+    for size in np.unique(maps.size):
+        place, words = maps.at[int(size)]
+        for i in np.flatnonzero(maps.size >= size):
+            odd = np.bincount((sets[i] % np.uint64(8 * size)).astype(int), minlength=8 * size) & 1
+            assert words[place[i]].tobytes() == np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def test_candidates_hold_one_matrix():
     """A tile within itself takes one mark a pair, and one more for a forest, whichever way its pairs are told."""
     n = 6000
