@@ -31,6 +31,8 @@ from chronolore.llm.common import cut, given_back, words_in_blocks
 LEAST_DOCUMENTS, SMOOTH, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
 #: Sources of a block, vectors of a chunk, and words that a task counts before it hands them on.
 SOURCES, VECTORS, COUNTED = 256, 4096, 200_000
+#: Parts that the rows of one language or source are dealt to when they meet its numbers.
+SALTS = 64
 #: Bytes below 128 that are no letter become blanks; A-Z small.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -73,6 +75,12 @@ def kept_terms(docs: DataFrame, least: int) -> DataFrame:
     return by_source.groupBy("lang", "term").agg(F.sum("df").alias("df"), entries).where(F.col("df") >= least).drop("df")
 
 
+def meet(rows: DataFrame, numbers: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """rows joined with the one row that numbers has for their keys: rows of a key are dealt over SALTS tasks, each of which has that row."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(numbers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"]).drop("_salt")
+
+
 def share(count: Column, n: Column, v: Column) -> Column:
     """p of a count in a group of n words of v terms."""
     return (F.lit(1) + F.call_function("div", F.lit(SCALE).cast("decimal(38,0)") * (count + SMOOTH), F.nullif(n + SMOOTH * v, F.lit(0)))).cast("long")
@@ -144,7 +152,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, most_terms: int = MOST_
     groups = cut(there.join(words, ["lang", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).join(langs, "lang"))
     blocks = max(1, -(-(groups.agg(F.max("sources")).first()[0] or 0) // SOURCES))
 
-    found = tiles(distinct.join(langs, "lang"), groups, blocks).groupBy("lang", "s", "t").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"))
+    found = tiles(meet(distinct, langs, ["lang"], "first"), groups, blocks).groupBy("lang", "s", "t").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"))
     # The pairs asked for are those of all sources of a language, dealt by the blocks of one side.
     side = lambda name: groups.select("lang", F.col("source").alias(name), F.col("n").alias(f"{name}_n"), "v")
     deal = F.pmod(F.xxhash64("s"), F.lit(blocks))
@@ -158,9 +166,10 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, most_terms: int = MOST_
 
     # A vector's terms tie, so the best terms are among the first ones of the best vectors, in the order of their first terms.
     total = F.aggregate("vector", F.lit(0).cast("long"), lambda s, e: s + e["count"])
-    own = distinct.withColumn("total", total).select("lang", "vector", "first", "total", F.explode("vector").alias("e")).select("lang", "vector", "first", "total", F.col("e.source").alias("source"), F.col("e.count").alias("count")).where("count > 0")
-    own = own.join(groups, ["lang", "source"]).withColumn("value", share(F.col("count"), F.col("n"), F.col("v")) - share(F.col("total"), F.col("all_n"), F.col("v"))).where("value > 0")
-    best = own.withColumn("place", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "first"))).where(F.col("place") <= most_terms).select("lang", "source", "vector", "value")
-    members = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang", "vector").orderBy("term"))).where(F.col("place") <= most_terms).select("lang", "vector", F.col("term").alias("item"))
-    term = best.join(members, ["lang", "vector"]).select("lang", "source", F.lit("term").alias("part"), "item", "value").withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= most_terms)
+    own = distinct.withColumn("total", total).select("lang", "first", "total", F.explode("vector").alias("e")).select("lang", "first", "total", F.col("e.source").alias("source"), F.col("e.count").alias("count"))
+    own = meet(own, groups, ["lang", "source"], "first").withColumn("value", share(F.col("count"), F.col("n"), F.col("v")) - share(F.col("total"), F.col("all_n"), F.col("v"))).where("value > 0")
+    best = own.withColumn("place", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "first"))).where(F.col("place") <= most_terms).select("lang", "source", "first", "value")
+    alike = Window.partitionBy("lang", "vector").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    members = kept.withColumn("place", F.row_number().over(alike)).withColumn("first", F.first("term").over(alike)).where(F.col("place") <= most_terms).select("lang", "first", F.col("term").alias("item"))
+    term = best.join(members, ["lang", "first"]).select("lang", "source", F.lit("term").alias("part"), "item", "value").withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= most_terms)
     return pair.unionByName(term)
