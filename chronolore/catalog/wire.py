@@ -184,11 +184,12 @@ def load_topics(spark: SparkSession, d: str) -> DataFrame:
     return tables(spark, d)["topics"]
 
 
-@query(f"""WITH {SAID_SQL}, who AS (SELECT count(*) FILTER (WHERE conv_id % 4 = 0 AND conv_id % 7 = 3) AS mailed FROM (SELECT DISTINCT conv_id FROM m WHERE conv_id % 2 = 0))
-    SELECT {FACT_ID_SQL} AS fact_id, ordinal % 4 = 0 AND (SELECT mailed FROM who) = 0 AS resolved FROM f WHERE ordinal % 4 = 0""")
+@query(f"""WITH {SAID_SQL}, who AS (SELECT count(*) AS mailed FROM m WHERE conv_id % 4 = 0 AND conv_id % 7 = 3), here AS (SELECT DISTINCT episode_id FROM c WHERE raw_id = 'Uassistant'),
+    o AS (SELECT {FACT_ID_SQL} AS fact_id, CASE WHEN (SELECT mailed FROM who) = 0 THEN 'EXACT_NAME' WHEN episode_id IN (SELECT episode_id FROM here) THEN 'UNIQUE_IN_EPISODE' ELSE 'UNRESOLVED' END AS method FROM f WHERE ordinal % 4 = 0)
+    SELECT fact_id, method, method <> 'UNRESOLVED' AS resolved FROM o""")
 def load_ownership(spark: SparkSession, d: str) -> DataFrame:
-    """Owners of the facts that name one. One person of that name is resolved; of several, the name does not tell which."""
-    return tables(spark, d)["ownership"].select("fact_id", F.col("person_id").isNotNull().alias("resolved"))
+    """Owners of the facts that name one, and how they were found. One person of that name is resolved; of several, the one who spoke in the episode."""
+    return tables(spark, d)["ownership"].select("fact_id", "method", F.col("person_id").isNotNull().alias("resolved"))
 
 
 @query(f"""WITH {CHAT_SQL}, {MEETING_SQL}, {PAGE_SQL}, e AS (SELECT DISTINCT episode_id, 'SLACK' AS system FROM c UNION ALL SELECT DISTINCT 'zoom:' || external_id, 'ZOOM' FROM m UNION ALL SELECT DISTINCT 'notion:' || external_id, 'NOTION' FROM p)
