@@ -191,6 +191,22 @@ def supersession_candidates(spark: SparkSession, d: str) -> DataFrame:
     return best.select("newer", "older", F.round("similarity", 6).alias("similarity"))
 
 
+NUMBERS = (7919, 104729, 1299709)
+
+
+@query(f"""
+    WITH v AS (SELECT event_id, event_type, ts, {", ".join(f"CAST(event_id * {n} % 1000 AS DOUBLE) - 499.5::DOUBLE AS x{n}" for n in NUMBERS)} FROM events),
+    u AS (SELECT event_id, event_type, ts, {", ".join(f"x{n} / sqrt({' + '.join(f'x{m} * x{m}' for m in NUMBERS)}) AS x{n}" for n in NUMBERS)} FROM v)
+    SELECT a.event_id AS newer, b.event_id AS older, round({" + ".join(f"a.x{n} * b.x{n}" for n in NUMBERS)}, 6) AS similarity
+    FROM u a JOIN u b ON a.event_type = b.event_type AND b.ts < a.ts AND {" + ".join(f"a.x{n} * b.x{n}" for n in NUMBERS)} >= 0.9995""")
+def like_event_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All like pairs of events of one type, whose vectors are made of their numbers; found by pivots, as a type has many tiles here."""
+    no = F.col("event_id")
+    vector = F.array(*[(no * n % 1000).cast("double") - 499.5 for n in NUMBERS])
+    facts = table(spark, d, "events").select(no.alias("fact_id"), F.col("event_type").alias("type"), F.col("ts").alias("occurred_at"), vector.alias("embedding"), no.alias("seq"))
+    return supersede.like_pairs(facts, 0.9995, tile=64).select("newer", "older", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def supersession_fold(spark: SparkSession, d: str) -> DataFrame:
     """The fold over all vectors with a judge that decides by the statements. No SQL: each verdict changes what is open for the next;

@@ -8,7 +8,9 @@ by itself, which gives the same result as one pass over a whole type, in paralle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,14 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolore.functions.vectors import unit
-from chronolore.lineage import components
+from chronolore.lineage import components, cut
 
 #: (older statement, newer statement, similarity) -> (verdict, what changed).
 Judge = Callable[[str, str, float], tuple[str, str]]
 
 LEAST = 0.80
-#: Facts of a tile, about.
-TILE = 4096
+#: Facts of a tile, about; pivots of a type, at most.
+TILE, MOST_PIVOTS = 4096, 2048
+#: Rows that meet others at once; how much angles may be off; the cell of what has no other; rounds of pivots; an angle between vectors that have nothing to do with each other.
+AT_ONCE, ROUNDING, LAST, ROUNDS, WIDEST = 512, 1e-6, 1 << 30, 5, math.radians(85)
 JUDGEMENTS = "newer string, older string, newer_at timestamp, older_at timestamp, similarity double, verdict string, rationale string"
 
 
@@ -47,39 +51,158 @@ def verdict_of(judge: Judge, older: str, newer: str, similarity: float) -> tuple
     return verdict, changed or ""
 
 
-def like_pairs(facts: DataFrame, least: float = LEAST, block: list[str] | None = None) -> DataFrame:
+def dealt_cells(facts: DataFrame, least: float, block: list[str] | None, tile: int) -> tuple[DataFrame, list[str]]:
+    """The rows that are to meet, and the columns that name a meeting: every like pair of a type meets in exactly one of them.
+
+    Vectors are like if the angle between them is at most alpha = arccos(least). Of a type of more than tile facts some vectors are pivots; facts near enough to the
+    nearest (alpha / 2, or the median if it is more) are at home in its cell, the others have new pivots from among them in the next of ROUNDS, and so each
+    cell is narrow. It reaches as far as its furthest fact, and a fact of an earlier cell visits it only if it is within reach + alpha of its pivot. What
+    has no cell in the end, or is of a type whose vectors lie too evenly for cells to tell anything, is in a last cell that all visit. Cells are split into
+    tiles, and tiles of visitors meet tiles of those at home."""
+    keys = ["type", *(block or []), "width"]
+    rows = facts.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("occurred_at").isNotNull()).withColumn("width", F.size("embedding"))
+    # Arrow names a moment's zone by the session's setting, so moments travel as numbers.
+    rows = rows.select(*keys, "fact_id", F.unix_micros(F.col("occurred_at").cast("timestamp")).alias("at"), "seq", unit(F.col("embedding")).alias("v"))
+    if least > 0:
+        rows = rows.where(F.exists("v", lambda x: x != 0))  # a zero vector is like nothing
+    there, angle = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), apart(least)
+    kept = ["fact_id", "at", "seq", "v"]
+    named = lambda df, *more: df.select(*[F.col(k).alias(k) for k in keys], *more)
+    last, told = F.lit(LAST).alias("cell"), f"{ddl(rows)}, cell int, home boolean, far double"
+
+    def settle(part: pa.Table, near: pa.Table) -> pa.Table:
+        """The nearest pivot of each row, and how far it is."""
+        x = rows_of(part.column("v"))
+        cells, far = np.full(len(x), LAST, np.int32), np.full(len(x), np.pi)
+        if len(near) and len(x):
+            p, number = rows_of(near.column("pivot")), near.column("cell").to_numpy()
+            for start in range(0, len(x), AT_ONCE):
+                cosine = x[start : start + AT_ONCE] @ p.T
+                best = cosine.argmax(axis=1)
+                cells[start : start + AT_ONCE] = number[best]
+                far[start : start + AT_ONCE] = np.arccos(np.clip(cosine[np.arange(len(best)), best], -1, 1))
+        return part.drop_columns(["_deal"]).append_column("cell", pa.array(cells, pa.int32())).append_column("home", pa.array(np.ones(len(x), bool))).append_column("far", pa.array(far))
+
+    def visit(part: pa.Table, near: pa.Table) -> pa.Table:
+        """The later cells that each row visits, and how far from their pivots it is."""
+        at, cells, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)]
+        if len(near) and len(part):
+            x, p, number, reach, home = rows_of(part.column("v")), rows_of(near.column("pivot")), near.column("cell").to_numpy(), near.column("reach").to_numpy(), part.column("cell").to_numpy()
+            for start in range(0, len(x), AT_ONCE):
+                angles = np.arccos(np.clip(x[start : start + AT_ONCE] @ p.T, -1, 1))
+                i, j = np.nonzero((angles <= reach + angle + ROUNDING) & (number > home[start : start + AT_ONCE, None]))
+                at.append(start + i)
+                cells.append(number[j].astype(np.int32))
+                far.append(angles[i, j])
+        out = part.drop_columns(["_deal", "cell", "home", "far"]).take(pa.array(np.concatenate(at)))
+        return out.append_column("cell", pa.array(np.concatenate(cells), pa.int32())).append_column("home", pa.array(np.zeros(len(out), bool))).append_column("far", pa.array(np.concatenate(far)))
+
+    def with_pivots(df: DataFrame, pivots: DataFrame, run: Callable) -> DataFrame:
+        """run() for each deal of about tile rows of a type and all pivots of the type."""
+        deals = F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_deals")
+        sizes = named(df.groupBy(*keys).agg(deals), "_deals")
+        dealt = df.join(sizes, keys).withColumn("_deal", F.pmod(F.xxhash64("fact_id"), F.col("_deals")).cast("int")).drop("_deals")
+        spread = pivots.join(sizes, keys).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals")
+        return dealt.groupBy(*keys, "_deal").cogroup(named(spread, "_deal", *pivots.drop(*keys).columns).groupBy(*keys, "_deal")).applyInArrow(run, told)
+
+    large = there.where(f"_rows > {tile}") if least > 0 else there.limit(0)
+    left = rows.join(named(large), keys, "left_semi")
+    homes, all_pivots = rows.join(named(large), keys, "left_anti").select(*keys, *kept, last, F.lit(True).alias("home"), F.lit(0.0).alias("far")), []
+    for n in range(ROUNDS if not large.isEmpty() else 0):
+        sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(f"_rows > {tile}")
+        wanted = F.least(F.lit(MOST_PIVOTS), F.greatest(F.ceil(F.col("_rows") * 4 / tile), F.ceil(F.sqrt("_rows") * 2)))
+        chance = F.pmod(F.xxhash64(F.lit(n), "fact_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+        chosen = left.join(named(sizes, "_rows"), keys).where(chance < wanted / F.col("_rows")).select(*keys, F.col("v").alias("pivot")).dropDuplicates()
+        pivots = cut(chosen.withColumn("cell", (F.lit(n * 2 * MOST_PIVOTS) + F.row_number().over(Window.partitionBy(*keys).orderBy("pivot"))).cast("int")))
+        settled = cut(with_pivots(left, pivots, settle))
+        # How far is near enough, by type; nothing is where cells would be too wide to tell anything.
+        near = settled.groupBy(*keys).agg(F.greatest(F.lit(angle / 2), F.percentile_approx("far", 0.5)).alias("_near"))
+        judged = settled.join(named(near, "_near"), keys)
+        inside = (F.col("far") <= F.col("_near")) & (F.col("_near") + angle < WIDEST)
+        homes, all_pivots, before = homes.unionByName(judged.where(inside).drop("_near")), [*all_pivots, pivots], left
+        left = cut(judged.where(~inside).select(*keys, *kept))
+        if left.count() in (0, before.count()):
+            break
+    homes = homes.unionByName(left.select(*keys, *kept, last, F.lit(True).alias("home"), F.lit(0.0).alias("far")))
+    settled = homes
+    if all_pivots:
+        homes = cut(homes)
+        reach = homes.where(F.col("cell") < LAST).groupBy(*keys, "cell").agg(F.max("far").alias("reach"))
+        pivots = cut(reduce(DataFrame.unionByName, all_pivots).join(named(reach, "cell", "reach"), [*keys, "cell"]))
+        in_cells = homes.where(F.col("cell") < LAST)
+        guests = cut(with_pivots(in_cells, pivots, visit))
+        at_last = in_cells.join(named(left.select(*keys).distinct()), keys, "left_semi").select(*keys, *kept, last, F.lit(False).alias("home"), F.lit(0.0).alias("far"))
+        settled = homes.unionByName(guests).unionByName(at_last)
+    sizes = settled.groupBy(*keys, "cell").agg(*[F.greatest(F.ceil(F.count_if(c) / tile), F.lit(least_tiles)).cast("int").alias(n) for c, n, least_tiles in ((F.col("home"), "_homes", 1), (~F.col("home"), "_guests", 0))])
+    tiled = settled.join(sizes, [*keys, "cell"]).withColumn("_own", F.pmod(F.xxhash64("fact_id"), F.when(F.col("home"), F.col("_homes")).otherwise(F.col("_guests"))).cast("int"))
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    meeting = lambda guest, a, b: F.struct(F.lit(guest).alias("guest"), a.alias("a"), b.alias("b"))
+    at_home = F.concat(F.transform(each(F.col("_homes")), lambda o: meeting(False, F.least("_own", o), F.greatest("_own", o))), F.transform(each(F.col("_guests")), lambda g: meeting(True, g, F.col("_own"))))
+    visiting = F.transform(each(F.col("_homes")), lambda h: meeting(True, F.col("_own"), h))
+    met = tiled.withColumn("_m", F.explode(F.when(F.col("home"), at_home).otherwise(visiting))).select(*keys, "cell", "_m.guest", "_m.a", "_m.b", "_own", "home", "far", "fact_id", "at", "seq", "v")
+    return met, [*keys, "cell", "guest", "a", "b"]
+
+
+def apart(least: float) -> float:
+    """The greatest angle between like vectors, with room for rounding."""
+    return math.acos(min(1.0, max(-1.0, least - 1e-8))) + ROUNDING
+
+
+def rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of a matrix."""
+    return pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def like_pairs(facts: DataFrame, least: float = LEAST, block: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """newer, older, similarity, both times and both seq: pairs of one type (and equal in the columns of block), the older strictly
     earlier, both with vectors of one length.
 
-    Exact: facts of a type are dealt into tiles of about TILE, each pair of tiles is one task's matrix product, and only like pairs leave it.
-    The work is still that of all pairs of a type; block columns (a topic, a container) that like facts share bound it."""
-    keys = ["type", *(block or []), "width"]
-    rows = facts.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("occurred_at").isNotNull()).withColumn("width", F.size("embedding")).select(*keys, "fact_id", "occurred_at", "seq", unit(F.col("embedding")).alias("v"))
-    tiles = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_tiles"))
-    dealt = rows.join(tiles, keys).withColumn("_own", F.pmod(F.xxhash64("fact_id"), F.col("_tiles")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    dealt = dealt.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other"))
+    Exact: pairs that can't be like by their pivots never meet (dealt_cells()). Of those that meet, angles to the cell's pivot that differ by more
+    than like vectors can be apart are left out; a matrix product finds the like ones among the rest, and only these leave a task. On vectors in clusters
+    the work is about that of each cluster with itself; where vectors lie evenly in many dimensions nothing can be told from pivots, and
+    all of a type meet. Block columns (a topic, a container) that like facts share bound it further."""
+    met, meeting = dealt_cells(facts, least, block, tile)
     kind = {c: facts.schema[c].dataType.simpleString() for c in ("fact_id", "occurred_at", "seq")}
+    near = apart(least)
 
     def run(part: pa.Table) -> pa.Table:
-        x = pa.concat_arrays([c.flatten() for c in part.column("v").chunks]).to_numpy().reshape(len(part), -1)
-        at = part.column("occurred_at").cast(pa.int64()).to_numpy()
-        own, a, b = (part.column(c).to_numpy() for c in ("_own", "_a", "_b"))
-        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+        x, at, far = rows_of(part.column("v")), part.column("at").to_numpy(), part.column("far").to_numpy()
+        own, home = part.column("_own").to_numpy(), part.column("home").to_numpy(zero_copy_only=False)
+        guest, a, b = (part.column(c)[0].as_py() for c in ("guest", "a", "b"))
+        left, right = (np.flatnonzero(~home), np.flatnonzero(home)) if guest else (np.flatnonzero(own == a), np.flatnonzero(own == b))
+        left, right = left[np.argsort(far[left], kind="stable")], right[np.argsort(far[right], kind="stable")]
         found = []
-        for i in range(0, len(left), 512):
-            u, v = np.nonzero(np.round(x[left[i : i + 512]] @ x[right].T, 8) >= least - 1e-8)
-            found.append(np.column_stack([left[i + u], right[v]]))
+        for i in range(0, len(left), AT_ONCE):
+            some = left[i : i + AT_ONCE]
+            first, last = np.searchsorted(far[right], far[some[0]] - near), np.searchsorted(far[right], far[some[-1]] + near, side="right")
+            others = right[first:last]
+            u, v = np.nonzero(np.round(x[some] @ x[others].T, 8) >= least - 1e-8)
+            found.append(np.column_stack([some[u], others[v]]))
         p = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        p = p[at[p[:, 0]] != at[p[:, 1]]] if a[0] != b[0] else p[at[p[:, 0]] > at[p[:, 1]]]
+        p = p[at[p[:, 0]] != at[p[:, 1]]] if guest or a != b else p[at[p[:, 0]] > at[p[:, 1]]]
         newer, older = np.where(at[p[:, 0]] > at[p[:, 1]], p.T, p.T[::-1])
         similarity = (x[newer] * x[older]).sum(axis=1)
         like = np.round(similarity, 9) >= least
         newer, older, similarity = pa.array(newer[like]), pa.array(older[like]), similarity[like]
-        columns = [part.column(c).take(n) for c in ("fact_id", "occurred_at", "seq") for n in (newer, older)]
+        columns = [part.column(c).take(n) for c in ("fact_id", "at", "seq") for n in (newer, older)]
         return pa.table([*columns, pa.array(similarity)], names=["newer", "older", "newer_at", "older_at", "newer_seq", "older_seq", "similarity"])
 
-    told = f"newer {kind['fact_id']}, older {kind['fact_id']}, newer_at {kind['occurred_at']}, older_at {kind['occurred_at']}, newer_seq {kind['seq']}, older_seq {kind['seq']}, similarity double"
-    return dealt.groupBy(*keys, "_a", "_b").applyInArrow(run, told)
+    told = f"newer {kind['fact_id']}, older {kind['fact_id']}, newer_at long, older_at long, newer_seq {kind['seq']}, older_seq {kind['seq']}, similarity double"
+    return met.groupBy(*meeting).applyInArrow(run, told).withColumns({c: F.timestamp_micros(c).cast(kind["occurred_at"]) for c in ("newer_at", "older_at")})
+
+
+def pairs_met(facts: DataFrame, least: float = LEAST, block: list[str] | None = None, tile: int = TILE) -> DataFrame:
+    """type, met, possible: how many pairs of a type meet in a cell, and how many pairs it has."""
+    met, meeting = dealt_cells(facts, least, block, tile)
+    n, homes = F.count(F.lit(1)), F.count_if(F.col("home"))
+    inside = F.when(F.col("guest"), homes * (n - homes)).when(F.col("a") == F.col("b"), n * (n - 1) / 2).otherwise(F.count_if(F.col("_own") == F.col("a")) * F.count_if(F.col("_own") == F.col("b")))
+    of_type = met.groupBy(*meeting).agg(inside.cast("long").alias("met")).groupBy("type").agg(F.sum("met").alias("met"))
+    rows = facts.where(F.col("embedding").isNotNull() & F.col("occurred_at").isNotNull()).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(of_type, "type", "left").select("type", F.coalesce("met", F.lit(0)).cast("long").alias("met"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("possible"))
 
 
 def proposals(pairs: DataFrame) -> DataFrame:
