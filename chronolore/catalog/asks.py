@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from chronolore.catalog import VERSIONS_SQL, Catalog, event_facts, table
 from chronolore.functions.text import citations, salient_terms, term_coverage
-from chronolore.operators import graph, scoring, search, stats
+from chronolore.lineage import shared_folder
+from chronolore.operators import graph, scoring, search, stats, vector_index
 from chronolore.operators.acl import readable
 
 query = Catalog()
@@ -56,6 +57,18 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_top_all(rows, rows, 10, "vec_id").select("query_id", "vec_id", "score", "rank")
 
 
+@query("""
+    WITH s AS (
+        SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id AND v.vec_id % 5 > 0 AND v.label <> 3
+    ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+    SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
+def indexed_vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Ten nearest readable vectors of every vector from a stored index: every fifth vector and those of one label are hidden, which the search tests inside."""
+    rows = table(spark, d, "embeddings").withColumn("acl_grants", F.when(F.col("vec_id") % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))
+    index = vector_index.build(rows, shared_folder(spark, "vectors"), "vec_id")
+    return vector_index.search(index, rows, 10, allowed=readable(F.col("acl_grants"), []) & (F.col("label") != 3)).select("query_id", "vec_id", "score", "rank")
+
+
 VECTOR_SEED_SQL = """
     vs AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN benchmark ON q.vec_id = item_id JOIN embeddings v ON q.vec_id <> v.vec_id),
     vectors AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM vs)"""

@@ -85,7 +85,13 @@ def vector_top_all(rows: DataFrame, queries: DataFrame, k: int, id_col: str, own
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = vectors.select(deal(row_blocks).alias("r"), each(query_blocks).alias("q"), "id", "vector")
     right = asked.select(each(row_blocks).alias("r"), deal(query_blocks).alias("q"), "id", "vector")
-    kind, query_kind = rows.schema[id_col].dataType.simpleString(), queries.schema[id_col].dataType.simpleString()
+    return top(best_of_blocks(left, right, ["r", "q"], k, id_col, own), ["query_id"], [F.desc("score"), F.col(id_col)], k)
+
+
+def best_of_blocks(left: DataFrame, right: DataFrame, keys: list[str], k: int, id_col: str, own: bool) -> DataFrame:
+    """query_id, id, score: where a block of rows (keys, id, vector) meets a block of questions of the same keys, the k greatest cosines (rounded to six
+    places) of each question, ties by id."""
+    kind, query_kind = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
 
     def unit(column: pa.ChunkedArray, width: int) -> np.ndarray:
         given = [np.asarray(v, np.float64)[:width] for v in column.to_pylist()]
@@ -110,8 +116,7 @@ def vector_top_all(rows: DataFrame, queries: DataFrame, k: int, id_col: str, own
         take = lambda table, n: table.column("id").take(pa.array(n, pa.int64()))
         return pa.table({"query_id": take(wanted, query), id_col: take(there, at), "score": pa.array(score, pa.float64())})
 
-    pairs = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(run, f"query_id {query_kind}, {id_col} {kind}, score double")
-    return top(pairs, ["query_id"], [F.desc("score"), F.col(id_col)], k)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"query_id {query_kind}, {id_col} {kind}, score double")
 
 
 def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
