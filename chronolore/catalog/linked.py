@@ -13,8 +13,9 @@ from chronolore.catalog.facts import versions
 from chronolore.functions import dates, ids, text
 from chronolore.functions.dates import as_of
 from chronolore.lineage import shared_folder
-from chronolore.operators import export, graph, models, resolve, stats, supersede
-from chronolore.plans import ask, extract
+from chronolore.operators import export, graph, models, resolve, search, stats, supersede, text_index
+from chronolore.operators.acl import readable
+from chronolore.plans import ask, extract, load
 from chronolore.sources import directory
 from chronolore.streaming import versions as stream_versions
 
@@ -159,10 +160,11 @@ def document_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
+SAID = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE conv_id % 7 > 0)"
 RETRIEVAL_SQL = BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id % 5 > 0)").replace("(SELECT count(*) FROM documents)", "(SELECT count(*) FROM documents WHERE doc_id % 5 > 0)")
 
 
-@query(f"""
+RETRIEVED_SQL = f"""
     WITH {RETRIEVAL_SQL},
     vs AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN benchmark ON q.vec_id = item_id JOIN embeddings v ON v.vec_id % 5 > 0 JOIN documents ON doc_id = v.vec_id),
     vectors AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS INT) AS rank FROM vs),
@@ -175,16 +177,49 @@ RETRIEVAL_SQL = BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id
     near AS (SELECT i.query_id, i.doc_id, max(f.score) AS near FROM ids i JOIN step ON step.b = i.doc_id JOIN fused f ON f.query_id = i.query_id AND f.doc_id = step.a GROUP BY ALL),
     c AS (SELECT i.query_id, i.doc_id, v.source AS title, v.closed, coalesce(f.score, n.near, 0.0) AS score FROM ids i JOIN v USING (doc_id) LEFT JOIN fused f USING (query_id, doc_id) LEFT JOIN near n USING (query_id, doc_id)),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY score DESC, closed, doc_id DESC) AS k FROM c)
-    SELECT query_id, CAST(doc_id AS VARCHAR) AS fact_id, title, score, closed, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, closed, doc_id DESC) AS INT) AS rank FROM k WHERE k <= 3 QUALIFY rank <= 8""")
+    SELECT query_id, CAST(doc_id AS VARCHAR) AS fact_id, title, score, closed, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, closed, doc_id DESC) AS INT) AS rank FROM k WHERE k <= 3 QUALIFY rank <= 8"""
+
+
+@query(RETRIEVED_SQL)
 def retrieval(spark: SparkSession, d: str) -> DataFrame:
     """The whole of retrieval for every benchmark text as a question: both searches over what is readable, fused, led on to what is current,
     hydrated, ranked and kept diverse."""
+    return retrieved(spark, d, document_tables(spark, d), None)
+
+
+def retrieved(spark: SparkSession, d: str, t: dict[str, DataFrame], indexes: load.Indexes | None) -> DataFrame:
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     asked = asked.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    found = ask.retrieve_many(document_tables(spark, d), asked)
+    found = ask.retrieve_many(t, asked, indexes=indexes)
     return found.select("query_id", "fact_id", "title", "score", F.col("valid_to").isNotNull().alias("closed"), "rank")
 
 
+@query(RETRIEVED_SQL)
+def indexed_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """retrieval by stored indexes of words and vectors, access tested inside: the same rows."""
+    t = document_tables(spark, d)
+    return retrieved(spark, d, t, load.write_indexes(t, shared_folder(spark, "indexes")))
+
+
+SAID_SQL = BM25_SQL.replace("FROM documents)", f"FROM {SAID})").replace("FROM documents", f"FROM {SAID}")
+
+
+@query(f"WITH {SAID_SQL} SELECT query_id, doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, score, rank FROM words WHERE rank <= 8")
+def utterance_search(spark: SparkSession, d: str) -> DataFrame:
+    """The eight turns of readable conversations that best fit each benchmark text, from a stored index of all turns."""
+    turns, c = table(spark, d, "conversations"), F.col
+    key = lambda n: F.lpad(n.cast("string"), 9, "0")
+    grants = F.when(c("conv_id") % 7 == 0, F.array(F.lit("team:x"))).otherwise(F.array().cast("array<string>"))
+    none = F.lit(None).cast("string")
+    # Ids as strings of one length sort as their numbers do.
+    said = turns.where("conv_id IS NOT NULL").select(key(c("conv_id")).alias("episode_id"), c("turn").cast("int").alias("ordinal"), F.lit("x").alias("speaker"), F.lit(HELD).cast("timestamp").alias("at"), "text", none.alias("permalink"), "conv_id", "turn")
+    words = text_index.build(said.withColumn("utterance_key", F.concat("episode_id", F.lit("#"), key(c("ordinal")))).select("utterance_key", "text"), shared_folder(spark, "utterances"), "utterance_key", "text")
+    open_ = said.where(readable(grants, [])).select(F.concat("episode_id", F.lit("#"), key(c("ordinal"))).alias("utterance_key"), "conv_id", "turn").distinct()
+    asked = table(spark, d, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("question"))
+    found = search.bm25_top(None, asked, 8, "utterance_key", "text", words, open_.select("utterance_key"))
+    return found.join(open_, "utterance_key").select("query_id", "conv_id", "turn", "score", "rank")
+
+
 @query("""
     SELECT event_id, CASE event_type WHEN 'purchase' THEN 'DECISION' WHEN 'click' THEN 'ACTION_ITEM' WHEN 'signup' THEN 'COMMITMENT' WHEN 'error' THEN 'RISK' ELSE 'OPEN_QUESTION' END AS type, CASE WHEN event_id % 11 > 0 THEN 'made of ' || event_id END AS statement, 'Owner ' || user_id AS owner,
         CASE event_id % 3 WHEN 0 THEN 'AGREED' WHEN 1 THEN 'PROPOSED' ELSE 'DONE' END AS status, CASE WHEN event_id % 2 = 0 THEN '2024-03-01' ELSE strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_id % 5 = 0 THEN DATE '2024-04-05' END AS due, CAST(1 AS INT) AS n_quotes

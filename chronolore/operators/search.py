@@ -7,33 +7,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolore.functions.text import keywords
-from chronolore.lineage import cut
+from chronolore.operators.ranks import global_rank, top
+from chronolore.operators.text_index import bm25_top, tokens
+
+__all__ = ["best_of_blocks", "bm25_top", "document_frequencies", "fuse", "global_rank", "nearest", "rerank", "term_frequencies", "tokens", "top", "vector_top", "vector_top_all", "vector_top_many"]
 
 # Fixed values.
 RRF_K, SEEDS, FINAL, PER_EPISODE, HISTORY_DEPTH = 60, 40, 8, 3, 5
-K1, B = 1.2, 0.75
 #: Query vectors that one pass carries along.
 MOST_QUERIES = 1024
-#: Pairs of a question and a term that one pass over the documents carries along, and scores that it holds at once.
-MOST_PAIRS, SCORES = 1_000_000, 1 << 22
 #: Rows and queries of one pair of blocks, and queries scored at once in it.
 BLOCK, AT_ONCE = 8192, 512
 
 
-def top(rows: DataFrame, query: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first k rows of each query, with their rank from 1."""
-    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*query).orderBy(*order)).cast("int")).where(F.col(rank) <= k)
-
-
 def nearest(rows: DataFrame, queries: dict[int, list[float]], k: int, id_col: str, own: bool) -> DataFrame:
     """query_id, id, score: for each Arrow batch of rows the k greatest cosines (rounded to six places) for each query, ties by id; without own, a
     row is no answer to the query of its own id. The queries are a stated set, sent along; scores are one matrix product per batch, and
@@ -119,21 +111,6 @@ def best_of_blocks(left: DataFrame, right: DataFrame, keys: list[str], k: int, i
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"query_id {query_kind}, {id_col} {kind}, score double")
 
 
-def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rows with rank (from 1) over all of them: dealt by ranges of the order, counted, and numbered within each range, so that no task
-    holds all rows. One shuffle, kept in the checkpoint folder."""
-    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    base = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    numbered = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return numbered.join(base.select("_part", "_base"), "_part").withColumn("rank", (F.col("_base") + F.col("_local")).cast("int")).drop("_part", "_base", "_local")
-
-
-def tokens(c: Column) -> Column:
-    """All words of a text, lower case, repeats included."""
-    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
-
-
 def term_frequencies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """id, length, term, tf. The inverted index: worth keeping as a table partitioned by term if many questions are asked."""
     split = docs.select(id_col, tokens(F.col(text)).alias("_t"))
@@ -145,89 +122,6 @@ def document_frequencies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(id_col, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def postings(docs: DataFrame, terms: list[str], id_col: str, text: str) -> DataFrame:
-    """id, length, terms (numbers of those of terms that the document has), tfs: an index by document, made in one pass and without a shuffle.
-    The words are cut by Spark; Arrow looks them up, each batch at once."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    known, width = pa.array(terms, pa.string()), max(1, len(terms))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            number = pc.fill_null(pc.index_in(batch.column(1).flatten(), known), -1).to_numpy(zero_copy_only=False)
-            key = (np.repeat(np.arange(len(length), dtype=np.int64), length) * width + number)[number >= 0]
-            key, tf = np.unique(key, return_counts=True)
-            offsets = pa.array(np.searchsorted(key, np.arange(len(length) + 1, dtype=np.int64) * width), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (key % width, tf)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length, pa.int32()), *lists], names=[id_col, "length", "terms", "tfs"])
-
-    return docs.select(id_col, tokens(F.col(text)).alias("t")).mapInArrow(run, f"{id_col} {kind}, length int, terms array<int>, tfs array<int>")
-
-
-def scored(index: DataFrame, asked: np.ndarray, starts: np.ndarray, idf: np.ndarray, average: float, questions: pa.Array, kind: str, k: int, id_col: str) -> DataFrame:
-    """query_id, id, score: for each batch of postings() the k best documents of each question. The questions (numbers) of term t are
-    asked[starts[t] : starts[t + 1]]; a document's words meet only the questions that ask them, so the work is that of the matches."""
-    shared, number = index.sparkSession.sparkContext.broadcast((asked, starts, idf)), len(questions)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, starts, idf = shared.value
-        for batch in batches:
-            ids, lengths = np.array(batch.column(0).to_pylist()), batch.column(1).to_numpy()
-            n_terms = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-            term, tf = (batch.column(i).flatten().to_numpy() for i in (2, 3))
-            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n_terms)])
-            at_once, out = max(1, SCORES // max(1, number)), []
-            for first in range(0, len(ids), at_once):
-                last = min(first + at_once, len(ids))
-                own = slice(ends[first], ends[last])
-                doc = np.repeat(np.arange(last - first), n_terms[first:last])
-                weight = idf[term[own]] * tf[own] * (K1 + 1) / (tf[own] + K1 * (1 - B + B * lengths[first + doc] / average))
-                times = starts[term[own] + 1] - starts[term[own]]
-                stops = np.cumsum(times)
-                question = asked[np.repeat(starts[term[own]] - stops + times, times) + np.arange(stops[-1] if len(stops) else 0)]
-                score = np.bincount(question * (last - first) + np.repeat(doc, times), np.repeat(weight, times), number * (last - first)).reshape(number, -1)
-                for q in np.flatnonzero(score.any(axis=1)):
-                    at = np.flatnonzero(score[q])
-                    rounded = np.round(score[q, at], 6)
-                    if len(at) > k:
-                        near = rounded >= np.partition(rounded, len(at) - k)[len(at) - k]
-                        at, rounded = at[near], rounded[near]
-                    best = np.lexsort((ids[first + at], -rounded))[:k]
-                    out.append((np.full(len(best), q), first + at[best], rounded[best]))
-            q, row, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([questions.take(pa.array(q, pa.int64())), batch.column(0).take(pa.array(row, pa.int64())), pa.array(score)], names=["query_id", id_col, "score"])
-
-    return index.mapInArrow(run, f"query_id {kind}, {id_col} {index.schema[id_col].dataType.simpleString()}, score double")
-
-
-def bm25_top(docs: DataFrame, questions: DataFrame, k: int = SEEDS, id_col: str = "fact_id", text: str = "statement") -> DataFrame:
-    """query_id, id, score, rank. questions: query_id, question.
-
-    The index is by document, so no term, however frequent, is a key: each batch of documents gives its own k best per question, and only these
-    are shuffled. Questions go to the documents in parts of about MOST_PAIRS (question, term) pairs, one after another."""
-    kind = questions.schema["query_id"].dataType
-    pairs = cut(questions.select("query_id", F.explode(keywords(F.col("question"))).alias("term")).distinct())
-    parts = math.ceil(pairs.count() / MOST_PAIRS)
-    found = []
-    for part in range(parts):
-        own = pairs.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
-        if not len(own):
-            continue
-        question, term = own.column("query_id").combine_chunks().dictionary_encode(), own.column("term").combine_chunks().dictionary_encode()
-        order = np.argsort(term.indices.to_numpy(), kind="stable")
-        asked = question.indices.to_numpy()[order].astype(np.int64)
-        starts = np.searchsorted(term.indices.to_numpy()[order], np.arange(len(term.dictionary) + 1)).astype(np.int64)
-        index = cut(postings(docs, term.dictionary.to_pylist(), id_col, text))
-        n, length = index.agg(F.count(F.lit(1)), F.avg("length")).first()
-        df = np.zeros(len(term.dictionary))
-        for r in index.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-            df[r["t"]] = r["count"]
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        found.append(scored(index, asked, starts, idf, float(length or 1), question.dictionary, kind.simpleString(), k, id_col))
-    none = docs.sparkSession.createDataFrame([], f"query_id {kind.simpleString()}, {id_col} {docs.schema[id_col].dataType.simpleString()}, score double")
-    return top(reduce(DataFrame.unionByName, found, none), ["query_id"], [F.desc("score"), F.col(id_col)], k)
-
-
 def fuse(rankings: DataFrame, query: list[str], id_col: str) -> DataFrame:
     """Reciprocal rank fusion of rows (query, id, rank), one per strategy: query, id, score."""
     return rankings.groupBy(*query, id_col).agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("score"))

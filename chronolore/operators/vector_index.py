@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolore.lineage import cut
-from chronolore.operators.search import BLOCK, best_of_blocks, top
+from chronolore.operators.ranks import top
+from chronolore.operators.search import BLOCK, best_of_blocks
 
 #: Centres at most, vectors that they are trained on, rounds of training; the cell of what has no centre; how much angles may be off.
 MOST_CELLS, SAMPLED, TRAINED, ODD, ROUNDING = 2048, 20_000, 4, -1, 1e-6

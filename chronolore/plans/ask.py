@@ -11,7 +11,7 @@ from chronolore.functions.dates import as_of as moment_of
 from chronolore.functions.text import citations
 from chronolore.functions.vectors import clamp
 from chronolore.lineage import cut
-from chronolore.operators import graph, models, render, search
+from chronolore.operators import graph, models, render, search, vector_index
 from chronolore.operators.acl import readable
 from chronolore.operators.temporal import held_at
 from chronolore.plans import load
@@ -71,14 +71,20 @@ def ask(t: dict[str, DataFrame], question: str, reader: Reader | None = None, as
     return answered(one, chat).select("answer", "refused", "citations", "n_cards", "grounded", "pack")
 
 
-def retrieve_many(t: dict[str, DataFrame], questions: DataFrame, reader: Reader | None = None, as_of: str | None = None, limit: int = search.FINAL, seed_limit: int = search.SEEDS, embedder: models.Embedder = models.hashing_embedder) -> DataFrame:
+def retrieve_many(t: dict[str, DataFrame], questions: DataFrame, reader: Reader | None = None, as_of: str | None = None, limit: int = search.FINAL, seed_limit: int = search.SEEDS, embedder: models.Embedder = models.hashing_embedder, indexes: load.Indexes | None = None) -> DataFrame:
     """retrieve() for any number of one reader's questions (query_id, question and, if they have them, embedding) in one plan: query_id and the
-    columns of a hydrated fact. A fact is hydrated once, however many questions find it."""
+    columns of a hydrated fact. A fact is hydrated once, however many questions find it. With stored indexes of the facts these are searched
+    instead, with the same result."""
     reader = reader or Reader()
     facts = readable_facts(t, reader, as_of)
     asked = questions if "embedding" in questions.columns else models.embed(questions, "question", embedder)
-    by_vector = search.vector_top_all(facts, asked.select(F.col("query_id").alias("fact_id"), "embedding"), seed_limit, "fact_id", own=True)
-    by_words = search.bm25_top(facts, questions, seed_limit)
+    vectors = asked.select(F.col("query_id").alias("fact_id"), "embedding")
+    if indexes:
+        by_vector = vector_index.search(indexes.vectors, vectors, seed_limit, "fact_id", readable(F.col("acl_grants"), reader.grants) & held_at(moment_of(as_of)), own=True)
+        by_words = search.bm25_top(None, questions, seed_limit, index=indexes.facts, allowed=facts.select("fact_id"))
+    else:
+        by_vector = search.vector_top_all(facts, vectors, seed_limit, "fact_id", own=True)
+        by_words = search.bm25_top(facts, questions, seed_limit)
     found = cut(search.fuse(by_vector.select("query_id", "fact_id", "rank").unionByName(by_words.select("query_id", "fact_id", "rank")), ["query_id"], "fact_id"))
     ids = found
     if as_of is None:
@@ -95,6 +101,18 @@ def retrieve_many(t: dict[str, DataFrame], questions: DataFrame, reader: Reader
     return search.rerank(scored, ["query_id"], limit).withColumn("held_at_as_of", held_at(moment_of(as_of)))
 
 
+def search_utterances(t: dict[str, DataFrame], questions: DataFrame, reader: Reader | None = None, k: int = search.FINAL, indexes: load.Indexes | None = None) -> DataFrame:
+    """query_id, rank, score and the utterance: what was said, in episodes that the reader may see, that best fits each question (query_id, question)."""
+    reader = reader or Reader()
+    open_episodes = t["episodes"].where(readable(F.col("acl_grants"), reader.grants)).select("episode_id", "title")
+    said = load.said_keys(t["utterances"].join(open_episodes, "episode_id"))
+    if indexes:
+        found = search.bm25_top(None, questions, k, "utterance_key", "text", indexes.utterances, said.select("utterance_key"))
+    else:
+        found = search.bm25_top(said, questions, k, "utterance_key", "text")
+    return found.join(said, "utterance_key").select("query_id", "rank", "score", "utterance_key", "episode_id", "ordinal", "title", "speaker", "at", "text", "permalink")
+
+
 def answered(packs: DataFrame, chat: models.Chat) -> DataFrame:
     """packs (n_cards and pack, null where no card was found) with answer, refused, citations (card numbers that were given) and grounded. No
     cards: a refusal, unasked."""

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolore import schemas
-from chronolore.functions.ids import fact_id
+from chronolore.functions.ids import fact_id, utterance_id
 from chronolore.functions.text import is_blank, strip
 from chronolore.lineage import cut
-from chronolore.operators import models, resolve, supersede, temporal, validate
+from chronolore.operators import models, resolve, supersede, temporal, text_index, validate, vector_index
 from chronolore.operators.graph import Graph
 from chronolore.sources import chat, directory, meetings, pages
 from chronolore.sources.episodes import Episodes, changed, read_all
@@ -78,6 +78,32 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+@dataclass
+class Indexes:
+    """What searches read instead of all facts and all utterances."""
+
+    facts: text_index.Index
+    vectors: vector_index.Index
+    utterances: text_index.Index
+
+
+def said_keys(utterances: DataFrame) -> DataFrame:
+    """utterances with their ids (utterance_key)."""
+    return utterances.withColumn("utterance_key", utterance_id(F.col("episode_id"), F.col("ordinal")))
+
+
+def write_indexes(t: dict[str, DataFrame], path: str) -> Indexes:
+    """The full-text indexes of facts and utterances and the vector index of facts, beside the tables. The last one holds what access and moments are tested by."""
+    text_index.build(t["facts"].select("fact_id", "statement"), f"{path}/fact_words")
+    vector_index.build(t["facts"].select("fact_id", "embedding", "acl_grants", "valid_from", "valid_to"), f"{path}/fact_vectors")
+    text_index.build(said_keys(t["utterances"]).select("utterance_key", "text"), f"{path}/utterance_words", "utterance_key", "text")
+    return read_indexes(t["facts"].sparkSession, path)
+
+
+def read_indexes(spark: SparkSession, path: str) -> Indexes:
+    return Indexes(text_index.read(spark, f"{path}/fact_words"), vector_index.read(spark, f"{path}/fact_vectors"), text_index.read(spark, f"{path}/utterance_words", "utterance_key"))
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """stored with the rows of new in place of those of the same key."""
     return stored.join(new.select(*key), key, "left_anti").unionByName(new)
