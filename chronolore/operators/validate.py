@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolore import schemas
 from chronolore.functions.text import ellipsis, is_blank, normalise
+from chronolore.lineage import cut
 
 # Fixed values.
 SHORTEST, LONGEST, LOW_CONFIDENCE, SHORTEST_QUOTE, QUOTE_SHOWN = 10, 500, 0.55, 12, 80
+#: Pairs of a quote and an utterance of one episode that are tested one by one; steps and runs of anchors, and the shortest quotes that have them.
+MOST_PAIRS, ANCHORS = 1_000_000, [(5, 8, 12), (17, 32, 48)]
 #: Words of a passage that are joined by equality, and passages too short for it that one pass carries along.
 RUN, MOST_SHORT = 4, 256
 
@@ -56,16 +61,60 @@ def field_issues() -> Column:
     )
 
 
-def locate(quotes: DataFrame, utterances: DataFrame) -> DataFrame:
+def locate(quotes: DataFrame, utterances: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """quotes (quote_id, episode_id, ordinal, span, ...) with at_cited (the cited utterance has it) and found (the first that does, else
-    null). One equality join by episode; containment is tested inside it. A quote under SHORTEST_QUOTE characters is nowhere."""
+    null). A quote under SHORTEST_QUOTE characters is nowhere.
+
+    Quotes meet all utterances of their episode by equality, and containment is tested there. Episodes of more than most_pairs such pairs are searched
+    by anchors instead (located_by_anchors()), so that none, however long, is a task's alone."""
     said = utterances.select("episode_id", F.col("ordinal").alias("_said"), normalise(F.col("text")).alias("_text"))
     wanted = quotes.withColumn("_span", normalise(F.col("span")))
-    hits = wanted.select("quote_id", "episode_id", "ordinal", "_span").join(said, "episode_id").where((F.length("_span") >= SHORTEST_QUOTE) & F.contains(F.col("_text"), F.col("_span")))
-    places = hits.groupBy("quote_id").agg(F.min("_said").alias("found"), F.max(F.col("_said") == F.col("ordinal")).alias("at_cited"))
+    asked = wanted.where(F.length("_span") >= SHORTEST_QUOTE).select("quote_id", "episode_id", "ordinal", "_span")
+    pairs = asked.groupBy("episode_id").agg(F.count(F.lit(1)).alias("q")).join(said.groupBy(F.col("episode_id").alias("e")).agg(F.count(F.lit(1)).alias("u")), F.col("episode_id") == F.col("e"))
+    large = cut(pairs.where(F.col("q") * F.col("u") > most_pairs).select("episode_id"))
+    if large.isEmpty():
+        places = located_by_episode(asked, said)
+    else:
+        of_large = lambda df, how: df.join(large.select(F.col("episode_id").alias("_l")), F.col("episode_id") == F.col("_l"), how)
+        inside = [of_large(df, "left_semi") for df in (asked, said)]
+        places = located_by_episode(of_large(asked, "left_anti"), of_large(said, "left_anti")).unionByName(located_by_anchors(*inside))
     return wanted.join(places, "quote_id", "left").withColumn("at_cited", F.coalesce("at_cited", F.lit(False))).drop("_span")
 
 
+def located_by_episode(asked: DataFrame, said: DataFrame) -> DataFrame:
+    """quote_id, found, at_cited of the quotes that stand somewhere."""
+    hits = asked.join(said, "episode_id").where(F.contains(F.col("_text"), F.col("_span")))
+    return hits.groupBy("quote_id").agg(F.min("_said").alias("found"), F.max(F.col("_said") == F.col("ordinal")).alias("at_cited"))
+
+
+def located_by_anchors(asked: DataFrame, said: DataFrame) -> DataFrame:
+    """located_by_episode() without meeting every utterance. A text's anchors are its runs of so many characters at every step-th place. Where a quote stands, an anchor
+    begins among its first step characters, and lies in it whole: step + run - 1 is at most its length. So a quote's runs at its first step places
+    are joined with the anchors by equality, and containment is tested on what meets. Long quotes have longer runs, which fewer texts share. Equal texts
+    of an episode are one, with the first of their ordinals; whether the cited utterance has the quote is asked of that one alone."""
+    cited = asked.join(said.withColumnRenamed("_said", "ordinal"), ["episode_id", "ordinal"]).where(F.contains(F.col("_text"), F.col("_span"))).select("quote_id").distinct().withColumn("at_cited", F.lit(True))
+    texts = cut(said.where(F.length("_text") >= SHORTEST_QUOTE).groupBy("episode_id", "_text").agg(F.min("_said").alias("_said")).withColumn("_no", F.monotonically_increasing_id()))
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for episode, number, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                words, episode = text.as_py(), episode.as_py()
+                for step, run, _ in ANCHORS:
+                    for start in range(0, len(words) - run + 1, step << 16):
+                        runs = sorted({words[i : i + run] for i in range(start, min(start + (step << 16), len(words) - run + 1), step)})
+                        yield pa.RecordBatch.from_arrays([pa.repeat(episode, len(runs)), pa.repeat(number, len(runs)), pa.array(runs, pa.string())], names=["episode_id", "_no", "run"])
+
+    length, ends = F.length("_span"), [*[shortest for *_, shortest in ANCHORS[1:]], 1 << 31]
+    run_at = lambda run: lambda i: F.substr(F.col("_span"), i, F.lit(run))
+    runs = [F.when((length >= shortest) & (length < end), F.transform(F.sequence(F.lit(1), F.lit(step)), run_at(run))) for (step, run, shortest), end in zip(ANCHORS, ends, strict=True)]
+    of_quote = asked.select("quote_id", "episode_id", F.explode(F.array_distinct(F.coalesce(*runs))).alias("run"))
+    of_text = texts.select("episode_id", "_no", "_text").mapInArrow(anchors, "episode_id string, _no long, run string")
+    near = of_quote.join(of_text, ["episode_id", "run"]).select("quote_id", "_no").distinct()
+    hits = near.join(texts.select("_no", "_text", "_said"), "_no").join(asked.select("quote_id", "_span"), "quote_id").where(F.contains(F.col("_text"), F.col("_span")))
+    found = hits.groupBy("quote_id").agg(F.min("_said").alias("found"))
+    return found.join(cited, "quote_id", "left").withColumn("at_cited", F.coalesce("at_cited", F.lit(False)))
+
+
 def passages(texts: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, doc_id: which passages (item_id, passage) stand, letter by letter, in which texts (doc_id, text).
 
