@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolore import schemas
 from chronolore.catalog import Catalog, table
 from chronolore.functions.text import strip
-from chronolore.lineage import shared_folder
+from chronolore.lineage import cut, shared_folder
 from chronolore.operators import search, stats, validate
 from chronolore.plans import load
 from chronolore.sources import chat, directory, episodes, files, meetings, pages, runs
@@ -148,24 +149,80 @@ SAID_SQL = f"""{CHAT_SQL}, {MEETING_SQL}, {PAGE_SQL}, u AS (
 FACT_ID_SQL = "'fact:' || substr(sha256(episode_id || chr(0) || type || chr(0) || statement), 1, 24)"
 
 
-@cache
-def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Every second utterance is a fact that quotes it, once at its place and once where nothing is; those of even fours have an owner. The
-    tables are loaded, written and read back."""
-    found, people = load.read_corpus(spark, corpus(spark, d))
+def extracted_from(utterances: DataFrame) -> DataFrame:
+    """Every second utterance is a fact that quotes it, once at its place and once where nothing is; those of even fours have an owner."""
     c, none = F.col, F.array().cast("array<string>")
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (c("ordinal") % 5 + 1).cast("int"))
     quote = lambda at, span: F.struct(c("episode_id"), at.cast("int").alias("ordinal"), span.alias("span"))
-    extracted = found.utterances.where("ordinal % 2 = 0").select(
+    return utterances.where("ordinal % 2 = 0").select(
         "episode_id", kind.alias("type"), F.concat(F.lit("The fact "), c("ordinal").cast("string"), F.lit(" of "), "episode_id").alias("statement"), F.when(c("ordinal") % 4 == 0, F.lit("Person 3,")).alias("owner_mention"), none.alias("participant_mentions"),
         c("at").alias("occurred_at"), F.lit(None).cast("date").alias("due_date"), F.lit("PROPOSED").alias("status"), F.array(F.concat(F.lit(" Topic "), (c("ordinal") % 4).cast("string")), F.lit(" ")).alias("topics"), F.array(quote(c("ordinal"), c("text")), quote(c("ordinal") + 1000, c("text"))).alias("evidence"), F.lit(0.9).alias("confidence"),
     )
-    accepted, _ = load.accept(extracted, found.utterances)
+
+
+@cache
+def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The facts of extracted_from(), loaded, written and read back."""
+    found, people = load.read_corpus(spark, corpus(spark, d))
+    accepted, _ = load.accept(extracted_from(found.utterances), found.utterances)
     folder = shared_folder(spark, "tables")
     load.write(load.build(found, people, accepted, load.Slots(least_similarity=2.0)), folder)
     return load.read(spark, folder)
 
 
+def places_of(texts: list[str]) -> np.ndarray:
+    """An embedder for which facts of threads are like if their numbers are, and others like nothing."""
+    out = np.zeros((len(texts), 8), np.float32)
+    for row, text in zip(out, texts, strict=True):
+        if " of slack:" in (text or ""):
+            row[int(text.split()[2]) // 2 % 8] = 1
+    return out
+
+
+def third_is_the_same(older: str, newer: str, similarity: float) -> tuple[str, str]:
+    """A judge for whom a fact of a conversation of threes of threes says what was said before; others replace it."""
+    return ("DUPLICATE", "") if int(newer.rpartition("/")[2].split(".")[0]) % 9 == 0 else ("SUPERSEDES", "something")
+
+
+@cache
+def synced(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """Half of the corpus loaded, with what replaces what, then all of it synchronised: the folder, and what was rewritten."""
+    found, people = load.read_corpus(spark, corpus(spark, d))
+    accepted = cut(load.accept(extracted_from(found.utterances), found.utterances)[0])
+    slots, folder = load.Slots(embedder=places_of, judge=third_is_the_same), shared_folder(spark, "synced")
+    half = F.pmod(F.xxhash64("episode_id"), F.lit(2)) == 0
+    load.write(load.build(episodes.Episodes(found.episodes.where(half), found.utterances.where(half)), people, accepted.where(half), slots), folder)
+    return folder, load.sync(spark, folder, found, people, accepted, slots)
+
+
+REPLACED_SQL = f"""{SAID_SQL}, s AS (
+        SELECT {FACT_ID_SQL} AS fact_id, tm, type, ordinal // 2 % 8 AS place, CAST(split_part(split_part(episode_id, '/', 2), '.', 1) AS BIGINT) % 9 > 0 AS replaces FROM f WHERE starts_with(episode_id, 'slack:')
+    ), i AS (
+        SELECT *, sum(CASE WHEN replaces THEN 1 ELSE 0 END) OVER w AS island, lag(fact_id) OVER w AS before, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY type, place ORDER BY tm, fact_id)
+    ), g AS (
+        SELECT type, place, island, arg_min(fact_id, n) AS first, min(tm) AS first_tm FROM i GROUP BY ALL
+    ), r AS (
+        SELECT i.fact_id, i.replaces, i.before, i.n, g.first AS superseded_by, g.first_tm FROM i LEFT JOIN g ON g.type = i.type AND g.place = i.place AND g.island = i.island + 1
+    )"""
+
+
+@query(f"""WITH {REPLACED_SQL} SELECT {FACT_ID_SQL} AS fact_id, CASE WHEN r.superseded_by IS NULL THEN 'PROPOSED' ELSE 'SUPERSEDED' END AS status, 'PROPOSED' AS status_given, epoch_us(r.first_tm) AS valid_to_us, r.superseded_by
+    FROM f LEFT JOIN r ON r.fact_id = {FACT_ID_SQL}""")
+def synced_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts after a load of half the corpus and a synchronisation with all of it: what replaces what is as if all had been loaded at once, passed on among
+    duplicates."""
+    return load.read(spark, synced(spark, d)[0])["facts"].select("fact_id", "status", "status_given", F.unix_micros("valid_to").alias("valid_to_us"), "superseded_by")
+
+
+@query(f"""WITH {REPLACED_SQL} SELECT (SELECT count(*) FROM f) AS facts, (SELECT count(*) FROM r WHERE replaces AND before IS NOT NULL) AS superseding, (SELECT count(*) FROM r WHERE NOT replaces AND before IS NOT NULL) AS duplicates,
+    (SELECT count(*) FROM r WHERE superseded_by IS NOT NULL) - (SELECT count(*) FROM r WHERE replaces AND before IS NOT NULL) AS propagated, 15 AS tables""")
+def synced_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What the synchronised load counts; how many tables it reports on."""
+    folder, told = synced(spark, d)
+    report = stats.load_report(load.read(spark, folder))
+    return report.select("facts", "superseding", "duplicates", "propagated", F.lit(told.count()).cast("int").alias("tables"))
+
+
 @query(f"""WITH {SAID_SQL} SELECT {FACT_ID_SQL} AS fact_id, episode_id, type, statement, epoch_us(tm) AS valid_from_us, 'PROPOSED' AS status FROM f""")
 def load_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts that passed the checks, under their ids; those that need an owner and have none are gone."""

@@ -166,6 +166,25 @@ def like_pairs(facts: DataFrame, least: float = LEAST, block: list[str] | None =
     the work is about that of each cluster with itself; where vectors lie evenly in many dimensions nothing can be told from pivots, and
     all of a type meet. Block columns (a topic, a container) that like facts share bound it further."""
     met, meeting = dealt_cells(facts, least, block, tile)
+    return compared(met, meeting, facts, least)
+
+
+def like_pairs_between(new: DataFrame, old: DataFrame, least: float = LEAST, block: list[str] | None = None, tile: int = TILE) -> DataFrame:
+    """The like pairs (as like_pairs()) of a fact of new and a fact of old. Tiles of both meet, so the work is that of the new facts with all of their
+    type, and pairs of two old facts are not looked at."""
+    keys, sides = ["type", *(block or []), "width"], {}
+    for name, df in (("new", new), ("old", old)):
+        rows = df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("occurred_at").isNotNull()).withColumn("width", F.size("embedding"))
+        sides[name] = rows.select(*keys, "fact_id", F.unix_micros(F.col("occurred_at").cast("timestamp")).alias("at"), "seq", unit(F.col("embedding")).alias("v"))
+    sizes = [df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(n)) for n, df in sides.items()]
+    both = cut(sizes[0].join(sizes[1], keys))
+    deal = lambda df, own, a, b, home: df.join(both, keys).withColumn("_own", F.pmod(F.xxhash64("fact_id"), F.col(own)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("old" if own == "new" else "new") - 1))).select(*keys, F.lit(True).alias("guest"), F.col(a).alias("a"), F.col(b).alias("b"), "_own", F.lit(home).alias("home"), F.lit(0.0).alias("far"), "fact_id", "at", "seq", "v")
+    met = deal(sides["new"], "new", "_own", "_other", False).unionByName(deal(sides["old"], "old", "_other", "_own", True))
+    return compared(met, [*keys, "guest", "a", "b"], new, least)
+
+
+def compared(met: DataFrame, meeting: list[str], facts: DataFrame, least: float) -> DataFrame:
+    """The like pairs among those that meet. facts: whose types the result has."""
     kind = {c: facts.schema[c].dataType.simpleString() for c in ("fact_id", "occurred_at", "seq")}
     near = apart(least)
 
@@ -211,9 +230,14 @@ def proposals(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def fold(facts: DataFrame, pairs: DataFrame, judge: Judge = rule_judge) -> DataFrame:
-    """Judgements (JUDGEMENTS) of all facts, in time order within each component of like pairs."""
-    labels = components(pairs.select(F.col("newer").alias("u"), F.col("older").alias("v")))
+def like_components(pairs: DataFrame) -> DataFrame:
+    """node, label: which facts are joined by like pairs."""
+    return components(pairs.select(F.col("newer").alias("u"), F.col("older").alias("v")))
+
+
+def fold(facts: DataFrame, pairs: DataFrame, judge: Judge = rule_judge, labels: DataFrame | None = None) -> DataFrame:
+    """Judgements (JUDGEMENTS) of all facts, in time order within each component of like pairs (like_components(), if not given)."""
+    labels = like_components(pairs) if labels is None else labels
     text = facts.select("fact_id", "statement")
     rows = pairs.join(labels.select(F.col("node").alias("newer"), "label"), "newer")
     rows = rows.join(text.select(F.col("fact_id").alias("newer"), F.col("statement").alias("newer_text")), "newer").join(text.select(F.col("fact_id").alias("older"), F.col("statement").alias("older_text")), "older")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chronolore import schemas
 from chronolore.functions.ids import fact_id, utterance_id
@@ -42,40 +46,133 @@ def accept(extracted: DataFrame, utterances: DataFrame) -> tuple[DataFrame, Data
     return checked.where("accepted").drop("issues", "accepted", "fact_no"), checked
 
 
-def build(found: Episodes, people: directory.Directory, extracted: DataFrame, slots: Slots | None = None) -> dict[str, DataFrame]:
-    """All tables by name: people, aliases, participants, episodes, utterances, speakers, facts, evidence, ownership, involvement, topics,
-    judgements, edges. extracted: schemas.EXTRACTED_FACTS. Facts of unknown episodes are left out; facts of one id are one."""
-    slots = slots or Slots()
-    who = cut(resolve.speakers(found.utterances, people, slots.adjudicate))
-    rows = extracted.join(found.episodes.select("episode_id", "acl_grants", "visibility"), "episode_id").withColumn("fact_id", fact_id(F.col("episode_id"), F.col("type"), F.col("statement")))
+def prepared(episodes: DataFrame, extracted: DataFrame, slots: Slots) -> DataFrame:
+    """Extracted facts of known episodes under their ids, once each, with access, vectors and open intervals. status_given is what they said of
+    themselves: their status until something replaces them."""
+    rows = extracted.join(episodes.select("episode_id", "acl_grants", "visibility"), "episode_id").withColumn("fact_id", fact_id(F.col("episode_id"), F.col("type"), F.col("statement")))
     rows = cut(rows.dropDuplicates(["fact_id"]))
     timed = models.embed(rows, "statement", slots.embedder).withColumn("valid_from", F.col("occurred_at")).withColumn("valid_to", F.lit(None).cast("timestamp")).withColumn("superseded_by", F.lit(None).cast("string"))
+    versioned = timed.withColumn("ontology_version", F.lit(schemas.ONTOLOGY_VERSION)).withColumn("prompt_version", F.lit(schemas.PROMPT_SIGNATURE))
     # Facts of one moment are told apart by their ids.
-    facts = cut(timed.withColumn("seq", F.col("fact_id")))
-    judged = cut(supersede.fold(facts, supersede.like_pairs(facts, slots.least_similarity, slots.block), slots.judge))
+    return cut(versioned.withColumn("status_given", F.col("status")).withColumn("seq", F.col("fact_id")))
+
+
+def replaced(facts: DataFrame, pairs: DataFrame, slots: Slots) -> dict[str, DataFrame]:
+    """What replaces what among facts (open, with seq) and their like pairs: facts, judgements, edges, components."""
+    labels = cut(supersede.like_components(pairs))
+    judged = cut(supersede.fold(facts, pairs, slots.judge, labels))
     passed = cut(supersede.propagate(judged.where("verdict = 'DUPLICATE'").select(F.col("newer").alias("u"), F.col("older").alias("v")), supersede.closures(judged)))
-    closed = temporal.close(facts, passed).withColumn("ontology_version", F.lit(schemas.ONTOLOGY_VERSION)).withColumn("prompt_version", F.lit(schemas.PROMPT_SIGNATURE)).drop("seq")
+    return {"facts": temporal.close(facts, passed).drop("seq"), "judgements": judged, "edges": supersede.edges(judged, passed), "components": labels.select(F.col("node").alias("fact_id"), "label")}
+
+
+def who_is_named(facts: DataFrame, people: directory.Directory, who: DataFrame) -> dict[str, DataFrame]:
+    """Owners and people involved, as the facts name them."""
     named = lambda df: resolve.mentions(df.withColumn("mention_no", F.concat_ws("/", *df.columns)), people, who).drop("mention_no")
     owners = named(facts.where(~is_blank(F.col("owner_mention"))).select("fact_id", "episode_id", F.col("owner_mention").alias("mention")))
     involved = named(facts.select("fact_id", "episode_id", F.explode("participant_mentions").alias("mention")).distinct())
+    return {"ownership": owners, "involvement": involved.where("person_id IS NOT NULL")}
+
+
+def listed(facts: DataFrame, utterances: DataFrame) -> dict[str, DataFrame]:
+    """Topics of facts, and their quotes of utterances that are there."""
     topics = facts.select("fact_id", F.explode("topics").alias("topic")).select("fact_id", F.lower(strip(F.col("topic"))).alias("topic")).where("topic <> ''").distinct()
-    evidence = facts.select("fact_id", F.explode("evidence").alias("e")).select("fact_id", "e.episode_id", "e.ordinal", "e.span").distinct().join(found.utterances.select("episode_id", "ordinal"), ["episode_id", "ordinal"], "left_semi")
-    return {
-        "people": people.people, "aliases": people.aliases, "participants": people.participants, "episodes": found.episodes, "utterances": found.utterances, "speakers": who, "facts": closed, "evidence": evidence,
-        "ownership": owners, "involvement": involved.where("person_id IS NOT NULL"), "topics": topics, "judgements": judged, "edges": supersede.edges(judged, passed),
-    }
+    evidence = facts.select("fact_id", F.explode("evidence").alias("e")).select("fact_id", "e.episode_id", "e.ordinal", "e.span").distinct().join(utterances.select("episode_id", "ordinal"), ["episode_id", "ordinal"], "left_semi")
+    return {"topics": topics, "evidence": evidence}
+
+
+def build(found: Episodes, people: directory.Directory, extracted: DataFrame, slots: Slots | None = None) -> dict[str, DataFrame]:
+    """All tables by name (KEPT_BY). extracted: schemas.EXTRACTED_FACTS. Facts of unknown episodes are left out; facts of one id are one. pairs and components are
+    what refresh() needs to judge only what changed."""
+    slots = slots or Slots()
+    who = cut(resolve.speakers(found.utterances, people, slots.adjudicate))
+    facts = prepared(found.episodes, extracted, slots)
+    pairs = cut(supersede.like_pairs(facts, slots.least_similarity, slots.block))
+    there = {"people": people.people, "aliases": people.aliases, "participants": people.participants, "episodes": found.episodes, "utterances": found.utterances, "speakers": who, "pairs": pairs}
+    return there | replaced(facts, pairs, slots) | who_is_named(facts, people, who) | listed(facts, found.utterances)
+
+
+#: The tables of a load, and the column by whose hash the rows of each are dealt to BUCKETS files.
+KEPT_BY = {
+    "people": "person_id", "aliases": "person_id", "participants": "episode_id", "episodes": "episode_id", "utterances": "episode_id", "speakers": "episode_id", "facts": "fact_id", "evidence": "fact_id",
+    "ownership": "fact_id", "involvement": "fact_id", "topics": "fact_id", "judgements": "newer", "edges": "newer", "pairs": "newer", "components": "fact_id",
+}
+BUCKETS = 32
 
 
-def write(tables: dict[str, DataFrame], path: str) -> None:
-    """All tables as Parquet, replacing what was there, so no stale edge stays. Facts are sorted by time for pruning, and public ones marked."""
+def bucket(name: str) -> Column:
+    return F.pmod(F.xxhash64(KEPT_BY[name]), F.lit(BUCKETS)).cast("int")
+
+
+def store_of(spark: SparkSession, path: str):
+    """The file system of path, and a function that makes its paths."""
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    return made(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), made
+
+
+def manifest(spark: SparkSession, path: str) -> dict:
+    """The newest manifest: version, and for each table its schema and the folder of each of its buckets. Version 0 has no tables."""
+    store, made = store_of(spark, path)
+    folder = made(f"{path}/manifests")
+    names = sorted(f.getPath().getName() for f in store.listStatus(folder)) if store.exists(folder) else []
+    names = [n for n in names if n.endswith(".json")]
+    if not names:
+        return {"version": 0, "tables": {}}
+    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifests/{names[-1]}", wholetext=True).collect()))
+
+
+def write(tables: dict[str, DataFrame], path: str, only: dict[str, list[int]] | None = None) -> None:
+    """A new version of all tables as Parquet, or with only of some buckets of some tables. Facts are sorted by time for pruning, and public ones marked.
+
+    Files are never replaced: a version has folders of its own, and what it doesn't rewrite stays where it is. Its manifest comes last, by a
+    rename, so a reader sees the version before or all of this one, never half a load. vacuum() deletes what no manifest names."""
+    spark = next(iter(tables.values())).sparkSession
+    now = manifest(spark, path)
+    version, store, made = now["version"] + 1, *store_of(spark, path)
     for name, df in tables.items():
-        out = df.withColumn("is_public", F.size("acl_grants") == 0).sortWithinPartitions("occurred_at") if name == "facts" else df
-        out.write.mode("overwrite").parquet(f"{path}/{name}")
+        wanted = None if only is None else only.get(name, [])
+        if wanted == []:
+            continue
+        rows = df.withColumn("is_public", F.size("acl_grants") == 0) if name == "facts" else df
+        dealt = rows.withColumn("bucket", bucket(name))
+        if wanted is not None:
+            dealt = dealt.where(F.col("bucket").isin(wanted))
+        dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", *(["occurred_at"] if name == "facts" else []))
+        root = f"{path}/v{version:06d}/{name}"
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(root)
+        there = {f.getPath().getName().removeprefix("bucket="): f"v{version:06d}/{name}/{f.getPath().getName()}" for f in store.listStatus(made(root)) if f.isDirectory()}
+        before = {} if wanted is None else {b: f for b, f in now["tables"][name]["buckets"].items() if int(b) not in wanted}
+        now["tables"][name] = {"schema": rows.schema.jsonValue(), "buckets": before | there}
+    now["version"] = version
+    file, final = made(f"{path}/manifests/{version:06d}.tmp"), made(f"{path}/manifests/{version:06d}.json")
+    out = store.create(file, True)
+    out.write(bytearray(json.dumps(now).encode()))
+    out.close()
+    if not store.rename(file, final):
+        raise RuntimeError(f"version {version} was written by somebody else meanwhile")
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    names = ["people", "aliases", "participants", "episodes", "utterances", "speakers", "facts", "evidence", "ownership", "involvement", "topics", "judgements", "edges"]
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    """The tables of the newest version."""
+    out = {}
+    for name, told in manifest(spark, path)["tables"].items():
+        schema, folders = StructType.fromJson(told["schema"]), [f"{path}/{f}" for f in told["buckets"].values()]
+        out[name] = spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    return out
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Deletes the manifests but the newest, and the folders that it doesn't name. Not while somebody reads an older version."""
+    now, (store, made) = manifest(spark, path), store_of(spark, path)
+    named = {f for t in now["tables"].values() for f in t["buckets"].values()}
+    for v in store.listStatus(made(path)):
+        if re.fullmatch(r"v\d{6}", v.getPath().getName()):
+            for t in store.listStatus(v.getPath()):
+                for b in store.listStatus(t.getPath()):
+                    if b.isDirectory() and f"{v.getPath().getName()}/{t.getPath().getName()}/{b.getPath().getName()}" not in named:
+                        store.delete(b.getPath(), True)
+    for m in store.listStatus(made(f"{path}/manifests")):
+        if m.getPath().getName() != f"{now['version']:06d}.json":
+            store.delete(m.getPath(), False)
 
 
 @dataclass
@@ -111,14 +208,78 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def refresh(spark: SparkSession, path: str, found: Episodes, people: directory.Directory, extracted: DataFrame, slots: Slots | None = None) -> dict[str, DataFrame]:
     """The stored tables with only what is new or changed loaded: episodes of unknown content and their facts take the place of the stored ones
-    of the same episodes, all else stays. What replaces what is judged anew over all facts, as a fact of any episode may replace another."""
-    stored = read(spark, path)
-    fresh = cut(changed(found.episodes, stored["episodes"]).select("episode_id"))
+    of the same episodes, all else stays. The result is that of build() over both."""
+    tables, _ = refreshed(spark, path, found, people, extracted, slots)
+    return tables
+
+
+def sync(spark: SparkSession, path: str, found: Episodes, people: directory.Directory, extracted: DataFrame, slots: Slots | None = None) -> DataFrame:
+    """refresh(), written as a new version that rewrites only the buckets with rows that changed. Rows table_name, rewritten, stored."""
+    tables, keys = refreshed(spark, path, found, people, extracted, slots)
+    tables = {name: cut(df) for name, df in tables.items()}
+    only = {name: list(range(BUCKETS)) if df is None else sorted(r["b"] for r in df.select(bucket(name).alias("b")).distinct().collect()) for name, df in keys.items()}
+    write(tables, path, only)
+    counts = [df.agg(F.count_if(bucket(name).isin(only[name]) if only[name] else F.lit(False)).alias("rewritten"), F.count(F.lit(1)).alias("stored")).select(F.lit(name).alias("table_name"), "rewritten", "stored") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    return a.exceptAll(b.select(*a.columns)).isEmpty() and b.select(*a.columns).exceptAll(a).isEmpty()
+
+
+def refreshed(spark: SparkSession, path: str, found: Episodes, people: directory.Directory, extracted: DataFrame, slots: Slots | None = None) -> tuple[dict[str, DataFrame], dict[str, DataFrame | None]]:
+    """refresh(), and for each table the keys (the column of KEPT_BY) of rows that may differ from the stored ones; None if all may.
+
+    Only new facts are embedded, and compared with all; pairs of stored facts are stored. What replaces what is judged again in the components of like
+    facts that a new fact joins or a removed one was in, and nowhere else, as no verdict reaches beyond its component. Facts of these are open again, with the status that
+    they gave themselves. Names are resolved again for new episodes, and for all if the directory of people is not as stored."""
+    slots, stored = slots or Slots(), read(spark, path)
+    fresh = cut(changed(found.episodes, stored["episodes"]).select("episode_id").distinct())
     own = lambda df: df.join(fresh, "episode_id", "left_semi")
-    both = Episodes(upsert(stored["episodes"], own(found.episodes), ["episode_id"]), stored["utterances"].join(fresh, "episode_id", "left_anti").unionByName(own(found.utterances)))
-    kept = stored["facts"].join(fresh, "episode_id", "left_anti")
-    again = kept.withColumn("status", F.when(F.col("status") == "SUPERSEDED", "AGREED").otherwise(F.col("status"))).select(*extracted.columns)
-    return build(both, people, again.unionByName(own(extracted)), slots)
+    less = lambda df, keys, column: df.join(keys.select(F.col(keys.columns[0]).alias("_key")), F.col(column) == F.col("_key"), "left_anti")
+    only = lambda df, keys, column: df.join(keys.select(F.col(keys.columns[0]).alias("_key")), F.col(column) == F.col("_key"), "left_semi")
+    kept = {n: less(stored[n], fresh, "episode_id") for n in ("episodes", "utterances", "speakers", "facts")}
+    kept["facts"] = kept["facts"].drop("is_public")
+    new_episodes, new_utterances = own(found.episodes), own(found.utterances)
+    episodes, utterances = kept["episodes"].unionByName(new_episodes), kept["utterances"].unionByName(new_utterances)
+    new = prepared(new_episodes, own(extracted), slots)
+    gone = cut(own(stored["facts"]).select("fact_id"))
+
+    open_again = kept["facts"].withColumn("status", F.col("status_given")).withColumn("valid_to", F.lit(None).cast("timestamp")).withColumn("superseded_by", F.lit(None).cast("string")).withColumn("seq", F.col("fact_id"))
+    old_pairs = less(less(stored["pairs"], gone, "newer"), gone, "older")
+    pairs = cut(supersede.like_pairs(new, slots.least_similarity, slots.block).unionByName(supersede.like_pairs_between(new, open_again, slots.least_similarity, slots.block)))
+    ends = pairs.select(F.explode(F.array("newer", "older")).alias("fact_id")).unionByName(gone).distinct()
+    labels = stored["components"]
+    reached = only(labels, cut(only(labels, ends, "fact_id").select("label").distinct()), "label").select("fact_id")
+    touched = cut(reached.unionByName(new.select("fact_id")).unionByName(gone).distinct())
+    facts = cut(only(open_again, touched, "fact_id").unionByName(new))
+    again = replaced(facts, cut(only(old_pairs, touched, "newer").unionByName(pairs)), slots)
+
+    same_people = all(same_rows(getattr(people, n), stored[n]) for n in ("people", "aliases", "participants"))
+    if not same_people:  # speakers' labels come from the directory
+        given = cut(found.episodes.select("episode_id").distinct())
+        utterances = less(stored["utterances"], given, "episode_id").unionByName(found.utterances.join(given, "episode_id", "left_semi"))
+    if same_people:
+        who = cut(kept["speakers"].unionByName(resolve.speakers(new_utterances, people, slots.adjudicate)))
+        names = {n: less(stored[n], gone, "fact_id").unionByName(df) for n, df in who_is_named(new, people, who).items()}
+    else:
+        who = cut(resolve.speakers(utterances, people, slots.adjudicate))
+        names = who_is_named(kept["facts"].unionByName(new.drop("seq")), people, who)
+    lists = {n: less(stored[n], gone, "fact_id").unionByName(df) for n, df in listed(new, new_utterances).items()}
+    by = lambda n, column: less(stored[n], touched, column).unionByName(again[n])
+    tables = {
+        "people": people.people, "aliases": people.aliases, "participants": people.participants, "episodes": episodes, "utterances": utterances, "speakers": who,
+        "pairs": old_pairs.unionByName(pairs), "facts": less(kept["facts"], touched, "fact_id").unionByName(again["facts"]), "judgements": by("judgements", "newer"), "edges": by("edges", "newer"), "components": by("components", "fact_id"), **names, **lists,
+    }
+    new_facts = new.select("fact_id").unionByName(gone)
+    keys = {n: touched.select(F.col("fact_id").alias(KEPT_BY[n])) for n in ("facts", "judgements", "edges", "components", "pairs")} | dict.fromkeys(("episodes", "utterances"), fresh)
+    keys |= dict.fromkeys(("evidence", "topics"), new_facts) | {n: none_of(tables[n]) if same_people else None for n in ("people", "aliases", "participants")}
+    keys |= {"speakers": fresh, "ownership": new_facts, "involvement": new_facts} if same_people else dict.fromkeys(("utterances", "speakers", "ownership", "involvement"))
+    return tables, keys
+
+
+def none_of(df: DataFrame) -> DataFrame:
+    return df.limit(0)
 
 
 def graph(t: dict[str, DataFrame]) -> Graph:

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from chronolore import registry
-from chronolore.operators import search, validate
+from chronolore.operators import text_index, validate
 
 
 def plain(v):
@@ -66,8 +66,8 @@ def test_every_vector_is_asked(spark, many):
 
 def test_questions_in_parts(spark, many, monkeypatch):
     """Questions that go to the documents in several parts, few scores at a time, get what they get at once."""
-    monkeypatch.setattr(search, "MOST_PAIRS", 300)
-    monkeypatch.setattr(search, "SCORES", 5000)
+    monkeypatch.setattr(text_index, "MOST_PAIRS", 300)
+    monkeypatch.setattr(text_index, "SCORES", 5000)
     same_as_sql(spark, many, "bm25_topk")
 
 
