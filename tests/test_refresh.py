@@ -1,7 +1,9 @@
 """A refreshed load equals one of everything, on all columns, and rewrites little; readers see whole versions."""
 
+import json
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -49,8 +51,6 @@ def same(a, b):
 
 
 def say(root, name, turns):
-    import json
-
     (root / f"slack/threads/{name}.json").write_text(json.dumps({"channel": {"id": "C9", "name": "x"}, "thread_ts": f"{ord(name)}.0", "messages": [{"ts": f"{at}.0", "user": "U9", "text": text} for at, text in turns]}))
 
 
@@ -91,8 +91,6 @@ def test_refresh_is_a_full_build(spark, corpus, change):
 
 def test_new_people_resolve_old_names(spark, corpus):
     root, graph = corpus
-    import json
-
     users = json.loads((root / "slack/users.json").read_text())
     (root / "slack/users.json").write_text(json.dumps([*users, {"id": "U9", "name": "nine", "real_name": "Nina Nine"}]))
     found, people, facts = loaded(spark, root)
@@ -107,7 +105,7 @@ def test_half_a_load_is_not_seen(spark, corpus, monkeypatch):
     before = {n: rows(df) for n, df in load.read(spark, graph).items()}
     CHANGES["a fact in the middle goes"](root)
     found, people, facts = loaded(spark, root)
-    monkeypatch.setattr(load.json, "dumps", lambda *_: 1 / 0)
+    monkeypatch.setattr(load, "json", SimpleNamespace(loads=json.loads, dumps=lambda *_: 1 / 0))
     with pytest.raises(ZeroDivisionError):
         load.sync(spark, graph, found, people, facts, SLOTS)
     assert {n: rows(df) for n, df in load.read(spark, graph).items()} == before
