@@ -44,8 +44,8 @@ BROADCAST = 500_000
 #: near_copies(): documents sampled for shingles that are frequent, the documents among them that such a shingle is in, and how many
 #: shingles are taken at most; sets that a task remembers; pairs of texts, and parity maps, of a batch.
 SAMPLED, COMMON, MOST_FREQUENT, REMEMBERED, TEXTS_AT_ONCE, MAPS_AT_ONCE = 8000, 4, 100_000, 500, 500, 2000
-#: Bits of 256 that fingerprints of sets alike by 0.8 differ in at most.
-FAR = 96
+#: Standard deviations that fingerprints of alike sets are given room for: see furthest().
+DEVIATIONS = 10
 #: parity(): bits for each hash of a set at least, and bits at most.
 SPREAD, MOST_BITS = 4, 1 << 13
 #: A different part of a wide fingerprint for each.
@@ -302,6 +302,13 @@ class ParityMaps:
         return out
 
 
+def furthest(similarity: float, bits: int) -> int:
+    """How many bits the fingerprints of sets of at least this Jaccard similarity differ in at most, but for a chance of DEVIATIONS standard deviations. The
+    vectors of two such sets are at an angle of arccos(2 s / (1 + s)) at most, and each bit differs with the chance of that angle over pi."""
+    chance = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi if similarity > 0 else 0.5
+    return min(bits, int(bits * chance + DEVIATIONS * math.sqrt(bits * chance * (1 - chance)) + (DEVIATIONS if similarity > 0.999 else 0)))
+
+
 def candidates(batches: Iterator[pa.RecordBatch], similarity: float, every: bool) -> Iterator[pa.RecordBatch]:
     """Rows (block, side, fp, n, label, bits 0, ..., and, if it is there, parity) sorted by block: pairs (u, v) of fp of different labels
     that may be alike by their set sizes n, their bits and their parity maps, which leave out no pair that is alike. With every all of them,
@@ -314,14 +321,14 @@ def candidates(batches: Iterator[pa.RecordBatch], similarity: float, every: bool
             continue
         maps = ParityMaps(bits.pop()) if bits[-1].dtype == object else None
         parts = np.stack(bits, axis=1).view(np.uint64)
-        alone = not (side == 1).any()
+        alone, bound = not (side == 1).any(), furthest(similarity, 64 * parts.shape[1])
 
         def near(one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Those of the others that may be alike, and the share of hashes that they seem to differ in."""
             small, large = np.minimum(n[others], n[one]), np.maximum(n[others], n[one])  # noqa: B023
             others = others[(label[others] != label[one]) & (small >= similarity * large - 1e-9)]  # noqa: B023
             far = np.bitwise_count(parts[others] ^ parts[one]).sum(axis=1, dtype=np.int64)  # noqa: B023
-            others, far = others[far <= FAR], far[far <= FAR]
+            others, far = others[far <= bound], far[far <= bound]  # noqa: B023
             both = n[others] + n[one]  # noqa: B023
             if maps is not None:  # noqa: B023
                 far = maps.differ(one, others)  # noqa: B023
@@ -428,7 +435,7 @@ def near_copies(docs: DataFrame, shingle_words: int, similarity: float, parts: i
     of the same classes, told by their number and 128 bits of their hashes, one stays. First a forest of the pairs of each group that seem
     most alike is counted, and components are found. Last, every pair of
     these groups that is still of different components and was not counted is, unless it can't be alike: bits made of the different shingles
-    are more than FAR apart, which at 0.8 is ten standard deviations off, or parity() proves that the sets differ in too many hashes. So a
+    are more than furthest() apart, ten standard deviations off, or parity() proves that the sets differ in too many hashes. So a
     large group of copies gives about a pair for each class, and texts like each other, but less than similarity, few. Groups over
     tile are cut into pairs of tiles; only these meet in a task."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle_words))
@@ -477,7 +484,7 @@ def near_copies(docs: DataFrame, shingle_words: int, similarity: float, parts: i
     def pairs(members: DataFrame, every: bool, counted: DataFrame | None = None) -> DataFrame:
         """Rows u, v, alike of pairs that members may be alike by, but those counted before."""
         present = cut(classes.join(if_small(members.select("fp").distinct()), "fp", "left_semi").select("fp", "n", "bits", "parity", ones))
-        flat = tiles(members.join(present.select("fp", "ones"), "fp"), FAR, tile).join(present.select("fp", "n", "bits", "parity"), "fp")
+        flat = tiles(members.join(present.select("fp", "ones"), "fp"), furthest(similarity, 64 * parts), tile).join(present.select("fp", "n", "bits", "parity"), "fp")
         flat = flat.select("block", "side", "fp", "n", "label", *[F.col("bits")[part].alias(f"bits{part}") for part in range(parts)], "parity")
         laid = flat.repartition("block").sortWithinPartitions("block")
         found = laid.mapInArrow(given_back(lambda batches: candidates(batches, similarity, every)), "u long, v long")

@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest import SF
 from test_operators import plain_similarity
 
@@ -124,3 +125,27 @@ def test_kernels_give_memory_back():
     pins, before = [], anonymous()
     assert list(given_back(kernel)(iter([1]))) == [2000]
     assert anonymous() - before < 50_000
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.8])
+def test_no_link_is_lost_at_any_similarity(spark, similarity):
+    """Pairs on both sides of the threshold, of long and of very short texts: exactly those at it or above are linked."""
+    rng, texts, want = random.Random(int(similarity * 10)), [], set()
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    middle = 2 * similarity / (1 + similarity)  # the share that two texts of one length have in common there
+    for i in range(220):
+        n = rng.choice([6, 9, 30, 90])
+        shared = min(n, max(0, round(n * middle + rng.uniform(-0.08, 0.08) * n)))
+        base = [word() for _ in range(n + 4)]
+        texts += [" ".join(base), " ".join(base[n - shared :] + [word() for _ in range(n - shared)])]
+        if plain_similarity(*texts[-2:]) < similarity:
+            want.add(2 * i + 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(df, similarity=similarity).collect()}
+    assert kept == want | set(range(0, 440, 2)) and 40 < len(want) < 200
+
+
+def test_bound_grows_as_similarity_falls():
+    assert simhash.furthest(0.8, 256) == 96
+    told = [simhash.furthest(s / 10, 256) for s in range(11)]
+    assert told == sorted(told, reverse=True) and told[0] > 200 and simhash.furthest(1.0, 256) >= 0
