@@ -9,6 +9,7 @@ from chronolore.catalog import EVENT_FACTS_SQL, HELD, VERSIONS_SQL, Catalog, eve
 from chronolore.functions.dates import as_of
 from chronolore.lineage import shared_folder
 from chronolore.operators import acl, stats, supersede, temporal, validate
+from chronolore.sources import episodes, runs
 from chronolore.sources.episodes import render
 from chronolore.streaming import versions as stream_versions
 
@@ -154,6 +155,13 @@ def asof_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return versions(spark, d).where(temporal.held_at(as_of(HELD))).select("fact_id", "type", "user_id", "valid_from", "valid_to")
 
 
+@query(f"""WITH {VERSIONS_SQL} SELECT e.event_id, v.fact_id, v.type FROM events e JOIN v ON v.user_id = e.user_id AND v.valid_from <= e.ts + INTERVAL 36 HOUR AND (v.valid_to IS NULL OR v.valid_to > e.ts + INTERVAL 36 HOUR)""")
+def facts_at_moments(spark: SparkSession, d: str) -> DataFrame:
+    """For each event, what held of its user a day and a half later."""
+    asked = table(spark, d, "events").select("event_id", "user_id", (F.col("ts") + F.expr("INTERVAL 36 HOURS")).alias("moment"))
+    return temporal.held_at_each(versions(spark, d).select("fact_id", "user_id", "type", "valid_from", "valid_to"), asked, ["user_id"]).select("event_id", "fact_id", "type")
+
+
 @query(f"WITH {VERSIONS_SQL} SELECT fact_id, type, user_id, value FROM v WHERE valid_to IS NULL")
 def current_state(spark: SparkSession, d: str) -> DataFrame:
     return versions(spark, d).where(temporal.current()).select("fact_id", "type", "user_id", "value")
@@ -265,6 +273,26 @@ def stream_closures(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(stream_versions.CLOSURES).parquet(f"{folder}/out")
 
 
+@query("""
+    WITH s AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    i AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
+    SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS n FROM i GROUP BY user_id, session""")
+def activity_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user's events, with twelve hours at most between one event and the next."""
+    rows = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    return episodes.sessions(rows, ["user_id"], "at", "12 hours").select("user_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "n")
+
+
+@query("""
+    WITH a AS (SELECT event_type AS type, user_id FROM events WHERE event_id % 3 > 0), b AS (SELECT event_type AS type, user_id FROM events WHERE event_id % 4 > 0)
+    SELECT type, user_id, 'gone' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL UNION ALL SELECT type, user_id, 'new', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL""")
+def run_difference(spark: SparkSession, d: str) -> DataFrame:
+    """What two extraction runs don't share, as often as they don't: one lacks every third event, the other every fourth."""
+    rows = table(spark, d, "events").select("event_id", F.col("event_type").alias("type"), "user_id")
+    before, after = (rows.where(f"event_id % {n} > 0").drop("event_id") for n in (3, 4))
+    return runs.difference(before, after).select("type", "user_id", "side", "n")
+
+
 @query(f"""WITH {VERSIONS_SQL}, s AS (SELECT type, valid_to IS NULL AS current, value FROM v)
     SELECT coalesce(type, 'all') AS type, CASE WHEN grouping(current) = 1 THEN 'all' WHEN current THEN 'current' ELSE 'closed' END AS state, count(*) AS n, round(sum(value), 2) AS value FROM s GROUP BY CUBE (type, current)""")
 def fact_cube(spark: SparkSession, d: str) -> DataFrame:

@@ -244,15 +244,16 @@ def payload_facts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH t AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain FROM conversations), e AS (SELECT conv_id, count(*) FILTER (WHERE turn = 0 AND length(plain) >= 12) AS ok, count(*) FILTER (WHERE turn = 0 AND length(plain) < 12) AS bad FROM t GROUP BY conv_id)
-    SELECT count(*) AS episodes, CAST(sum(ok) AS BIGINT) AS accepted, CAST(sum(bad) + count(*) AS BIGINT) AS rejected, sum(ok) / (sum(ok) + sum(bad) + count(*))::DOUBLE AS acceptance_rate FROM e""")
+    SELECT count(*) AS episodes, CAST(sum(ok) AS BIGINT) AS accepted, CAST(sum(bad) + count(*) AS BIGINT) AS rejected, sum(ok) / (sum(ok) + sum(bad) + count(*))::DOUBLE AS acceptance_rate,
+        7 * count(*) AS input_tokens, 3 * count(*) AS output_tokens, count(*) AS timed FROM e""")
 def extraction_totals(spark: SparkSession, d: str) -> DataFrame:
     """The whole extraction over conversations: rendered, asked, read, repaired, checked and written. The model quotes the first utterance at a
-    wrong place, and makes one quote up."""
+    wrong place, makes one quote up, and tells what each call cost."""
     turns = table(spark, d, "conversations")
     episodes = turns.select(F.col("conv_id").cast("string").alias("episode_id")).distinct().select("episode_id", F.lit("t").alias("title"), F.lit("X").alias("kind"), F.lit(HELD).cast("timestamp").alias("occurred_at"))
     said = turns.select(F.col("conv_id").cast("string").alias("episode_id"), F.col("turn").cast("int").alias("ordinal"), F.lit("x").alias("speaker"), F.lit(HELD).cast("timestamp").alias("at"), "text")
 
-    def chat(prompts: list[str]) -> list[str]:
+    def chat(prompts: list[str]) -> list[dict]:
         import json
         import re
 
@@ -261,13 +262,14 @@ def extraction_totals(spark: SparkSession, d: str) -> DataFrame:
             first = re.search(r"\[0\] x \([^)]*\): (.*?)(?:\n\[1\] x \(|\n?\Z)", p, re.S)
             fact = {"type": "DECISION", "statement": "what was said first", "status": "AGREED", "confidence": 0.9}
             quotes = [[first.group(1) if first else ""], ["words that nobody ever said"]]
-            out.append(json.dumps({"facts": [fact | {"evidence": [{"utterance": 77, "quote": q} for q in own]} for own in quotes]}))
+            answer = json.dumps({"facts": [fact | {"evidence": [{"utterance": 77, "quote": q} for q in own]} for own in quotes]})
+            out.append({"answer": answer, "input_tokens": 7, "output_tokens": 3})
         return out
 
     results = extract.run(episodes, said, chat)
     folder = shared_folder(spark, "extraction")
     got = stats.run_totals(extract.stored(results, folder))
-    return got.select("episodes", "accepted", "rejected", "acceptance_rate")
+    return got.select("episodes", "accepted", "rejected", "acceptance_rate", "input_tokens", "output_tokens", "timed")
 
 
 @query("""SELECT l_orderkey, l_linenumber, 'slack:' || l_orderkey AS source, 'SLACK:' || l_partkey AS alias, 'slack:' || l_orderkey || '#' || l_linenumber AS utterance FROM lineitem""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,12 @@ Embedder = Callable[[list[str]], np.ndarray]
 #: Prompts to answers.
 Chat = Callable[[list[str]], list[str]]
 
+#: Prompts to answers that tell their cost: dicts with answer, input_tokens, output_tokens.
+CountingChat = Callable[[list[str]], list[dict]]
+
 DIMENSIONS, NOT_FOUND = 256, "NOT_IN_KNOWLEDGE_BASE"
+#: Characters that count as a token where no model tells; times that a failing model is asked.
+CHARACTERS_A_TOKEN, TRIES = 4, 3
 
 
 def hashing_embedder(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -64,6 +70,32 @@ def ask(prompts: DataFrame, prompt: str, chat: Chat, column: str = "answer") ->
     return prompts.join(different, prompts[prompt] == different["_prompt"], "left").drop("_prompt")
 
 
+def ask_counted(prompts: DataFrame, prompt: str, chat: CountingChat | Chat, column: str = "answer", tries: int = TRIES) -> DataFrame:
+    """ask(), and call: what the answer cost: input_tokens and output_tokens as the model tells them (else its characters / CHARACTERS_A_TOKEN), milliseconds of all
+    tries, tries, and failure (null if one of them was answered). A model that fails on each try gives a null answer and stops nothing."""
+
+    @F.pandas_udf("answer string, input_tokens int, output_tokens int, milliseconds long, tries int, failure string")
+    def calls(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for text in part:
+                start, said, failure, n = time.perf_counter(), None, None, 0
+                while n < tries:
+                    n += 1
+                    try:
+                        said, failure = chat([text])[0], None
+                        break
+                    except Exception as e:  # noqa: BLE001  a model may fail in any way
+                        failure = f"{type(e).__name__}: {e}"
+                told = said if isinstance(said, dict) else {"answer": said}
+                guess = lambda t: -(-len(t or "") // CHARACTERS_A_TOKEN)
+                rows.append((told["answer"], told.get("input_tokens", guess(text)), told.get("output_tokens", guess(told["answer"])), round(1000 * (time.perf_counter() - start)), n, failure))
+            yield pd.DataFrame(rows, columns=["answer", "input_tokens", "output_tokens", "milliseconds", "tries", "failure"])
+
+    different = prompts.select(F.col(prompt).alias("_prompt")).distinct().withColumn("call", calls("_prompt"))
+    return prompts.join(different, prompts[prompt] == different["_prompt"], "left").drop("_prompt").withColumn(column, F.col("call.answer"))
+
+
 def payload_facts(answers: DataFrame) -> DataFrame:
     """A model's answers (episode_id, occurred_at, answer) as extracted facts. What can't be read gives none; a fact of unknown type is left
     out, an unknown status is PROPOSED; quotes without place or words go."""

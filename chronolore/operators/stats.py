@@ -10,10 +10,11 @@ from chronolore.functions.vectors import ratio
 
 
 def run_totals(run: DataFrame) -> DataFrame:
-    """One row of an extraction run: episodes, accepted, rejected, warnings, tokens in and out, acceptance_rate (1 of nothing)."""
+    """One row of an extraction run: episodes, accepted, rejected, warnings, tokens in and out, seconds of its calls and how many were timed, acceptance_rate (1 of nothing)."""
     total = run.agg(
         F.count(F.lit(1)).alias("episodes"), F.coalesce(F.sum(F.size("accepted")), F.lit(0)).alias("accepted"), F.coalesce(F.sum(F.size("rejected")), F.lit(0)).alias("rejected"),
         F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"), F.coalesce(F.sum("inputTokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("outputTokens"), F.lit(0)).alias("output_tokens"),
+        F.coalesce(F.sum(F.regexp_extract("elapsed", r"^PT([\d.]+)S$", 1).try_cast("double")), F.lit(0.0)).alias("seconds"), F.count("elapsed").alias("timed"),
     )
     return total.withColumn("acceptance_rate", ratio(F.col("accepted"), F.col("accepted") + F.col("rejected"), 1.0))
 

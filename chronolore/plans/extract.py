@@ -14,9 +14,6 @@ from chronolore.operators import models, validate
 from chronolore.sources import runs
 from chronolore.sources.episodes import render
 
-#: Characters that count as a token where no model tells.
-CHARACTERS_A_TOKEN = 4
-
 
 def instructions() -> str:
     """What stands before an episode in its prompt."""
@@ -38,9 +35,10 @@ def stored_fact() -> Column:
     )
 
 
-def run(episodes: DataFrame, utterances: DataFrame, chat: models.Chat) -> DataFrame:
-    """schemas.RUN, one row per episode. Each different prompt is asked once; an answer that can't be read gives no facts."""
-    asked = cut(models.ask(prompts(episodes, utterances), "prompt", chat))
+def run(episodes: DataFrame, utterances: DataFrame, chat: models.Chat | models.CountingChat) -> DataFrame:
+    """schemas.RUN, one row per episode. Each different prompt is asked once; an answer that can't be read, or that the model failed to give, gives no facts.
+    elapsed and tokens are those of the model's call."""
+    asked = cut(models.ask_counted(prompts(episodes, utterances), "prompt", chat))
     numbered = cut(models.payload_facts(asked).withColumn("fact_no", F.monotonically_increasing_id()))
     checked = validate.validate(validate.repair_citations(numbered, utterances), utterances)
     warned = F.filter("issues", lambda i: i["severity"] == "WARN")
@@ -49,10 +47,9 @@ def run(episodes: DataFrame, utterances: DataFrame, chat: models.Chat) -> DataFr
         F.collect_list(F.when(~F.col("accepted"), F.struct(stored_fact().alias("fact"), "issues"))).alias("rejected"),
         F.flatten(F.collect_list(warned)).alias("warnings"),
     )
-    tokens = lambda c: F.ceil(F.length(F.coalesce(c, F.lit(""))) / CHARACTERS_A_TOKEN).cast("int")
     joined = asked.join(found, "episode_id", "left")
     filled = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("accepted", "rejected", "warnings")]
-    return joined.select(F.col("episode_id").alias("episodeId"), *filled, F.lit(schemas.PROMPT_SIGNATURE).alias("promptSignature"), F.lit(None).cast("string").alias("elapsed"), tokens("prompt").alias("inputTokens"), tokens("answer").alias("outputTokens"))
+    return joined.select(F.col("episode_id").alias("episodeId"), *filled, F.lit(schemas.PROMPT_SIGNATURE).alias("promptSignature"), F.format_string("PT%.3fS", F.col("call.milliseconds") / 1000).alias("elapsed"), F.col("call.input_tokens").alias("inputTokens"), F.col("call.output_tokens").alias("outputTokens"))
 
 
 def stored(results: DataFrame, folder: str, now: datetime | None = None) -> DataFrame:

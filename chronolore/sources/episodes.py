@@ -82,3 +82,9 @@ def render(episodes: DataFrame, utterances: DataFrame) -> DataFrame:
     said = utterances.groupBy("episode_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("lines"))
     head = F.format_string("# %s\nSource: %s\nOccurred: %s\n\n", F.coalesce("title", "kind"), F.col("episode_id"), time(F.col("occurred_at")))
     return episodes.join(said, "episode_id", "left").select("episode_id", F.concat(head, F.coalesce("lines", F.lit(""))).alias("rendered"))
+
+
+def sessions(turns: DataFrame, key: list[str], at: str, gap: str) -> DataFrame:
+    """key, started, ended, n: runs of turns of which none is more than gap after the one before; turns without a time are in none. Parts of a session are merged before the shuffle."""
+    found = turns.groupBy(*key, F.session_window(at, gap).alias("_w")).agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count(F.lit(1)).alias("n"))
+    return found.drop("_w")

@@ -65,3 +65,9 @@ def key_faults(facts: DataFrame, questions: DataFrame, entities: DataFrame, epis
     kinds = {"source": cited, "fact": asked, "entity": owned}
     frames = [df.select(F.lit(kind).alias("kind"), F.col("id").alias("holder"), "missing") for kind, df in kinds.items()]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+def difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """side (gone or new), n and the columns: which rows two runs don't share, and how often; a row that one has twice and the other once differs once."""
+    one = lambda a, b, side: a.exceptAll(b.select(*a.columns)).groupBy(*a.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(side))
+    return one(before, after, "gone").unionByName(one(after, before, "new"))

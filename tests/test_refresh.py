@@ -1,6 +1,7 @@
 """A refreshed load equals one of everything, on all columns, and rewrites little; readers see whole versions."""
 
 import json
+import shutil
 import sys
 from pathlib import Path
 from types import SimpleNamespace
@@ -54,15 +55,23 @@ def say(root, name, turns):
     (root / f"slack/threads/{name}.json").write_text(json.dumps({"channel": {"id": "C9", "name": "x"}, "thread_ts": f"{ord(name)}.0", "messages": [{"ts": f"{at}.0", "user": "U9", "text": text} for at, text in turns]}))
 
 
-@pytest.fixture
-def corpus(spark, tmp_path):
-    root = Path(write_corpus(tmp_path / "corpus"))
+@pytest.fixture(scope="module")
+def loaded_once(spark, tmp_path_factory):
+    base = tmp_path_factory.mktemp("base")
+    root = Path(write_corpus(base / "corpus"))
     say(root, "a", [(1770000000, "Decision: the venue is the old hall."), (1770000100, "Decision: the venue is the new hall."), (1770000200, "Risk: the caterer may leave us.")])
     say(root, "b", [(1771000000, "Decision: the venue is the town park."), (1771000100, "Decision: the budget is forty thousand.")])
     say(root, "c", [(1772000000, "Decision: the venue is the river side."), (1772000100, "Risk: the caterer is late again.")])
     found, people, facts = loaded(spark, root)
-    load.write(load.build(found, people, facts, SLOTS), f"{tmp_path}/graph")
-    return root, f"{tmp_path}/graph"
+    load.write(load.build(found, people, facts, SLOTS), f"{base}/graph")
+    return base
+
+
+@pytest.fixture
+def corpus(loaded_once, tmp_path):
+    """The corpus and its graph, to be changed; manifests name folders within the graph, so a copy is as good."""
+    shutil.copytree(loaded_once, tmp_path / "copy")
+    return tmp_path / "copy/corpus", f"{tmp_path}/copy/graph"
 
 
 CHANGES = {
