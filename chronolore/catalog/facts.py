@@ -11,6 +11,7 @@ from chronolore.lineage import shared_folder
 from chronolore.operators import acl, stats, supersede, temporal, validate
 from chronolore.sources import episodes, runs
 from chronolore.sources.episodes import render
+from chronolore.streaming import restated
 from chronolore.streaming import versions as stream_versions
 
 query = Catalog()
@@ -273,6 +274,21 @@ def stream_closures(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(stream_versions.CLOSURES).parquet(f"{folder}/out")
 
 
+@query(f"""WITH {VERSIONS_SQL} SELECT user_id || '/' || type AS key, lpad(CAST(fact_id AS VARCHAR), 12, '0') AS fact_id, epoch_us(valid_from) AS from_us, epoch_us(valid_to) AS to_us, lpad(CAST(next_id AS VARCHAR), 12, '0') AS superseded_by FROM v""")
+def restated_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream in four batches that each hold events of all times, so that most come late and take back what was told. The changes, netted, are the
+    versions of a batch over all events."""
+    folder, c = shared_folder(spark, "restated"), F.col
+    table(spark, d, "events").repartition(4, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    # Ids as strings of one length sort as their numbers do.
+    facts = event_facts(source).select(F.concat_ws("/", "user_id", "type").alias("key"), F.lpad(c("fact_id").cast("string"), 12, "0").alias("fact_id"), c("occurred_at").cast("timestamp").alias("at"))
+    with restated.store_in_use(spark):
+        told = restated.changes(facts, "100 years").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        told.awaitTermination()
+    return restated.settled(spark.read.schema(restated.CHANGES).parquet(f"{folder}/out"))
+
+
 @query("""
     WITH s AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     i AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
