@@ -15,7 +15,7 @@ from chronolore.functions.dates import as_of
 from chronolore.lineage import shared_folder
 from chronolore.operators import export, graph, models, resolve, search, stats, supersede, text_index
 from chronolore.operators.acl import readable
-from chronolore.plans import ask, extract, load
+from chronolore.plans import ask, extract, load, sql_tools
 from chronolore.sources import directory
 from chronolore.streaming import versions as stream_versions
 
@@ -201,6 +201,43 @@ def indexed_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return retrieved(spark, d, t, load.write_indexes(t, shared_folder(spark, "indexes")))
 
 
+FIRST_ASKED = f"SELECT * FROM ({RETRIEVED_SQL}) WHERE query_id = (SELECT min(item_id) FROM benchmark)"
+
+
+def first_asked(spark: SparkSession, d: str) -> dict:
+    """The first benchmark text as the arguments of a question."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"), "text").join(table(spark, d, "embeddings"), "vec_id", "left")
+    one = asked.agg(F.min_by(F.struct("text", F.col("embedding").cast("array<double>").alias("vector")), "vec_id").alias("q")).first()["q"]
+    return {"question": one["text"], "vector": F.lit(one["vector"])}
+
+
+@query(f"SELECT fact_id, title, score, closed, rank FROM ({FIRST_ASKED})")
+def sql_search_knowledge(spark: SparkSession, d: str) -> DataFrame:
+    """retrieval of the first benchmark text in SQL text, by the table function of a reader without grants."""
+    sql_tools.publish(document_tables(spark, d), prefix="docs_")
+    return spark.sql("SELECT fact_id, title, score, valid_to IS NOT NULL AS closed, rank FROM docs_search_knowledge(:question, :vector, NULL, 8)", args=first_asked(spark, d))
+
+
+@query(f"""
+    SELECT 'n' || n_nationkey AS person_id, n_name AS name, min(rank) AS best_rank, CAST(count(*) AS INT) AS n_facts FROM ({FIRST_ASKED}) JOIN nation ON n_nationkey = CAST(fact_id AS BIGINT) % 25 WHERE CAST(fact_id AS BIGINT) % 3 > 0 GROUP BY ALL""")
+def sql_find_owner(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as owners of two thirds of the documents: those of what the first benchmark text finds, by the table function."""
+    t, number = document_tables(spark, d), F.col("fact_id").cast("long")
+    people = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("person_id"), F.col("n_name").alias("name"))
+    owned = t["facts"].select("fact_id", F.when(number % 3 > 0, F.concat(F.lit("n"), (number % 25).cast("string"))).alias("person_id"), F.lit("HANDLE").alias("method"))
+    sql_tools.publish(t | {"people": people, "ownership": owned}, prefix="owned_")
+    return spark.sql("SELECT person_id, name, best_rank, n_facts FROM owned_find_owner(:question, :vector, 8)", args=first_asked(spark, d))
+
+
+@query(f"""WITH {RUNS_SQL}
+    SELECT CAST(a.fact_id AS VARCHAR) AS seed, CAST(b.fact_id AS VARCHAR) AS fact_id, CAST(b.place - a.place AS INT) AS depth, b.valid_to IS NULL AS current FROM g a JOIN g b ON a.user_id = b.user_id AND a.type = b.type AND a.run = b.run AND NOT a.hidden AND NOT b.hidden AND abs(a.place - b.place) <= 10""")
+def sql_trace_decision(spark: SparkSession, d: str) -> DataFrame:
+    """All readable versions of every event's decision, by the table function."""
+    t = tables(spark, d)
+    sql_tools.publish(t | {"facts": t["facts"].withColumn("embedding", F.lit(None).cast("array<float>"))}, prefix="events_")
+    return spark.sql("SELECT f.fact_id AS seed, t.fact_id, t.depth, t.valid_to IS NULL AS current FROM events_facts f, LATERAL events_trace_decision(f.fact_id) AS t")
+
+
 SAID_SQL = BM25_SQL.replace("FROM documents)", f"FROM {SAID})").replace("FROM documents", f"FROM {SAID}")
 
 

@@ -62,3 +62,19 @@ def reuse(rows: DataFrame, text: str) -> DataFrame:
     """One row: n, different, hit_rate: the share of texts that a cache of all different ones answers (0 of nothing)."""
     total = rows.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(text).alias("different"))
     return total.withColumn("hit_rate", ratio(F.col("n") - F.col("different"), F.col("n"), 0.0))
+
+
+def daily_sketches(rows: DataFrame, key: list[str], at: str, value: str, member: str) -> DataFrame:
+    """day, key, values (a KLL sketch of the quantiles of a number), members (an HLL sketch of the different members): a few kilobytes for each day and key,
+    however many rows it has. Stored by day, a new day is sketched alone. Nulls count in neither. A null day or key is one of its own."""
+    day = F.to_date(F.col(at).cast("timestamp")).alias("day")
+    return rows.groupBy(day, *key).agg(F.kll_sketch_agg_double(F.col(value).cast("double")).alias("values"), F.hll_sketch_agg(F.col(member).cast("string")).alias("members"))
+
+
+def from_sketches(sketches: DataFrame, key: list[str], shares: list[float]) -> DataFrame:
+    """key, n (rows with a value, exact), p<share>, members (about how many different): the days' sketches merged, over any days that are left in. The rank of a
+    quantile is off by 1.7 % of n at most with 99 % confidence, members by 1.6 % in the standard deviation."""
+    merged = sketches.groupBy(*key).agg(F.kll_merge_agg_double("values").alias("_v"), F.hll_sketch_estimate(F.hll_union_agg("members")).alias("members"))
+    n = F.kll_sketch_get_n_double("_v")
+    of = [F.when(n > 0, F.kll_sketch_get_quantile_double("_v", F.lit(float(s)))).alias(f"p{round(100 * s)}") for s in shares]
+    return merged.select(*key, n.alias("n"), *of, "members")
