@@ -360,6 +360,24 @@ def adjudicated_speakers(spark: SparkSession, d: str) -> DataFrame:
     return resolve.speakers(who, nations(spark, d), chosen).select("episode_id", "label", "person_id", "method")
 
 
+@query("""
+    WITH w AS (SELECT event_type, user_id, CASE event_id % 3 WHEN 0 THEN 'SLACK' WHEN 1 THEN 'NOTION' ELSE 'ZOOM' END AS system FROM events)
+    SELECT system, 'u' || user_id AS raw_id, 'label ' || user_id AS label, count(DISTINCT event_type) AS n_episodes FROM w WHERE system <> 'ZOOM' AND (user_id % 4 = 0 OR system = 'NOTION' AND user_id % 4 = 1) GROUP BY ALL""")
+def missing_handles(spark: SparkSession, d: str) -> DataFrame:
+    """Handles that the directory lacks: every fourth user has no alias at all, the next ones have one in one source only."""
+    c, none = F.col, F.lit(None).cast("string")
+    events = table(spark, d, "events").select("event_id", "event_type", "user_id")
+    system = F.element_at(F.array(F.lit("SLACK"), F.lit("NOTION"), F.lit("ZOOM")), (c("event_id") % 3 + 1).cast("int"))
+    name = lambda head: F.concat(F.lit(head), c("user_id").cast("string"))
+    who = events.select(c("event_type").alias("episode_id"), system.alias("system"), name("u").alias("raw_id"), name("label ").alias("speaker"))
+    users = events.select("user_id").distinct().where("user_id % 4 > 0")
+    people = users.select(name("p").alias("person_id"), name("Name ").alias("name"), none.alias("email"), none.alias("title"), F.array().cast("array<string>").alias("aliases"))
+    sources = F.when(c("user_id") % 4 == 1, F.array(F.lit("SLACK"))).otherwise(F.array(F.lit("SLACK"), F.lit("NOTION")))
+    aliases = users.select(F.explode(sources).alias("system"), name("u").alias("value"), name("p").alias("person_id"))
+    present = people.select(F.lit("none").alias("episode_id"), "person_id").limit(0)
+    return resolve.missing_handles(resolve.speakers(who, directory.Directory(people, aliases, present, people.limit(0))))
+
+
 @query("""
     SELECT 'prefix' AS asked, 'n' || n_nationkey AS person_id FROM nation WHERE starts_with(regexp_replace(lower(n_name), '[^a-z0-9 ]', '', 'g'), 'i') UNION ALL SELECT 'email', 'n' || n_nationkey FROM nation WHERE n_nationkey = 3
     UNION ALL SELECT 'alias', 'n' || n_nationkey FROM nation WHERE n_nationkey = 4 UNION ALL SELECT 'episode', 'n' || n_nationkey FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'name', 'n' || n_nationkey FROM nation WHERE lower(n_name) = (SELECT min(lower(n_name)) FROM nation)""")

@@ -51,6 +51,13 @@ def _speaker(rows: DataFrame, method: Column, rationale: Column) -> DataFrame:
     return rows.select("episode_id", "system", "raw_id", "label", "person_id", method.alias("method"), rationale.alias("rationale"))
 
 
+def missing_handles(speaker_rows: DataFrame) -> DataFrame:
+    """system, raw_id, label, n_episodes: handles that their own source gave and no alias has, so that the directory lacks a person or an alias; whom
+    other sources name by a label only is nothing to be put right there. Of several labels of a handle the least is told."""
+    lacking = speaker_rows.where(self_identifying(F.col("system")) & (F.col("method") == "UNRESOLVED") & ~is_blank(F.col("raw_id")))
+    return lacking.groupBy("system", "raw_id").agg(F.min("label").alias("label"), F.count_distinct("episode_id").alias("n_episodes"))
+
+
 def beginnings(names: DataFrame, key: list[str]) -> DataFrame:
     """Per key and beginning of a name: n_exact and exact (how many people have exactly that name, and the least of them), n_start and start
     (how many have a name that begins so). Names are short, so all their beginnings are made rows and a prefix is found by equality;
