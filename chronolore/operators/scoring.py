@@ -2,21 +2,92 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolore.functions.text import citations, opening_sentence, term_coverage
-from chronolore.functions.vectors import cosine, ratio
+from chronolore.functions.vectors import ratio
 
 # Fixed values.
 MATCH, ON_TARGET_SIMILARITY, ON_TARGET_COVERAGE = 0.72, 0.62, 0.6
+#: Rows of a tile, about; gold facts scored at once; pairs counted exactly at once; how much a product may be off.
+TILE, AT_ONCE, EXACT_AT_ONCE, ROUNDING = 8192, 256, 1 << 15, 2e-9
+
+
+def padded(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, ...]:
+    """Vectors as rows of doubles with zeros to the width, their lengths and norms, and which are null or hold a null (these are zero)."""
+    rows = pa.concat_arrays(column.chunks)
+    n = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, x = rows.flatten(), np.zeros((len(rows), width))
+    at, place = np.repeat(np.arange(len(rows)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    x[at, place] = flat.to_numpy(zero_copy_only=False)
+    void = rows.is_null().to_numpy(zero_copy_only=False)
+    void[at[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = True
+    x[void] = 0
+    return x, n, np.sqrt(np.cumsum(x * x, axis=1)[:, -1]), void
+
+
+def exact_cosines(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """vectors.cosine() of row i of a and row j of b, summed in the same order."""
+    shorter, lengths = np.minimum(a[1][i], b[1][j]), a[2][i] * b[2][j]
+    products = np.where(np.arange(a[0].shape[1]) < shorter[:, None], a[0][i] * b[0][j], 0.0)
+    return np.where((np.isnan(lengths) | (lengths > 0)) & ~a[3][i] & ~b[3][j], np.cumsum(products, axis=1)[:, -1] / np.where(lengths == 0, 1.0, lengths), 0.0)
 
 
 def best_matches(gold: DataFrame, found: DataFrame, least: float = MATCH) -> DataFrame:
     """The best found fact of each gold fact in the episodes that the key names. gold: id, type, sources, embedding. found: episode_id, type,
-    seq, embedding, statement. Returns gold_id, gold_type, episode_id, type, statement, similarity; of equals the first by source, then seq."""
+    seq, embedding, statement. Returns gold_id, gold_type, episode_id, type, statement, similarity; of equals the first by source, then seq.
+
+    Both sides of an episode are dealt to tiles, and each two tiles are one group. A matrix product tells which found facts may be a gold fact's best in the tile, and
+    only these are counted exactly and leave it: mostly one for each gold fact and tile. The products grow as gold facts times found facts of an
+    episode, what is shuffled and held as their number times the tiles of the other side."""
     wanted = gold.select(F.col("id").alias("gold_id"), F.col("type").alias("gold_type"), F.col("embedding").alias("_g"), F.posexplode("sources").alias("_source", "episode_id"))
-    pairs = wanted.join(found, "episode_id").withColumn("similarity", F.round(cosine(F.col("_g"), F.col("embedding")), 9)).where(F.col("similarity") >= least)
+    there = found.select("episode_id", "type", "seq", F.col("embedding").alias("_f"), "statement")
+    tiles = lambda df, n: df.groupBy("episode_id").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(n))
+    both = tiles(wanted, "_golds").join(tiles(there, "_founds"), "episode_id")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda by, n: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    left = wanted.join(both, "episode_id").withColumn("_a", deal(["gold_id"], "_golds")).withColumn("_b", each("_founds")).drop("_golds", "_founds")
+    right = there.join(both, "episode_id").withColumn("_b", deal(["seq", "statement"], "_founds")).withColumn("_a", each("_golds")).drop("_golds", "_founds")
+    from_gold, from_found = ["gold_id", "gold_type", "_source", "episode_id"], ["type", "seq", "statement"]
+
+    def run(golds: pa.Table, facts: pa.Table) -> pa.Table:
+        picked = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(golds) and len(facts):
+            facts = facts.take(pc.sort_indices(facts, sort_keys=[("seq", "ascending")], null_placement="at_start"))
+            width = max(pc.max(pc.list_value_length(c)).as_py() or 0 for c in (golds.column("_g"), facts.column("_f"))) or 1
+            a, b = padded(golds.column("_g"), width), padded(facts.column("_f"), width)
+            # Of equal vectors only the first can be a best match.
+            _, first = np.unique(np.column_stack([b[0], b[1], b[3]]), axis=0, return_index=True)
+            first = np.sort(first)
+            b = tuple(part[first] for part in b)
+            with np.errstate(all="ignore"):
+                x, y = (side[0] / np.where(side[2] == 0, 1.0, side[2])[:, None] for side in (a, b))
+                for start in range(0, len(x), AT_ONCE):
+                    scores = x[start : start + AT_ONCE] @ y.T
+                    odd = np.isnan(scores)
+                    best = np.where(odd, -np.inf, scores).max(axis=1)
+                    near = odd | (scores >= np.maximum(best, least)[:, None] - ROUNDING)
+                    i, j = np.nonzero(near)
+                    for at in range(0, len(i), EXACT_AT_ONCE):
+                        u, v = i[at : at + EXACT_AT_ONCE] + start, j[at : at + EXACT_AT_ONCE]
+                        exact = exact_cosines(a, b, u, v)
+                        # Of one gold fact's equal similarities the first stays.
+                        order = np.lexsort((v, exact, u))
+                        u, v, exact = u[order], v[order], exact[order]
+                        same = (u[1:] == u[:-1]) & ((exact[1:] == exact[:-1]) | (np.isnan(exact[1:]) & np.isnan(exact[:-1])))
+                        keep = np.append(True, ~same)
+                        picked.append((u[keep], first[v[keep]], exact[keep]))
+        u, v, exact = (np.concatenate(p) for p in zip(*picked, strict=True))
+        columns = [side.column(c).take(pa.array(n, pa.int64())) for side, names, n in ((golds, from_gold, u), (facts, from_found, v)) for c in names]
+        return pa.table([*columns, pa.array(exact, pa.float64())], names=[*from_gold, *from_found, "similarity"])
+
+    told = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for df, names in ((left, from_gold), (right, from_found)) for c in names)
+    near = left.groupBy("episode_id", "_a", "_b").cogroup(right.groupBy("episode_id", "_a", "_b")).applyInArrow(run, f"{told}, similarity double")
+    pairs = near.withColumn("similarity", F.round("similarity", 9)).where(F.col("similarity") >= least)
     order = Window.partitionBy("gold_id").orderBy(F.desc("similarity"), "_source", "seq")
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("gold_id", "gold_type", "episode_id", "type", "statement", "similarity")
 
