@@ -27,7 +27,9 @@ def held_at_each(facts: DataFrame, moments: DataFrame, keys: list[str], start: s
 
     Time is cut into cells of 1, 2, 4, ... seconds. An interval is put into the one or two cells that it meets of the least width that is not
     below its length, a moment into its cell of each width that there is, so they meet exactly once if at all, and mostly only where the moment is near the
-    interval. Facts that still hold end after the last moment. Other columns of both must have different names."""
+    interval. Facts that still hold end after the last moment. Other columns of both must have different names.
+
+    The join is a merge join: both sides are as large as the tables, and columns that shuffle to a few bytes a row would be taken for small enough to broadcast."""
     seconds = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000)
     last = moments.agg(F.max(seconds(at)).alias("s")).first()["s"]
     known = facts.where(F.col(start).isNotNull()).withColumn("_from", seconds(start)).withColumn("_to", F.coalesce(seconds(end), F.greatest(F.lit(last or 0), F.col("_from")) + 1))
@@ -36,7 +38,7 @@ def held_at_each(facts: DataFrame, moments: DataFrame, keys: list[str], start: s
     placed = known.withColumn("_cell", F.explode(F.array_distinct(F.array(cell("_from"), cell("_to"))))).drop("_from", "_to")
     widths = [r["_width"] for r in known.select("_width").distinct().collect()]  # fewer than the bits of a number
     asked = moments.withColumn("_at", seconds(at)).withColumn("_width", F.explode(F.array(*[F.lit(w) for w in widths]) if widths else F.array().cast("array<int>"))).withColumn("_cell", cell("_at")).drop("_at")
-    return asked.join(placed, [*keys, "_width", "_cell"]).where(held_at(F.col(at), start, end)).drop("_width", "_cell")
+    return asked.join(placed.hint("merge"), [*keys, "_width", "_cell"]).where(held_at(F.col(at), start, end)).drop("_width", "_cell")
 
 
 def close(facts: DataFrame, closures: DataFrame) -> DataFrame:
