@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolore.functions.ids import person_id, source_key
 from chronolore.functions.text import is_blank, normalise_name
+from chronolore.lineage import cut
 from chronolore.sources import chat, meetings, pages
 
 
@@ -86,6 +87,6 @@ def merge(users: DataFrame, participants: DataFrame, authors: DataFrame) -> Dire
 
 def read(spark: SparkSession, root: str) -> Directory:
     users = chat.users(spark, root).select("id", "name", "real_name", "profile.email", "profile.display_name", "profile.title")
-    met = meetings.metadata(spark, root).select(source_key(F.lit("ZOOM"), F.coalesce("uuid", F.lit(""))).alias("episode_id"), F.explode("participants").alias("p")).select("episode_id", "p.name", "p.email")
-    wrote = pages.files(spark, root).select(F.explode(pages.authors(F.col("value"))).alias("author"))
+    met = cut(meetings.metadata(spark, root).select(source_key(F.lit("ZOOM"), F.coalesce("uuid", F.lit(""))).alias("episode_id"), F.explode("participants").alias("p")).select("episode_id", "p.name", "p.email"))
+    wrote = cut(pages.files(spark, root).select(F.explode(pages.authors(F.col("value"))).alias("author")).distinct())
     return merge(users, met, wrote)

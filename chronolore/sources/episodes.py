@@ -31,7 +31,7 @@ def none(spark: SparkSession) -> Episodes:
 
 
 def exists(spark: SparkSession, pattern: str) -> bool:
-    """Whether any file fits the pattern, in whatever store Spark reads."""
+    """Whether any file or folder fits the pattern, in whatever store Spark reads. Asked of folders and single files: a pattern of files would list them all."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
     return found is not None and len(found) > 0

@@ -13,10 +13,14 @@ def write(rows: DataFrame, root: str) -> None:
 
     def put(part) -> None:
         system, base = fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), plain)
+        made = set()
         for r in part:
             to = f"{base}/{r['path']}"
-            system.create_dir(to.rpartition("/")[0], recursive=True)
+            if (folder := to.rpartition("/")[0]) not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
             with system.open_output_stream(to) as f:
                 f.write(r["text"].encode())
 
-    rows.select("path", "text").foreachPartition(put)
+    # What is small in bytes may be many files, so they are dealt to all cores.
+    rows.select("path", "text").repartition(rows.sparkSession.sparkContext.defaultParallelism, "path").foreachPartition(put)

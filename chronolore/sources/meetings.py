@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolore import schemas
 from chronolore.functions.dates import cue_offset_ms
 from chronolore.functions.text import is_blank, strip
+from chronolore.lineage import cut
 from chronolore.sources.episodes import Episodes, assemble, exists, merge_turns, none
 
 #: A colon further into a cue is punctuation, no speaker.
@@ -16,10 +17,9 @@ SPEAKER_MOST = 39
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
     """stem and the fields of the metadata files."""
-    pattern = f"{root}/zoom/*.meta.json"
-    if not exists(spark, pattern):
+    if not exists(spark, f"{root}/zoom"):
         return spark.createDataFrame([], f"stem string, {schemas.MEETING}")
-    return spark.read.schema(schemas.MEETING).option("multiLine", True).json(pattern).select(F.regexp_replace("_metadata.file_name", r"\.meta\.json$", "").alias("stem"), "*")
+    return spark.read.schema(schemas.MEETING).option("multiLine", True).option("pathGlobFilter", "*.meta.json").json(f"{root}/zoom").select(F.regexp_replace("_metadata.file_name", r"\.meta\.json$", "").alias("stem"), "*")
 
 
 def cues(transcripts: DataFrame, text: str = "value") -> DataFrame:
@@ -40,10 +40,10 @@ def cues(transcripts: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read(spark: SparkSession, root: str) -> Episodes:
-    if not exists(spark, f"{root}/zoom/*.vtt"):
+    if not exists(spark, f"{root}/zoom"):
         return none(spark)
-    files = spark.read.text(f"{root}/zoom/*.vtt", wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.vtt$", "").alias("stem"), "value")
-    heads = files.select("stem").join(metadata(spark, root), "stem", "left").select(
+    files = cut(spark.read.text(f"{root}/zoom", wholetext=True, pathGlobFilter="*.vtt").select(F.regexp_replace("_metadata.file_name", r"\.vtt$", "").alias("stem"), "value"))
+    heads = files.select("stem").join(cut(metadata(spark, root)), "stem", "left").select(
         "stem",
         F.lit("ZOOM").alias("system"),
         F.coalesce("uuid", "stem").alias("external_id"),

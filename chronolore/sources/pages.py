@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolore.functions.dates import instant_of
 from chronolore.functions.text import strip
+from chronolore.lineage import cut
 from chronolore.sources.episodes import Episodes, assemble, exists, none
 
 
@@ -58,16 +59,15 @@ def authors(c: Column) -> Column:
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """Rows file, value."""
-    pattern = f"{root}/notion/*.md"
-    if not exists(spark, pattern):
+    if not exists(spark, f"{root}/notion"):
         return spark.createDataFrame([], "file string, value string")
-    return spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return spark.read.text(f"{root}/notion", wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("file"), "value")
 
 
 def read(spark: SparkSession, root: str) -> Episodes:
-    if not exists(spark, f"{root}/notion/*.md"):
+    if not exists(spark, f"{root}/notion"):
         return none(spark)
-    pages = files(spark, root).withColumn("m", frontmatter(F.col("value")))
+    pages = cut(files(spark, root)).withColumn("m", frontmatter(F.col("value")))
     get = lambda k: F.try_element_at("m", F.lit(k))
     heads = pages.select(
         F.lit("NOTION").alias("system"),

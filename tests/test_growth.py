@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolore.functions.vectors import cosine
-from chronolore.operators import scoring, temporal
+from chronolore.operators import scoring, supersede, temporal
+from chronolore.plans import load
+from chronolore.sources import meetings, pages
 
 START = dt.datetime(2026, 1, 1)
 
@@ -39,3 +41,24 @@ def test_best_matches_meet_in_tiles(spark, monkeypatch):
         rows = lambda df: sorted(map(str, df.select("gold_id", "episode_id", "statement", "similarity").collect()))
         assert rows(got) == rows(best) and rows(got)
         assert "FlatMapCoGroupsInArrow" in plan(got)
+
+
+def test_files_of_a_corpus_are_read_once(spark, tmp_path):
+    """A folder is one path to list, however many files it has, and nothing after read_corpus() opens them again; files of other names stay out."""
+    for name, text in {"zoom/a.vtt": "WEBVTT\n\n00:00:01.000 --> 00:00:02.000\nAnn: hello there", "zoom/a.meta.json": '{"uuid": "u1"}', "zoom/a.txt": "no", "notion/p.md": "# Start\n\nwords", "notion/p.txt": "no"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found, people = load.read_corpus(spark, f"file:{tmp_path}")
+    assert sorted(r["episode_id"] for r in found.episodes.collect()) == ["notion:p.md", "zoom:u1"] and found.utterances.count() == 2
+    assert all("FileScan" not in plan(df) for df in (found.episodes, found.utterances, people.people, people.aliases, people.participants))
+    listed = pages.files(spark, f"file:{tmp_path}")._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().location()
+    assert listed.rootPaths().size() == 1 and listed.rootPaths().head().getName() == "notion"
+    (tmp_path / "zoom/a.vtt").unlink()
+    assert meetings.read(spark, f"file:{tmp_path}").episodes.isEmpty()
+
+
+def test_nothing_is_liker_than_equal(spark):
+    """Above 1 no pair is like, and none meets."""
+    facts = spark.createDataFrame([(f"f{i}", "RISK", START + dt.timedelta(i), [1.0, 0.0], i) for i in range(9)], "fact_id string, type string, occurred_at timestamp, embedding array<double>, seq int")
+    assert supersede.dealt_cells(facts, 2.0, None, 2)[0].count() == 0 and supersede.like_pairs(facts, 2.0).isEmpty()
+    assert supersede.like_pairs(facts, 1.0).count() == 36
