@@ -26,6 +26,8 @@ from chronolore.operators.search import BLOCK, best_of_blocks
 
 #: Centres at most, vectors that they are trained on, rounds of training; the cell of what has no centre; how much angles may be off.
 MOST_CELLS, SAMPLED, TRAINED, ODD, ROUNDING = 2048, 20_000, 4, -1, 1e-6
+#: Pairs of a question and a cell that a task holds at once.
+PIECE = 1 << 14
 
 
 @dataclass
@@ -108,7 +110,8 @@ def wanted_cells(index: Index, asked: DataFrame, k: int, bound: str | None) -> D
     centres = np.array([c["centre"] or [0.0] * width for c in told], np.float64).reshape(-1, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        step = max(1, PIECE // max(1, len(cells)))
+        for batch in (whole.slice(i, step) for whole in batches for i in range(0, len(whole), step)):
             x, fine = unit_rows(batch.column(1), width)
             at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             limits = batch.column(2).to_pylist() if bound else None

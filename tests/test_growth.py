@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolore.functions.vectors import cosine
-from chronolore.operators import scoring, supersede, temporal
+from chronolore.operators import scoring, supersede, temporal, vector_index
 from chronolore.plans import load
 from chronolore.sources import meetings, pages
 
@@ -62,3 +63,17 @@ def test_nothing_is_liker_than_equal(spark):
     facts = spark.createDataFrame([(f"f{i}", "RISK", START + dt.timedelta(i), [1.0, 0.0], i) for i in range(9)], "fact_id string, type string, occurred_at timestamp, embedding array<double>, seq int")
     assert supersede.dealt_cells(facts, 2.0, None, 2)[0].count() == 0 and supersede.like_pairs(facts, 2.0).isEmpty()
     assert supersede.like_pairs(facts, 1.0).count() == 36
+
+
+def test_cells_of_questions_leave_in_pieces(spark, monkeypatch):
+    """A question may read nearly all cells, so a batch of questions with their vectors is that many times as large when it leaves."""
+    cells = spark.createDataFrame([(i, [float(i), 1.0], 3.2, 5) for i in range(20)], "cell int, centre array<double>, reach double, n long")
+    asked = spark.createDataFrame([], "id long, vector array<float>, bound double")
+    monkeypatch.setattr(vector_index, "PIECE", 100)
+    monkeypatch.setattr(type(asked), "mapInArrow", lambda self, run, _: run)
+    run = vector_index.wanted_cells(vector_index.Index(None, cells, "fact_id"), asked, 8, "bound")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([[1.0, float(i)] for i in range(300)], pa.list_(pa.float32())), pa.array([None] * 300, pa.float64())], names=["id", "vector", "bound"])
+    got = list(run(iter([batch])))
+    # Each reads all cells but the two or three nearest.
+    assert max(len(b) for b in got) <= 100 and sum(len(b) for b in got) > 300 * 15
+    assert {n for b in got for n in b.column(0).to_pylist()} == set(range(300))
