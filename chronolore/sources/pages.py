@@ -17,12 +17,13 @@ def unquote(c: Column) -> Column:
 
 def frontmatter(c: Column) -> Column:
     """Map of the flat `key: value` lines between the first two lines that start with ---; a later line of one key wins."""
-    lines = F.slice(F.split(c, r"\r?\n"), 2, 1 << 30)
-    end = F.array_position(F.transform(lines, lambda x: F.startswith(x, F.lit("---"))), True).cast("int")
-    inside = F.filter(F.when(end > 0, F.slice(lines, F.lit(1), end - 1)).otherwise(lines), lambda x: F.contains(x, F.lit(":")))
+    # What lambdas use again is bound to a name: an expression would be computed anew, over the whole page, for each line of the frontmatter.
+    bound = lambda value, use: F.transform(F.array(value), use)[0]
+    end = lambda lines: F.array_position(F.transform(lines, lambda x: F.startswith(x, F.lit("---"))), True).cast("int")
+    until = lambda lines: bound(end(lines), lambda n: F.when(n > 0, F.slice(lines, F.lit(1), n - 1)).otherwise(lines))
+    inside = F.filter(bound(F.slice(F.split(c, r"\r?\n"), 2, 1 << 30), until), lambda x: F.contains(x, F.lit(":")))
     pair = lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("k"), unquote(strip(F.substring(x, F.instr(x, ":") + 1, F.length(x)))).alias("v"))
-    pairs = F.transform(inside, pair)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["k"] == p["k"]))
+    last = bound(F.transform(inside, pair), lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["k"] == p["k"])))
     return F.when(F.startswith(c, F.lit("---")), F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>"))
 
 
@@ -67,9 +68,9 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 def read(spark: SparkSession, root: str) -> Episodes:
     if not exists(spark, f"{root}/notion"):
         return none(spark)
-    pages = cut(files(spark, root)).withColumn("m", frontmatter(F.col("value")))
+    pages = files(spark, root).withColumn("m", frontmatter(F.col("value")))
     get = lambda k: F.try_element_at("m", F.lit(k))
-    heads = pages.select(
+    heads = cut(pages.select(
         F.lit("NOTION").alias("system"),
         F.coalesce(get("id"), "file").alias("external_id"),
         F.lit("NOTION_PAGE").alias("kind"),
@@ -80,7 +81,7 @@ def read(spark: SparkSession, root: str) -> Episodes:
         F.coalesce(get("visibility"), F.lit("PUBLIC")).alias("visibility"),
         F.coalesce(get("last_edited_by"), get("created_by"), F.lit("unknown")).alias("author"),
         body(F.col("value")).alias("body"),
-    )
+    ))
     said = blocks(heads, ["system", "external_id", "author", "occurred_at", "permalink"], "body")
     said = said.select("system", "external_id", "ordinal", F.col("author").alias("raw_id"), F.col("author").alias("speaker"), F.col("occurred_at").alias("at"), "text", "permalink")
     return assemble(heads.drop("author", "body"), said)

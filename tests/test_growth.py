@@ -58,6 +58,14 @@ def test_files_of_a_corpus_are_read_once(spark, tmp_path):
     assert meetings.read(spark, f"file:{tmp_path}").episodes.isEmpty()
 
 
+def test_frontmatter_reads_a_page_once(spark):
+    """A page is split into lines once, not once for each line of its frontmatter; of one key the later line wins."""
+    assert str(pages.frontmatter(F.col("c"))).count("split(") == 1
+    texts = ["---\na: 1\nb: 2\na: 3\nno pair\n---\nc: 4", "---\na: 1\nb: x:y", "---\n---\na: 1", "a: 1", "---", ""]
+    got = [dict(r["m"]) for r in spark.createDataFrame([(t,) for t in texts], "c string").select(pages.frontmatter(F.col("c")).alias("m")).collect()]
+    assert got == [{"b": "2", "a": "3"}, {"a": "1", "b": "x:y"}, {}, {}, {}, {}]
+
+
 def test_nothing_is_liker_than_equal(spark):
     """Above 1 no pair is like, and none meets."""
     facts = spark.createDataFrame([(f"f{i}", "RISK", START + dt.timedelta(i), [1.0, 0.0], i) for i in range(9)], "fact_id string, type string, occurred_at timestamp, embedding array<double>, seq int")
