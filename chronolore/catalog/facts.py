@@ -202,7 +202,7 @@ def vector_facts(spark: SparkSession, d: str) -> DataFrame:
     SELECT CAST(newer AS VARCHAR) AS newer, CAST(older AS VARCHAR) AS older, similarity FROM p WHERE k = 1""")
 def supersession_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Like pairs at 0.25, as no two vectors are as like as 0.80."""
-    best = supersede.proposals(supersede.like_pairs(vector_facts(spark, d), 0.25))
+    best = supersede.proposals(supersede.like_pairs(vector_facts(spark, d), 0.25, latest=True))
     return best.select("newer", "older", F.round("similarity", 6).alias("similarity"))
 
 

@@ -110,3 +110,15 @@ def test_a_fold_streams_its_components(spark):
         assert got == wanted and len(got) == 39 + 60 and told.count() == 99
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_only_the_most_recent_leaves_a_meeting(spark):
+    """Proposals from what leaves the meetings are those from all like pairs, ties and null seq included; rows are as many as facts and tiles, not as pairs."""
+    rows = [(f"f{i}", "RISK", START + dt.timedelta(minutes=i // 2), [1.0, i % 5 / 9], f"s{i * 7 % 60}" if i % 6 else None) for i in range(60)]
+    facts = spark.createDataFrame(rows, "fact_id string, type string, occurred_at timestamp, embedding array<double>, seq string")
+    told = lambda df: sorted(map(tuple, supersede.proposals(df).select("newer", "older", "older_seq", F.round("similarity", 9)).collect()), key=str)
+    for tile in (4096, 16):
+        few, every = supersede.like_pairs(facts, 0.8, tile=tile, latest=True), supersede.like_pairs(facts, 0.8, tile=tile)
+        assert told(few) == told(every) and len(told(few)) == 58
+        assert few.count() < every.count() / (20 if tile > 60 else 3)
+    assert few.where("newer IS NULL").isEmpty() and supersede.like_pairs(facts, 1.0, tile=4096, latest=True).count() > 0
