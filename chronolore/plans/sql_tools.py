@@ -7,7 +7,7 @@ SQL text of any kind. Whose eyes they read with is never an argument.
     SELECT * FROM search_knowledge('When is the launch?', NULL, TIMESTAMP '2026-04-15', 8)
     SELECT f.fact_id, t.* FROM facts f, LATERAL trace_decision(f.fact_id) t
 
-The functions are plain SQL that Spark plans with the query around them: words are joined by equality with their rows, chains are a table of pairs made
+The functions are plain SQL that Spark plans with the query around them: words are joined by equality with those asked for before they are counted, chains are a table of pairs made
 by publish(). search_knowledge and find_owner take one question, as Spark doesn't take a union below LATERAL; ask.retrieve_many is for tables of questions. Their
 only joins without an equality are with the one row of statistics. A question's vector is compared with every readable fact, and each task keeps its forty best.
 Paths between entities have no function: a recursive query lists all ways within six hops before it finds the shortest; ask.path_between doesn't.
@@ -44,7 +44,7 @@ def views(t: dict[str, DataFrame], reader: Reader) -> dict[str, DataFrame]:
     own = allowed.distinct().select(F.col("node").alias("seed"), F.col("node").alias("fact_id"), F.lit(0).alias("depth"))
     return {
         "facts": facts.select("fact_id", "type", "statement", "status", "title", "has_episode", "occurred_at", "valid_from", "valid_to", "length", "vector", "norm"),
-        "words": facts.select("fact_id", F.explode("_words").alias("term")).groupBy("fact_id", "term").agg(F.count(F.lit(1)).alias("tf")),
+        "words": facts.select("fact_id", "valid_from", "valid_to", "length", F.explode("_words").alias("term")),
         "later": near,
         "around": near.select(F.col("newer").alias("fact_id"), F.col("older").alias("other")).union(later.where("depth = 1").select("older", "newer")).distinct(),
         "chains": own.union(later.select("newer", "older", -F.col("depth"))).union(later.select("older", "newer", "depth")),
@@ -60,7 +60,7 @@ def functions(p: str) -> dict[str, tuple[str, str, str]]:
         WITH asked AS (SELECT explode(array_distinct(filter(split(lower(question), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> length(w) > 2 AND NOT array_contains(array({stop}), w)))) AS term),
         held AS (SELECT fact_id, length, vector AS own, norm FROM {p}facts WHERE {HELD}),
         whole AS (SELECT count(*) AS n, avg(length) AS average FROM held),
-        had AS (SELECT fact_id, term, tf, length FROM {p}words JOIN asked USING (term) JOIN held USING (fact_id)),
+        had AS (SELECT fact_id, term, count(*) AS tf, length FROM {p}words JOIN asked USING (term) WHERE {HELD} GROUP BY fact_id, term, length),
         often AS (SELECT term, count(*) AS df FROM had GROUP BY term),
         worded AS (
             SELECT fact_id, round(sum(ln(1D + (n - df + 0.5D) / (df + 0.5D)) * (tf * {K1 + 1}D / (tf + {K1}D * ({1 - B}D + {B}D * length / average)))), 6) AS score

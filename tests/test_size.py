@@ -4,7 +4,9 @@ import datetime as dt
 
 import pytest
 
+from chronolore.catalog import linked
 from chronolore.operators import supersede
+from chronolore.plans import ask, sql_tools
 
 START = dt.datetime(2026, 1, 1)
 
@@ -23,3 +25,11 @@ def test_copies_meet_once(spark, monkeypatch, least):
     wanted = sorted(map(tuple, compared(*supersede.dealt_cells(facts, least, None, 4096), facts, least).collect()))
     assert [g[:6] for g in got] == [w[:6] for w in wanted] and len(got) > 1000
     assert [g[6] for g in got] == pytest.approx([w[6] for w in wanted], abs=1e-12)
+
+
+def test_words_of_all_facts_are_not_counted(spark):
+    """What search_knowledge reads is every word as a row, to be met by those asked for; counts come after."""
+    words = sql_tools.views(linked.document_tables(spark, "/root/testdata/sf0.001"), ask.Reader())["words"]
+    assert "Aggregate" not in words._jdf.queryExecution().optimizedPlan().toString()
+    twice = words.groupBy("fact_id", "term", "length").count().where("count > 1").first()
+    assert twice and twice["length"] >= twice["count"]
