@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 
 from chronolore.catalog import linked
 from chronolore.operators import supersede
 from chronolore.plans import ask, sql_tools
+from chronolore.streaming import versions
 
 START = dt.datetime(2026, 1, 1)
 
@@ -33,3 +35,23 @@ def test_words_of_all_facts_are_not_counted(spark):
     assert "Aggregate" not in words._jdf.queryExecution().optimizedPlan().toString()
     twice = words.groupBy("fact_id", "term", "length").count().where("count > 1").first()
     assert twice and twice["length"] >= twice["count"]
+
+
+class Kept:
+    """The state of a bucket between batches."""
+
+    exists = False
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_a_call_takes_many_keys():
+    """A bucket's keys are closed in one call, each by itself, and go on where the batch before left them."""
+    state, table = Kept(), lambda *rows: pd.DataFrame(rows, columns=["at", "fact_id", "key"])
+    first = list(versions.close((0,), iter([table((3, "c", "k"), (1, "x", None)), table((1, "a", "k"), (2, "y", None), (5, "q", "quiet"))]), state))
+    assert sorted(first[0].itertuples(index=False, name=None), key=str) == [("k", "a", 1, 3, "c", False), (None, "x", 1, 2, "y", False)]
+    then = list(versions.close((0,), iter([table((2, "b", "k"), (9, "d", "k"), (9, None, "quiet"))]), state))
+    assert sorted(then[0].itertuples(index=False, name=None)) == [("k", "b", 2, 3, "c", True), ("k", "c", 3, 9, "d", False), ("quiet", "q", 5, 9, None, False)]
+    assert dict(zip(*state.get[:2])) == {"k": "d", None: "y", "quiet": None}
+    assert not list(versions.close((0,), iter([table((7, "z", "new"))]), state))
