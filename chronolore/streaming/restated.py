@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +17,7 @@ CHANGES = "key string, fact_id string, from_us long, to_us long, superseded_by s
 # Fixed value: the store of state that Spark asks for under its state processors.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COLUMNS = [part.split()[0] for part in CHANGES.split(", ")]
+CHANGE = Row(*COLUMNS)
 
 Fact = tuple[int, str]
 
@@ -29,39 +29,38 @@ def told(key: str, versions: list[Fact]) -> dict[Fact, tuple]:
 
 
 class Versions(StatefulProcessor):
-    """State of a key: its facts that a late one may still stand before or after, i.e. those after the watermark and the last one up to it.
+    """Takes and gives rows, as a key has a few of them and a pandas table for each would cost more than they do. State of a key: its facts that a late one may still stand before or after, i.e. those after the watermark and the last one up to it.
     A timer at the newest fact releases the others of a key that went quiet."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getMapState("open", "at_us long, fact_id string", "seen int")
 
-    def release(self, facts: list[Fact], watermark_ms: int) -> None:
-        """Forgets what no fact that still may come can meet, and sets the timer for the rest."""
+    def release(self, facts: list[Fact], watermark_ms: int, timed: bool = True) -> None:
+        """Forgets what no fact that still may come can meet, and sets the timer for the rest. A key that is new has no timer (timed) to take back."""
         passed = [f for f in facts if f[0] <= watermark_ms * 1000]
         for fact in passed[:-1]:
             self.open.removeKey(fact)
-        for at in list(self.handle.listTimers()):
+        for at in list(self.handle.listTimers()) if timed else []:
             self.handle.deleteTimer(at)
         if len(facts) > max(len(passed), 1):
             self.handle.registerTimer(facts[-1][0] // 1000 + 1)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         known = sorted((int(at), fact) for at, fact in self.open.keys())
-        came = {(int(at), fact) for part in rows for at, fact in zip(part["at_us"], part["fact_id"], strict=True)} - set(known)
+        came = {(r["at_us"], r["fact_id"]) for r in rows} - set(known)
         for fact in came:
             self.open.updateValue(fact, (1,))
         whole = sorted([*known, *came])
         before, after = told(key[0], known), told(key[0], whole)
         changed = [f for f in whole if before.get(f) != after[f]]
-        out = [(*before[f], -1) for f in changed if f in before] + [(*after[f], 1) for f in changed]
-        self.release(whole, timerValues.getCurrentWatermarkInMs())
-        table = pd.DataFrame(out, columns=COLUMNS)
-        yield table.astype({"from_us": "Int64", "to_us": "Int64", "change": "int32"})
+        self.release(whole, timerValues.getCurrentWatermarkInMs(), bool(known))
+        yield from (CHANGE(*before[f], -1) for f in changed if f in before)
+        yield from (CHANGE(*after[f], 1) for f in changed)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         self.release(sorted((int(at), fact) for at, fact in self.open.keys()), timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame(columns=COLUMNS)
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -88,7 +87,7 @@ def changes(stream: DataFrame, late: str) -> DataFrame:
     is started inside store_in_use()."""
     facts = stream.where("fact_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", late)
     rows = facts.select("key", "fact_id", "at", F.unix_micros("at").alias("at_us"))
-    return rows.groupBy("key").transformWithStateInPandas(Versions(), CHANGES, "Append", "EventTime")
+    return rows.groupBy("key").transformWithState(Versions(), CHANGES, "Append", "EventTime")
 
 
 def settled(told_changes: DataFrame) -> DataFrame:
