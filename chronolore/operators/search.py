@@ -80,6 +80,17 @@ def vector_top_all(rows: DataFrame, queries: DataFrame, k: int, id_col: str, own
     return top(best_of_blocks(left, right, ["r", "q"], k, id_col, own), ["query_id"], [F.desc("score"), F.col(id_col)], k)
 
 
+def at_least(scores: np.ndarray, k: int) -> np.ndarray | None:
+    """For each row of scores a number that k of it or more reach: the k-th greatest of the maxima of groups of columns. Few scores reach it, and it costs one look at
+    each. None if columns are too few, or a score is no number."""
+    groups = 4 * k
+    width = scores.shape[1] // groups
+    if width < 2 or np.isnan(scores).any():
+        return None
+    greatest = scores[:, : groups * width].reshape(len(scores), groups, width).max(axis=2)
+    return np.partition(greatest, groups - k, axis=1)[:, groups - k]
+
+
 def best_of_blocks(left: DataFrame, right: DataFrame, keys: list[str], k: int, id_col: str, own: bool) -> DataFrame:
     """query_id, id, score: where a block of rows (keys, id, vector) meets a block of questions of the same keys, the k greatest cosines (rounded to six
     places) of each question, ties by id."""
@@ -96,10 +107,13 @@ def best_of_blocks(left: DataFrame, right: DataFrame, keys: list[str], k: int, i
             ids, numbers = np.array(there.column("id").to_pylist()), wanted.column("id").to_pylist()
             width = max(len(v) for v in wanted.column("vector").to_pylist())
             x, y = unit(there.column("vector"), width), unit(wanted.column("vector"), width)
+            most = np.unique(ids, return_counts=True)[1].max()  # rows of one id, which are no answer to its question
             for first in range(0, len(numbers), AT_ONCE):
                 scores = np.round(y[first : first + AT_ONCE] @ x.T, 6) + 0.0
+                least = at_least(scores, k if own else k + int(most))
                 for j, number in enumerate(numbers[first : first + AT_ONCE]):
-                    at = np.arange(len(ids)) if own else np.flatnonzero(ids != number)
+                    at = np.arange(len(ids)) if least is None else np.flatnonzero(scores[j] >= least[j])
+                    at = at if own else at[ids[at] != number]
                     if len(at) > k:
                         at = at[scores[j, at] >= np.partition(scores[j, at], len(at) - k)[len(at) - k]]
                     at = at[np.lexsort((ids[at], -scores[j, at]))[:k]]

@@ -3,12 +3,13 @@
 import datetime as dt
 from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Row
 
 from chronolore.catalog import linked
-from chronolore.operators import supersede
+from chronolore.operators import search, supersede
 from chronolore.plans import ask, sql_tools
 from chronolore.streaming import restated, versions
 
@@ -69,3 +70,12 @@ def test_changes_are_rows():
     assert first == [("k", "a", 10, 30, "c", 1), ("k", "c", 30, None, None, 1)] and first[0]["superseded_by"] == "c" and not asked
     then = list(processor.handleInputRows(("k",), iter([fact(20, "b"), fact(10, "a")]), clock))
     assert then == [("k", "a", 10, 30, "c", -1), ("k", "a", 10, 20, "b", 1), ("k", "b", 20, 30, "c", 1)] and asked
+
+
+def test_few_scores_are_sorted():
+    """The bound that most scores fall short of leaves the k best of each row, ties included; odd tables have none."""
+    scores = np.round(np.random.default_rng(5).normal(size=(50, 4000)), 2)
+    least = search.at_least(scores, 11)
+    assert (least <= np.sort(scores, axis=1)[:, -11]).all() and ((scores >= least[:, None]).sum(axis=1) >= 11).all()
+    assert (scores >= least[:, None]).mean() < 0.02
+    assert search.at_least(scores[:, :60], 11) is None and search.at_least(np.where(scores > 3, np.nan, scores), 11) is None
