@@ -12,8 +12,8 @@ Place: pieces get ranks within their length, by buckets, so a length that a thir
 then finds its sequence and offset in the plan by binary search.
 
 Tokens of a text are those of its white-space separated words one by one where the tokenizer's own settings say that it takes no account of
-white space and of case and never joins over white space (wordwise()); a batch's different words are then tokenized once. Any other tokenizer
-gets whole texts.
+white space and of case and never joins over white space (wordwise()); a task's different words are then tokenized once, while they fit what it
+remembers, so batches can be small. Any other tokenizer gets whole texts.
 
 Nulls and edges: a null text is empty, its one piece is end_id. Repeated rows are packed as rows of their own; a null id stays. Other
 columns are ignored. An empty table gives no rows.
@@ -34,10 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolore.llm.common import balanced_buckets, cut, given_back, ranked
+from chronolore.llm.common import balanced_buckets, cut, given_back, ranked, small_batches
 
 #: Words that are tokenized as one text, and what stands between them.
 TOGETHER, MARK = 512, "\x01"
+#: Rows of a batch of texts; bytes of words that a task remembers with their ids.
+BATCH, REMEMBERED = 2_000, 4 << 20
 #: Fixed value: expressions whose matches, the only text that is kept, hold no white space; each word's matches are found without its neighbours.
 SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 #: Ranks below 2^RANK_BITS and lengths share a 64-bit key.
@@ -56,8 +58,8 @@ def wordwise(config: dict, mark_ids: list[int]) -> bool:
 
 
 class WordTokens:
-    """ids of texts, by their words if the tokenizer is wordwise(), else of whole texts. The words of a batch are made a dictionary by Arrow, each different word is tokenized once, and the
-    texts' ids are gathered by number."""
+    """ids of texts, by their words if the tokenizer is wordwise(), else of whole texts. The words of a batch are made a dictionary by Arrow, each word that isn't remembered from the
+    batches before is tokenized once, and the texts' ids are gathered by number."""
 
     def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,6 +68,8 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark, self.wordwise = mark[0] if mark else None, wordwise(json.loads(tokenizer), mark)
+        self.known: pa.Array | None = None
+        self.found = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,6 +96,20 @@ class WordTokens:
         starts[order] = np.cumsum(lengths[order]) - lengths[order]
         return np.concatenate(ids) if ids else np.zeros(0, "<u4"), starts, lengths
 
+    def remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """look_up() of different words, with those of the calls before taken from what is remembered; beyond REMEMBERED bytes all is forgotten."""
+        if self.known is None or self.known.nbytes > REMEMBERED:
+            self.known, self.found = words.slice(0, 0), tuple(x[:0] for x in self.found)
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(at))
+        ids, starts, lengths = self.look_up(new)
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.found = tuple(np.concatenate(x) for x in zip(self.found, (ids, starts + len(self.found[0]), lengths), strict=True))
+        ids, starts, lengths = self.found
+        return ids, starts[place], lengths[place]
+
     def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """ids of each text (strings without null)."""
         if not self.wordwise:
@@ -102,7 +120,7 @@ class WordTokens:
         folded = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(folded)
         words = split.flatten().dictionary_encode()
-        ids, starts, lengths = self.look_up(words.dictionary)
+        ids, starts, lengths = self.remembered(words.dictionary)
         number, ends = words.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
         for a, b in itertools.pairwise(ends):
             own = number[a:b]
@@ -191,7 +209,8 @@ def table_of(made: list[tuple[int, dict[int, int]]]) -> np.ndarray:
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cutted = cut(pieces(docs, Path(tokenizer_path).read_text(), capacity, end_id).drop("ids"))
+    with small_batches(docs.sparkSession, BATCH):
+        cutted = cut(pieces(docs, Path(tokenizer_path).read_text(), capacity, end_id).drop("ids"))
     counts = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(table_of(plan(counts, capacity)))
 

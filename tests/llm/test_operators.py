@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -578,3 +580,23 @@ def test_empty_documents(spark):
     empty = spark.createDataFrame([], DOC_SCHEMA)
     assert mixing.mix(empty).count() == simhash.near_duplicates(empty).count() == 0
     assert token_count.count_tokens(empty, TIES, False).count() == packing.pack(empty, queries.tokenizer_path("word_bpe_49k.json")).count() == 0
+
+
+def test_packing_in_small_batches(spark, monkeypatch):
+    """Texts reach the tokenizer in small batches, and a word of an earlier batch isn't tokenized again, until too many are remembered."""
+    seen, looked, rows = [], [], []
+    monkeypatch.setattr(packing, "cut", lambda df: (seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))), df)[1])
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    packing.pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"), path)
+    assert seen == [packing.BATCH] and packing.BATCH < 10_000
+
+    tokens, plain = packing.WordTokens(Path(path).read_text()), packing.WordTokens(Path(path).read_text())
+    look_up = tokens.look_up
+    monkeypatch.setattr(tokens, "look_up", lambda words: (looked.extend(words.to_pylist()), look_up(words))[1])
+    batches = [pa.array(x, pa.string()) for x in (["one two", "", "two \x01 three"], ["three one x\x01y", "Two"], [], ["x\x01y four"], ["four one"])]
+    for n, batch in enumerate(batches):
+        if n == 4:
+            monkeypatch.setattr(packing, "REMEMBERED", 0)
+        rows += [x.tolist() for x in tokens.ids(batch)]
+    assert looked == ["one", "two", "", "\x01", "three", "x\x01y", "four", "four", "one"]
+    assert rows == [x.tolist() for batch in batches for x in plain.encode(batch.to_pylist())]
