@@ -257,6 +257,10 @@ def utterance_search(spark: SparkSession, d: str) -> DataFrame:
     return found.join(open_, "utterance_key").select("query_id", "conv_id", "turn", "score", "rank")
 
 
+#: Tasks for each core that answers are dealt to.
+ANSWERED = 4
+
+
 @query("""
     SELECT event_id, CASE event_type WHEN 'purchase' THEN 'DECISION' WHEN 'click' THEN 'ACTION_ITEM' WHEN 'signup' THEN 'COMMITMENT' WHEN 'error' THEN 'RISK' ELSE 'OPEN_QUESTION' END AS type, CASE WHEN event_id % 11 > 0 THEN 'made of ' || event_id END AS statement, 'Owner ' || user_id AS owner,
         CASE event_id % 3 WHEN 0 THEN 'AGREED' WHEN 1 THEN 'PROPOSED' ELSE 'DONE' END AS status, CASE WHEN event_id % 2 = 0 THEN '2024-03-01' ELSE strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_id % 5 = 0 THEN DATE '2024-04-05' END AS due, CAST(1 AS INT) AS n_quotes
@@ -274,7 +278,9 @@ def payload_facts(spark: SparkSession, d: str) -> DataFrame:
     other = fact.withField("type", F.lit("rumour"))
     said = F.to_json(F.struct(F.array(fact, other).alias("facts")))
     answer = F.when(c("event_id") % 13 == 0, "I don't know.").when(c("event_id") % 2 == 0, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).otherwise(said)
-    answers = table(spark, d, "events").select(c("event_id").cast("string").alias("episode_id"), c("ts").cast("timestamp").alias("occurred_at"), answer.alias("answer"))
+    # Events are small in bytes and their answers take long to parse, so they are dealt to all cores before they are made answers.
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type").repartition(ANSWERED * spark.sparkContext.defaultParallelism, "event_id")
+    answers = events.select(c("event_id").cast("string").alias("episode_id"), c("ts").cast("timestamp").alias("occurred_at"), answer.alias("answer"))
     got = models.payload_facts(answers)
     return got.select(c("episode_id").cast("long").alias("event_id"), "type", "statement", c("owner_mention").alias("owner"), "status", dates.day(c("occurred_at")).alias("day"), c("due_date").alias("due"), F.size("evidence").alias("n_quotes"))
 

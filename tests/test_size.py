@@ -79,3 +79,9 @@ def test_few_scores_are_sorted():
     assert (least <= np.sort(scores, axis=1)[:, -11]).all() and ((scores >= least[:, None]).sum(axis=1) >= 11).all()
     assert (scores >= least[:, None]).mean() < 0.02
     assert search.at_least(scores[:, :60], 11) is None and search.at_least(np.where(scores > 3, np.nan, scores), 11) is None
+
+
+def test_answers_are_dealt_to_all_cores(spark):
+    """A small file of events is parsed as answers by many tasks, not by as many as its bytes ask for."""
+    found = linked.payload_facts(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == linked.ANSWERED * spark.sparkContext.defaultParallelism
