@@ -10,6 +10,7 @@ from chronolore.functions.dates import message_ts
 from chronolore.functions.text import ellipsis, strip
 from chronolore.lineage import cut
 from chronolore.sources.episodes import Episodes, assemble, exists, none
+from chronolore.sources.files import gathered
 
 
 def users(spark: SparkSession, root: str) -> DataFrame:
@@ -29,7 +30,7 @@ def read(spark: SparkSession, root: str) -> Episodes:
     if not exists(spark, f"{root}/slack/threads"):
         return none(spark)
     # A folder is listed once, where a pattern would make each file a path of its own; and each file is opened once.
-    threads = cut(spark.read.schema(schemas.THREAD).option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{root}/slack/threads"))
+    threads = cut(gathered(spark.read.schema(schemas.THREAD).option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{root}/slack/threads")))
     threads = threads.select("channel", F.concat("channel.id", F.lit("/"), "thread_ts").alias("external_id"), F.coalesce("messages", F.array().cast("array<struct<ts:string,user:string,text:string,permalink:string>>")).alias("messages"))
     said = threads.select("external_id", F.posexplode("messages").alias("place", "m")).select("external_id", "place", message_ts(F.col("m.ts")).alias("at"), F.coalesce("m.user", F.lit("")).alias("raw_id"), F.coalesce("m.text", F.lit("")).alias("text"), "m.permalink")
     said = said.withColumn("ordinal", F.row_number().over(Window.partitionBy("external_id").orderBy("at", "place")) - 1)

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
+#: Tasks for each core that read small files, at most.
+READERS = 4
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """rows as read from small files, by a few tasks for each core however many files there are. Spark puts some thirty into a task, and what each task tells the
+    driver would add up with their number."""
+    return rows.coalesce(READERS * rows.sparkSession.sparkContext.defaultParallelism)
+
 
 def write(rows: DataFrame, root: str) -> None:
     """A file <root>/<path> with the text of each row (path, text), written by the executors. root is a URI of a store that Arrow's file

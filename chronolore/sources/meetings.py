@@ -10,6 +10,7 @@ from chronolore.functions.dates import cue_offset_ms
 from chronolore.functions.text import is_blank, strip
 from chronolore.lineage import cut
 from chronolore.sources.episodes import Episodes, assemble, exists, merge_turns, none
+from chronolore.sources.files import gathered
 
 #: A colon further into a cue is punctuation, no speaker.
 SPEAKER_MOST = 39
@@ -19,7 +20,7 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
     """stem and the fields of the metadata files."""
     if not exists(spark, f"{root}/zoom"):
         return spark.createDataFrame([], f"stem string, {schemas.MEETING}")
-    return spark.read.schema(schemas.MEETING).option("multiLine", True).option("pathGlobFilter", "*.meta.json").json(f"{root}/zoom").select(F.regexp_replace("_metadata.file_name", r"\.meta\.json$", "").alias("stem"), "*")
+    return gathered(spark.read.schema(schemas.MEETING).option("multiLine", True).option("pathGlobFilter", "*.meta.json").json(f"{root}/zoom").select(F.regexp_replace("_metadata.file_name", r"\.meta\.json$", "").alias("stem"), "*"))
 
 
 def cues(transcripts: DataFrame, text: str = "value") -> DataFrame:
@@ -42,7 +43,7 @@ def cues(transcripts: DataFrame, text: str = "value") -> DataFrame:
 def read(spark: SparkSession, root: str) -> Episodes:
     if not exists(spark, f"{root}/zoom"):
         return none(spark)
-    files = cut(spark.read.text(f"{root}/zoom", wholetext=True, pathGlobFilter="*.vtt").select(F.regexp_replace("_metadata.file_name", r"\.vtt$", "").alias("stem"), "value"))
+    files = cut(gathered(spark.read.text(f"{root}/zoom", wholetext=True, pathGlobFilter="*.vtt").select(F.regexp_replace("_metadata.file_name", r"\.vtt$", "").alias("stem"), "value")))
     heads = files.select("stem").join(cut(metadata(spark, root)), "stem", "left").select(
         "stem",
         F.lit("ZOOM").alias("system"),

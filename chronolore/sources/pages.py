@@ -9,6 +9,7 @@ from chronolore.functions.dates import instant_of
 from chronolore.functions.text import strip
 from chronolore.lineage import cut
 from chronolore.sources.episodes import Episodes, assemble, exists, none
+from chronolore.sources.files import gathered
 
 
 def unquote(c: Column) -> Column:
@@ -62,7 +63,7 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     """Rows file, value."""
     if not exists(spark, f"{root}/notion"):
         return spark.createDataFrame([], "file string, value string")
-    return spark.read.text(f"{root}/notion", wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("file"), "value")
+    return gathered(spark.read.text(f"{root}/notion", wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("file"), "value"))
 
 
 def read(spark: SparkSession, root: str) -> Episodes:

@@ -11,6 +11,7 @@ from pyspark.sql import Row
 from chronolore.catalog import linked
 from chronolore.operators import search, supersede
 from chronolore.plans import ask, sql_tools
+from chronolore.sources import files, pages
 from chronolore.streaming import restated, versions
 
 START = dt.datetime(2026, 1, 1)
@@ -85,3 +86,13 @@ def test_answers_are_dealt_to_all_cores(spark):
     """A small file of events is parsed as answers by many tasks, not by as many as its bytes ask for."""
     found = linked.payload_facts(spark, "/root/testdata/sf0.001")
     assert found.rdd.getNumPartitions() == linked.ANSWERED * spark.sparkContext.defaultParallelism
+
+
+def test_many_files_are_read_by_few_tasks(spark, tmp_path):
+    """Tasks that read small files don't grow in number with the files, and each file is read."""
+    (tmp_path / "notion").mkdir()
+    for n in range(1100):
+        (tmp_path / "notion" / f"p{n}.md").write_text(f"page {n}")
+    found = pages.files(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= files.READERS * spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, found.collect())) == sorted((f"p{n}.md", f"page {n}") for n in range(1100))
