@@ -130,3 +130,22 @@ def test_pairs_between_are_those_of_all(spark):
     for tile in (5, 4096):
         got = [tuple(r) for r in supersede.like_pairs_between(frame(new), frame(old), 0.8, None, tile).select("newer", "older").collect()]
         assert len(got) == len(set(got)) and set(got) == {p for p in plain(given, 0.8) if (p[0] in ids) != (p[1] in ids)}
+
+
+def test_a_new_fact_is_like_one_that_nothing_was_like(spark, corpus):
+    """The stored fact was in no component, and is replaced all the same. No fact has more than one stored pair, however many are like it."""
+    root, graph = corpus
+    say(root, "e", [(1773000000 + 100 * i, f"Risk: the caterer is late, {'again and ' * i}again.") for i in range(9)])
+    say(root, "f", [(1774000000, "Open question: who pays the band?")])
+    found, people, facts = loaded(spark, root)
+    load.sync(spark, graph, found, people, facts, SLOTS)
+    stored = load.read(spark, graph)
+    ends = stored["components"].join(stored["facts"].where("statement LIKE '%who pays the band%'"), "fact_id")
+    assert ends.isEmpty() and stored["facts"].where("statement LIKE '%who pays the band%'").count() == 1
+    say(root, "g", [(1774000000 + 1000 * i, f"Open question: who pays the {w}?") for i, w in enumerate(["hall", "cook", "rent"], 1)])
+    found, people, facts = loaded(spark, root)
+    load.sync(spark, graph, found, people, facts, SLOTS)
+    stored, whole = load.read(spark, graph), load.build(found, people, facts, SLOTS)
+    same(stored, whole)
+    assert stored["judgements"].join(stored["facts"].where("statement LIKE '%who pays the band%'").select(F.col("fact_id").alias("older")), "older").count() == 1
+    assert stored["pairs"].groupBy("newer").count().where("count > 1").isEmpty() and stored["pairs"].count() > 5
