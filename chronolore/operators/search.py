@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ RRF_K, SEEDS, FINAL, PER_EPISODE, HISTORY_DEPTH = 60, 40, 8, 3, 5
 MOST_QUERIES = 1024
 #: Rows and queries of one pair of blocks, and queries scored at once in it.
 BLOCK, AT_ONCE = 8192, 512
+#: Rows and questions of one pair of wide blocks, where what travels is as many vectors as blocks meet; questions of such a pair at least.
+WIDE, FEWEST = 32768, 512
 
 
 def nearest(rows: DataFrame, queries: dict[int, list[float]], k: int, id_col: str, own: bool) -> DataFrame:
@@ -93,25 +96,35 @@ def at_least(scores: np.ndarray, k: int) -> np.ndarray | None:
 
 def best_of_blocks(left: DataFrame, right: DataFrame, keys: list[str], k: int, id_col: str, own: bool) -> DataFrame:
     """query_id, id, score: where a block of rows (keys, id, vector) meets a block of questions of the same keys, the k greatest cosines (rounded to six
-    places) of each question, ties by id."""
+    places) of each question, ties by id. Where right has floor, rows of a lesser score are left out of that question's (null: none)."""
+    floored = "floor" in right.columns
     kind, query_kind = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
 
     def unit(column: pa.ChunkedArray, width: int) -> np.ndarray:
-        given = [np.asarray(v, np.float64)[:width] for v in column.to_pylist()]
-        x = np.stack([np.pad(v, (0, width - len(v))) for v in given])
+        if pc.all(pc.equal(pc.list_value_length(column), width)).as_py():
+            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(np.float64).reshape(-1, width)
+        else:
+            given = [np.asarray(v, np.float64)[:width] for v in column.to_pylist()]
+            x = np.stack([np.pad(v, (0, width - len(v))) for v in given])
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
     def run(there: pa.Table, wanted: pa.Table) -> pa.Table:
         best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(there) and len(wanted):
             ids, numbers = np.array(there.column("id").to_pylist()), wanted.column("id").to_pylist()
-            width = max(len(v) for v in wanted.column("vector").to_pylist())
+            width = pc.max(pc.list_value_length(wanted.column("vector"))).as_py()
+            floor = wanted.column("floor").to_numpy() if floored else np.full(len(wanted), np.nan)
             x, y = unit(there.column("vector"), width), unit(wanted.column("vector"), width)
             most = np.unique(ids, return_counts=True)[1].max()  # rows of one id, which are no answer to its question
-            for first in range(0, len(numbers), AT_ONCE):
-                scores = np.round(y[first : first + AT_ONCE] @ x.T, 6) + 0.0
+            step = max(1, min(AT_ONCE, AT_ONCE * BLOCK // len(ids)))
+            for first in range(0, len(numbers), step):
+                scores = y[first : first + step] @ x.T
+                np.round(scores, 6, out=scores)
+                scores += 0.0
                 least = at_least(scores, k if own else k + int(most))
-                for j, number in enumerate(numbers[first : first + AT_ONCE]):
+                if least is not None:
+                    least = np.fmax(least, floor[first : first + step])
+                for j, number in enumerate(numbers[first : first + step]):
                     at = np.arange(len(ids)) if least is None else np.flatnonzero(scores[j] >= least[j])
                     at = at if own else at[ids[at] != number]
                     if len(at) > k:

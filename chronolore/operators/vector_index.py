@@ -2,7 +2,7 @@
 
 Every vector is in the cell of its nearest centre, and a cell reaches as far as its furthest vector. No vector of a cell is nearer to a question than the angle
 to its centre less its reach. A question first reads its nearest cells, as many as hold k rows; the angle of its k-th best there is a bound, and only
-cells that may hold something nearer are read after that. Filters (access, a moment) are applied to what is read, before any limit; where they leave
+cells that may hold something as near are read after that, in blocks of cells. Filters (access, a moment) are applied to what is read, before any limit; where they leave
 fewer than k, all cells are read. The answer is that of a search over all rows.
 
 Zero vectors and vectors of another length than the centres' are in a cell of their own that every question reads. Rows without a vector or an id are not in the index.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from chronolore.lineage import cut
 from chronolore.operators.ranks import top
-from chronolore.operators.search import BLOCK, best_of_blocks
+from chronolore.operators.search import BLOCK, FEWEST, WIDE, best_of_blocks
 
 #: Centres at most, vectors that they are trained on, rounds of training; the cell of what has no centre; how much angles may be off.
 MOST_CELLS, SAMPLED, TRAINED, ODD, ROUNDING = 2048, 20_000, 4, -1, 1e-6
@@ -147,6 +147,71 @@ def best_in_cells(index: Index, wanted: DataFrame, allowed: Column, k: int, own:
     return best_of_blocks(left, asked.select("cell", "r", "q", "id", "vector"), ["cell", "r", "q"], k, index.id_col, own)
 
 
+def blocks_of(cells: list[dict]) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each cell (in the order of its number) its first block and how many blocks it has, and how many there are: a block has WIDE rows or fewer, of one cell or of some."""
+    first, parts, block, room = [], [], -1, 0
+    for c in sorted(cells, key=lambda c: c["cell"]):
+        if c["n"] > room:
+            block, room = block + 1, WIDE
+        first.append(block)
+        parts.append(max(1, math.ceil(c["n"] / WIDE)))
+        block, room = block + parts[-1] - 1, room - c["n"] if parts[-1] == 1 else 0
+    return np.array(first, np.int64), np.array(parts, np.int64), block + 1
+
+
+def best_within(index: Index, asked: DataFrame, allowed: Column, k: int, own: bool) -> DataFrame:
+    """The k best rows of each question in each block that has a cell which may hold a row within its bound (asked: id, vector, bound: an angle, floor: the score of its k-th
+    best so far; null: none), and no worse than that. A question with its vector goes to blocks, not to cells: on vectors that lie evenly it wants nearly all cells, and rows
+    for each would be many times the table."""
+    told = sorted((c.asDict() for c in index.cells.collect()), key=lambda c: c["cell"])  # MOST_CELLS rows
+    first, parts, count = blocks_of(told)
+    odd, reach = np.array([c["centre"] is None for c in told], bool), np.array([c["reach"] for c in told], np.float64)
+    width = max((len(c["centre"]) for c in told if c["centre"]), default=1)
+    centres = np.array([c["centre"] or [0.0] * width for c in told], np.float64).reshape(-1, width)
+    in_block = np.zeros((len(told), count), bool)
+    for i, (a, n) in enumerate(zip(first, parts, strict=True)):
+        in_block[i, a : a + n] = True
+
+    def wanted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x, fine = unit_rows(batch.column(1), width)
+        limits = np.array([np.inf if v is None else v for v in batch.column(2).to_pylist()], np.float64)
+        low = np.where(odd | ~fine[:, None], 0.0, np.arccos(np.clip(x @ centres.T, -1, 1)) - reach)
+        # What isn't further than the bound, so that a bound that is no number leaves nothing out.
+        return np.nonzero(~(low > limits[:, None] + ROUNDING) @ in_block)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PIECE // max(1, len(told)))
+        yield from (whole.slice(i, step) for whole in batches for i in range(0, len(whole), step))
+
+    def count_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(count, np.int64)
+        for batch in pieces(batches):
+            n += np.bincount(wanted(batch)[1], minlength=count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count), pa.int32()), pa.array(n)], names=["r", "n"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            at, block = wanted(batch)
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(block, pa.int32())], names=["id", "vector", "floor", "r"])
+
+    kinds = [asked.schema[c].dataType.simpleString() for c in ("id", "vector")]
+    spark, asked = asked.sparkSession, asked.select("id", "vector", "bound", "floor")
+    counts = {r["r"]: r["n"] for r in asked.mapInArrow(count_wanted, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).where("n > 0").collect()}
+    # Questions meet a block in parts: few enough that rows don't travel often, and enough that all cores have some.
+    least_parts = math.ceil(2 * spark.sparkContext.defaultParallelism / max(1, len(counts)))
+    halves = {r: max(math.ceil(n / WIDE), min(math.ceil(n / FEWEST), least_parts)) for r, n in counts.items()}
+    sizes = F.broadcast(spark.createDataFrame(sorted(halves.items()), "r int, _parts int"))
+    homes = F.broadcast(spark.createDataFrame([(c["cell"], int(a), int(n)) for c, a, n in zip(told, first, parts, strict=True)], "cell int, _first int, _blocks int"))
+    deal = lambda by, n: F.pmod(F.xxhash64(by), F.col(n)).cast("int")
+    rows = index.rows.where(allowed).join(homes, "cell").withColumn("r", F.col("_first") + deal(index.id_col, "_blocks")).join(sizes, "r").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    sent = asked.mapInArrow(send, f"id {kinds[0]}, vector {kinds[1]}, floor double, r int").join(sizes, "r").withColumn("q", deal("id", "_parts"))
+    # A stated number of tasks: pairs of blocks take long, and Spark would make few tasks of few bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(halves.values()))
+    left = rows.select("r", "q", F.col(index.id_col).alias("id"), F.col("embedding").alias("vector")).repartition(tasks, "r", "q")
+    return best_of_blocks(left, sent.select("r", "q", "id", "vector", "floor").repartition(tasks, "r", "q"), ["r", "q"], k, index.id_col, own)
+
+
 def search(index: Index, queries: DataFrame, k: int, id_col: str | None = None, allowed: Column | None = None, own: bool = False) -> DataFrame:
     """query_id, id, score, rank: what search.vector_top_all() finds among the indexed rows for which allowed holds, for any number of queries (id_col,
     embedding). Without own, a row is no answer to the query of its own id."""
@@ -160,12 +225,12 @@ def search_and_cells(index: Index, queries: DataFrame, k: int, id_col: str | Non
     asked = queries.where(F.col("embedding").isNotNull()).select(F.col(id_col or index.id_col).alias("id"), F.col("embedding").alias("vector"))
     asked = cut(asked.groupBy("id").agg(F.min("vector").alias("vector")))
     first = cut(wanted_cells(index, asked, k, None))
-    near = cut(best_in_cells(index, first, allowed, k, own))
+    near = best_in_cells(index, first, allowed, k, own)
     order = [F.desc("score"), F.col(index.id_col)]
-    # Scores are rounded to six places before they are compared, so the bound has room for that.
     worst = top(near, ["query_id"], order, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).where(F.col("n") == k)
-    bound = worst.select(F.col("query_id").alias("id"), F.acos(F.greatest(F.least(F.col("score") - 2e-6, F.lit(1.0)), F.lit(-1.0))).alias("bound"))
-    more = cut(wanted_cells(index, asked.join(bound, "id", "left"), k, "bound"))
-    found = top(near.unionByName(best_in_cells(index, more, allowed, k, own)), ["query_id"], order, k)
-    read_cells = first.unionByName(more).select("id", "cell").join(F.broadcast(index.cells.select("cell", "n")), "cell")
+    # Scores are rounded to six places before they are compared, so the bound has room for that.
+    angle = F.acos(F.greatest(F.least(F.col("score") - 2e-6, F.lit(1.0)), F.lit(-1.0)))
+    bounded = cut(asked.join(worst.select(F.col("query_id").alias("id"), angle.alias("bound"), F.col("score").alias("floor")), "id", "left"))
+    found = top(best_within(index, bounded, allowed, k, own), ["query_id"], order, k)
+    read_cells = first.select("id", "cell").unionByName(wanted_cells(index, bounded, k, "bound").select("id", "cell")).join(F.broadcast(index.cells.select("cell", "n")), "cell")
     return found, read_cells.groupBy(F.col("id").alias("query_id")).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows"))

@@ -47,3 +47,27 @@ def test_empty(spark, tmp_path):
     assert vector_index.search(index, table(spark, [[1.0, 0.0]]), 3).count() == 0
     index = vector_index.build(table(spark, [[1.0, 0.0]]), str(tmp_path / "one"), "vec_id")
     assert vector_index.search(index, rows, 3).count() == 0
+
+
+def test_questions_go_to_blocks_of_cells(spark, tmp_path, monkeypatch):
+    """Where vectors lie evenly a question wants nearly all cells, and goes with its vector to a few blocks of them, not to each; what is worse than its k-th best of the
+    nearest cells doesn't leave a block."""
+    monkeypatch.setattr(vector_index, "WIDE", 150)
+    monkeypatch.setattr(vector_index, "FEWEST", 20)
+    vectors = [*np.random.default_rng(6).normal(size=(500, 8)), *([[1.0] * 8] * 170), [0.0] * 8, [2.0], None]
+    rows, sent, told = table(spark, vectors), [], []
+    index = vector_index.build(rows, str(tmp_path), "vec_id", 25)
+    plain = search.best_of_blocks
+
+    def best_of_blocks(left, right, *more):
+        sent.append(right.count())
+        told.append(plain(left, right, *more))
+        return told[-1]
+
+    monkeypatch.setattr(vector_index, "best_of_blocks", best_of_blocks)
+    for allowed in (F.lit(True), F.col("grade") == 1, F.col("vec_id") > 668):
+        sent.clear(), told.clear()
+        assert got(vector_index.search(index, rows, 5, allowed=allowed)) == got(search.vector_top_all(rows.where(allowed), rows, 5, "vec_id"))
+        cells, rows_there, blocks = index.cells.count(), 672, vector_index.blocks_of([c.asDict() for c in index.cells.collect()])[2]
+        assert cells >= 20 and blocks <= 9 and sum(sent) < rows_there * (blocks + 4)
+    assert vector_index.blocks_of([{"cell": i, "n": n} for i, n in enumerate([100, 50, 1, 400, 20, 130])])[0].tolist() == [0, 0, 1, 2, 5, 5]
